@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import media, sharding, url_filters
+from . import media, packing, sharding, url_filters
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op5_jump_sharding": sharding.op5_jump_sharding,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_media_features": media.op10_media_features,
