@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import language_id, media, packing, sharding, url_filters
+from . import language_id, media, mixing, packing, sharding, url_filters
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_language_id": language_id.op2_language_id,
     "op5_jump_sharding": sharding.op5_jump_sharding,
+    "op7_mixing": mixing.op7_mixing,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_media_features": media.op10_media_features,
 }
