@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import language_id, media, mixing, packing, sharding, url_filters
+from . import language_id, media, mixing, ngram_join, packing, sharding, url_filters
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_language_id": language_id.op2_language_id,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_jump_sharding": sharding.op5_jump_sharding,
     "op7_mixing": mixing.op7_mixing,
     "op9_url_filters": url_filters.op9_url_filters,
