@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, media, mixing, ngram_join, packing, sharding, url_filters
+from . import language_id, media, mixing, ngram_join, packing, secrets, sharding, url_filters
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_jump_sharding": sharding.op5_jump_sharding,
     "op7_mixing": mixing.op7_mixing,
+    "op8_secret_scan": secrets.op8_secret_scan,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_media_features": media.op10_media_features,
 }
