@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import language_id, media, mixing, ngram_join, packing, secrets, sharding, url_filters
+from . import language_id, media, mixing, ngram_join, packing, pii, secrets, sharding, url_filters
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_language_id": language_id.op2_language_id,
+    "op3_personal_data": pii.op3_personal_data,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_jump_sharding": sharding.op5_jump_sharding,
     "op7_mixing": mixing.op7_mixing,
