@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, media, mixing, ngram_join, packing, pii, secrets, sharding, url_filters
+from . import edit_embedding, language_id, media, mixing, ngram_join, packing, pii, secrets, sharding, url_filters
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_personal_data": pii.op3_personal_data,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_jump_sharding": sharding.op5_jump_sharding,
+    "op6_edit_embedding": edit_embedding.op6_edit_embedding,
     "op7_mixing": mixing.op7_mixing,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_url_filters": url_filters.op9_url_filters,
