@@ -15,9 +15,10 @@ With ``slack`` more partitions than needed, linked sets share several signatures
 subsets say nothing and are left out where the guarantee allows it, and a set that
 shares fewer signatures than guaranteed has no partner and drops out. Both rules lose no link.
 
-Links. In each bucket of a signature all sets are compared with a pivot, exactly, and links are
-closed to components. Where a bucket then still holds several components, the pairs
-across them that nobody compared are compared too. Pairs inside a component are never needed.
+Links. The sets of a bucket are compared with a pivot, exactly, and links are closed to
+components; buckets that hold one component are done, the others get new pivots for a few
+rounds. What then still shares a bucket across components is compared in blocks, so
+that pairs are neither written nor shuffled. Pairs inside a component are never needed.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table, written
@@ -45,7 +46,8 @@ class JoinParams:
     slack: float = 0.15  #: partitions beyond the needed ones, as a share
     parts: int = 1  #: n2, second-level parts of a partition
     part_differences: int = 0  #: k2, differences that a partition may hold
-    pivots: int = 4  #: pivot choices per group of sets
+    rounds: int = 2  #: rounds of pivots before blocks are compared
+    block: int = 256  #: sets of a block
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -123,39 +125,31 @@ def signatures(s: np.ndarray, params: JoinParams) -> list[tuple[int, np.ndarray]
     return out
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, params: JoinParams) -> DataFrame:
-    """(id, n_shingles, key) of every row."""
+def _signed(docs: DataFrame, id_col: str, text_col: str, params: JoinParams) -> DataFrame:
+    """(id, n_shingles, key, bands) of every row; bands: array of struct(need, sigs), where a partner
+    in that band shares ``need`` of the signatures at least."""
+    band = pa.list_(pa.struct([("need", pa.int32()), ("sigs", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py(), params.shingle_words) for t in batch.column(1)]
-            arrays = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, [id_col, "n_shingles", "key"])
+            found = [signatures(s, params) for s in sets]
+            needs = pa.array([need for bands in found for need, _ in bands], pa.int32())
+            sigs = [x.view(np.int64) for bands in found for _, x in bands]
+            at = np.cumsum([0, *map(len, sigs)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))
+            per_set = pa.array(np.cumsum([0, *map(len, found)], dtype=np.int32))
+            arrays = [
+                batch.column(0),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([set_key(s) for s in sets], pa.int64()),
+                pa.ListArray.from_arrays(per_set, pa.StructArray.from_arrays([needs, lists], fields=list(band.value_type))),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, [id_col, "n_shingles", "key", "bands"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {id_type}, n_shingles long, key long")
-
-
-def _signature_rows(docs: DataFrame, text_col: str, params: JoinParams) -> DataFrame:
-    """(key, tag, sig): tag is 2 * signatures needed + 1 in the set's second band."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, tags, sigs = [], [], []
-            for text in batch.column(0):
-                s = shingles(text.as_py(), params.shingle_words)
-                if len(s):
-                    for second, (need, found) in enumerate(signatures(s, params)):
-                        keys.append(set_key(s))
-                        tags.append(2 * need + second)
-                        sigs.append(found.view(np.int64))
-            offsets = np.cumsum([0, *map(len, sigs)], dtype=np.int32)
-            flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(tags, pa.int32()), lists], ["key", "tag", "sigs"])
-
-    rows = docs.select(text_col).mapInArrow(run, "key long, tag int, sigs array<long>")
-    return rows.select("key", "tag", F.explode("sigs").alias("sig"))
+    schema = f"{id_col} {id_type}, n_shingles long, key long, bands array<struct<need:int,sigs:array<long>>>"
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame, text_col: str, members: DataFrame, params: JoinParams) -> DataFrame:
@@ -201,6 +195,122 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", linked.alias("linked"))
 
 
+def _close(n: str, m: str, percent: int) -> Column:
+    """Whether sets of these sizes can link at all."""
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
+def _compared(pairs: DataFrame, checked: DataFrame | None, labels: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Compare the ``pairs`` not yet ``checked``; all that is checked now, and the labels
+    after joining the components that the new links connect."""
+    if checked is not None:
+        pairs = pairs.join(checked, ["a", "b"], "left_anti")
+    new = written(_verified(written(pairs, "join-pairs"), sets, percent), "join-checked")
+    done = new.select("a", "b") if checked is None else written(checked.union(new.select("a", "b")), "join-done")
+    return done, _merged(new.where("linked"), labels)
+
+
+def _merged(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """``labels`` after joining the components that ``links`` (a, b) connect."""
+    of = lambda end: labels.select(F.col("key").alias(end), F.col("label").alias(f"l{end}"))
+    links = links.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    joined = components(links).select(F.col("key").alias("label"), F.col("label").alias("new"))
+    merged = labels.join(joined, "label", "left").select("key", F.coalesce("new", "label").alias("label"))
+    return written(merged, "join-labels")
+
+
+def _open(buckets: DataFrame, labels: DataFrame, least: int, rank: Column) -> DataFrame:
+    """(bucket, key, n, central, label, p, pn, pl): the rows of buckets of ``least`` sets or more in
+    several components, with the bucket's pivot, the set of highest ``rank``."""
+    labelled = buckets.join(labels, "key")
+    state = labelled.groupBy("bucket").agg(
+        F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m"), F.max(F.struct(rank, "key", "n", "label")).alias("p")
+    )
+    state = state.where((F.col("x") != F.col("y")) & (F.col("m") >= least))
+    return labelled.join(state.select("bucket", F.col("p.key").alias("p"), F.col("p.n").alias("pn"), F.col("p.label").alias("pl")), "bucket")
+
+
+def _link(buckets: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:
+    """(key, label): components of the sets of ``buckets`` (bucket, key, n) under exact links.
+
+    The first pivot of a bucket is its most central set, the one whose buckets are fullest:
+    in a group of copies, that is one close to the original. Later pivots go by a hash.
+    """
+    sets = written(sets, "join-sets")
+    size = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
+    central = buckets.join(size, "bucket").groupBy("key").agg(F.sum("m").alias("central"))
+    buckets = written(buckets.join(central, "key"), "join-central")
+    checked, labels = None, written(buckets.select("key", F.col("key").alias("label")).distinct(), "join-labels")
+    for turn in range(params.rounds):
+        rank = F.xxhash64("key", F.pmod("bucket", F.lit(4)), F.lit(turn)) if turn else F.col("central")
+        rows = _open(buckets, labels, 3 if turn else 2, rank.alias("rank"))  # a bucket of two is done after one round
+        star = rows.where((F.col("label") != F.col("pl")) & _close("n", "pn", params.percent))
+        pairs = star.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct()
+        checked, labels = _compared(pairs, checked, labels, sets, params.percent)
+    rest = _open(buckets, labels, 3, F.col("central").alias("rank")).select(F.col("p").alias("grp"), "key", "label").distinct()
+    found = _across(written(rest, "join-rest"), sets, params)
+    return _merged(written(found, "join-across"), labels)
+
+
+def _across(rest: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:
+    """(a, b): links across labels within each group of ``rest`` (grp, key, label), enough of
+    them to connect what they connect.
+
+    A group is dealt into blocks of about ``params.block`` sets, and a task compares two
+    blocks, by products of incidence matrices. Pairs are neither shuffled nor kept,
+    and no task holds more than two blocks.
+    """
+    count = rest.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / params.block).cast("int").alias("blocks"))
+    dealt = rest.join(count, "grp").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    tasks = dealt.select("grp", "key", "label", "block", other).select(
+        "grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "label", "block"
+    )
+    rows = tasks.join(sets, "key").select("grp", "i", "j", "block", "key", "label", "elements")
+    percent = params.percent
+
+    def compare(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        keys, labels = part.column("key").to_numpy(), part.column("label").to_numpy()
+        lists = part.column("elements").combine_chunks()
+        offsets, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+        sizes = np.diff(offsets)
+        first = part.column("block").to_numpy() == part.column("i").to_numpy()
+        alike = np.zeros((len(keys), len(keys)), np.float32)
+        _, code, seen = np.unique(flat, return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(keys)), sizes)
+        shared = seen[code] > 1
+        renumber = np.cumsum(seen > 1) - 1
+        code, owner = renumber[code[shared]], owner[shared]
+        width = 4096
+        for low in range(0, int(code.max()) + 1 if len(code) else 0, width):
+            inside = (code >= low) & (code < low + width)
+            x = np.zeros((len(keys), width), np.float32)
+            x[owner[inside], code[inside] - low] = 1
+            alike += x @ x.T
+        union = sizes[:, None] + sizes[None, :] - alike
+        linked = (100 * alike >= percent * union) & (labels[:, None] != labels[None, :])
+        if part.column("i")[0].as_py() != part.column("j")[0].as_py():
+            linked &= first[:, None] != first[None, :]
+        parent: dict[int, int] = {}
+
+        def root(v: int) -> int:
+            while parent.setdefault(v, v) != v:
+                parent[v] = v = parent[parent[v]]
+            return v
+
+        out = []
+        for a, b in np.argwhere(np.triu(linked, 1)):
+            la, lb = root(int(labels[a])), root(int(labels[b]))
+            if la != lb:
+                parent[la] = lb
+                out.append((int(keys[a]), int(keys[b])))
+        ends = list(zip(*out, strict=True)) if out else [[], []]
+        return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
+
+    return rows.groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(key, label) for every end of ``links`` (a, b): the least key of its component.
 
@@ -233,35 +343,16 @@ def jaccard_components(
     sets are one class, and ids may repeat or be null (a component of null ids only has a null id). An
     empty table gives an empty result; other columns are left out.
     """
-    classes = written(_classes(docs, id_col, text_col, params), "join-classes")
-    rows = _signature_rows(docs, text_col, params)
-    shared = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
-    per_set = rows.join(shared, "sig").groupBy("key", "tag").agg(F.collect_set("sig").alias("sigs"))
-    kept = per_set.where(F.size("sigs") >= F.floor(F.col("tag") / 2)).select("key", F.explode("sigs").alias("sig"))
-    sizes = classes.where("n_shingles > 0").groupBy("key").agg(F.first("n_shingles").alias("n"))
-    kept = written(kept.join(sizes, "key"), "join-kept")
-    pivot = F.min(F.struct(F.xxhash64("key", F.pmod("sig", F.lit(params.pivots))), "key", "n")).alias("p")
-    buckets = kept.groupBy("sig").agg(pivot, F.count(F.lit(1)).alias("m")).where("m > 1").select("sig", F.col("p.key").alias("p"), F.col("p.n").alias("pn"))
-    close = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * params.percent
-    star = kept.join(buckets, "sig").where((F.col("key") != F.col("p")) & close)
-    pairs = written(star.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct(), "join-pairs")
-    sets = written(_sets(docs, text_col, kept.select("key").distinct(), params), "join-sets")
-    checked = written(_verified(pairs, sets, params.percent), "join-checked")
-    links = checked.where("linked").select("a", "b")
-    labels = components(links)
-
-    # Buckets that hold several components: compare across them what no pivot compared.
-    labelled = kept.join(labels, "key", "left").select("sig", "key", "n", F.coalesce("label", "key").alias("label"))
-    open_ = labelled.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("sig")
-    rest = written(labelled.join(open_, "sig"), "join-open")
-    l, r = rest.alias("l"), rest.alias("r")
-    apart = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.key") < F.col("r.key")) & (F.col("l.label") != F.col("r.label"))
-    near = F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * params.percent
-    more = l.join(r, apart & near).select(F.col("l.key").alias("a"), F.col("r.key").alias("b")).distinct()
-    more = more.join(checked, ["a", "b"], "left_anti")
-    found = written(_verified(more, sets, params.percent).where("linked").select("a", "b"), "join-more")
-    if found.limit(1).count():
-        labels = components(links.union(found))
+    signed = written(_signed(docs, id_col, text_col, params), "join-signed")
+    classes = signed.select(id_col, "n_shingles", "key")
+    # The position of a band tells a set's own band from the next one.
+    bands = signed.select("key", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("pos", "band"))
+    rows = bands.select("key", "n", "pos", "band.need", F.explode("band.sigs").alias("bucket"))
+    shared = signed.select(F.explode(F.flatten("bands.sigs")).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    per_set = rows.join(shared.select("bucket"), "bucket").groupBy("key", "n", "pos", "need").agg(F.collect_set("bucket").alias("buckets"))
+    buckets = per_set.where(F.size("buckets") >= F.col("need")).select(F.explode("buckets").alias("bucket"), "key", "n")
+    buckets = written(buckets, "join-buckets")
+    labels = _link(buckets, _sets(docs, text_col, buckets.select("key").distinct(), params), params)
 
     least = classes.where("n_shingles > 0").groupBy("key").agg(F.min(id_col).alias("least"))
     named = least.join(labels, "key", "left").select("key", "least", F.coalesce("label", "key").alias("label"))
