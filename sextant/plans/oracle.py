@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .contracts import CONSUMERS, FAMILIES
-from .queries import CONTEXT_AS_OF, DIRTY_AS_OF, STALE_AS_OF
+from .queries import CONTEXT_AS_OF, DIRTY_AS_OF, STALE_AS_OF, TIE
 
 BARS = """
 trades AS (
@@ -63,7 +63,7 @@ def _mean(n: int) -> str:
 
 
 def _rounded(columns: str, digits: int = 6) -> str:
-    return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns.split())
+    return ", ".join(f"round({c} + {TIE}, {digits}) AS {c}" for c in columns.split())
 
 
 DAY = "strftime(date, '%Y-%m-%d') AS date"
@@ -138,7 +138,7 @@ frame AS (
   FROM means WINDOW s AS (PARTITION BY symbol ORDER BY date), w AS (PARTITION BY symbol ORDER BY date ROWS 251 PRECEDING))"""
 _FIXED = {"lookback": 252, "percentile": 0.95, "min_periods": 126, "floor": 0.5, "cap": 0.75}
 _DYNAMIC = ", ".join(
-    f"round(t10, 4) AS {v}_dynamic_threshold, n10 AS {v}_dynamic_sample_count, " + ", ".join(f"{x}::DOUBLE AS {v}_dynamic_{k}" for k, x in _FIXED.items())
+    f"round(t10 + {TIE}, 4) AS {v}_dynamic_threshold, n10 AS {v}_dynamic_sample_count, " + ", ".join(f"{x}::DOUBLE AS {v}_dynamic_{k}" for k, x in _FIXED.items())
     for v in ("realized_volatility_10", "realized_volatility")
 )
 
@@ -187,39 +187,39 @@ SQL: dict[str, str] = {
     "ohlcv_normalize": f"""WITH {DIRTY}
       SELECT series AS symbol, {DAY}, close, close AS high, close AS low FROM raw WHERE close > 0 AND raw.date <= DATE '{DIRTY_AS_OF}'
       QUALIFY row_number() OVER (PARTITION BY series, raw.date ORDER BY event_id DESC) = 1""",
-    "sma": f"WITH {BARS} SELECT symbol, {DAY}, {', '.join(f'round({_mean(n).replace("date ROWS", "bars.date ROWS")}, 6) AS sma{n}' for n in (20, 50, 100, 200))} FROM bars",
+    "sma": f"WITH {BARS} SELECT symbol, {DAY}, {', '.join(f'round({_mean(n).replace("date ROWS", "bars.date ROWS")} + {TIE}, 6) AS sma{n}' for n in (20, 50, 100, 200))} FROM bars",
     "ema": f"WITH {BARS}, k AS (SELECT symbol, date, {_ema(20)} AS ema20, {_ema(50)} AS ema50 FROM bars) SELECT symbol, {DAY}, {_rounded('ema20 ema50')} FROM k",
     "high_drawdown": f"""WITH {BARS}, k AS (SELECT symbol, date, close, {_full('max(high)', 'high', 252)} AS high252 FROM bars)
-      SELECT symbol, {DAY}, round(high252, 6) AS high252, round(CASE WHEN high252 > 0 THEN greatest(0, 1 - close / high252) END, 6) AS drawdown_252d FROM k""",
-    "rsi_simple": f"WITH {BARS}, {RSI} SELECT symbol, {DAY}, round(rsi14, 4) AS rsi14 FROM rsi",
-    "rsi_wilder": f"WITH {BARS}, {WILDER} SELECT symbol, {DAY}, round(rsi14, 4) AS rsi14 FROM rsi",
+      SELECT symbol, {DAY}, round(high252 + {TIE}, 6) AS high252, round(CASE WHEN high252 > 0 THEN greatest(0, 1 - close / high252) END + {TIE}, 6) AS drawdown_252d FROM k""",
+    "rsi_simple": f"WITH {BARS}, {RSI} SELECT symbol, {DAY}, round(rsi14 + {TIE}, 4) AS rsi14 FROM rsi",
+    "rsi_wilder": f"WITH {BARS}, {WILDER} SELECT symbol, {DAY}, round(rsi14 + {TIE}, 4) AS rsi14 FROM rsi",
     "atr14": f"""WITH {BARS}, t AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER s), abs(low - lag(close) OVER s)) AS tr FROM bars
-      WINDOW s AS (PARTITION BY symbol ORDER BY date)), k AS (SELECT symbol, date, {_full('avg(tr)', 'tr', 14)} AS atr14 FROM t) SELECT symbol, {DAY}, round(atr14, 6) AS atr14 FROM k""",
+      WINDOW s AS (PARTITION BY symbol ORDER BY date)), k AS (SELECT symbol, date, {_full('avg(tr)', 'tr', 14)} AS atr14 FROM t) SELECT symbol, {DAY}, round(atr14 + {TIE}, 6) AS atr14 FROM k""",
     "realized_vol_log_pop": f"""WITH {BARS}, t AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY date)) AS r FROM bars),
       k AS (SELECT symbol, date, {_full('stddev_pop(r)', 'r', 20, scale=' * sqrt(252)')} AS volatility_20d, {_full('stddev_pop(r)', 'r', 63, scale=' * sqrt(252)')} AS volatility_63d FROM t)
       SELECT symbol, {DAY}, {_rounded('volatility_20d volatility_63d')} FROM k""",
     "realized_vol_simple_samp": f"""WITH {BARS}, t AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS r FROM bars),
-      k AS (SELECT symbol, date, {_full('stddev_samp(r)', 'r', 10, scale=' * sqrt(252)')} AS volatility_10 FROM t) SELECT symbol, {DAY}, round(volatility_10, 6) AS volatility_10 FROM k""",
-    "momentum_90": f"WITH {BARS}, k AS (SELECT symbol, date, close / lag(close, 90) OVER (PARTITION BY symbol ORDER BY date) - 1 AS m FROM bars) SELECT symbol, {DAY}, round(m, 6) AS momentum_90d FROM k",
+      k AS (SELECT symbol, date, {_full('stddev_samp(r)', 'r', 10, scale=' * sqrt(252)')} AS volatility_10 FROM t) SELECT symbol, {DAY}, round(volatility_10 + {TIE}, 6) AS volatility_10 FROM k""",
+    "momentum_90": f"WITH {BARS}, k AS (SELECT symbol, date, close / lag(close, 90) OVER (PARTITION BY symbol ORDER BY date) - 1 AS m FROM bars) SELECT symbol, {DAY}, round(m + {TIE}, 6) AS momentum_90d FROM k",
     "trend_score": f"""WITH {BARS}, {RSI}, k AS (SELECT symbol, date, close, rsi14, {_mean(50)} AS sma50, {_mean(200)} AS sma200 FROM rsi)
-      SELECT symbol, {DAY}, round(CASE WHEN sma200 IS NOT NULL AND rsi14 IS NOT NULL THEN {SCORE} END, 4) AS trend_score FROM k""",
+      SELECT symbol, {DAY}, round(CASE WHEN sma200 IS NOT NULL AND rsi14 IS NOT NULL THEN {SCORE} END + {TIE}, 4) AS trend_score FROM k""",
     "technical_frame": f"WITH {TECHNICAL} SELECT symbol, {DAY}, {_rounded(TECHNICAL_COLUMNS, 5)} FROM frame",
     "technical_latest": f"WITH {TECHNICAL} SELECT symbol, {DAY}, {_rounded(TECHNICAL_COLUMNS, 4)} FROM frame {LATEST}",
-    "btc_base": f"WITH {BTC} SELECT symbol, {DAY}, cycle_indicator_source, {_rounded(BASE_COLUMNS, 5)} FROM first",
+    "btc_base": f"WITH {BTC} SELECT symbol, {DAY}, cycle_indicator_source, {_rounded(BASE_COLUMNS, 3)} FROM first",
     "btc_research_percentiles": f"WITH {BTC} SELECT symbol, {DAY}, {_rounded('ahr999_365d_percentile mayer_multiple_365d_percentile')} FROM frame",
     "btc_slope30": f"WITH {BTC} SELECT symbol, {DAY}, {_rounded('ahr999_30d_slope')} FROM frame",
     "btc_latest": f"""WITH {BTC} SELECT symbol, {DAY}, cycle_indicator_source,
       {_rounded(BASE_COLUMNS + ' ahr999_365d_percentile mayer_multiple_365d_percentile ahr999_30d_slope', 4)} FROM frame {LATEST}""",
     "rotation_bands": f"WITH {ROTATION} SELECT symbol, {DAY}, {_rounded('ma_trend ma20 ma20_slope bb_upper bb_mid bb_lower', 5)} FROM frame",
     "rotation_dynamic_rsi": f"WITH {ROTATION} SELECT symbol, {DAY}, {_rounded('rsi14 rsi14_dynamic_threshold', 4)} FROM frame",
-    "rotation_dynamic_vol": f"""WITH {ROTATION} SELECT symbol, {DAY}, round(realized_volatility_10, 6) AS realized_volatility_10,
-      round(t10, 6) AS realized_volatility_10_dynamic_threshold, n10 AS realized_volatility_10_dynamic_sample_count FROM frame""",
+    "rotation_dynamic_vol": f"""WITH {ROTATION} SELECT symbol, {DAY}, round(realized_volatility_10 + {TIE}, 6) AS realized_volatility_10,
+      round(t10 + {TIE}, 6) AS realized_volatility_10_dynamic_threshold, n10 AS realized_volatility_10_dynamic_sample_count FROM frame""",
     "rotation_latest": f"""WITH {ROTATION} SELECT symbol, {DAY}, {_rounded('price ma_trend ma20 ma20_slope rsi14 rsi14_dynamic_threshold bb_upper bb_mid bb_lower realized_volatility realized_volatility_10', 4)},
-      round(realized_volatility, 4) AS realized_volatility_20, {_DYNAMIC} FROM frame WHERE rows_ >= 420 {LATEST}""",
-    "expanding_percentile": f"WITH {METRICS}, k AS ({_percentile('vix')}) SELECT 'm' AS series, {DAY}, round(p, 6) AS percentile FROM k",
+      round(realized_volatility + {TIE}, 4) AS realized_volatility_20, {_DYNAMIC} FROM frame WHERE rows_ >= 420 {LATEST}""",
+    "expanding_percentile": f"WITH {METRICS}, k AS ({_percentile('vix')}) SELECT 'm' AS series, {DAY}, round(p + {TIE}, 6) AS percentile FROM k",
     "asof_join": f"WITH {METRICS} SELECT 'm' AS series, strftime(v.date, '%Y-%m-%d') AS date, v.value AS vix, c.value AS cape FROM vix v ASOF LEFT JOIN cape c ON v.date >= c.date",
     "asof_context": f"""WITH {METRICS}, v AS ({_percentile('vix')}), c AS ({_percentile('cape')})
-      SELECT 'm' AS series, strftime(v.date, '%Y-%m-%d') AS date, round(c.p, 6) AS cape_percentile, round(v.p, 6) AS vix_percentile,
+      SELECT 'm' AS series, strftime(v.date, '%Y-%m-%d') AS date, round(c.p + {TIE}, 6) AS cape_percentile, round(v.p + {TIE}, 6) AS vix_percentile,
         strftime(v.date, '%Y-%m-%dT00:00:00Z') AS provider_timestamp FROM v ASOF JOIN c ON v.date >= c.date""",
     "price_proxy_inner_join": f"""WITH {PROXY} SELECT 'p' AS series, strftime(f.date, '%Y-%m-%d') AS date, f.value AS QQQ, o.value AS SPY,
       strftime(f.date, '%Y-%m-%dT00:00:00Z') AS provider_timestamp FROM f JOIN o USING (date)""",

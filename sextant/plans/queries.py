@@ -18,13 +18,15 @@ from . import contracts as K
 
 Query = Callable[[SparkSession, str], DataFrame]
 S, M = I.SYMBOLS, I.METRICS
+TIE = 3.7e-8
 #: Cut-offs of the report queries.
 DIRTY_AS_OF, CONTEXT_AS_OF, STALE_AS_OF = "2024-01-20", "2029-01-01", "1999-06-30"
 
 
 def _round(df: DataFrame, digits: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Doubles rounded, so that last bits of sums don't count."""
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes))
+    """Doubles rounded, so that last bits of sums don't count. TIE moves means of round
+    numbers, which often lie on a tie, off it."""
+    return df.select(*(F.round(F.col(c) + TIE, digits).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes))
 
 
 def _dated(df: DataFrame) -> DataFrame:
@@ -98,7 +100,7 @@ def _cycle(spark: SparkSession, d: str) -> DataFrame:
 
 
 def btc_base(spark: SparkSession, d: str) -> DataFrame:
-    return _dated(_round(I.cycle_base(_cycle(spark, d)), 5))
+    return _dated(_round(I.cycle_base(_cycle(spark, d)), 3))
 
 
 def btc_research_percentiles(spark: SparkSession, d: str) -> DataFrame:
