@@ -156,7 +156,7 @@ def tensor_batch(media: bytes) -> pa.RecordBatch:
     for a, b in f["segments"]:
         voiced[a:b] = 1
     spans = first * HOP / FEATURE_HZ, (np.minimum(first + TENSOR_FRAMES, n) * HOP) / FEATURE_HZ
-    columns = [pa.array(spans[0]), pa.array(spans[1]), pa.array(voiced.reshape(len(cells), -1).sum(axis=1)), tensor_array(cells)]
+    columns = [pa.array(spans[0]), pa.array(spans[1]), pa.array(voiced.reshape(len(cells), -1).sum(axis=1), pa.int32()), tensor_array(cells)]
     return pa.RecordBatch.from_arrays(columns, ["start_s", "end_s", "voiced", "log_mel"])
 
 
