@@ -158,7 +158,7 @@ def _blocks(docs: DataFrame, id_col: str) -> np.ndarray:
         found = [int(np.min(b.column(0).to_numpy())) for b in batches if b.num_rows]
         yield pa.RecordBatch.from_pydict({"i": pa.array([min(found)] if found else [], pa.int64())})
 
-    return np.array(sorted({r.i for r in ids.repartitionByRange(blocks, "i").mapInArrow(least, "i long").collect()}), np.int64)
+    return np.unique(ids.repartitionByRange(blocks, "i").mapInArrow(least, "i long").toPandas()["i"].to_numpy(np.int64))
 
 
 FINGERPRINT_SCHEMA = (

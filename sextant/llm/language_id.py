@@ -238,11 +238,13 @@ def identify_languages(
     lang_col: str = "lang",
     params: LanguageParams = LanguageParams(),
 ) -> DataFrame:
-    """Id, held_out, lang_pred, score and every row's own columns besides.
+    """Every row with its own columns and lang_pred and score.
 
     Learns from rows whose language is known and that aren't held out. Repeated rows
-    get equal predictions; without any labelled row all are `und`.
+    get equal predictions; without any labelled row all are `und`. Columns of ``docs`` named
+    like the two new ones are replaced.
     """
+    docs = docs.drop("lang_pred", "score")
     labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull())
     model = train(labelled, id_col, text_col, lang_col, params)
     return annotate(docs, model, text_col)

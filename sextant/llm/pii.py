@@ -251,12 +251,13 @@ def redact_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
     model, and to redact beside the text, so no text is shuffled.
     """
     model = fit(candidates(docs.select(text_col), text_col).select("votes"))
-    text = F.col(text_col)
-    rows = candidates(docs, text_col)
-    kinds = F.transform(decided(F.col("base"), F.col("votes"), model), lambda s: s)
-    spans = S.disjoint(S.by_start(kinds, KINDS))
-    rows = rows.withColumn("_spans", spans)
-    return rows.withColumn(text_col, F.when(text.isNull(), text).otherwise(S.redact(text, F.col("_spans")))).select(*docs.columns)
+    # The row goes along as one struct, so that no column of it can clash with those made here.
+    rows = candidates(docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text")))
+    spans = S.disjoint(S.by_start(decided(F.col("base"), F.col("votes"), model), KINDS))
+    text = F.col("text")
+    clean = F.when(text.isNull(), text).otherwise(S.redact(text, F.col("spans")))
+    done = rows.withColumn("spans", spans).withColumn("clean", clean)
+    return done.select(*(F.col("clean").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -337,3 +337,22 @@ def test_pipeline_stages(spark, tmp_path):
     packed = kept["packing"]
     assert packed.groupby("sequence_id").length.sum().max() <= 2048
     assert set(packed.doc_id) == set(mixed.doc_id)
+
+
+def test_clashing_columns(spark, documents):
+    clash = {c: F.lit("mine") for c in ("base", "votes", "row", "spans", "clean", "key", "score", "lang_pred", "size", "copies", "bucket")}
+    docs = documents(["mail x@y.com now", None, "plain text"]).withColumns(clash)
+    assert [(r.text, r.base, r.clean) for r in pii.redact_personal_data(docs).orderBy("doc_id").collect()] == [("mail [EMAIL] now", "mine", "mine"), (None, "mine", "mine"), ("plain text", "mine", "mine")]
+    from sextant.llm import language_id
+
+    assert {r.lang_pred for r in language_id.identify_languages(docs).collect()} <= {"en", "und"}
+    assert mixing.mix(docs).count() == secrets.scan(docs).count() == E.fingerprint_with_next(docs).count() == 3
+    assert ngram_join.jaccard_components(docs).count() == pii.find_personal_data(docs).count() == 3
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(1, "same words here now"), (1, "same words here now"), (1, "other"), (None, "same words here now"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = sorted(map(tuple, ngram_join.jaccard_components(docs).collect()), key=repr)
+    assert found == sorted([(1, 1, 1), (1, 1, 1), (1, 1, 1), (None, 1, 1), (None, 0, None)], key=repr)
+    assert E.fingerprint_with_next(docs).count() == 5 and mixing.mix(docs).count() == 5
