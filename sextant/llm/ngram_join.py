@@ -26,16 +26,19 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import release_shuffles, table, written
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
+SIGNATURE_BITS = 48  #: chance agreement only adds candidates; fewer bytes to shuffle
 BITMAP_BITS = 1 << 22  #: of the filter that spares the set pass most documents; 0.5 MB however many documents
 
 
@@ -43,11 +46,12 @@ BITMAP_BITS = 1 << 22  #: of the filter that spares the set pass most documents;
 class JoinParams:
     shingle_words: int = 5
     percent: int = 80  #: two sets link when 100 * intersection >= percent * union
-    slack: float = 0.15  #: partitions beyond the needed ones, as a share
+    slack: float = 0.25  #: partitions beyond the needed ones, as a share
     parts: int = 1  #: n2, second-level parts of a partition
     part_differences: int = 0  #: k2, differences that a partition may hold
     rounds: int = 2  #: rounds of pivots before blocks are compared
     block: int = 256  #: sets of a block
+    passes: int = 4  #: shares of the signatures that are shuffled one after another, to save disk
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -115,7 +119,7 @@ def signatures(s: np.ndarray, params: JoinParams) -> list[tuple[int, np.ndarray]
         content[used] = np.add.reduceat(mix(s ^ _M2)[order], first)
         content = content.reshape(n1, n2)
         base = np.arange(n1, dtype=np.uint64) * np.uint64(len(subsets)) + np.uint64(band << 40)
-        sigs = np.stack([mix(content[:, list(x)].sum(axis=1, dtype=np.uint64) + mix(base + np.uint64(i))) for i, x in enumerate(subsets)], axis=1)
+        sigs = np.stack([mix(content[:, list(x)].sum(axis=1, dtype=np.uint64) + mix(base + np.uint64(i))) for i, x in enumerate(subsets)], axis=1) >> np.uint64(64 - SIGNATURE_BITS)
         empty = np.stack([count[:, list(x)].sum(axis=1) == 0 for x in subsets], axis=1)
         weak = int(empty.any(axis=1).sum())
         if weak <= spare:
@@ -126,30 +130,41 @@ def signatures(s: np.ndarray, params: JoinParams) -> list[tuple[int, np.ndarray]
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str, params: JoinParams) -> DataFrame:
-    """(id, n_shingles, key, bands) of every row; bands: array of struct(need, sigs), where a partner
-    in that band shares ``need`` of the signatures at least."""
-    band = pa.list_(pa.struct([("need", pa.int32()), ("sigs", pa.list_(pa.int64()))]))
+    """(id, row, n_shingles, key, needs, sigs_0, sigs_1, ...) of every row; row is its number.
+
+    ``needs`` has an entry per band of the set: how many signatures a partner there shares at
+    least. ``sigs_p`` has the band's signatures of pass p, so that a pass reads its own only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             sets = [shingles(t.as_py(), params.shingle_words) for t in batch.column(1)]
             found = [signatures(s, params) for s in sets]
-            needs = pa.array([need for bands in found for need, _ in bands], pa.int32())
-            sigs = [x.view(np.int64) for bands in found for _, x in bands]
-            at = np.cumsum([0, *map(len, sigs)], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))
             per_set = pa.array(np.cumsum([0, *map(len, found)], dtype=np.int32))
+            flat = [x for bands_ in found for _, x in bands_]
+            turns = [x % np.uint64(params.passes) for x in flat]
+            columns = []
+            for p in range(params.passes):
+                part = [x[t == p].view(np.int64) for x, t in zip(flat, turns, strict=True)]
+                at = pa.array(np.cumsum([0, *map(len, part)], dtype=np.int32))
+                values = pa.array(np.concatenate(part) if part else np.zeros(0, np.int64))
+                columns.append(pa.ListArray.from_arrays(per_set, pa.ListArray.from_arrays(at, values)))
+            needs = pa.array([need for bands_ in found for need, _ in bands_], pa.int32())
             arrays = [
                 batch.column(0),
+                pa.array(np.arange(row, row + len(sets))),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_key(s) for s in sets], pa.int64()),
-                pa.ListArray.from_arrays(per_set, pa.StructArray.from_arrays([needs, lists], fields=list(band.value_type))),
+                pa.ListArray.from_arrays(per_set, needs),
+                *columns,
             ]
-            yield pa.RecordBatch.from_arrays(arrays, [id_col, "n_shingles", "key", "bands"])
+            row += len(sets)
+            yield pa.RecordBatch.from_arrays(arrays, [id_col, "row", "n_shingles", "key", "needs", *(f"sigs_{p}" for p in range(params.passes))])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {id_type}, n_shingles long, key long, bands array<struct<need:int,sigs:array<long>>>"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    parts = ", ".join(f"sigs_{p} array<array<long>>" for p in range(params.passes))
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {id_type}, row long, n_shingles long, key long, needs array<int>, {parts}")
 
 
 def _sets(docs: DataFrame, text_col: str, members: DataFrame, params: JoinParams) -> DataFrame:
@@ -345,13 +360,22 @@ def jaccard_components(
     """
     signed = written(_signed(docs, id_col, text_col, params), "join-signed")
     classes = signed.select(id_col, "n_shingles", "key")
-    # The position of a band tells a set's own band from the next one.
-    bands = signed.select("key", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("pos", "band"))
-    rows = bands.select("key", "n", "pos", "band.need", F.explode("band.sigs").alias("bucket"))
-    shared = signed.select(F.explode(F.flatten("bands.sigs")).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    per_set = rows.join(shared.select("bucket"), "bucket").groupBy("key", "n", "pos", "need").agg(F.collect_set("bucket").alias("buckets"))
-    buckets = per_set.where(F.size("buckets") >= F.col("need")).select(F.explode("buckets").alias("bucket"), "key", "n")
+    # Signatures are shuffled with a short number: twice the row's, plus the band's position.
+    hot = []
+    for p in range(params.passes):
+        banded = signed.select("row", F.posexplode(f"sigs_{p}").alias("pos", "sigs"))
+        rows = banded.select((F.col("row") * 2 + F.col("pos")).alias("at"), F.explode("sigs").alias("bucket"))
+        shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
+        hot.append(written(rows.join(shared, "bucket"), "join-hot"))
+        del banded, rows, shared
+        release_shuffles(docs.sparkSession)
+    per_set = reduce(DataFrame.union, hot).groupBy("at").agg(F.collect_set("bucket").alias("buckets"))
+    info = signed.select("row", "key", F.col("n_shingles").alias("n"), F.posexplode("needs").alias("pos", "need"))
+    info = info.select((F.col("row") * 2 + F.col("pos")).alias("at"), "key", "n", "need")
+    buckets = per_set.join(info, "at").where(F.size("buckets") >= F.col("need")).select(F.explode("buckets").alias("bucket"), "key", "n").distinct()
     buckets = written(buckets, "join-buckets")
+    del per_set, info
+    release_shuffles(docs.sparkSession)
     labels = _link(buckets, _sets(docs, text_col, buckets.select("key").distinct(), params), params)
 
     least = classes.where("n_shingles > 0").groupBy("key").agg(F.min(id_col).alias("least"))

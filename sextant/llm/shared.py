@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import uuid
 
@@ -57,6 +58,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of plans that nothing refers to any more: it does so
+    when the driver collects garbage, which may be long after a large step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def gapless_rank(
     df: DataFrame,
     groups: list[str],
