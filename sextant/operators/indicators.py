@@ -46,7 +46,6 @@ def technical_frame(rows: DataFrame, min_history: int = 252, series: Series = SY
     """(keys, date, TECHNICAL_FIELDS) wherever close, sma200 and high252 are known."""
     close = F.col("close")
     rows = with_enough(rows, min_history, series.keys)
-    rows = with_recursive(rows, series, [Recursive("ema20", "ema", "close", 20), Recursive("ema50", "ema", "close", 50)])
     rows = rows.withColumns({f"sma{n}": series.mean(close, n) for n in (20, 50, 100, 200)} | {
         "high252": series.highest(F.col("high"), 252),
         "momentum_90d": series.momentum(close, 90),
@@ -54,6 +53,8 @@ def technical_frame(rows: DataFrame, min_history: int = 252, series: Series = SY
     rows = with_rsi(rows, series, "close", 14, "rsi14")
     rows = with_atr(rows, series, 14, "atr14")
     rows = with_log_volatility(rows, series, "close", {"realized_volatility_20d": 20, "realized_volatility_63d": 63}, 252)
+    # After the windows: the fold then finds rows by symbol already, and nothing is shuffled again.
+    rows = with_recursive(rows, series, [Recursive("ema20", "ema", "close", 20), Recursive("ema50", "ema", "close", 50)])
     rows = rows.where("sma200 is not null and high252 is not null").withColumns({
         "drawdown_252d": C.drawdown(close, F.col("high252")),
         "sma200_gap": C.ratio_gap(close, F.col("sma200")),
