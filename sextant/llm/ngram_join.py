@@ -34,11 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import release_shuffles, table, written
+from .shared import discard, release_shuffles, table, written
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
 SIGNATURE_BITS = 48  #: chance agreement only adds candidates; fewer bytes to shuffle
+SALTS = 64  #: tasks over which the rows of a group of leftovers are dealt
 BITMAP_BITS = 1 << 22  #: of the filter that spares the set pass most documents; 0.5 MB however many documents
 
 
@@ -229,9 +230,11 @@ def _merged(links: DataFrame, labels: DataFrame) -> DataFrame:
     """``labels`` after joining the components that ``links`` (a, b) connect."""
     of = lambda end: labels.select(F.col("key").alias(end), F.col("label").alias(f"l{end}"))
     links = links.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-    joined = components(links).select(F.col("key").alias("label"), F.col("label").alias("new"))
-    merged = labels.join(joined, "label", "left").select("key", F.coalesce("new", "label").alias("label"))
-    return written(merged, "join-labels")
+    found = components(links)
+    joined = found.select(F.col("key").alias("label"), F.col("label").alias("new"))
+    merged = written(labels.join(joined, "label", "left").select("key", F.coalesce("new", "label").alias("label")), "join-labels")
+    discard(found)
+    return merged
 
 
 def _open(buckets: DataFrame, labels: DataFrame, least: int, rank: Column) -> DataFrame:
@@ -254,7 +257,9 @@ def _link(buckets: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:
     sets = written(sets, "join-sets")
     size = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
     central = buckets.join(size, "bucket").groupBy("key").agg(F.sum("m").alias("central"))
-    buckets = written(buckets.join(central, "key"), "join-central")
+    plain, buckets = buckets, written(buckets.join(central, "key"), "join-central")
+    discard(plain)
+    release_shuffles(buckets.sparkSession)
     checked, labels = None, written(buckets.select("key", F.col("key").alias("label")).distinct(), "join-labels")
     for turn in range(params.rounds):
         rank = F.xxhash64("key", F.pmod("bucket", F.lit(4)), F.lit(turn)) if turn else F.col("central")
@@ -262,9 +267,14 @@ def _link(buckets: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:
         star = rows.where((F.col("label") != F.col("pl")) & _close("n", "pn", params.percent))
         pairs = star.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct()
         checked, labels = _compared(pairs, checked, labels, sets, params.percent)
+        del rows, star, pairs
+        release_shuffles(buckets.sparkSession)
     rest = _open(buckets, labels, 3, F.col("central").alias("rank")).select(F.col("p").alias("grp"), "key", "label").distinct()
-    found = _across(written(rest, "join-rest"), sets, params)
-    return _merged(written(found, "join-across"), labels)
+    rest = written(rest, "join-rest")
+    found = written(_across(rest, sets, params), "join-across")
+    merged = _merged(found, labels)
+    discard(sets, buckets, checked, labels, rest, found)
+    return merged
 
 
 def _across(rest: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:
@@ -276,7 +286,10 @@ def _across(rest: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:
     and no task holds more than two blocks.
     """
     count = rest.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / params.block).cast("int").alias("blocks"))
-    dealt = rest.join(count, "grp").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    # A group may be large: its rows meet its count under as many salts.
+    count = count.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rest.withColumn("salt", F.pmod(F.xxhash64("key", F.lit("salt")), F.lit(SALTS)).cast("int"))
+    dealt = salted.join(count, ["grp", "salt"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tasks = dealt.select("grp", "key", "label", "block", other).select(
         "grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "label", "block"
@@ -341,8 +354,10 @@ def components(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("key").alias("hop"), F.col("label").alias("far"))
         new = nearer.join(jump, "hop").select("key", F.least("hop", "far").alias("label"), (F.least("hop", "far") != F.col("label")).alias("changed"))
         new = written(new, "join-labels")
-        labels = new.select("key", "label")
+        discard(labels)
+        labels = new
         if not new.where("changed").limit(1).count():
+            discard(edges)
             return labels
 
 
@@ -359,7 +374,7 @@ def jaccard_components(
     empty table gives an empty result; other columns are left out.
     """
     signed = written(_signed(docs, id_col, text_col, params), "join-signed")
-    classes = signed.select(id_col, "n_shingles", "key")
+    classes = written(signed.select(id_col, "n_shingles", "key"), "join-classes")
     # Signatures are shuffled with a short number: twice the row's, plus the band's position.
     hot = []
     for p in range(params.passes):
@@ -375,6 +390,7 @@ def jaccard_components(
     buckets = per_set.join(info, "at").where(F.size("buckets") >= F.col("need")).select(F.explode("buckets").alias("bucket"), "key", "n").distinct()
     buckets = written(buckets, "join-buckets")
     del per_set, info
+    discard(signed, *hot)
     release_shuffles(docs.sparkSession)
     labels = _link(buckets, _sets(docs, text_col, buckets.select("key").distinct(), params), params)
 

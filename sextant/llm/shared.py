@@ -32,12 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+def _delete(path: str) -> None:
+    spark = _written.pop(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _drop_written() -> None:
-    for path, spark in _written.items():
+    for path in list(_written):
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(path)
         except Exception:  # the session is gone; its folder goes with the cluster's
             return
 
@@ -55,7 +59,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/sextant/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that no plan still to run reads."""
+    for t in tables:
+        if (path := getattr(t, "written_path", None)) in _written:
+            _delete(path)
 
 
 def release_shuffles(spark: SparkSession) -> None:
