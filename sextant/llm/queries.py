@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_ngram_join": ngram_join.OP4_SQL,
     "op9_url_filters": url_filters.OP9_SQL,
 }

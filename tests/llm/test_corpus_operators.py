@@ -356,3 +356,10 @@ def test_repeated_and_null_ids(spark):
     found = sorted(map(tuple, ngram_join.jaccard_components(docs).collect()), key=repr)
     assert found == sorted([(1, 1, 1), (1, 1, 1), (1, 1, 1), (None, 1, 1), (None, 0, None)], key=repr)
     assert E.fingerprint_with_next(docs).count() == 5 and mixing.mix(docs).count() == 5
+
+
+def test_join_query_equals_its_twin(spark):
+    from compare import connect, rows_of
+
+    sf = "/root/testdata/sf0.001"
+    assert rows_of(ngram_join.op4_ngram_join(spark, sf).toPandas()) == rows_of(connect(sf).sql(ngram_join.OP4_SQL).df())
