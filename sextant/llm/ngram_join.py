@@ -289,7 +289,7 @@ def _across(rest: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:
     # A group may be large: its rows meet its count under as many salts.
     count = count.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rest.withColumn("salt", F.pmod(F.xxhash64("key", F.lit("salt")), F.lit(SALTS)).cast("int"))
-    dealt = salted.join(count, ["grp", "salt"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = salted.join(count.hint("merge"), ["grp", "salt"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tasks = dealt.select("grp", "key", "label", "block", other).select(
         "grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "label", "block"
