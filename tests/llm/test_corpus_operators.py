@@ -267,6 +267,15 @@ def test_base_personal_spans(spark, documents):
     assert all(set(r.base) <= set(r.found) for r in found) and len(found) == len(texts)
 
 
+def test_addresses_with_zero_parts(spark, documents):
+    parts, rng = ["0", "00", "000", "007", "010", "1", "10", "199", "200", "249", "250", "255", "256", "0255", "0256", "300", "0000000"], random.Random(4)
+    texts = ["10.0.0.1 127.0.0.1 0.0.0.0", "at 192.168.0.1, 00.000.0.007", "0" * 4000 + ".0.0.1"] + [" ".join(".".join(rng.choices(parts, k=4)) for _ in range(5)) for _ in range(400)]
+    found = pii.find_personal_data(documents(texts)).select("doc_id", S.listed(F.col("base")).alias("b")).collect()
+    assert [r.doc_id for r in found if r.b != plain_pii(texts[r.doc_id])] == []
+    clean = {r.doc_id: r.text for r in pii.redact_personal_data(documents(texts[:2])).collect()}
+    assert clean == {0: "[IP] [IP] [IP]", 1: "at [IP], [IP]"}
+
+
 def test_personal_query(spark):
     texts = texts_of(SF)
     for r in pii.op3_personal_data(spark, SF).collect():
