@@ -28,7 +28,7 @@ ACCESS = r"AKIA[A-Z0-9]{14,}+"
 HEX = r"[0-9a-f]{16,}+"
 BASE_KINDS = ("assign", "access", "hex")
 
-WEAK_SECRET = r"(?<![A-Za-z0-9+/=_-])(?=[0-9+/]*+[A-Za-z])[A-Za-z0-9+/]{32,}+={0,2}(?![A-Za-z0-9+/=_-])"
+WEAK_SECRET = r"(?<![A-Za-z0-9+/_-])(?=[0-9+/]*+[A-Za-z])[A-Za-z0-9+/]{32,}+={0,2}(?![A-Za-z0-9+/=_-])"
 ENDPOINT = r"(?:https?|jdbc:[a-z]++|postgres|mysql|mongodb|redis|amqp)://[^\s\"'<>]++|(?<![A-Za-z0-9.-])[a-z0-9-]++(?:\.[a-z0-9-]++)*+\.(?:amazonaws|azure|googleapis)\.com"
 ACCOUNT = r"""(?i:user(?:name)?|login|client_id|account_id)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9_.@-]{3,}+"""
 WEAK_KINDS = ("weak_secret", "endpoint", "account")
