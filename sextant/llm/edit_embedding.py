@@ -8,20 +8,23 @@ distance of what they emit. A fingerprint keeps a sample of the steps: about
 those of a higher level are among those of a lower one, so any two fingerprints
 compare on the steps they share.
 
-Near duplicates: bands of sampled steps are the keys of buckets, each text of a bucket is compared
-with the bucket's first by fingerprint, and pairs that are alike are verified by edit distance.
+Near duplicates: bands of sampled steps are the keys of buckets. The texts of a bucket are compared
+with pivots by fingerprint, those that stay unlinked with each other in blocks, and pairs that are
+alike are verified by edit distance.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ngram_join import _merged, _open
 from .shared import table, written
 
 SAMPLES = 256
@@ -31,6 +34,7 @@ SEED = 0x5EED
 END = 255  #: class of the end of a text, on which a walk rests
 BUFFER_CHARS = 24_000_000  #: characters walked at once
 BLOCK_ROWS = 4096  #: documents of a block of neighbours, on average
+PIVOT_ROUNDS = 2  #: rounds of pivots before the texts of a bucket are compared in blocks
 
 
 def _splitmix(x: np.ndarray) -> np.ndarray:
@@ -64,6 +68,12 @@ class Embedder:
         self.bits = _bits()
         self.steps: dict[int, np.ndarray] = {}
 
+    @staticmethod
+    @cache
+    def shared() -> Embedder:
+        """One for all groups that a worker compares."""
+        return Embedder()
+
     def sampled(self, level: int) -> np.ndarray:
         if level not in self.steps:
             self.steps[level] = sampled_steps(level)
@@ -304,32 +314,32 @@ def edit_distance_within(a: str, b: str, most: int) -> int | None:
     return None
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 4, alike: float = 0.5, distance: float = 0.1) -> DataFrame:
-    """(id, near, distance): each text with the first text (by hash) of its buckets that is within
-    ``distance`` edits per character of the longer one.
-
-    Texts are reduced to distinct ones first. Every member of a bucket meets the bucket's
-    first, never every other member, so a bucket of any size stays linear.
-    """
-    distinct = docs.where(F.col(text_col).isNotNull()).groupBy(F.col(text_col).alias("text")).agg(F.min(id_col).alias("id"))
-    id_type = docs.schema[id_col].dataType.simpleString()
-
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        embed = Embedder()
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            prints = embed.fingerprints(texts)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("text"), pa.array([as_text(p) for p in prints]), pa.array([band_keys(p, embed, rows) for p in prints], pa.list_(pa.string()))],
-                ["id", "text", "fingerprint", "bands"],
-            )
-
-    keyed = written(distinct.select("id", "text").mapInArrow(key, f"id {id_type}, text string, fingerprint string, bands array<string>"), "edit-bands")
-    bands = keyed.select("id", F.explode("bands").alias("band"))
-    first = bands.groupBy("band").agg(F.min(F.struct(F.xxhash64("id"), "id")).alias("f")).select("band", F.col("f.id").alias("other"))
-    pairs = bands.join(first, "band").where(F.col("id") != F.col("other")).select("id", "other").distinct()
-    a = keyed.select("id", F.col("text").alias("ta"), F.col("fingerprint").alias("fa"))
-    b = keyed.select(F.col("id").alias("other"), F.col("text").alias("tb"), F.col("fingerprint").alias("fb"))
+def _alike(levels: np.ndarray, prints: list[np.ndarray], embed: Embedder, least: float) -> np.ndarray:
+    """Whether each two of the fingerprints have a likeness of ``least`` or more."""
+    out = np.zeros((len(prints), len(prints)), bool)
+    members = {int(v): np.flatnonzero(levels == v) for v in np.unique(levels)}
+    for la, of_a in members.items():
+        for lb, of_b in members.items():
+            if la > lb:
+                continue
+            a, b = np.stack([prints[i] for i in of_a]), np.stack([prints[i] for i in of_b])
+            beyond = np.zeros(len(of_b), np.int64)
+            if la != lb:  # as in Embedder.likeness
+                inside = embed.sampled(lb) < (1 << la)
+                beyond = (b[:, ~inside] != 0).sum(axis=1)
+                a, b = a[:, np.isin(embed.sampled(la), embed.sampled(lb)[inside])], b[:, inside]
+            for i, x in zip(of_a, a, strict=True):
+                going = (b != 0) | (x != 0)
+                total = going.sum(axis=1) + beyond
+                share = np.where(total > 0, ((b == x) & going).sum(axis=1) / np.maximum(total, 1), float(la == lb))
+                out[i, of_b] = out[of_b, i] = share >= least
+    return out
+
+
+def _near(pairs: DataFrame, texts: DataFrame, alike: float, distance: float) -> DataFrame:
+    """(a, b, distance) of the ``pairs`` (a, b) that are alike and within ``distance`` edits per character."""
+    left = texts.select(F.col("key").alias("a"), F.col("text").alias("ta"), F.col("fingerprint").alias("fa"))
+    right = texts.select(F.col("key").alias("b"), F.col("text").alias("tb"), F.col("fingerprint").alias("fb"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embed = Embedder()
@@ -340,12 +350,83 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 if embed.likeness(from_text(r["fa"]), from_text(r["fb"])) >= alike:
                     d = edit_distance_within(r["ta"], r["tb"], int(distance * longest))
                     if d is not None:
-                        out.append((r["id"], r["other"], d))
+                        out.append((r["a"], r["b"], d))
             columns = list(zip(*out, strict=True)) if out else [[], [], []]
-            types = [batch.schema.field("id").type, batch.schema.field("other").type, pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [id_col, "near", "distance"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "distance"])
+
+    return pairs.join(left, "a").join(right, "b").mapInArrow(verify, "a long, b long, distance long")
+
+
+def _alike_in_blocks(rest: DataFrame, texts: DataFrame, alike: float, block: int) -> DataFrame:
+    """(a, b): all pairs of alike fingerprints across labels within each bucket of ``rest``
+    (bucket, key, label), a bucket dealt into blocks of about ``block`` texts, two blocks a task."""
+    count = rest.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = rest.join(count, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    tasks = dealt.select("bucket", "key", "label", "block", other).select(
+        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "label", "block"
+    )
+    rows = tasks.join(texts.select("key", "fingerprint"), "key")
+
+    def compare(part: pa.Table) -> pa.Table:
+        keys, labels = part.column("key").to_numpy(), part.column("label").to_numpy()
+        first = part.column("block").to_numpy() == part.column("i").to_numpy()
+        prints = [from_text(t) for t in part.column("fingerprint").to_pylist()]
+        found = _alike(np.array([level for level, _ in prints]), [x for _, x in prints], Embedder.shared(), alike)
+        found &= labels[:, None] != labels[None, :]
+        if part.column("i")[0].as_py() != part.column("j")[0].as_py():
+            found &= first[:, None] != first[None, :]
+        a, b = np.nonzero(np.triu(found, 1))
+        return pa.table({"a": pa.array(np.minimum(keys[a], keys[b]), pa.int64()), "b": pa.array(np.maximum(keys[a], keys[b]), pa.int64())})
+
+    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 4, alike: float = 0.5, distance: float = 0.1, block: int = 256
+) -> DataFrame:
+    """(id, near, distance): links of texts within ``distance`` edits per character of the longer
+    one, enough to connect all that pairs sharing a bucket connect.
+
+    Texts are reduced to distinct ones first. The texts of a bucket meet a pivot for PIVOT_ROUNDS
+    rounds, and links are closed to components; what then still shares a bucket across components
+    is compared in blocks, all with all. That grows with the square of a bucket's unlinked texts:
+    nothing less proves that none of them links.
+    """
+    distinct = docs.where(F.col(text_col).isNotNull()).groupBy(F.col(text_col).alias("text")).agg(F.min(id_col).alias("id"))
+    distinct = distinct.select(F.monotonically_increasing_id().alias("key"), "id", "text")
+    id_type = docs.schema[id_col].dataType.simpleString()
 
-    return pairs.join(a, "id").join(b, "other").mapInArrow(verify, f"{id_col} {id_type}, near {id_type}, distance long")
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        embed = Embedder()
+        for batch in batches:
+            prints = embed.fingerprints(batch.column("text").to_pylist())
+            bands = pa.array([band_keys(p, embed, rows) for p in prints], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([as_text(p) for p in prints], pa.string()), bands], ["key", "id", "text", "fingerprint", "bands"])
+
+    texts = written(distinct.mapInArrow(sign, f"key long, id {id_type}, text string, fingerprint string, bands array<string>"), "edit-bands")
+    bands = texts.select("key", F.explode("bands").alias("band")).select(F.xxhash64("band").alias("bucket"), "key", F.lit(0).alias("n"))
+    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
+    buckets = written(bands.join(shared, "bucket").distinct(), "edit-buckets")
+    labels = written(buckets.select("key", F.col("key").alias("label")).distinct(), "edit-labels")
+    checked: list[DataFrame] = []
+    found: list[DataFrame] = []
+    for turn in range(PIVOT_ROUNDS + 1):
+        rank = F.xxhash64("key", F.lit(turn)).alias("rank")
+        left = _open(buckets, labels, 3 if turn else 2, rank)  # a bucket of two is done after one round
+        if turn < PIVOT_ROUNDS:
+            pairs = left.where(F.col("label") != F.col("pl")).select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct()
+        else:
+            pairs = _alike_in_blocks(left.select("bucket", "key", "label"), texts, alike, block)
+        for done in checked:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        checked.append(written(pairs, "edit-pairs"))
+        found.append(written(_near(checked[-1], texts, alike, distance), "edit-links"))
+        if turn < PIVOT_ROUNDS:
+            labels = _merged(found[-1], labels)
+    of = lambda end, name: texts.select(F.col("key").alias(end), F.col("id").alias(name))
+    links = reduce(DataFrame.union, found)
+    return links.join(of("a", id_col), "a").join(of("b", "near"), "b").select(id_col, "near", "distance")
 
 
 def op6_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -229,6 +229,41 @@ def test_near_duplicates_are_found(spark, documents):
     assert {r.doc_id for r in found} | {r.near for r in found} == {i for i in range(6) if texts[:6].count(texts[i]) == 1 or texts.index(texts[i]) == i}
 
 
+def linked(ends):
+    parent = {}
+
+    def root(v):
+        while parent.setdefault(v, v) != v:
+            v = parent[v]
+        return v
+
+    for a, b in ends:
+        parent[root(a)] = root(b)
+    groups = {}
+    for v in list(parent):
+        groups.setdefault(root(v), set()).add(v)
+    return sorted(map(sorted, groups.values()))
+
+
+@pytest.mark.parametrize("blocks", [{}, {"block": 8}])
+def test_near_duplicates_in_crowded_buckets(spark, documents, blocks):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abc", k=rng.randint(240, 255))) for _ in range(160)]
+    for i in range(25):
+        copy = list(texts[i % 20])
+        for _ in range(3):
+            copy[rng.randrange(len(copy))] = rng.choice("abc")
+        texts.append("".join(copy))
+    texts = list(dict.fromkeys(texts))
+    embed = E.Embedder()
+    prints = embed.fingerprints(texts)
+    keys = [set(E.band_keys(p, embed, 2)) for p in prints]
+    pairs = [(a, b) for a, b in combinations(range(len(texts)), 2) if keys[a] & keys[b] and embed.likeness(prints[a], prints[b]) >= 0.5]
+    near = {p for p in pairs if E.edit_distance_within(texts[p[0]], texts[p[1]], int(0.1 * max(len(texts[i]) for i in p))) is not None}
+    found = [tuple(sorted((r.doc_id, r.near))) for r in E.near_duplicates(documents(texts), rows=2, **blocks).collect()]
+    assert len(near) >= 20 and set(found) <= near and linked(found) == linked(near)
+
+
 # ---- spans
 
 
