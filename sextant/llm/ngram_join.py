@@ -8,8 +8,9 @@ within a band differ in at most k elements, k from the band's largest size. The
 feature domain is dealt into n1 partitions of n2 parts each. Of the n1 partitions at
 least n1 - k // (k2 + 1) hold k2 differences or fewer; for each partition all subsets of
 n2 - k2 parts are enumerated, and their contents hashed to signatures, so any linked sets
-share one signature for each of those partitions. With k2 = 0 (the default, n2 = 1) the
-partitions themselves are enumerated.
+share one signature for each of those partitions. ``levels`` picks (n2, k2) for each band from
+its sizes and the threshold: all pairs of three parts, with a difference a partition, where
+these pairs are seldom empty, and single partitions without differences where they would be.
 
 With ``slack`` more partitions than needed, linked sets share several signatures. Empty
 subsets say nothing and are left out where the guarantee allows it, and a set that
@@ -17,16 +18,18 @@ shares fewer signatures than guaranteed has no partner and drops out. Both rules
 
 Links. The sets of a bucket are compared with a pivot, exactly, and links are closed to
 components; buckets that hold one component are done, the others get new pivots for a few
-rounds. What then still shares a bucket across components is compared in blocks, so
-that pairs are neither written nor shuffled. Pairs inside a component are never needed.
+rounds. What then still shares a bucket across components is compared in blocks of bounded
+sets and elements, so that pairs are neither written nor shuffled. Pairs inside a component
+are never needed.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import discard, release_shuffles, table, written
+from .shared import discard, hot_keys, join_hot, release_shuffles, table, text_slices, written
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
 SIGNATURE_BITS = 48  #: chance agreement only adds candidates; fewer bytes to shuffle
-SALTS = 64  #: tasks over which the rows of a group of leftovers are dealt
-BITMAP_BITS = 1 << 22  #: of the filter that spares the set pass most documents; 0.5 MB however many documents
+MOST_BITMAP_BITS = 1 << 26  #: of the filter that spares the set pass most documents: 8 MB however many there are
+MOST_SEEN = 1 << 20  #: set keys a task remembers so as not to emit a set twice
+RARE = 32  #: elements of a block in this many sets or fewer are counted pair by pair, others by a matrix product
 
 
 @dataclass(frozen=True)
@@ -48,10 +52,11 @@ class JoinParams:
     shingle_words: int = 5
     percent: int = 80  #: two sets link when 100 * intersection >= percent * union
     slack: float = 0.25  #: partitions beyond the needed ones, as a share
-    parts: int = 1  #: n2, second-level parts of a partition
-    part_differences: int = 0  #: k2, differences that a partition may hold
+    parts: int | None = None  #: n2, second-level parts of a partition; None: picked by ``levels``
+    part_differences: int | None = None  #: k2, differences that a partition may hold; None: picked by ``levels``
     rounds: int = 2  #: rounds of pivots before blocks are compared
     block: int = 256  #: sets of a block
+    block_elements: int = 1 << 18  #: elements of a block, more only if a single set has more
     passes: int = 4  #: shares of the signatures that are shuffled one after another, to save disk
 
 
@@ -101,18 +106,36 @@ def bands(percent: int, size: int) -> list[tuple[int, int]]:
     return joined
 
 
+def partitions(k: int, k2: int, slack: float) -> tuple[int, int]:
+    """(n1, spare): first-level partitions for k differences, and how many of them are beyond need."""
+    bad = k // (k2 + 1)
+    spare = max(1, -(-int(slack * 100) * bad // 100))
+    return bad + 1 + spare, spare
+
+
+@lru_cache(maxsize=4096)
+def levels(params: JoinParams, largest: int) -> tuple[int, int]:
+    """(n2, k2) of the band whose largest size this is: (3, 1) where, at the band's least size, two
+    parts are so seldom empty that the spare partitions make up for it, otherwise (1, 0)."""
+    if params.parts is not None and params.part_differences is not None:
+        return params.parts, params.part_differences
+    k = (100 - params.percent) * 2 * largest // (100 + params.percent)
+    n1, spare = partitions(k, 1, params.slack)
+    least = largest * params.percent * params.percent / 10_000
+    empty = 3 * n1 * math.exp(-2 * least / (3 * n1))
+    return (3, 1) if empty + 2 * math.sqrt(empty) <= spare else (1, 0)
+
+
 def signatures(s: np.ndarray, params: JoinParams) -> list[tuple[int, np.ndarray]]:
     """For each band of the set: (signatures that a partner must share at least, signatures)."""
     out = []
-    n2, k2 = params.parts, params.part_differences
-    subsets = list(itertools.combinations(range(n2), n2 - k2))
     for band, largest in bands(params.percent, len(s)):
         k = (100 - params.percent) * 2 * largest // (100 + params.percent)
         if k == 0:
             continue  # linked sets are equal
-        bad = k // (k2 + 1)
-        spare = max(1, -(-int(params.slack * 100) * bad // 100))
-        n1 = bad + 1 + spare
+        n2, k2 = levels(params, largest)
+        subsets = list(itertools.combinations(range(n2), n2 - k2))
+        n1, spare = partitions(k, k2, params.slack)
         at = (mix(s + np.uint64(band)) % np.uint64(n1 * n2)).astype(np.int64)
         order = np.argsort(at, kind="stable")
         used, first = np.unique(at[order], return_index=True)
@@ -135,13 +158,21 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, params: JoinParams) ->
 
     ``needs`` has an entry per band of the set: how many signatures a partner there shares at
     least. ``sigs_p`` has the band's signatures of pass p, so that a pass reads its own only.
+    Signatures stand for the set: those of a set that the task has signed before are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        seen: set[int] = set()
+        for batch in text_slices(batches, 1):
             sets = [shingles(t.as_py(), params.shingle_words) for t in batch.column(1)]
-            found = [signatures(s, params) for s in sets]
+            keys = [set_key(s) for s in sets]
+            found = []
+            for s, key in zip(sets, keys, strict=True):
+                found.append([] if key in seen else signatures(s, params))
+                seen.add(key)
+            if len(seen) > MOST_SEEN:
+                seen.clear()
             per_set = pa.array(np.cumsum([0, *map(len, found)], dtype=np.int32))
             flat = [x for bands_ in found for _, x in bands_]
             turns = [x % np.uint64(params.passes) for x in flat]
@@ -156,7 +187,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, params: JoinParams) ->
                 batch.column(0),
                 pa.array(np.arange(row, row + len(sets))),
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([set_key(s) for s in sets], pa.int64()),
+                pa.array(keys, pa.int64()),
                 pa.ListArray.from_arrays(per_set, needs),
                 *columns,
             ]
@@ -171,29 +202,33 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, params: JoinParams) ->
 def _sets(docs: DataFrame, text_col: str, members: DataFrame, params: JoinParams) -> DataFrame:
     """(key, elements) of the sets among ``members`` (key), and a few besides.
 
-    The texts of other documents are left out by a hash bitmap of fixed size, so no
-    text is shuffled. When the members outgrow it, it lets more rows through.
+    The texts of other documents are left out by a hash bitmap of 8 to 16 bits a member,
+    MOST_BITMAP_BITS at most, so no text is shuffled. When the members outgrow it, it lets more
+    rows through.
     """
-    slots = members.select(F.pmod(F.col("key"), F.lit(BITMAP_BITS)).alias("slot"))
+    n_bits = min(MOST_BITMAP_BITS, 1 << max(6, (8 * members.count()).bit_length()))
+    slots = members.select(F.pmod(F.col("key"), F.lit(n_bits)).alias("slot"))
     words = slots.select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 AS int))").alias("bit"))
-    bitmap = np.zeros(BITMAP_BITS // 64, np.int64)
-    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # BITMAP_BITS / 64 rows at most
-        bitmap[r.word] = r.bits
+    bitmap = np.zeros(n_bits // 64, np.int64)
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # n_bits / 64 rows at most
+    bitmap[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         seen: set[int] = set()
-        for batch in batches:
+        for batch in text_slices(batches, 0):
             keys, sets = [], []
             for text in batch.column(0):
                 s = shingles(text.as_py(), params.shingle_words)
                 key = set_key(s)
-                at = key % BITMAP_BITS
+                at = key % n_bits
                 if len(s) and (int(bits[at >> 6]) >> (at & 63)) & 1 and key not in seen:
                     seen.add(key)
                     keys.append(key)
                     sets.append(s.view(np.int64))
+            if len(seen) > MOST_SEEN:
+                seen.clear()
             offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["key", "elements"])
@@ -203,12 +238,13 @@ def _sets(docs: DataFrame, text_col: str, members: DataFrame, params: JoinParams
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) for ``pairs`` (a, b), by exact intersections."""
-    left = sets.select(F.col("key").alias("a"), F.col("elements").alias("ea"))
-    right = sets.select(F.col("key").alias("b"), F.col("elements").alias("eb"))
-    common = F.size(F.array_intersect("ea", "eb"))
-    linked = common * 100 >= (F.size("ea") + F.size("eb") - common) * percent
-    return pairs.join(left, "a").join(right, "b").select("a", "b", linked.alias("linked"))
+    """(a, b, linked) for ``pairs`` (a, b, p), the pivot p being one of the two, by exact intersections."""
+    pivots = sets.select(F.col("key").alias("p"), F.col("elements").alias("ep"))
+    others = sets.select(F.col("key").alias("o"), F.col("elements").alias("eo"))
+    common = F.size(F.array_intersect("ep", "eo"))
+    linked = common * 100 >= (F.size("ep") + F.size("eo") - common) * percent
+    pairs = pairs.withColumn("o", F.when(F.col("p") == F.col("a"), F.col("b")).otherwise(F.col("a")))
+    return join_hot(pairs, pivots, "p", F.col("o")).join(others, "o").select("a", "b", linked.alias("linked"))
 
 
 def _close(n: str, m: str, percent: int) -> Column:
@@ -217,8 +253,8 @@ def _close(n: str, m: str, percent: int) -> Column:
 
 
 def _compared(pairs: DataFrame, checked: DataFrame | None, labels: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Compare the ``pairs`` not yet ``checked``; all that is checked now, and the labels
-    after joining the components that the new links connect."""
+    """Compare the ``pairs`` (a, b, p) not yet ``checked``; all that is checked now, and the
+    labels after joining the components that the new links connect."""
     if checked is not None:
         pairs = pairs.join(checked, ["a", "b"], "left_anti")
     new = written(_verified(written(pairs, "join-pairs"), sets, percent), "join-checked")
@@ -237,15 +273,16 @@ def _merged(links: DataFrame, labels: DataFrame) -> DataFrame:
     return merged
 
 
-def _open(buckets: DataFrame, labels: DataFrame, least: int, rank: Column) -> DataFrame:
+def _open(buckets: DataFrame, labels: DataFrame, least: int, rank: Column, hot: list[tuple[int, int]] | None = None) -> DataFrame:
     """(bucket, key, n, central, label, p, pn, pl): the rows of buckets of ``least`` sets or more in
-    several components, with the bucket's pivot, the set of highest ``rank``."""
+    several components, with the bucket's pivot, the set of highest ``rank``. ``hot``: see ``join_hot``."""
     labelled = buckets.join(labels, "key")
     state = labelled.groupBy("bucket").agg(
         F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m"), F.max(F.struct(rank, "key", "n", "label")).alias("p")
     )
     state = state.where((F.col("x") != F.col("y")) & (F.col("m") >= least))
-    return labelled.join(state.select("bucket", F.col("p.key").alias("p"), F.col("p.n").alias("pn"), F.col("p.label").alias("pl")), "bucket")
+    pivots = state.select("bucket", F.col("p.key").alias("p"), F.col("p.n").alias("pn"), F.col("p.label").alias("pl"))
+    return join_hot(labelled, pivots, "bucket", F.col("key"), hot)
 
 
 def _link(buckets: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:
@@ -255,21 +292,22 @@ def _link(buckets: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:
     in a group of copies, that is one close to the original. Later pivots go by a hash.
     """
     sets = written(sets, "join-sets")
+    hot = hot_keys(buckets, "bucket")
     size = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
-    central = buckets.join(size, "bucket").groupBy("key").agg(F.sum("m").alias("central"))
+    central = join_hot(buckets, size, "bucket", F.col("key"), hot).groupBy("key").agg(F.sum("m").alias("central"))
     plain, buckets = buckets, written(buckets.join(central, "key"), "join-central")
     discard(plain)
     release_shuffles(buckets.sparkSession)
     checked, labels = None, written(buckets.select("key", F.col("key").alias("label")).distinct(), "join-labels")
     for turn in range(params.rounds):
         rank = F.xxhash64("key", F.pmod("bucket", F.lit(4)), F.lit(turn)) if turn else F.col("central")
-        rows = _open(buckets, labels, 3 if turn else 2, rank.alias("rank"))  # a bucket of two is done after one round
+        rows = _open(buckets, labels, 3 if turn else 2, rank.alias("rank"), hot)  # a bucket of two is done after one round
         star = rows.where((F.col("label") != F.col("pl")) & _close("n", "pn", params.percent))
-        pairs = star.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct()
+        pairs = star.groupBy(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).agg(F.min("p").alias("p"))
         checked, labels = _compared(pairs, checked, labels, sets, params.percent)
         del rows, star, pairs
         release_shuffles(buckets.sparkSession)
-    rest = _open(buckets, labels, 3, F.col("central").alias("rank")).select(F.col("p").alias("grp"), "key", "label").distinct()
+    rest = _open(buckets, labels, 3, F.col("central").alias("rank"), hot).select(F.col("p").alias("grp"), "key", "label", "n").distinct()
     rest = written(rest, "join-rest")
     found = written(_across(rest, sets, params), "join-across")
     merged = _merged(found, labels)
@@ -277,48 +315,93 @@ def _link(buckets: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:
     return merged
 
 
+def _tasks(rest: DataFrame, params: JoinParams) -> DataFrame:
+    """(grp, li, bi, lj, bj, first, key, label): the rows of ``rest`` for each comparison of two blocks.
+
+    A group that exceeds a block is dealt into size levels, each so wide that linked sets lie in
+    one level or in neighbours, and a level into blocks of about ``params.block`` sets and
+    ``params.block_elements`` elements. Blocks meet those of their own and of the next level;
+    ``first`` marks the rows of the block (li, bi).
+    """
+    width = math.log(100 / params.percent) * 1.0001 if params.percent < 100 else 1e9
+    blocks = lambda m, e: F.greatest(F.ceil(m / params.block), F.ceil(e / params.block_elements)).cast("int")
+    rest = rest.withColumn("level", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
+    sizes = rest.groupBy("grp", "level").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("e"))
+    # A group has as many levels as sizes have multiples of the threshold: some hundred.
+    entries = F.map_from_entries(F.collect_list(F.struct("level", blocks(F.col("m"), F.col("e")))))
+    groups = sizes.groupBy("grp").agg(entries.alias("counts"), blocks(F.sum("m"), F.sum("e")).alias("all"))
+    groups = groups.select("grp", F.when(F.col("all") == 1, F.create_map(F.lit(0), F.lit(1))).otherwise(F.col("counts")).alias("counts"), "all")
+    dealt = join_hot(rest, groups, "grp", F.col("key"))
+    dealt = dealt.withColumn("level", F.when(F.col("all") == 1, 0).otherwise(F.col("level")))
+    of = lambda level: F.coalesce(F.element_at("counts", level), F.lit(0))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key"), of(F.col("level"))).cast("int"))
+    level, block = F.col("level"), F.col("block")
+    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    meet = lambda li, bi, lj, bj, first: F.struct(li.alias("li"), bi.alias("bi"), lj.alias("lj"), bj.alias("bj"), first.alias("first"))
+    within = F.transform(numbers(of(level)), lambda o: meet(level, F.least(block, o), level, F.greatest(block, o), block <= o))
+    below = F.transform(numbers(of(level - 1)), lambda o: meet(level - 1, o, level, block, F.lit(False)))
+    above = F.transform(numbers(of(level + 1)), lambda o: meet(level, block, level + 1, o, F.lit(True)))
+    return dealt.select("grp", "key", "label", F.explode(F.concat(within, below, above)).alias("t")).select("grp", "t.*", "key", "label")
+
+
+def overlaps(owner: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
+    """(n, n) sizes of the intersections of n sets, of which set ``owner[i]`` has element ``code[i]``.
+
+    Elements of RARE sets or fewer add up pair by pair, the others by products of incidence
+    matrices, a slice of elements after the other.
+    """
+    alike = np.zeros((n, n), np.float32)
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    seen = np.diff(np.append(starts, len(code)))
+    often = np.repeat(seen > RARE, seen)
+    a, c = owner[~often], code[~often]
+    for step in range(1, RARE):
+        same = np.flatnonzero(c[step:] == c[:-step])
+        if not len(same):
+            break
+        pairs = np.bincount(a[same] * n + a[same + step], minlength=n * n).reshape(n, n)
+        alike += pairs + pairs.T
+    a, c = owner[often], np.repeat(np.arange((seen > RARE).sum()), seen[seen > RARE])
+    width = 4096
+    for low in range(0, int(c[-1]) + 1 if len(c) else 0, width):
+        inside = slice(*np.searchsorted(c, [low, low + width]))
+        x = np.zeros((n, width), np.float32)
+        x[a[inside], c[inside] - low] = 1
+        alike += x @ x.T
+    return alike
+
+
 def _across(rest: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:
-    """(a, b): links across labels within each group of ``rest`` (grp, key, label), enough of
+    """(a, b): links across labels within each group of ``rest`` (grp, key, label, n), enough of
     them to connect what they connect.
 
-    A group is dealt into blocks of about ``params.block`` sets, and a task compares two
-    blocks, by products of incidence matrices. Pairs are neither shuffled nor kept,
-    and no task holds more than two blocks.
+    A task compares two blocks, see ``_tasks``: pairs are neither shuffled nor kept, and no task
+    holds more than two blocks.
     """
-    count = rest.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / params.block).cast("int").alias("blocks"))
-    # A group may be large: its rows meet its count under as many salts.
-    count = count.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rest.withColumn("salt", F.pmod(F.xxhash64("key", F.lit("salt")), F.lit(SALTS)).cast("int"))
-    dealt = salted.join(count.hint("merge"), ["grp", "salt"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tasks = dealt.select("grp", "key", "label", "block", other).select(
-        "grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "label", "block"
-    )
-    rows = tasks.join(sets, "key").select("grp", "i", "j", "block", "key", "label", "elements")
+    rows = _tasks(rest, params).join(sets, "key").select("grp", "li", "bi", "lj", "bj", "first", "key", "label", "elements")
     percent = params.percent
 
     def compare(part: pa.Table) -> pa.Table:
         part = part.combine_chunks()
-        keys, labels = part.column("key").to_numpy(), part.column("label").to_numpy()
+        keys, labels, first = (part.column(c).to_numpy() for c in ("key", "label", "first"))
         lists = part.column("elements").combine_chunks()
         offsets, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy()
         sizes = np.diff(offsets)
-        first = part.column("block").to_numpy() == part.column("i").to_numpy()
-        alike = np.zeros((len(keys), len(keys)), np.float32)
-        _, code, seen = np.unique(flat, return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(keys)), sizes)
-        shared = seen[code] > 1
-        renumber = np.cumsum(seen > 1) - 1
-        code, owner = renumber[code[shared]], owner[shared]
-        width = 4096
-        for low in range(0, int(code.max()) + 1 if len(code) else 0, width):
-            inside = (code >= low) & (code < low + width)
-            x = np.zeros((len(keys), width), np.float32)
-            x[owner[inside], code[inside] - low] = 1
-            alike += x @ x.T
+        order = np.argsort(flat)
+        flat = flat[order]
+        owner = np.repeat(np.arange(len(keys), dtype=np.int32), sizes)[order]
+        del order
+        again = flat[1:] == flat[:-1]
+        shared = np.concatenate([again, [False]]) | np.concatenate([[False], again]) if len(flat) else np.zeros(0, bool)
+        code = np.cumsum(np.concatenate([[True], ~again]), dtype=np.int32)[shared] if len(flat) else np.zeros(0, np.int32)
+        owner = owner[shared].astype(np.int64)
+        del flat, again, shared
+        alike = overlaps(owner, code, len(keys)).astype(np.float64)
         union = sizes[:, None] + sizes[None, :] - alike
         linked = (100 * alike >= percent * union) & (labels[:, None] != labels[None, :])
-        if part.column("i")[0].as_py() != part.column("j")[0].as_py():
+        if not first.all():
             linked &= first[:, None] != first[None, :]
         parent: dict[int, int] = {}
 
@@ -336,7 +419,7 @@ def _across(rest: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:
         ends = list(zip(*out, strict=True)) if out else [[], []]
         return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
 
-    return rows.groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long")
+    return rows.groupBy("grp", "li", "bi", "lj", "bj").applyInArrow(compare, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

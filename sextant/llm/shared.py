@@ -6,12 +6,19 @@ import atexit
 import gc
 import math
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _written: dict[str, SparkSession] = {}
+HOT_ROWS = 10_000  #: rows of a key that one task of a join takes at most
+MOST_HOT = 1000  #: keys that ``hot_keys`` returns at most; any other key has fewer than 1 in MOST_HOT rows
+SLICE_BYTES = 8 << 20  #: of texts that a Python worker handles at once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where no folder is configured (local tests) one is set under /tmp.
+    Only where none is configured and the master is local, as in tests, one is set under
+    /tmp; on a cluster that would be each machine's own, so it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not configured:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = f"/tmp/sextant-{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(configured)
         spark.conf.set("spark.checkpoint.dir", configured)
@@ -108,3 +119,36 @@ def gapless_rank(
         .withColumn(out, F.col("_start") + F.col("_row"))
         .drop(*names, "_salt", "_start", "_row")
     )
+
+
+def hot_keys(rows: DataFrame, key: str) -> list[tuple[int, int]]:
+    """(key, salts): the keys with more than HOT_ROWS rows, MOST_HOT of the most frequent at most."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS)
+    return [(r[key], -(-r["_n"] // HOT_ROWS)) for r in counts.orderBy(F.desc("_n"), key).limit(MOST_HOT).collect()]
+
+
+def join_hot(rows: DataFrame, other: DataFrame, key: str, by: Column, hot: list[tuple[int, int]] | None = None) -> DataFrame:
+    """Inner join on the long ``key``, of which ``other`` has few rows a value. Rows of hot keys are
+    dealt by the hash of ``by`` into as many salts as their count asks for, and the rows of
+    ``other`` for them are repeated as often."""
+    hot = hot_keys(rows, key) if hot is None else hot
+    if not hot:
+        return rows.join(other, key)
+    salts = F.broadcast(rows.sparkSession.createDataFrame(hot, f"{key} long, _salts int"))  # MOST_HOT rows at most
+    n = F.coalesce("_salts", F.lit(1))
+    left = rows.withColumn("_by", F.xxhash64(by)).join(salts, key, "left").withColumn("_salt", F.pmod("_by", n).cast("int")).drop("_salts", "_by")
+    right = other.join(salts, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts in ``column`` take SLICE_BYTES at most, or have one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+            yield batch.slice(at, to - at)
+            at = to
