@@ -1,11 +1,12 @@
 """Document fingerprints by a randomised edit embedding.
 
 A text is walked along: step j emits the character under the pointer and advances the
-pointer if a random bit of (j, character) is set. All texts share the bits, so walks
-over similar texts fall into step again after an edit, and edit distance becomes Hamming
-distance of what they emit. A fingerprint keeps a sample of the steps: about
-``SAMPLES`` of the first 2^level, level growing with the text's length. Samples are nested:
-those of a higher level are among those of a lower one, so any two fingerprints
+pointer if a random bit of (j, character) is set, until the text's end. All texts share the
+bits, so walks over similar texts fall into step again after an edit, and edit distance becomes
+Hamming distance of what they emit. A fingerprint keeps a sample of the steps: about
+``SAMPLES`` of the first 2^level. The level grows with the text's length, to three steps a
+character or more, and further in the rare case that the walk hasn't reached the end by then. Samples
+are nested: those of a higher level are among those of a lower one, so any two fingerprints
 compare on the steps they share.
 
 Near duplicates: bands of sampled steps are the keys of buckets. The texts of a bucket are compared
@@ -15,8 +16,11 @@ alike are verified by edit distance.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache, reduce
 
 import numpy as np
@@ -24,16 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ngram_join import _merged, _open
-from .shared import table, written
+from .ngram_join import JoinParams, _close, _merged, _open, _tasks
+from .shared import discard, hot_keys, join_hot, release_shuffles, spread_keys, table, text_slices, with_members, written
 
 SAMPLES = 256
 LEAST_LEVEL = 6
-CYCLE = 4096  #: steps after which the random bits repeat
+CYCLE = 1 << 62  #: steps for which there are random bits: more than any text takes
 SEED = 0x5EED
 END = 255  #: class of the end of a text, on which a walk rests
-BUFFER_CHARS = 24_000_000  #: characters walked at once
-BLOCK_ROWS = 4096  #: documents of a block of neighbours, on average
+BUFFER_CHARS = 16_000_000  #: characters walked at once
+BUFFER_ROWS = 8192  #: rows walked at once
+BLOCK_BYTES = 8 << 20  #: of texts in a block of neighbours, on average
+BLOCK_ROWS = 1 << 16  #: documents of a block, on average and at most
+MOST_BLOCKS = 20_000  #: beyond, blocks grow; they are walked as streams
 PIVOT_ROUNDS = 2  #: rounds of pivots before the texts of a bucket are compared in blocks
 
 
@@ -43,15 +50,32 @@ def _splitmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _bits() -> np.ndarray:
-    cells = np.arange(CYCLE * 256, dtype=np.uint64) + np.uint64(SEED << 32)
-    bits = (_splitmix(cells) >> np.uint64(63)).astype(np.uint8).reshape(CYCLE, 256)
-    bits[:, END] = 0
-    return bits
+class Bits:
+    """The random bits: one 64-bit hash of (step // 64, class) holds those of 64 steps."""
+
+    KEPT = 1 << 10  #: hashes of the first steps are kept, as every text begins there
+
+    def __init__(self) -> None:
+        self.first = self._hashed(0, self.KEPT)
+
+    @staticmethod
+    def _hashed(low: int, high: int) -> np.ndarray:
+        cells = _splitmix(np.arange(low * 256, high * 256, dtype=np.uint64) ^ np.uint64(SEED << 40)).reshape(-1, 256)
+        cells[:, END] = 0
+        return cells
+
+    def of_steps(self, block: int) -> np.ndarray:
+        """(64, 256) bits of the steps from 64 * block on."""
+        word = self.first[block] if block < self.KEPT else self._hashed(block, block + 1)[0]
+        return (word[None, :] >> np.arange(64, dtype=np.uint64)[:, None]).astype(np.uint8) & 1
+
+    def __getitem__(self, at: tuple[int, int]) -> int:
+        return int(self.of_steps(at[0] >> 6)[at[0] & 63, at[1]])
 
 
 def level_of(n_chars: int) -> int:
-    return max(LEAST_LEVEL, (2 * n_chars).bit_length())
+    """Least level for a text of so many characters: a walk takes about two steps for each."""
+    return max(LEAST_LEVEL, (3 * n_chars).bit_length())
 
 
 def sampled_steps(level: int) -> np.ndarray:
@@ -65,7 +89,7 @@ class Embedder:
     """Fingerprints of many texts; random bits and sampled steps are made once a task."""
 
     def __init__(self) -> None:
-        self.bits = _bits()
+        self.bits = Bits()
         self.steps: dict[int, np.ndarray] = {}
 
     @staticmethod
@@ -86,14 +110,19 @@ class Embedder:
         for i, c in enumerate(codes):
             groups.setdefault(level_of(len(c)), []).append(i)
         out: list[tuple[int, np.ndarray]] = [(0, np.zeros(0, np.uint8))] * len(texts)
-        for level, members in groups.items():
-            members.sort(key=lambda i: -len(codes[i]))
-            for i, samples in zip(members, self._walk([codes[i] for i in members], level), strict=True):
-                out[i] = (level, samples)
+        while groups:
+            level = min(groups)
+            members = sorted(groups.pop(level), key=lambda i: -len(codes[i]))
+            samples, ended = self._walk([codes[i] for i in members], level)
+            for i, x, whole in zip(members, samples, ended, strict=True):
+                if whole:
+                    out[i] = (level, x)
+                else:
+                    groups.setdefault(level + 1, []).append(i)
         return out
 
-    def _walk(self, codes: list[np.ndarray], level: int) -> np.ndarray:
-        """Samples of texts of one level, longest first."""
+    def _walk(self, codes: list[np.ndarray], level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Samples of texts of one level, longest first, and whether their walks reached the end."""
         lengths = np.array([len(c) for c in codes])
         ends = np.cumsum(lengths + 1) - 1
         flat = np.full(int(ends[-1]) + 1, END, np.uint8)
@@ -102,27 +131,24 @@ class Embedder:
         at = (ends - lengths).astype(np.int64)
         steps = self.sampled(level)
         emitted = np.full((len(steps), len(codes)), END, np.uint8)
-        under, moved, live, j = np.empty(len(codes), np.uint8), np.empty(len(codes), np.uint8), len(codes), 0
-        bits = self.bits
-        for k, stop in enumerate([*steps.tolist(), 1 << level]):
-            while j < stop:
-                here = min(stop, j + 64)
-                p, u, m = at[:live], under[:live], moved[:live]
-                for row in range(j, here):
-                    np.take(flat, p, out=u, mode="clip")
-                    np.take(bits[row & (CYCLE - 1)], u, out=m, mode="clip")
-                    np.add(p, m, out=p)
-                j = here
-                going = np.flatnonzero(at[:live] < ends[:live])
-                live = int(going[-1]) + 1 if len(going) else 0
-                if not live:
-                    break
+        under, moved, live = np.empty(len(codes), np.uint8), np.empty(len(codes), np.uint8), len(codes)
+        for block in range((1 << level) // 64):
+            bits = self.bits.of_steps(block)
+            first, last = np.searchsorted(steps, [64 * block, 64 * block + 64])
+            due = dict(zip((steps[first:last] - 64 * block).tolist(), range(first, last), strict=True))
+            p, u, m = at[:live], under[:live], moved[:live]
+            for row in range(64):
+                np.take(flat, p, out=u, mode="clip")
+                if row in due:
+                    emitted[due[row], :live] = u
+                np.take(bits[row], u, out=m, mode="clip")
+                np.add(p, m, out=p)
+            going = np.flatnonzero(p < ends[:live])
+            live = int(going[-1]) + 1 if len(going) else 0
             if not live:
                 break
-            if k < len(steps):
-                emitted[k] = flat[at]
         samples = np.where(emitted == END, 0, 1 + emitted % 15).astype(np.uint8)
-        return samples.T
+        return samples.T, at >= ends
 
     def likeness(self, a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
         """Share of agreeing samples among the common steps at which either text goes on; 1
@@ -158,57 +184,83 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _blocks(docs: DataFrame, id_col: str) -> np.ndarray:
-    """Least id of each block, ascending: neighbouring ids cut into blocks of about BLOCK_ROWS
-    rows. One number per block reaches the driver, as for any range partitioning."""
-    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63) + 0)).alias("i"))
-    blocks = max(1, -(-ids.count() // BLOCK_ROWS))
+def _order(key: object, tie: int) -> tuple:
+    """What rows are ordered by: null ids first, then ids, then a hash of the text."""
+    return (0, 0, tie) if key is None else (1, key, tie)
 
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [int(np.min(b.column(0).to_numpy())) for b in batches if b.num_rows]
-        yield pa.RecordBatch.from_pydict({"i": pa.array([min(found)] if found else [], pa.int64())})
 
-    return np.unique(ids.repartitionByRange(blocks, "i").mapInArrow(least, "i long").toPandas()["i"].to_numpy(np.int64))
+def _blocks(docs: DataFrame, id_col: str, text_col: str) -> list[tuple]:
+    """The least ``_order`` of each block, ascending: neighbouring rows cut into blocks of about
+    BLOCK_BYTES. One entry per block reaches the driver, MOST_BLOCKS at most."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
+    if not rows:
+        return []
+    blocks = min(MOST_BLOCKS, max(-(-(size or 0) // BLOCK_BYTES), -(-rows // BLOCK_ROWS), 1))
+    keys = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tie"))
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = None
+        for batch in batches:
+            for key, tie in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = _order(key, tie) if found is None else min(found, _order(key, tie))
+        own = [] if found is None else [found]
+        yield pa.RecordBatch.from_arrays([pa.array([k if some else None for some, k, _ in own], batch.schema.field(0).type), pa.array([t for *_, t in own], pa.int64())], ["id", "tie"])
+
+    def first_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        it = iter(batches)
+        if (first := next(it, None)) is not None:
+            yield from least(x for x in itertools.chain([first], it))
+
+    if blocks == 1:
+        least_row = keys.orderBy(F.col("id").asc_nulls_first(), "tie").first()
+        return [_order(least_row["id"], least_row["tie"])]
+    id_type = docs.schema[id_col].dataType.simpleString()
+    found = keys.repartitionByRange(blocks, F.col("id").asc_nulls_first(), F.col("tie")).mapInArrow(first_only, f"id {id_type}, tie long").collect()
+    return sorted({_order(r["id"], r["tie"]) for r in found})
 
 
 FINGERPRINT_SCHEMA = (
-    "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same string"
 )
 
 
 def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_chars, and fingerprints of the text and of the text edited with the
-    next row's (by ascending id; after the last the first), with their likenesses.
+    """Per row: id, n_chars, fingerprints of the text and of the text edited with the next row's (by
+    ascending id; after the last the first), their likenesses, and the text's md5 (``same``).
 
-    A null text is empty. Rows of equal ids go by text, null ids come first. A single
+    A null text is empty. Rows of equal ids go by a hash of the text, null ids come first. A single
     row is its own next; an empty table gives an empty result. Rows are dealt into blocks of
-    neighbouring ids once, compressed, and the first of each block goes to the block before too.
+    neighbours once, compressed, and the first of each block goes to the block before too; equal rows of a task
+    go as one with their number, so repeated rows don't fill a block. Ids may be of any type that sorts.
     """
     import zstandard  # noqa: F401  # fails here rather than on executors
 
-    firsts = _blocks(docs, id_col)
+    firsts = _blocks(docs, id_col, text_col)
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {id_type}, {FINGERPRINT_SCHEMA}"
     if not len(firsts):
         return docs.sparkSession.createDataFrame([], schema)
+    numbers = spread_keys(docs.sparkSession, len(firsts))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         packer = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            number = np.array([-(1 << 63) if i is None else i for i in ids], np.int64)
-            block = np.searchsorted(firsts, number, "right") - 1
-            packed = [packer.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
-            edge = np.flatnonzero(firsts[block] == number)  # also the next of the block before
-            rows = np.concatenate([np.arange(len(ids)), edge])
-            to = np.concatenate([block, (block[edge] - 1) % len(firsts)])
-            late = np.concatenate([np.zeros(len(ids), bool), np.ones(len(edge), bool)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(to, pa.int64()), pa.array(late), pa.array([ids[r] for r in rows], batch.schema.field(0).type), pa.array([packed[r] for r in rows], pa.binary())],
-                ["block", "late", "id", "packed"],
-            )
+        for batch in text_slices(batches, 1):
+            rows: dict[tuple, list] = {}
+            for key, text, tie in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows.setdefault(_order(key, tie), [key, text, 0])[2] += 1
+            out: list[tuple] = []
+            for order, (key, text, copies) in rows.items():
+                packed = packer.compress((text or "").encode("utf-8", "surrogatepass"))
+                block = max(0, bisect.bisect_right(firsts, order) - 1)
+                out.append((numbers[block], False, key, order[-1], copies, packed))
+                if firsts[block] == order:  # also the next of the block before
+                    out.append((numbers[block - 1], True, key, order[-1], 0, packed))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            types = [pa.int64(), pa.bool_(), batch.schema.field(0).type, pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["block", "late", "id", "tie", "copies", "packed"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -216,26 +268,29 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
         unpack, embed = zstandard.ZstdDecompressor(), Embedder()
         id_arrow = pa.int64()
         names = [id_col, *(f.split()[0] for f in FINGERPRINT_SCHEMA.split(", "))]
-        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
 
-        def pairs() -> Iterator[tuple[object, str, str]]:
-            """(id, text, next text) of the rows that aren't copies of an edge."""
+        def pairs() -> Iterator[tuple[object, str, str, int]]:
+            """(id, text, next text, copies) of the rows that aren't copies of an edge; all copies but the
+            last have their own text as next."""
             nonlocal id_arrow
-            last: tuple[int, object, str] | None = None
+            last: tuple[int, object, str, int] | None = None
             for batch in batches:
                 id_arrow = batch.schema.field("id").type
-                for block, late, key, packed in zip(*(batch.column(n).to_pylist() for n in ("block", "late", "id", "packed")), strict=True):
+                for block, late, key, copies, packed in zip(*(batch.column(n).to_pylist() for n in ("block", "late", "id", "copies", "packed")), strict=True):
                     text = unpack.decompress(packed).decode("utf-8", "surrogatepass")
                     if last is not None and last[0] == block:
-                        yield last[1], last[2], text
-                    last = None if late else (block, key, text)
-
-        def done(held: list[tuple[object, str, str]]) -> pa.RecordBatch:
-            own = [t for _, t, _ in held]
-            changed = [edited(t, n) for _, t, n in held]
-            wanted = {t: i for i, t in enumerate(dict.fromkeys([*own, *changed, held[-1][2], *(n for _, _, n in held)]))}
+                        yield last[1], last[2], text, 1
+                    if copies > 1:
+                        yield key, text, text, copies - 1
+                    last = None if late else (block, key, text, copies)
+
+        def done(held: list[tuple[object, str, str, int]]) -> pa.RecordBatch:
+            own = [t for _, t, _, _ in held]
+            changed = [edited(t, n) for _, t, n, _ in held]
+            wanted = {t: i for i, t in enumerate(dict.fromkeys([*own, *changed, *(n for _, _, n, _ in held)]))}
             prints = embed.fingerprints(list(wanted))
-            a, b, c = ([prints[wanted[t]] for t in ts] for ts in (own, changed, [n for _, _, n in held]))
+            a, b, c = ([prints[wanted[t]] for t in ts] for ts in (own, changed, [n for _, _, n, _ in held]))
             columns = [
                 [len(t) for t in own],
                 [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed],
@@ -243,23 +298,27 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 [as_text(f) for f in b],
                 [embed.likeness(x, y) for x, y in zip(a, b, strict=True)],
                 [embed.likeness(x, y) for x, y in zip(a, c, strict=True)],
+                [_md5(t) for t in own],
             ]
-            arrays = [pa.array([k for k, _, _ in held], id_arrow), *(pa.array(v, t) for v, t in zip(columns, types, strict=True))]
-            return pa.RecordBatch.from_arrays(arrays, names)
+            arrays = [pa.array([k for k, _, _, _ in held], id_arrow), *(pa.array(v, t) for v, t in zip(columns, types, strict=True))]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([n for _, _, _, n in held], pa.int64())], [*names, "_copies"])
 
         held, chars = [], 0
         for row in pairs():
             held.append(row)
             chars += 2 * len(row[1])
-            if chars >= BUFFER_CHARS:
+            if chars >= BUFFER_CHARS or len(held) >= BUFFER_ROWS:
                 yield done(held)
                 held, chars = [], 0
         if held:
             yield done(held)
 
-    dealt = docs.select(id_col, text_col).mapInArrow(deal, f"block long, late boolean, id {id_type}, packed binary")
-    near = dealt.repartition(len(firsts), "block").sortWithinPartitions("block", "late", "id", "packed")
-    return near.mapInArrow(walk, schema)
+    rows = docs.select(id_col, text_col, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tie"))
+    dealt = rows.mapInArrow(deal, f"block long, late boolean, id {id_type}, tie long, copies long, packed binary")
+    near = dealt.repartition(len(firsts), "block").sortWithinPartitions("block", "late", F.col("id").asc_nulls_first(), "tie")
+    found = near.mapInArrow(walk, f"{schema}, _copies long")
+    every = found.select("*", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
+    return every.drop("_copies", "_copy")
 
 
 # ---- near duplicates: bands, likeness, edit distance
@@ -281,8 +340,8 @@ def band_keys(fingerprint: tuple[int, np.ndarray], embed: Embedder, rows: int) -
 
 
 def edit_distance_within(a: str, b: str, most: int) -> int | None:
-    """Edit distance of two texts if it is ``most`` or less, by diagonals: O(most^2) steps
-    beside the comparison of equal runs."""
+    """Edit distance of two texts if it is ``most`` or less, by diagonals: for each number of edits
+    all diagonals advance at once, in O(most) rounds beside the comparison of equal runs."""
     x = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
     y = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
     n, m = len(x), len(y)
@@ -300,17 +359,31 @@ def edit_distance_within(a: str, b: str, most: int) -> int | None:
             at, step = end, step * 2
         return max(length, 0)
 
-    reach = {0: run(0, 0)}
+    def slide(i: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The ends of the equal runs from (i, i + k) on; -1 stays."""
+        i = i.copy()
+        on = np.flatnonzero((i >= 0) & (i + k >= 0))
+        for _ in range(8):  # most runs are short
+            on = on[(i[on] < n) & (i[on] + k[on] < m)]
+            on = on[x[i[on]] == y[i[on] + k[on]]]
+            if not len(on):
+                return i
+            i[on] += 1
+        for v in on:
+            i[v] += run(int(i[v]), int(i[v] + k[v]))
+        return i
+
+    reach = slide(np.zeros(1, np.int64), np.zeros(1, np.int64))
     for d in range(most + 1):
-        if reach.get(m - n, -1) >= n:
+        if -d <= m - n <= d and reach[m - n + d] >= n:
             return d
-        wider: dict[int, int] = {}
-        for k in range(-d - 1, d + 2):
-            i = max(reach.get(k, -2) + 1, reach.get(k - 1, -2), reach.get(k + 1, -2) + 1)
-            i = min(i, n, m - k)
-            if i >= 0 and i + k >= 0:
-                wider[k] = i + run(i, i + k)
-        reach = wider
+        k = np.arange(-d - 1, d + 2)
+        gap = np.full(1, -2, np.int64)
+        same = np.concatenate([gap, reach, gap])
+        insert = np.concatenate([gap, gap, reach])
+        delete = np.concatenate([reach, gap, gap])
+        i = np.minimum(np.maximum(np.maximum(same + 1, insert), delete + 1), np.minimum(n, m - k))
+        reach = slide(np.where((i >= 0) & (i + k >= 0), i, -2), k)
     return None
 
 
@@ -336,98 +409,190 @@ def _alike(levels: np.ndarray, prints: list[np.ndarray], embed: Embedder, least:
     return out
 
 
-def _near(pairs: DataFrame, texts: DataFrame, alike: float, distance: float) -> DataFrame:
-    """(a, b, distance) of the ``pairs`` (a, b) that are alike and within ``distance`` edits per character."""
-    left = texts.select(F.col("key").alias("a"), F.col("text").alias("ta"), F.col("fingerprint").alias("fa"))
-    right = texts.select(F.col("key").alias("b"), F.col("text").alias("tb"), F.col("fingerprint").alias("fb"))
+@dataclass(frozen=True)
+class NearParams:
+    rows: int = 6  #: samples of a band
+    alike: float = 0.4  #: least likeness of fingerprints to compare texts
+    distance: float = 0.05  #: most edits per character of the longer text
+    block: int = 256  #: texts of a block
+    block_chars: int = 1 << 21  #: characters of a block's texts, more only if a single text has more
+
+    def sizes(self) -> JoinParams:
+        """Blocks by length: of texts within ``distance`` the shorter has 1 - distance of the longer."""
+        return JoinParams(percent=max(1, int((1 - self.distance) * 100)), block=self.block, block_elements=self.block_chars)
+
+
+def _near(pairs: DataFrame, classes: DataFrame, texts: DataFrame, params: NearParams) -> DataFrame:
+    """(a, b, distance) of the ``pairs`` (a, b, p), p the pivot of the two, whose fingerprints are alike
+    and whose texts are within the distance. Only alike pairs meet their texts."""
+    prints = classes.select("key", "fingerprint")
+    pairs = pairs.withColumn("o", F.when(F.col("p") == F.col("a"), F.col("b")).otherwise(F.col("a")))
+    hot = hot_keys(pairs, "p")
+    side = lambda rows, key, name: rows.select(F.col("key").alias(key), F.col(name).alias(f"{name[0]}{key}"))
+    joined = join_hot(pairs, side(prints, "p", "fingerprint"), "p", F.col("o"), hot).join(side(prints, "o", "fingerprint"), "o")
+    least, most = params.alike, params.distance
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        embed = Embedder.shared()
+        for batch in batches:
+            rows = zip(batch.column("fp").to_pylist(), batch.column("fo").to_pylist(), strict=True)
+            keep = [embed.likeness(from_text(x), from_text(y)) >= least for x, y in rows]
+            yield batch.select(["a", "b", "p", "o"]).filter(pa.array(keep, pa.bool_()))
+
+    close = written(joined.mapInArrow(alike, "a long, b long, p long, o long"), "edit-alike")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        embed = Embedder()
         for batch in batches:
-            out: list[tuple] = []
-            for r in batch.to_pylist():
-                longest = max(len(r["ta"]), len(r["tb"]), 1)
-                if embed.likeness(from_text(r["fa"]), from_text(r["fb"])) >= alike:
-                    d = edit_distance_within(r["ta"], r["tb"], int(distance * longest))
-                    if d is not None:
-                        out.append((r["a"], r["b"], d))
-            columns = list(zip(*out, strict=True)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "distance"])
-
-    return pairs.join(left, "a").join(right, "b").mapInArrow(verify, "a long, b long, distance long")
-
-
-def _alike_in_blocks(rest: DataFrame, texts: DataFrame, alike: float, block: int) -> DataFrame:
-    """(a, b): all pairs of alike fingerprints across labels within each bucket of ``rest``
-    (bucket, key, label), a bucket dealt into blocks of about ``block`` texts, two blocks a task."""
-    count = rest.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = rest.join(count, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tasks = dealt.select("bucket", "key", "label", "block", other).select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "label", "block"
-    )
-    rows = tasks.join(texts.select("key", "fingerprint"), "key")
+            for part in text_slices([batch], batch.schema.get_field_index("to")):
+                columns = part.to_pydict()
+                found = [edit_distance_within(x, y, int(most * max(len(x), len(y), 1))) for x, y in zip(columns["tp"], columns["to"], strict=True)]
+                kept = [i for i, d in enumerate(found) if d is not None]
+                arrays = [pa.array([columns[c][i] for i in kept], pa.int64()) for c in ("a", "b")]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([found[i] for i in kept], pa.int64())], ["a", "b", "distance"])
+
+    whole = join_hot(close, side(texts, "p", "text"), "p", F.col("o"), hot).join(side(texts, "o", "text"), "o")
+    return whole.select("a", "b", "tp", "to").mapInArrow(verify, "a long, b long, distance long")
+
+
+def _near_in_blocks(rest: DataFrame, classes: DataFrame, texts: DataFrame, params: NearParams) -> DataFrame:
+    """(a, b, distance): links across labels within each group of ``rest`` (grp, key, label, n), enough
+    of them to connect what they connect. A task compares two blocks of bounded texts and characters, and skips pairs
+    that its own links connect already."""
+    rows = _tasks(rest, params.sizes()).join(classes.select("key", "fingerprint"), "key").join(texts, "key")
 
     def compare(part: pa.Table) -> pa.Table:
-        keys, labels = part.column("key").to_numpy(), part.column("label").to_numpy()
-        first = part.column("block").to_numpy() == part.column("i").to_numpy()
+        keys, labels, first = (part.column(c).to_numpy() for c in ("key", "label", "first"))
         prints = [from_text(t) for t in part.column("fingerprint").to_pylist()]
-        found = _alike(np.array([level for level, _ in prints]), [x for _, x in prints], Embedder.shared(), alike)
+        found = _alike(np.array([level for level, _ in prints]), [x for _, x in prints], Embedder.shared(), params.alike)
         found &= labels[:, None] != labels[None, :]
-        if part.column("i")[0].as_py() != part.column("j")[0].as_py():
+        if not first.all():
             found &= first[:, None] != first[None, :]
-        a, b = np.nonzero(np.triu(found, 1))
-        return pa.table({"a": pa.array(np.minimum(keys[a], keys[b]), pa.int64()), "b": pa.array(np.maximum(keys[a], keys[b]), pa.int64())})
+        parent: dict[int, int] = {}
+
+        def root(v: int) -> int:
+            while parent.setdefault(v, v) != v:
+                parent[v] = v = parent[parent[v]]
+            return v
+
+        out: list[tuple[int, int, int]] = []
+        texts = part.column("text")
+        for i, j in np.argwhere(np.triu(found, 1)):
+            la, lb = root(int(labels[i])), root(int(labels[j]))
+            if la != lb:
+                x, y = texts[int(i)].as_py(), texts[int(j)].as_py()
+                d = edit_distance_within(x, y, int(params.distance * max(len(x), len(y), 1)))
+                if d is not None:
+                    parent[la] = lb
+                    out.append((min(int(keys[i]), int(keys[j])), max(int(keys[i]), int(keys[j])), d))
+        columns = list(zip(*out, strict=True)) if out else [[], [], []]
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("a", "b", "distance"), columns, strict=True)})
+
+    return rows.select("grp", "li", "bi", "lj", "bj", "first", "key", "label", "fingerprint", "text").groupBy("grp", "li", "bi", "lj", "bj").applyInArrow(compare, "a long, b long, distance long")
+
+
+def near_links(prints: DataFrame, docs: DataFrame, id_col: str, text_col: str, params: NearParams) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes, links and labels of near duplicates among rows of ``prints`` (id, same, n_chars, fingerprint),
+    same being the text's md5.
+
+    Classes (key, id, same, n, fingerprint) are distinct texts with their least id; links (a, b, distance) join keys of
+    texts within the distance, enough to connect all that pairs sharing a bucket connect; labels (key, label) are the
+    components of texts that share a bucket. Texts of a bucket meet a pivot for PIVOT_ROUNDS rounds; what then still shares a
+    bucket across components is compared in blocks, all with all of near length. That grows with the
+    square of a bucket's unlinked texts: nothing less proves that none of them links. Only texts that share a
+    bucket are shuffled.
+    """
+    grouped = prints.groupBy("same").agg(F.min(id_col).alias("id"), F.first("fingerprint").alias("fingerprint"), F.first("n_chars").alias("n"))
+    classes = written(grouped.select(F.monotonically_increasing_id().alias("key"), "id", "same", "n", "fingerprint"), "edit-classes")
+    rows = params.rows
 
-    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        embed = Embedder.shared()
+        for batch in batches:
+            found = [[xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in band_keys(from_text(t), embed, rows)] for t in batch.column(1).to_pylist()]
+            keys = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array([b for f in found for b in f], pa.int64()), pa.array(keys, pa.int64())], ["bucket", "key"])
+
+    banded = classes.select("key", "fingerprint").mapInArrow(bands, "bucket long, key long")
+    banded = written(banded, "edit-bands")
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
+    buckets = written(banded.join(shared, "bucket").distinct().join(classes.select("key", "n"), "key"), "edit-buckets")
+    discard(banded)
+    labels = written(buckets.select("key", F.col("key").alias("label")).distinct(), "edit-labels")
+    members = labels.select("key").join(classes.select("key", "same"), "key")
+    own = docs.select(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("same"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    whole = with_members(own, members.select(F.xxhash64("same").alias("h")), F.xxhash64("same"))
+    texts = whole.groupBy("same").agg(F.first("text").alias("text")).join(members, "same").select("key", "text")
+    texts = written(texts, "edit-texts")
+    hot = hot_keys(buckets, "bucket")
+    checked: list[DataFrame] = []
+    found: list[DataFrame] = []
+    for turn in range(PIVOT_ROUNDS):
+        left = _open(buckets, labels, 3 if turn else 2, F.xxhash64("key", F.lit(turn)).alias("rank"), hot)  # a bucket of two is done after one round
+        star = left.where((F.col("label") != F.col("pl")) & _close("n", "pn", params.sizes().percent))
+        pairs = star.groupBy(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).agg(F.min("p").alias("p"))
+        for done in checked:
+            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+        checked.append(written(pairs, "edit-pairs"))
+        found.append(written(_near(checked[-1], classes, texts, params), "edit-links"))
+        labels = _merged(found[-1], labels)
+        del left, star, pairs
+        release_shuffles(docs.sparkSession)
+    left = _open(buckets, labels, 3, F.xxhash64("key", F.lit("rest")).alias("rank"), hot)
+    rest = written(left.select(F.col("p").alias("grp"), "key", "label", "n").distinct(), "edit-rest")
+    found.append(written(_near_in_blocks(rest, classes, texts, params), "edit-links"))
+    labels = _merged(found[-1], labels)
+    discard(buckets, rest, texts, *checked)
+    return classes, reduce(DataFrame.union, found), labels
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 4, alike: float = 0.5, distance: float = 0.1, block: int = 256
 ) -> DataFrame:
     """(id, near, distance): links of texts within ``distance`` edits per character of the longer
-    one, enough to connect all that pairs sharing a bucket connect.
+    one, enough to connect all that pairs sharing a bucket connect; see ``near_links``.
 
-    Texts are reduced to distinct ones first. The texts of a bucket meet a pivot for PIVOT_ROUNDS
-    rounds, and links are closed to components; what then still shares a bucket across components
-    is compared in blocks, all with all. That grows with the square of a bucket's unlinked texts:
-    nothing less proves that none of them links.
+    Texts are reduced to distinct ones with their least id first, so repeated rows give no links. Null
+    and empty texts link with nothing, an empty table gives an empty result, other columns are left out.
     """
-    distinct = docs.where(F.col(text_col).isNotNull()).groupBy(F.col(text_col).alias("text")).agg(F.min(id_col).alias("id"))
-    distinct = distinct.select(F.monotonically_increasing_id().alias("key"), "id", "text")
-    id_type = docs.schema[id_col].dataType.simpleString()
+    docs = docs.where(F.col(text_col).isNotNull())
+    classes, links, _ = near_links(fingerprints(docs, id_col, text_col), docs, id_col, text_col, NearParams(rows, alike, distance, block))
+    of = lambda end, name: classes.select(F.col("key").alias(end), F.col("id").alias(name))
+    return links.join(of("a", id_col), "a").join(of("b", "near"), "b").select(id_col, "near", "distance")
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, same, n_chars, fingerprint) of every row: the text's md5, code points and fingerprint. A null
+    text is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embed = Embedder()
-        for batch in batches:
-            prints = embed.fingerprints(batch.column("text").to_pylist())
-            bands = pa.array([band_keys(p, embed, rows) for p in prints], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([as_text(p) for p in prints], pa.string()), bands], ["key", "id", "text", "fingerprint", "bands"])
-
-    texts = written(distinct.mapInArrow(sign, f"key long, id {id_type}, text string, fingerprint string, bands array<string>"), "edit-bands")
-    bands = texts.select("key", F.explode("bands").alias("band")).select(F.xxhash64("band").alias("bucket"), "key", F.lit(0).alias("n"))
-    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
-    buckets = written(bands.join(shared, "bucket").distinct(), "edit-buckets")
-    labels = written(buckets.select("key", F.col("key").alias("label")).distinct(), "edit-labels")
-    checked: list[DataFrame] = []
-    found: list[DataFrame] = []
-    for turn in range(PIVOT_ROUNDS + 1):
-        rank = F.xxhash64("key", F.lit(turn)).alias("rank")
-        left = _open(buckets, labels, 3 if turn else 2, rank)  # a bucket of two is done after one round
-        if turn < PIVOT_ROUNDS:
-            pairs = left.where(F.col("label") != F.col("pl")).select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct()
-        else:
-            pairs = _alike_in_blocks(left.select("bucket", "key", "label"), texts, alike, block)
-        for done in checked:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        checked.append(written(pairs, "edit-pairs"))
-        found.append(written(_near(checked[-1], texts, alike, distance), "edit-links"))
-        if turn < PIVOT_ROUNDS:
-            labels = _merged(found[-1], labels)
-    of = lambda end, name: texts.select(F.col("key").alias(end), F.col("id").alias(name))
-    links = reduce(DataFrame.union, found)
-    return links.join(of("a", id_col), "a").join(of("b", "near"), "b").select(id_col, "near", "distance")
+        for batch in text_slices(batches, 1):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            prints = embed.fingerprints(texts)
+            columns = [pa.array([_md5(t) for t in texts]), pa.array([len(t) for t in texts], pa.int64()), pa.array([as_text(p) for p in prints], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, "same", "n_chars", "fingerprint"])
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {id_type}, same string, n_chars long, fingerprint string")
+
+
+def _md5(text: str) -> str:
+    return hashlib.md5(text.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()
+
+
+def fingerprint_and_link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: NearParams = NearParams()) -> DataFrame:
+    """The columns of ``fingerprint_with_next`` and ``near_id``: the least id of the row's component of
+    near duplicates, links being those of ``near_links`` and equal texts always together."""
+    prints = written(fingerprint_with_next(docs, id_col, text_col), "edit-prints")
+    classes, _, labels = near_links(prints, docs, id_col, text_col, params)
+    named = classes.join(labels, "key", "left").select("same", "id", F.coalesce("label", "key").alias("label"))
+    named = written(named, "edit-named")
+    least = named.groupBy("label").agg(F.min("id").alias("near_id"))
+    by_text = named.join(least, "label").select("same", "near_id")
+    return join_hot(prints, by_text, "same", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).drop("same")
 
 
 def op6_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_with_next(table(spark, sf_dir, "documents"))
+    return fingerprint_and_link(table(spark, sf_dir, "documents"))

@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, text_slices
 
 STORED_HZ = 16000  #: sampling rate of the stored samples
 FEATURE_HZ = 8000  #: rate after resampling
@@ -29,7 +30,7 @@ WINDOW, HOP, FFT = 200, 80, 256  #: 25 ms windows each 10 ms
 MELS = 20
 TENSOR_FRAMES = 32  #: frames of one tensor cell
 ON_DB, OFF_DB = -18.0, -24.0  #: a segment starts at ON_DB and lasts until under OFF_DB
-BLOCK = 1 << 18  #: samples resampled at once: bounds memory on long payloads
+BLOCK = 1 << 18  #: samples resampled at once, a multiple of DOWN: bounds memory on long payloads
 
 
 def to_payload(text: str | None) -> bytes:
@@ -84,6 +85,18 @@ def resample(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
     return out
 
 
+def resample_blocks(x: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """``resample`` of a signal of any length, ``block`` samples at once: a block is resampled with
+    the neighbouring samples that its filter reaches, and their outputs are cut off."""
+    reach, out = TAPS * DOWN, []
+    for at in range(0, len(x), block):
+        lead = min(at, reach)
+        part = resample(x[at - lead : min(len(x), at + block + reach)])
+        n_out = -(-min(block, len(x) - at) * UP // DOWN)
+        out.append(part[lead * UP // DOWN :][:n_out])
+    return np.concatenate(out)
+
+
 def _mel_bank() -> np.ndarray:
     """(FFT // 2 + 1, MELS) triangular filters, evenly spaced on the mel scale."""
     mel = lambda hz: 2595.0 * np.log10(1.0 + hz / 700.0)
@@ -129,7 +142,7 @@ def segments(energy_db: np.ndarray) -> list[tuple[int, int]]:
 def features(media: bytes) -> dict:
     """Log-mel frames, energies and segments of a stored file."""
     x = np.frombuffer(load(media), np.uint8).astype(np.float32) / 128.0 - 1.0
-    mels, energy = log_mel(np.concatenate([resample(x[at : at + BLOCK]) for at in range(0, len(x), BLOCK)]))
+    mels, energy = log_mel(resample_blocks(x))
     return {"mels": mels, "energy": energy, "segments": segments(energy)}
 
 
@@ -162,7 +175,7 @@ def tensor_batch(media: bytes) -> pa.RecordBatch:
 
 def digest(media: bytes) -> str:
     """Short text of the features: frames, segments, voiced frames, mean level in each of
-    the mel bands (tenths), and the crc32 of the Arrow tensors' values to 2 decimals."""
+    the mel bands (tenths), and the crc32 of the Arrow tensors' values in tenths."""
     f = features(media)
     cells = tensor_cells(f["mels"])
     stored = tensor_array(cells).storage.flatten().to_numpy()
@@ -179,11 +192,12 @@ def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The feature table: one row per tensor cell with its time span.
 
     ``log_mel`` holds TENSOR_FRAMES * MELS floats, row-major; ``write_tensors`` stores
-    them under the Arrow tensor type.
+    them under the Arrow tensor type. A null or empty text gives the one cell of 64 zero samples, repeated
+    rows repeat their cells, an empty table gives none; other columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             for key, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 part = tensor_batch(store(to_payload(text)))
                 flat = part.column(3).storage.flatten()
@@ -200,7 +214,18 @@ def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def write_tensors(cells: DataFrame, path: str) -> None:
     """Write ``audio_features`` rows as Parquet whose Arrow schema types ``log_mel`` as a
-    fixed-shape tensor; one file per partition, by pyarrow's own file systems."""
+    fixed-shape tensor; one file per partition, by pyarrow's own file systems.
+
+    A file is named by its partition and moved into place when complete, so a task that runs twice
+    leaves one file. ``path`` must not exist; without a scheme it is a local path, which only a local
+    master can share with its tasks. A table without rows writes no file.
+    """
+    master = cells.sparkSession.sparkContext.master
+    if "://" not in path and master != "local" and not master.startswith("local["):
+        raise ValueError(f"{path} is local to each machine; give a path with a scheme")
+    target = cells.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(cells.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        raise FileExistsError(path)
     shape = (TENSOR_FRAMES, MELS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +237,8 @@ def write_tensors(cells: DataFrame, path: str) -> None:
         kind, writer = pa.fixed_shape_tensor(pa.float32(), shape), None
         fs, root = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
         fs.create_dir(root, recursive=True)
-        name = f"{root}/part-{uuid.uuid4().hex}.parquet"
+        name = f"{root}/part-{TaskContext.get().partitionId():06d}.parquet"
+        draft = f"{root}/.{uuid.uuid4().hex}.tmp"
         rows = 0
         for batch in batches:
             if not batch.num_rows:
@@ -223,12 +249,12 @@ def write_tensors(cells: DataFrame, path: str) -> None:
             names = [*(n for n in batch.schema.names if n != "log_mel"), "log_mel"]
             tensors = pa.RecordBatch.from_arrays(columns, names)
             if writer is None:
-                writer = pq.ParquetWriter(name + ".tmp", tensors.schema, filesystem=fs)
+                writer = pq.ParquetWriter(draft, tensors.schema, filesystem=fs)
             writer.write_batch(tensors)
             rows += batch.num_rows
         if writer is not None:
             writer.close()
-            fs.move(name + ".tmp", name)  # a task that dies leaves no file that a reader takes
+            fs.move(draft, name)  # a task that dies leaves no file that a reader takes
         yield pa.RecordBatch.from_pydict({"rows": pa.array([rows], pa.int64())})
 
     cells.mapInArrow(run, "rows long").agg(F.sum("rows")).collect()
@@ -243,12 +269,13 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per row of ``docs``: sizes and hashes of payload and stored file, and the features.
 
     A null text counts as empty: 64 zero samples. Repeated rows give equal values, an
-    empty table an empty result; other columns are left out. Rows are independent:
-    there is no shuffle, and memory is that of an Arrow batch of texts.
+    empty table an empty result; ids may be null or repeat, other columns are left out. Rows are
+    independent: there is no shuffle, and memory is that of a slice of texts and of the longest
+    one's features. Long texts are resampled in blocks, with the result of the whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             rows: list[tuple] = []
             for text in batch.column(1).to_pylist():
                 n = len((text or "").encode("utf-8", "surrogatepass"))

@@ -27,7 +27,8 @@ from .shared import gapless_rank, table, written
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = Fraction(3, 2)
 MAX_RATE = 2
-ITERATIONS = 30
+ITERATIONS = 30  #: Newton steps; where they don't end, the bracket is halved
+MOST_STEPS = 300
 TOLERANCE = 1e-9
 
 
@@ -79,7 +80,7 @@ def solve_dual(histogram: DataFrame, targets: DataFrame, max_rate: float = MAX_R
         F.lit(None).cast("double").alias("high"),
         fixed.isNotNull().alias("done"),
     )
-    for _ in range(ITERATIONS):
+    for turn in range(MOST_STEPS):
         joined = histogram.join(state.where(~F.col("done")), histogram["source"].eqNullSafe(state["source"])).drop(histogram["source"])
         z = F.col("size") / F.col("scale")
         rate = F.exp(F.least(F.col("lam") * z, F.lit(50.0)))
@@ -93,10 +94,12 @@ def solve_dual(histogram: DataFrame, targets: DataFrame, max_rate: float = MAX_R
         low = F.when(gap < 0, F.col("s.lam")).otherwise(F.col("s.low"))
         high = F.when(gap >= 0, F.col("s.lam")).otherwise(F.col("s.high"))
         newton = F.when(F.col("slope") > 0, F.col("s.lam") - gap / F.col("slope"))
-        inside = newton.isNotNull() & (F.isnull(low) | (newton > low)) & (F.isnull(high) | (newton < high))
+        inside = F.lit(turn < ITERATIONS) & newton.isNotNull() & (F.isnull(low) | (newton > low)) & (F.isnull(high) | (newton < high))
         # Without a usable Newton step: halve the bracket, or double the reach of its open side.
         middle = F.when(low.isNotNull() & high.isNotNull(), (low + high) / 2).when(high.isNull(), F.abs(low) * 2 + 1).otherwise(-F.abs(high) * 2 - 1)
         met = F.abs(gap) <= F.greatest(F.col("s.target") * TOLERANCE, F.lit(1e-6))
+        # A bracket as narrow as doubles allow has met its target as well as can be.
+        met = met | F.coalesce(high - low <= F.greatest(F.abs(low), F.abs(high)) * 1e-15, F.lit(False))
         old = F.col("s.done")
         state = s.join(g, F.col("s.source").eqNullSafe(F.col("g.source")), "left").select(
             F.col("s.source").alias("source"), F.col("s.target").alias("target"), F.col("s.source_size").alias("source_size"), F.col("s.scale").alias("scale"),
@@ -107,8 +110,8 @@ def solve_dual(histogram: DataFrame, targets: DataFrame, max_rate: float = MAX_R
         )
         state = written(state.coalesce(1), "mixing-state")
         if not state.where(~F.col("done")).limit(1).count():
-            break
-    return state.select("source", "lam")
+            return state.select("source", "lam")
+    raise RuntimeError(f"multipliers not found in {MOST_STEPS} steps")
 
 
 ROUND_SCHEMA = "source string, size long, n long, rate double, base long, extra long"
@@ -145,7 +148,7 @@ def mix(
     share: Fraction = TOTAL_SHARE,
     max_rate: int = MAX_RATE,
 ) -> DataFrame:
-    """Per row: id, size (words), source, source_size, target, rate, copies, taken.
+    """Per row: id, text_hash, size (words), source, source_size, target, rate, copies, taken.
 
     Null texts have size 0 and no copies' words; a null source is a source of its own.
     Repeated rows are dealt with row by row. Which documents of equal size and source
@@ -153,7 +156,7 @@ def mix(
     (one row per source) is gathered on the driver; nothing per document is.
     """
     spark = docs.sparkSession
-    sized = written(docs.select(F.col(id_col), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size")), "mixing-sizes")
+    sized = written(docs.select(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size")), "mixing-sizes")
     histogram = written(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mixing-histogram")
     totals = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("n")).collect()
     targets = water_fill([(r.source, r["size"]) for r in totals], weights, share, max_rate)
@@ -167,16 +170,34 @@ def mix(
     rate = F.when(F.col("h.size") == 0, F.lit(0.0)).otherwise(F.least(tilt, F.lit(float(max_rate))))
     rates = h.join(s, F.col("h.source").eqNullSafe(F.col("s.source"))).select("h.source", "h.size", "n", rate.alias("rate"), F.lit(max_rate).alias("max_rate"))
     copies = written(round_rates(rates), "mixing-copies")
-    ranked = gapless_rank(sized, ["source", "size"], [F.xxhash64(F.col(id_col)), F.col(id_col)], F.col(id_col), "_rank").alias("d")
+    apart = F.concat_ws(":", F.col(id_col).cast("string"), F.col("text_hash").cast("string"))
+    ranked = gapless_rank(sized, ["source", "size"], [F.xxhash64(F.col(id_col)), F.col(id_col), F.col("text_hash")], apart, "_rank").alias("d")
     k = copies.withColumnsRenamed({"source": "k_source", "size": "k_size"})
     full = ranked.join(k, F.col("d.source").eqNullSafe(F.col("k_source")) & (F.col("d.size") == F.col("k_size")))
     n_copies = F.col("base") + F.when(F.col("_rank") < F.col("extra"), 1).otherwise(0)
     t = catalogue.select(F.col("source").alias("t_source"), "source_size", "target")
     return full.join(t, F.col("d.source").eqNullSafe(F.col("t_source"))).select(
-        id_col, "d.size", "d.source", "source_size", "target", "rate", n_copies.alias("copies"), (F.col("d.size") * n_copies).alias("taken")
+        id_col, "d.text_hash", "d.size", "d.source", "source_size", "target", "rate", n_copies.alias("copies"), (F.col("d.size") * n_copies).alias("taken")
     )
 
 
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them. Rows of one id, text and source are one document
+    that comes as often as the mix takes all of them."""
+    mixed = mix(docs, id_col, text_col, source_col)
+    copies = mixed.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_h"), F.col("source").alias("_s"))
+    copies = written(copies.agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0"), "mixing-taken")
+    key = {"k_id": F.col(id_col), "k_h": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), "k_s": F.col(source_col).cast("string")}
+    hashed = docs.withColumns(key)
+    same = F.col("k_id").eqNullSafe(F.col("_id")) & (F.col("k_h") == F.col("_h")) & F.col("k_s").eqNullSafe(F.col("_s"))
+    taken = hashed.join(copies.where("_rows = 1"), same).select(*docs.columns, "_copies")
+    if copies.where("_rows > 1").limit(1).count():
+        repeated = hashed.join(copies.where("_rows > 1"), same).groupBy("k_id", "k_h", "k_s")
+        once = repeated.agg(F.first(F.struct(*docs.columns)).alias("row"), F.first("_copies").alias("_copies"))
+        taken = taken.union(once.select("row.*", "_copies"))
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).select(*docs.columns)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")

@@ -37,12 +37,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import discard, hot_keys, join_hot, release_shuffles, table, text_slices, written
+from .shared import Bitmap, discard, hot_keys, join_hot, release_shuffles, table, text_slices, written
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
 SIGNATURE_BITS = 48  #: chance agreement only adds candidates; fewer bytes to shuffle
-MOST_BITMAP_BITS = 1 << 26  #: of the filter that spares the set pass most documents: 8 MB however many there are
 MOST_SEEN = 1 << 20  #: set keys a task remembers so as not to emit a set twice
 RARE = 32  #: elements of a block in this many sets or fewer are counted pair by pair, others by a matrix product
 
@@ -154,7 +153,7 @@ def signatures(s: np.ndarray, params: JoinParams) -> list[tuple[int, np.ndarray]
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str, params: JoinParams) -> DataFrame:
-    """(id, row, n_shingles, key, needs, sigs_0, sigs_1, ...) of every row; row is its number.
+    """(id, text_hash, row, n_shingles, key, needs, sigs_0, sigs_1, ...) of every row; row is its number.
 
     ``needs`` has an entry per band of the set: how many signatures a partner there shares at
     least. ``sigs_p`` has the band's signatures of pass p, so that a pass reads its own only.
@@ -185,6 +184,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, params: JoinParams) ->
             needs = pa.array([need for bands_ in found for need, _ in bands_], pa.int32())
             arrays = [
                 batch.column(0),
+                batch.column(2),
                 pa.array(np.arange(row, row + len(sets))),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(keys, pa.int64()),
@@ -192,38 +192,29 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, params: JoinParams) ->
                 *columns,
             ]
             row += len(sets)
-            yield pa.RecordBatch.from_arrays(arrays, [id_col, "row", "n_shingles", "key", "needs", *(f"sigs_{p}" for p in range(params.passes))])
+            yield pa.RecordBatch.from_arrays(arrays, [id_col, "text_hash", "row", "n_shingles", "key", "needs", *(f"sigs_{p}" for p in range(params.passes))])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     parts = ", ".join(f"sigs_{p} array<array<long>>" for p in range(params.passes))
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {id_type}, row long, n_shingles long, key long, needs array<int>, {parts}")
+    rows = docs.select(id_col, text_col, _text_hash(text_col).alias("text_hash"))
+    return rows.mapInArrow(run, f"{id_col} {id_type}, text_hash long, row long, n_shingles long, key long, needs array<int>, {parts}")
 
 
 def _sets(docs: DataFrame, text_col: str, members: DataFrame, params: JoinParams) -> DataFrame:
     """(key, elements) of the sets among ``members`` (key), and a few besides.
 
-    The texts of other documents are left out by a hash bitmap of 8 to 16 bits a member,
-    MOST_BITMAP_BITS at most, so no text is shuffled. When the members outgrow it, it lets more
-    rows through.
+    The texts of other documents are left out by a ``Bitmap``, so no text is shuffled.
     """
-    n_bits = min(MOST_BITMAP_BITS, 1 << max(6, (8 * members.count()).bit_length()))
-    slots = members.select(F.pmod(F.col("key"), F.lit(n_bits)).alias("slot"))
-    words = slots.select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 AS int))").alias("bit"))
-    bitmap = np.zeros(n_bits // 64, np.int64)
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # n_bits / 64 rows at most
-    bitmap[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    bitmap = Bitmap(members, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         seen: set[int] = set()
         for batch in text_slices(batches, 0):
             keys, sets = [], []
-            for text in batch.column(0):
-                s = shingles(text.as_py(), params.shingle_words)
-                key = set_key(s)
-                at = key % n_bits
-                if len(s) and (int(bits[at >> 6]) >> (at & 63)) & 1 and key not in seen:
+            every = [shingles(text.as_py(), params.shingle_words) for text in batch.column(0)]
+            every_key = np.array([set_key(s) for s in every], np.int64)
+            for s, key, wanted in zip(every, every_key.tolist(), bitmap.may_hold(every_key).tolist(), strict=True):
+                if len(s) and wanted and key not in seen:
                     seen.add(key)
                     keys.append(key)
                     sets.append(s.view(np.int64))
@@ -444,20 +435,10 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_components(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    params: JoinParams = JoinParams(),
-) -> DataFrame:
-    """Per row: id, n_shingles, component_id (the least id reachable by links, its own included).
-
-    Null or wordless texts have an empty set and link with nothing. Repeated rows and equal
-    sets are one class, and ids may repeat or be null (a component of null ids only has a null id). An
-    empty table gives an empty result; other columns are left out.
-    """
+def _components(docs: DataFrame, id_col: str, text_col: str, params: JoinParams) -> DataFrame:
+    """Per row: id, text_hash, n_shingles, label of the component (null without words) and its least id."""
     signed = written(_signed(docs, id_col, text_col, params), "join-signed")
-    classes = written(signed.select(id_col, "n_shingles", "key"), "join-classes")
+    classes = written(signed.select(id_col, "text_hash", "n_shingles", "key"), "join-classes")
     # Signatures are shuffled with a short number: twice the row's, plus the band's position.
     hot = []
     for p in range(params.passes):
@@ -481,12 +462,51 @@ def jaccard_components(
     named = least.join(labels, "key", "left").select("key", "least", F.coalesce("label", "key").alias("label"))
     named = written(named, "join-named")
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_key = named.join(names, "label").select("key", "component_id")
-    linked = classes.where("n_shingles > 0").join(by_key, "key").select(id_col, "n_shingles", "component_id")
-    alone = classes.where("n_shingles = 0").select(id_col, "n_shingles", F.col(id_col).alias("component_id"))
+    by_key = named.join(names, "label").select("key", "label", "component_id")
+    linked = join_hot(classes.where("n_shingles > 0"), by_key, "key", F.concat_ws(":", F.col(id_col).cast("string"), "text_hash"))
+    linked = linked.select(id_col, "text_hash", "n_shingles", "label", "component_id")
+    alone = classes.where("n_shingles = 0").select(id_col, "text_hash", "n_shingles", F.lit(None).cast("long").alias("label"), F.col(id_col).alias("component_id"))
     return linked.union(alone)
 
 
+def jaccard_components(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    params: JoinParams = JoinParams(),
+) -> DataFrame:
+    """Per row: id, n_shingles, component_id (the least id reachable by links, its own included).
+
+    Null or wordless texts have an empty set and link with nothing. Repeated rows and equal
+    sets are one class, and ids may repeat or be null (a component of null ids only has a null id). An
+    empty table gives an empty result; other columns are left out.
+    """
+    return _components(docs, id_col, text_col, params).select(id_col, "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: JoinParams = JoinParams()) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component one row stays, that of the least id
+    (null ids last), on ties of the least text hash. Rows without words link with nothing and all stay."""
+    found = written(_components(docs, id_col, text_col, params), "join-found")
+    own = F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), F.col("text_hash").alias("h"))
+    first = found.where("label is not null").groupBy("label").agg(F.min(own).alias("f")).select(F.col("f.id").alias("_id"), F.col("f.h").alias("_h"))
+    texts = found.where("label is not null").groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    same = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & (a["_h"] == b["_h"])
+    first, texts = written(first, "join-first"), written(texts, "join-texts")
+    dropped = texts.join(first, same(texts, first), "left_anti").select("_id", "_h")
+    repeated = texts.where("_n > 1").join(first, same(texts, first), "left_semi").select("_id", "_h")
+    hashed = docs.withColumns({"_id": F.col(id_col), "_h": _text_hash(text_col)})
+    kept = hashed.join(dropped, same(hashed, dropped), "left_anti")
+    if repeated.limit(1).count():
+        once = kept.join(repeated, same(kept, repeated), "left_semi").groupBy("_id", "_h").agg(F.first(F.struct(*docs.columns)).alias("row"))
+        kept = kept.join(repeated, same(kept, repeated), "left_anti").select(*docs.columns).union(once.select("row.*"))
+    return kept.select(*docs.columns)
+
+
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), params=JoinParams(shingle_words=3, percent=90))
 

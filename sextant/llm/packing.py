@@ -12,8 +12,8 @@ c(i), padding makes f(i) = min over j of (f(j) + c(j)) + length - c(i) + penalty
 minimum over a sliding range of j, which a monotone queue gives in constant time. A
 window whose size is a power of two isn't padded; those few sizes are looked up.
 
-Windows are decided over blocks of ``block_windows`` windows, so memory stays bounded;
-a block ends at its cheapest cut and the next one goes on from there. Partitions are packed
+Windows are decided over blocks of ``block_windows`` windows, which may end within a document, so the
+memory of cuts stays bounded; a block ends at its cheapest cut and the next one goes on from there. Partitions are packed
 independently: no shuffle, and a lost task is redone alone from its own input.
 """
 
@@ -158,23 +158,30 @@ def _candidates(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, params:
 def pack_stream(docs: Iterator[tuple[object, np.ndarray]], ends: np.ndarray, params: PackingParams) -> Iterator[list[tuple]]:
     """Windows of a stream of (document id, ids with the end id): each a list of pieces
     (document id, start in the document, ids of the piece, ids of the document)."""
-    buffer: list[tuple[object, int, np.ndarray, int]] = []  # id, start, remaining ids, size of the document
+    buffer: list[tuple[int, object, int, np.ndarray, int]] = []  # number, id, start, ids, size of the document
     held = 0
     least = params.length * params.block_windows
 
     def flush(last: bool) -> Iterator[list[tuple]]:
         nonlocal buffer, held
-        ids = np.concatenate([b[2] for b in buffer])
-        stops = np.cumsum([len(b[2]) for b in buffer])
-        positions, penalties = _candidates(ids, stops, ends, params)
+        ids = np.concatenate([b[3] for b in buffer])
+        stops = np.cumsum([len(b[3]) for b in buffer])
+        whole = np.array([start + len(part) == size for _, _, start, part, size in buffer])
+        positions, penalties = _candidates(ids, stops[whole], ends, params)
         start, k, done = 0, 0, 0
         for cut in best_cuts(positions, penalties, 0, params, last):
-            pieces = []
+            pieces, owner = [], -1
             while start < cut:
-                key, offset, rest, size = buffer[k]
+                number, key, offset, rest, size = buffer[k]
                 first = start - (int(stops[k]) - len(rest))
                 take = min(cut, int(stops[k])) - start
-                pieces.append((key, offset + first, rest[first : first + take], size))
+                part = rest[first : first + take]
+                if number == owner:  # the document goes on in the next entry
+                    key, began, before, size = pieces.pop()
+                    pieces.append((key, began, np.concatenate([before, part]), size))
+                else:
+                    pieces.append((key, offset + first, part, size))
+                owner = number
                 start += take
                 if start == stops[k]:
                     k += 1
@@ -182,16 +189,18 @@ def pack_stream(docs: Iterator[tuple[object, np.ndarray]], ends: np.ndarray, par
             done = cut
         left = buffer[k:]
         if left:
-            key, offset, rest, size = left[0]
+            number, key, offset, rest, size = left[0]
             skip = done - (int(stops[k]) - len(rest))
-            left[0] = (key, offset + skip, rest[skip:], size)
+            left[0] = (number, key, offset + skip, rest[skip:], size)
         buffer, held = left, held - done
 
-    for key, ids in docs:
-        buffer.append((key, 0, ids, len(ids)))
-        held += len(ids)
-        if held >= least:
-            yield from flush(False)
+    for number, (key, ids) in enumerate(docs):
+        for at in range(0, len(ids), least):
+            part = ids[at : at + least]
+            buffer.append((number, key, at, part, len(ids)))
+            held += len(part)
+            if held >= least:
+                yield from flush(False)
     if held:
         yield from flush(True)
 
@@ -225,7 +234,7 @@ def pack_documents(
 
         def stream() -> Iterator[tuple[object, np.ndarray]]:
             nonlocal id_arrow
-            for batch in batches:
+            for batch in batches:  # one text at a time becomes a Python object
                 id_arrow = batch.schema.field(0).type
                 for key, text in zip(batch.column(0), batch.column(1), strict=True):
                     yield key.as_py(), np.concatenate([encode(text.as_py() or ""), end])

@@ -3,10 +3,11 @@
 Candidate spans come from patterns. Labelers vote on each: a regular expression for the
 strict form, gazetteers for known parts, and the words around for the context; a vote is
 1 (personal), -1 (not) or 0 (abstains). The votes of all candidates are counted by
-(kind, votes), a table whose size depends on the number of kinds and labelers only.
-Expectation-maximisation on those counts estimates how reliable each labeler is and how
-often a kind is personal; a logistic span classifier is then trained on the expected
-labels, again on counts, and decides which candidates become spans.
+(kind, votes, features of the span), a table whose size depends on the number of kinds,
+labelers and features only. Expectation-maximisation on the votes estimates how reliable each
+labeler is and how often a kind is personal; a logistic span classifier is then trained on the
+expected labels, again on counts. It sees the votes and the span's own features (length, share
+of digits, what stands around it), and its score decides which candidates become spans.
 
 Base kinds are found by their patterns alone; their spans vote along in the
 estimation, and always stay.
@@ -38,7 +39,7 @@ EXTRA = {
     "email_spelled": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]++(?: ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z0-9-]++)++",
     "id_number": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local_phone": r"(?<![0-9+() .-])\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9-])",
-    "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?![A-Za-z0-9])",
+    "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
     "person": r"(?<!\p{L})(?:Mr|Mrs|Ms|Dr|Prof)\.? \p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++)?",
 }
 KINDS = BASE_KINDS + tuple(EXTRA)
@@ -74,7 +75,8 @@ GAZETTEER = {
 SPEAKS_FOR = r"\b(?:e-?mail|mail|contact|call|tel|phone|mobile|fax|card|visa|account|iban|ssn|social security|address|login from|client|telefon|correo|courriel)\b"
 SPEAKS_AGAINST = r"\b(?:version|release|isbn|issn|order|invoice|ticket|serial|example of|section|chapter|figure|table|doi|build)\b"
 LABELERS = ("strict", "gazetteer", "before", "after")
-AROUND = 40  #: code points of context
+FEATURES = ("length", "digits", "left", "right")
+THRESHOLD = 0.5  #: least score of a span beyond the base kinds
 ROUNDS = 100
 
 
@@ -93,19 +95,19 @@ def _mark(text: Column, kind: str) -> Column:
     return F.contains(text, F.lit(MARKS[kind])) if kind in MARKS else F.lit(True)
 
 
-def base_spans(text: Column) -> Column:
-    """Spans of the four base kinds, by kind as listed, then by start."""
+def base_hits(text: Column) -> Column:
+    """Hits of the four base kinds, by kind as listed, then by start."""
     digits = lambda s: F.regexp_replace(s.hit, "[^0-9]", "")
-    email = S.find_spans(text, EMAIL, "email", _mark(text, "email"))
-    ip = F.filter(S.find_spans(text, IP, "ip", _mark(text, "ip")), lambda s: F.regexp_like(s.hit, F.lit(rf"^{BYTE}(?:\.{BYTE}){{3}}$")))
-    card = F.filter(S.find_spans(text, CARD, "card"), lambda s: F.when(F.length(digits(s)) <= 19, _luhn(digits(s))).otherwise(False))
-    phone = F.filter(S.find_spans(text, PHONE, "phone", _mark(text, "phone")), lambda s: F.length(digits(s)).between(9, 15))
-    return F.concat(email, ip, card, phone)
+    find = lambda pattern, kind: S.find_hits(text, pattern, kind, _mark(text, kind), True)
+    ip = F.filter(find(IP, "ip"), lambda s: F.regexp_like(s.hit, F.lit(rf"^{BYTE}(?:\.{BYTE}){{3}}$")))
+    card = F.filter(find(CARD, "card"), lambda s: F.when(F.length(digits(s)) <= 19, _luhn(digits(s))).otherwise(False))
+    phone = F.filter(find(PHONE, "phone"), lambda s: F.length(digits(s)).between(9, 15))
+    return F.concat(find(EMAIL, "email"), ip, card, phone)
 
 
-def extra_spans(text: Column) -> Column:
+def extra_hits(text: Column) -> Column:
     """Candidates of the other kinds."""
-    return F.concat(*(S.find_spans(text, pattern, kind, _mark(text, kind)) for kind, pattern in EXTRA.items()))
+    return F.concat(*(S.find_hits(text, pattern, kind, _mark(text, kind), True) for kind, pattern in EXTRA.items()))
 
 
 def _by_kind(kind: Column, patterns: dict[str, str], value: Column) -> Column:
@@ -121,17 +123,29 @@ def _context(words: Column) -> Column:
     return F.when(F.regexp_like(low, F.lit(SPEAKS_AGAINST)), -1).when(F.regexp_like(low, F.lit(SPEAKS_FOR)), 1).otherwise(0)
 
 
-def voted(text: Column, spans: Column) -> Column:
-    """The spans as struct(span, pattern): pattern is `kind:vote:...` in the order of LABELERS."""
+def _neighbour(c: Column) -> Column:
+    """Class of a code point beside a span: none, space, letter or digit, other."""
+    return F.when(c == "", "none").when(F.regexp_like(c, F.lit(r"\s")), "space").when(F.regexp_like(c, F.lit(r"[\p{L}0-9]")), "word").otherwise("other")
 
-    def one(s: Column) -> Column:
-        first = F.greatest(s.start - AROUND, F.lit(0))
-        before = F.substring(text, first + 1, s.start - first)
-        after = F.substring(text, s["end"] + 1, F.lit(AROUND))
-        votes = [_by_kind(s.kind, STRICT, s.hit), _by_kind(s.kind, GAZETTEER, s.hit), _context(before), _context(after)]
-        return F.struct(s.alias("span"), F.concat_ws(":", s.kind, *(v.cast("string") for v in votes)).alias("pattern"))
 
-    return F.transform(spans, one)
+def _features(h: Column) -> list[Column]:
+    """Of a hit, as listed in FEATURES: length class, quarters of digits, classes of its neighbours."""
+    size = F.length(h.hit)
+    length = F.when(size <= 12, "short").when(size <= 18, "middle").when(size <= 26, "long").otherwise("longer")
+    digits = F.floor(F.length(F.regexp_replace(h.hit, "[^0-9]", "")) * 4 / size).cast("string")
+    return [length, digits, _neighbour(F.substring(h.before, -1, 1)), _neighbour(F.substring(h.after, 1, 1))]
+
+
+def voted(hits: Column) -> Column:
+    """The hits as struct(span, pattern): pattern is `kind:vote:...:feature:...` in the order of
+    LABELERS and FEATURES."""
+
+    def one(h: Column) -> Column:
+        votes = [_by_kind(h.kind, STRICT, h.hit), _by_kind(h.kind, GAZETTEER, h.hit), _context(h.before), _context(h.after)]
+        pattern = F.concat_ws(":", h.kind, *(v.cast("string") for v in votes), *_features(h))
+        return F.struct(F.struct(h.kind.alias("kind"), h.start.alias("start"), h["end"].alias("end")).alias("span"), pattern.alias("pattern"))
+
+    return F.transform(hits, one)
 
 
 @dataclass(frozen=True)
@@ -147,7 +161,7 @@ def expectation_maximisation(counts: dict[str, int], rounds: int = ROUNDS) -> Es
     Each labeler, where it votes, is right with its own two rates. Rates start at 0.8 and
     priors at 0.5; pseudo-counts keep them inside (0, 1).
     """
-    rows = [(p, p.split(":")[0], [int(v) for v in p.split(":")[1:]], n) for p, n in sorted(counts.items())]
+    rows = [(p, p.split(":")[0], _votes(p), n) for p, n in sorted(counts.items())]
     prior: dict[str, float] = {kind: 0.5 for _, kind, _, _ in rows}
     rates = [(0.8, 0.8)] * len(LABELERS)
     posterior: dict[str, float] = {}
@@ -168,20 +182,26 @@ def expectation_maximisation(counts: dict[str, int], rounds: int = ROUNDS) -> Es
     return Estimate(prior, dict(zip(LABELERS, rates, strict=True)), posterior)
 
 
+def _votes(pattern: str) -> list[int]:
+    return [int(v) for v in pattern.split(":")[1 : 1 + len(LABELERS)]]
+
+
 def _inputs(pattern: str) -> dict[str, float]:
-    kind, *votes = pattern.split(":")
+    kind, *parts = pattern.split(":")
+    votes, features = parts[: len(LABELERS)], parts[len(LABELERS) :]
     named = {f"{name}={v}": 1.0 for name, v in zip(LABELERS, votes, strict=True) if v != "0"}
-    return {"bias": 1.0, f"kind={kind}": 1.0, **named}
+    own = {f"{kind}/{name}={v}": 1.0 for name, v in zip(FEATURES, features, strict=False)}
+    return {"bias": 1.0, f"kind={kind}": 1.0, **named, **own}
 
 
 def train_classifier(counts: dict[str, int], labels: dict[str, float], steps: int = 300, l2: float = 1e-2) -> dict[str, float]:
     """Weights of a logistic model of the expected labels, by gradient steps on the counts."""
     total = sum(counts.values()) or 1
+    rows = [(pattern, _inputs(pattern), n) for pattern, n in sorted(counts.items())]
     weights: dict[str, float] = defaultdict(float)
     for _ in range(steps):
         slope: dict[str, float] = defaultdict(float)
-        for pattern, n in sorted(counts.items()):
-            x = _inputs(pattern)
+        for pattern, x, n in rows:
             miss = (_score(weights, x) - labels[pattern]) * n / total
             for name in x:
                 slope[name] += miss
@@ -204,41 +224,42 @@ class SpanModel:
         return _score(self.weights, _inputs(pattern))
 
 
-def fit(candidates: DataFrame, threshold: float = 0.5) -> SpanModel:
+def fit(candidates: DataFrame, threshold: float = THRESHOLD) -> SpanModel:
     """Model from rows of (votes: array of struct(span, pattern)); empty without candidates.
 
-    A pattern is accepted if the classifier scores it at ``threshold`` or more and at least
-    two labelers speak for it: one vote alone can't be checked against another.
+    A pattern is accepted if the classifier scores it at ``threshold`` or more.
     """
     patterns = candidates.select(F.explode("votes.pattern").alias("pattern"))
-    # One row per kind and combination of votes at most: 3^4 for each of the kinds.
+    # One row per kind, combination of votes (3^4) and of features (4 * 5 * 4 * 4) at most.
     counts = {r.pattern: r.n for r in patterns.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
     estimate = expectation_maximisation(counts)
     weights = train_classifier(counts, estimate.posterior)
-    good = [p for p in sorted(counts) if p.split(":")[0] in EXTRA and p.split(":")[1:].count("1") >= 2]
-    return SpanModel(estimate, weights, tuple(p for p in good if _score(weights, _inputs(p)) >= threshold))
+    extra = [p for p in sorted(counts) if p.split(":")[0] in EXTRA]
+    return SpanModel(estimate, weights, tuple(p for p in extra if _score(weights, _inputs(p)) >= threshold))
 
 
 def decided(base: Column, votes: Column, model: SpanModel) -> Column:
     """Base spans and the accepted others that overlap none of them, by kind then start."""
-    accepted = F.array(*map(F.lit, model.accepted)).cast("array<string>")
-    extra = F.filter(votes, lambda v: F.array_contains(accepted, v.pattern))
-    free = F.filter(F.transform(extra, lambda v: v.span), lambda x: ~F.exists(base, lambda b: (b.start < x["end"]) & (x.start < b["end"])))
-    return F.concat(base, free)
+    if not model.accepted:
+        return base
+    accepted = F.create_map(*(x for p in model.accepted for x in (F.lit(p), F.lit(True))))
+    extra = F.filter(votes, lambda v: v.span.kind.isin(*EXTRA) & F.coalesce(accepted[v.pattern], F.lit(False)))
+    return F.concat(base, S.free_of(F.transform(extra, lambda v: v.span), base))
 
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``base`` spans and ``votes`` on all candidate spans. A null text is empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.withColumns({"base": base_spans(text), "_extra": extra_spans(text)})
-    return found.withColumn("votes", voted(text, F.concat("base", "_extra"))).drop("_extra")
+    found = docs.withColumns({"_base": base_hits(text), "_extra": extra_hits(text)})
+    return found.withColumns({"base": S.located(F.col("_base")), "votes": voted(F.concat("_base", "_extra"))}).drop("_base", "_extra")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``base`` spans and ``found`` spans (base ones and those of the method).
 
-    Rows are scanned once; spans go to the shared folder and the model comes from their
-    votes. A null text has no spans, repeated rows have equal ones, an empty table gives none.
+    Rows are scanned once; spans, without what they hold, go to the shared folder and the model
+    comes from their votes. A null text has no spans, repeated rows have equal ones, an empty
+    table gives none; ids may be null or repeat, and other columns are left out.
     """
     rows = written(candidates(docs.select(id_col, text_col), text_col).select(id_col, "base", "votes"), "personal-spans")
     return rows.select(id_col, "base", decided(F.col("base"), F.col("votes"), fit(rows)).alias("found"))

@@ -2,7 +2,25 @@
 
 from __future__ import annotations
 
-from . import edit_embedding, language_id, media, mixing, ngram_join, packing, pii, secrets, sharding, url_filters
+from pyspark.sql import DataFrame, SparkSession
+
+from . import edit_embedding, language_id, media, mixing, ngram_join, packing, pii, secrets, sharding, twins, url_filters
+
+
+def personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that SQL can express."""
+    return pii.op3_personal_data(spark, sf_dir).drop("spans")
+
+
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8 that SQL can express."""
+    return secrets.op8_secret_scan(spark, sf_dir).drop("spans")
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10 that SQL can express."""
+    return media.op10_media_features(spark, sf_dir).drop("feature")
+
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,9 +33,16 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_media_features": media.op10_media_features,
+    "personal_data_base": personal_data_base,
+    "secret_base": secret_base,
+    "media_payloads": media_payloads,
 }
 
 SQL = {
     "op4_ngram_join": ngram_join.OP4_SQL,
+    "op5_jump_sharding": twins.JUMP_SHARDING,
     "op9_url_filters": url_filters.OP9_SQL,
+    "personal_data_base": twins.PERSONAL_BASE,
+    "secret_base": twins.SECRET_BASE,
+    "media_payloads": twins.MEDIA_PAYLOADS,
 }

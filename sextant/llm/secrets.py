@@ -29,7 +29,7 @@ HEX = r"[0-9a-f]{16,}+"
 BASE_KINDS = ("assign", "access", "hex")
 
 WEAK_SECRET = r"(?<![A-Za-z0-9+/_-])(?=[0-9+/]*+[A-Za-z])[A-Za-z0-9+/]{32,}+={0,2}(?![A-Za-z0-9+/=_-])"
-ENDPOINT = r"(?:https?|jdbc:[a-z]++|postgres|mysql|mongodb|redis|amqp)://[^\s\"'<>]++|(?<![A-Za-z0-9.-])[a-z0-9-]++(?:\.[a-z0-9-]++)*+\.(?:amazonaws|azure|googleapis)\.com"
+ENDPOINT = r"(?:https?|jdbc:[a-z]++|postgres|mysql|mongodb|redis|amqp)://[^\s\"'<>]++|(?<![A-Za-z0-9.-])[a-z0-9][a-z0-9.-]*?\.(?:amazonaws|azure|googleapis)\.com(?!\.?[a-z0-9-])"
 ACCOUNT = r"""(?i:user(?:name)?|login|client_id|account_id)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9_.@-]{3,}+"""
 WEAK_KINDS = ("weak_secret", "endpoint", "account")
 KINDS = BASE_KINDS + WEAK_KINDS
@@ -43,24 +43,24 @@ COMPLEMENTS = {
 
 
 def base_spans(text: Column) -> Column:
-    assign = F.filter(S.find_spans(text, ASSIGN, "assign"), lambda s: F.length(F.regexp_extract(s.hit, ASSIGN, 1)) >= 12)
-    access = S.find_spans(text, ACCESS, "access", F.contains(text, F.lit("AKIA")))
-    hexes = S.find_spans(text, HEX, "hex")
-    return S.by_start(F.concat(assign, access, hexes), KINDS)
+    assign = F.filter(S.find_hits(text, ASSIGN, "assign"), lambda s: F.length(F.regexp_extract(s.hit, ASSIGN, 1)) >= 12)
+    access = S.find_hits(text, ACCESS, "access", F.contains(text, F.lit("AKIA")))
+    hexes = S.find_hits(text, HEX, "hex")
+    return S.by_start(S.located(F.concat(assign, access, hexes)), KINDS)
 
 
 def weak_spans(text: Column) -> Column:
     """Weak candidates, whether or not a complement is near."""
     mixed = lambda s: F.regexp_like(s.hit, F.lit("[A-Z]")) & F.regexp_like(s.hit, F.lit("[a-z]")) & F.regexp_like(s.hit, F.lit("[0-9]"))
-    secret = F.filter(S.find_spans(text, WEAK_SECRET, "weak_secret"), mixed)
+    secret = F.filter(S.find_hits(text, WEAK_SECRET, "weak_secret"), mixed)
     address = F.contains(text, F.lit("://")) | F.contains(text, F.lit(".com"))
-    return F.concat(secret, S.find_spans(text, ENDPOINT, "endpoint", address), S.find_spans(text, ACCOUNT, "account"))
+    return S.located(F.concat(secret, S.find_hits(text, ENDPOINT, "endpoint", address), S.find_hits(text, ACCOUNT, "account")))
 
 
 def _linked(rows: DataFrame, scope: int) -> DataFrame:
     """(row, linked): the weak spans of each row that a complement within ``scope`` supports."""
     parts = rows.where(F.size("weak") > 0).select("row", F.explode(F.concat("base", "weak")).alias("s"))
-    parts = parts.select("row", "s.kind", "s.start", "s.end", "s.hit", F.floor(F.col("s.start") / scope).alias("bin"))
+    parts = parts.select("row", "s.kind", "s.start", "s.end", F.floor(F.col("s.start") / scope).alias("bin"))
     pairs = rows.sparkSession.createDataFrame([(w, c) for w, cs in COMPLEMENTS.items() for c in cs], "weak string, kind string")
     # A part reaches the bins around both its ends; bins are as wide as the scope.
     reach = F.sequence(F.floor(F.col("start") / scope) - 1, F.floor(F.col("end") / scope) + 1)
@@ -69,9 +69,9 @@ def _linked(rows: DataFrame, scope: int) -> DataFrame:
     near = (F.col("o_start") - F.col("end") <= scope) & (F.col("start") - F.col("o_end") <= scope)
     apart = (F.col("o_end") <= F.col("start")) | (F.col("o_start") >= F.col("end"))
     weak = parts.where(F.col("kind").isin(*WEAK_KINDS)).withColumnRenamed("kind", "weak")
-    weak = weak.select("row", "weak", "start", "end", "hit", F.explode(F.sequence("bin", F.floor(F.col("end") / scope))).alias("bin"))
+    weak = weak.select("row", "weak", "start", "end", F.explode(F.sequence("bin", F.floor(F.col("end") / scope))).alias("bin"))
     joined = weak.join(others, ["row", "weak", "bin"]).where(near & apart)
-    span = F.struct(F.col("weak").alias("kind"), "start", "end", "hit")
+    span = F.struct(F.col("weak").alias("kind"), "start", "end")
     return joined.groupBy("row").agg(F.collect_set(span).alias("linked"))
 
 
@@ -79,12 +79,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     """Per row: id, ``base`` and ``found`` spans (base and linked weak ones), by start then kind.
 
     Base spans always stay; a weak span that overlaps one is left out. A null text has
-    none. Repeated rows give equal spans, an empty table an empty result.
+    none. Repeated rows give equal spans, an empty table an empty result; ids may be null or repeat,
+    and other columns are left out. A long text's parts are joined bin by bin, so its work grows with
+    the parts in reach of each other. Spans that start alike go by kind as listed, then by end. The
+    shared folder gets places of parts, never what they hold.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col), base_spans(text).alias("base"), weak_spans(text).alias("weak"))
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "secret-parts")
-    free = F.filter("linked", lambda w: ~F.exists("base", lambda b: (b.start < w["end"]) & (w.start < b["end"])))
+    free = S.free_of(F.col("linked"), F.col("base"))
     joined = rows.join(_linked(rows, scope), "row", "left")
     found = F.when(F.col("linked").isNull(), F.col("base")).otherwise(S.by_start(F.concat("base", free), KINDS))
     return joined.select(id_col, "base", found.alias("found"))

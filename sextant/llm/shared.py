@@ -19,6 +19,7 @@ _written: dict[str, SparkSession] = {}
 HOT_ROWS = 10_000  #: rows of a key that one task of a join takes at most
 MOST_HOT = 1000  #: keys that ``hot_keys`` returns at most; any other key has fewer than 1 in MOST_HOT rows
 SLICE_BYTES = 8 << 20  #: of texts that a Python worker handles at once
+MOST_BITMAP_BITS = 1 << 26  #: of a filter of members: 8 MB however many there are
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,15 +100,17 @@ def gapless_rank(
     """Number the rows of each group gaplessly from 0 in column ``out``.
 
     A group may hold any share of the rows, so no window sees a whole group: rows
-    go to salted sub-groups (crc32 of ``salt_on``), each is numbered by itself and
+    go to salted sub-groups (crc32 of ``salt_on``, which should tell rows apart), each is numbered by itself and
     starts after the counts of the sub-groups before it. With the square root of
     the row count as number of salts, both a sub-group and a group's list of
     counts stay near that root. Order within a group: salt, then ``order``.
     """
     salts = max(1, math.isqrt(df.count()))
     salted = df.withColumn("_salt", F.pmod(F.crc32(F.coalesce(salt_on.cast("string"), F.lit(""))), F.lit(salts)).cast("int"))
-    keys = [F.coalesce(F.col(g).cast("string"), F.lit("\u0000null")).alias(f"_g{i}") for i, g in enumerate(groups)]
-    names = [f"_g{i}" for i in range(len(groups))]
+    # Each group column beside whether it is null: nulls are a group of their own, whatever texts say.
+    parts = [(F.col(g).isNull(), F.coalesce(F.col(g).cast("string"), F.lit(""))) for g in groups]
+    keys = [c.alias(f"_g{i}") for i, c in enumerate(x for part in parts for x in part)]
+    names = [f"_g{i}" for i in range(len(keys))]
     salted = salted.select("*", *keys)
     counts = salted.groupBy(*names, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*names).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -128,13 +131,14 @@ def hot_keys(rows: DataFrame, key: str) -> list[tuple[int, int]]:
 
 
 def join_hot(rows: DataFrame, other: DataFrame, key: str, by: Column, hot: list[tuple[int, int]] | None = None) -> DataFrame:
-    """Inner join on the long ``key``, of which ``other`` has few rows a value. Rows of hot keys are
+    """Inner join on ``key``, of which ``other`` has few rows a value. Rows of hot keys are
     dealt by the hash of ``by`` into as many salts as their count asks for, and the rows of
     ``other`` for them are repeated as often."""
     hot = hot_keys(rows, key) if hot is None else hot
     if not hot:
         return rows.join(other, key)
-    salts = F.broadcast(rows.sparkSession.createDataFrame(hot, f"{key} long, _salts int"))  # MOST_HOT rows at most
+    schema = f"{key} {rows.schema[key].dataType.simpleString()}, _salts int"
+    salts = F.broadcast(rows.sparkSession.createDataFrame(hot, schema))  # MOST_HOT rows at most
     n = F.coalesce("_salts", F.lit(1))
     left = rows.withColumn("_by", F.xxhash64(by)).join(salts, key, "left").withColumn("_salt", F.pmod("_by", n).cast("int")).drop("_salts", "_by")
     right = other.join(salts, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_salts")
@@ -152,3 +156,43 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.R
             to = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
             yield batch.slice(at, to - at)
             at = to
+
+
+class Bitmap:
+    """A filter of members' 64-bit hashes, 8 to 16 bits a member and MOST_BITMAP_BITS at most. When
+    the members outgrow it, it lets more through that isn't one."""
+
+    def __init__(self, members: DataFrame, column: str) -> None:
+        spark = members.sparkSession
+        self.bits = n = min(MOST_BITMAP_BITS, 1 << max(6, (8 * members.count()).bit_length()))
+        slot = F.pmod(F.col(column), F.lit(n)).alias("slot")
+        words = members.select(slot).select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 AS int))").alias("bit"))
+        found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # bits / 64 rows at most
+        bitmap = np.zeros(n // 64, np.int64)
+        bitmap[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+        self.shared = spark.sparkContext.broadcast(bitmap)
+
+    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes.astype(np.int64) & np.int64(self.bits - 1)
+        return (self.shared.value[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def with_members(df: DataFrame, members: DataFrame, hashed: Column) -> DataFrame:
+    """The rows of ``df`` whose 64-bit ``hashed`` is among those of ``members`` (one column), and a few
+    besides; nothing is shuffled."""
+    bitmap = Bitmap(members, members.columns[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bitmap.may_hold(batch.column(batch.num_columns - 1).to_numpy())))
+
+    kept = df.withColumn("_hashed", hashed)
+    return kept.mapInArrow(run, kept.schema).drop("_hashed")
+
+
+def spread_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each of n shuffle partitions a number that ``repartition(n, column)`` sends there, so that
+    as many blocks are dealt one to a partition."""
+    tried = spark.range(n * (20 + n.bit_length()), numPartitions=min(n, 64)).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("k"))
+    found = {r.p: r.k for r in tried.collect()}  # n rows
+    return [found.get(p, p) for p in range(n)]

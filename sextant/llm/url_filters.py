@@ -10,6 +10,9 @@ DataFrame functions only. Two kinds of rules decide on a URL:
   the one of its tokens that the fewest URLs of the table hold; a URL's tokens
   fetch candidate rules and only those run their expression.
 
+A few rules are an index within the row's expression; more than INLINE_RULES are a table that tokens and
+host suffixes of the URLs are joined with. Both give the same rows.
+
 A URL that no host rule fits gets the verdict of the patterns: `block` if a
 blocking pattern matches and no allowing one does, otherwise `allow`.
 """
@@ -21,7 +24,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, written
+
+INLINE_RULES = 64  #: rules that fit into an expression; more are joined
 
 
 @dataclass(frozen=True)
@@ -115,35 +120,68 @@ def _longest_host_rule(host: Column, path: Column, rules: tuple[HostRule, ...])
     return F.array_max(F.array_compact(F.array(*fits)))
 
 
+def _token_counts(rows: DataFrame, pattern_rules: tuple[PatternRule, ...]) -> dict[str, int]:
+    """URLs that hold each literal token of the rules: one row a token at most, the rules being a
+    parameter on the driver."""
+    wanted = sorted({t for r in pattern_rules for t in r.tokens})
+    if not wanted:
+        return {}
+    names = rows.sparkSession.createDataFrame([(t,) for t in wanted], "token string")
+    held = rows.select(F.explode(url_tokens(F.col("_url"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return {r.token: r.n for r in held.join(F.broadcast(names) if len(wanted) <= 100_000 else names, "token", "left_semi").collect()}
+
+
+def _inline(rows: DataFrame, host_rules: tuple[HostRule, ...], index: dict[str, list[PatternRule]]) -> DataFrame:
+    """``rows`` with the matching patterns ``_m`` and the host rule ``_h``, by expressions over the row."""
+    matching = F.array().cast("array<struct<name:string,pattern:string,verdict:string>>")
+    if index:
+        by_token = _index_column(index)
+        known = F.array_intersect(url_tokens(F.col("_url")), F.array(*map(F.lit, sorted(index))))
+        candidates = F.flatten(F.transform(known, lambda t: F.element_at(by_token, t)))
+        matching = F.filter(candidates, lambda r: F.regexp_like(F.col("_url"), r.pattern))
+    matching = F.transform(matching, lambda r: F.struct(r["name"].alias("name"), r.verdict.alias("verdict")))
+    return rows.withColumn("_m", matching).withColumn("_h", _longest_host_rule(F.col("host"), F.col("path"), host_rules))
+
+
+def _joined(rows: DataFrame, host_rules: tuple[HostRule, ...], index: dict[str, list[PatternRule]]) -> DataFrame:
+    """As ``_inline``, by joins with the tables of rules. Only what matches is shuffled, and
+    the rows once to meet it. Spark broadcasts a table of rules if it is below the session's threshold."""
+    spark = rows.sparkSession
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "url-rows")
+    filed = [(t, r.name, r.pattern, r.verdict) for t, rules in sorted(index.items()) for r in rules]
+    patterns = spark.createDataFrame(filed, "token string, name string, pattern string, verdict string")
+    held = rows.select("_row", "_url", F.explode(url_tokens(F.col("_url"))).alias("token")).join(patterns, "token")
+    held = held.where(F.regexp_like("_url", F.col("pattern")))
+    matched = held.groupBy("_row").agg(F.collect_set(F.struct("name", "verdict")).alias("_m"))
+    hosts = spark.createDataFrame([(r.host, r.path, r.name, r.verdict) for r in host_rules], "suffix string, start string, name string, verdict string")
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    fitting = rows.select("_row", "path", F.explode(suffixes).alias("suffix")).join(hosts, "suffix").where(F.startswith("path", "start"))
+    best = fitting.groupBy("_row").agg(F.max(F.struct(F.length("name").alias("size"), "name", "verdict")).alias("_h"))
+    both = rows.join(matched, "_row", "left").join(best, "_row", "left").drop("_row")
+    return both.withColumn("_m", F.coalesce("_m", F.array().cast("array<struct<name:string,verdict:string>>")))
+
+
 def judge_urls(
     pages: DataFrame,
     host_rules: tuple[HostRule, ...] = HOST_RULES,
     pattern_rules: tuple[PatternRule, ...] = PATTERN_RULES,
     id_col: str = "page_id",
     url_col: str = "url",
+    inline_rules: int = INLINE_RULES,
 ) -> DataFrame:
     """One row per row of ``pages``: id, host, path, rule, verdict, patterns.
 
     ``rule`` is the winning host rule (`hostpath`) or null; ``patterns`` are the names
     of the matching pattern rules, sorted. A null or malformed URL has empty parts,
-    no rule and is allowed. Repeated rows each keep their row. No rows are shuffled
-    but the counts of the rules' tokens.
+    no rule and is allowed. Repeated rows each keep their row, ids may be null, an empty table
+    gives an empty result, and other columns are left out. URLs are taken whole, however long.
     """
     host, path = url_parts(F.col(url_col))
     rows = pages.select(F.col(id_col), F.col(url_col).alias("_url"), host.alias("host"), path.alias("path"))
-    wanted = sorted({t for r in pattern_rules for t in r.tokens})
-    tokens = url_tokens(F.col("_url"))
-    held = rows.select(F.explode(F.array_intersect(tokens, F.array(*map(F.lit, wanted)))).alias("token")) if wanted else None
-    # At most one row per literal token of the rules, which are a driver-side parameter.
-    counts = {r.token: r.n for r in held.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()} if wanted else {}
-    index = index_rules(pattern_rules, counts)
-    matching = F.array().cast("array<struct<name:string,pattern:string,verdict:string>>")
-    if index:
-        by_token = _index_column(index)
-        known = F.array_intersect(tokens, F.array(*map(F.lit, sorted(index))))
-        candidates = F.flatten(F.transform(known, lambda t: F.element_at(by_token, t)))
-        matching = F.filter(candidates, lambda r: F.regexp_like(F.col("_url"), r.pattern))
-    judged = rows.withColumn("_m", matching).withColumn("_h", _longest_host_rule(F.col("host"), F.col("path"), host_rules))
+    index = index_rules(pattern_rules, _token_counts(rows, pattern_rules))
+    few = len(host_rules) + len(pattern_rules) <= inline_rules
+    judged = _inline(rows, host_rules, index) if few else _joined(rows, host_rules, index)
     blocked = F.exists("_m", lambda r: r.verdict == "block") & ~F.exists("_m", lambda r: r.verdict == "allow")
     return judged.select(
         id_col,
