@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns a DataFrame that is
 written as Parquet and read again for the next one. All but the last return the columns of
-documents (doc_id, text, lang, source, n_chars).
+documents (doc_id, text, lang, source, n_chars); other columns are left out.
+
+Any column may be null. A null text is empty: it has no language, so it goes in the first stage. A null lang trains
+nothing, a null source is a source of its own, null ids are kept apart by their texts. Rows of one id and one text are
+one document once near copies are dropped. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,9 +34,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each component of near copies: five-word shingles,
     similarity 0.8 or more. Documents without words link with nothing and stay."""
-    found = ngram_join.jaccard_components(docs, params=ngram_join.JoinParams(shingle_words=5, percent=80))
-    dropped = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    params = ngram_join.JoinParams(shingle_words=5, percent=80)
+    return ngram_join.one_of_each(docs.select(*COLUMNS), params=params)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +46,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated as often as the mix takes them (0 to 2 times)."""
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("copies")).where("copies > 0")
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select(*COLUMNS)
+    return mixing.take(docs.select(*COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ def _enough(rows: DataFrame, least: int, what: str) -> DataFrame:
 
 def cycle_payloads(raw: DataFrame, as_of: str | None, min_history: int = 200) -> dict[str, dict]:
     rows = _enough(N.cycle(raw, as_of), min_history, "the cycle family")
-    return payloads(I.latest(I.cycle_frame(rows, min_history)))
+    return payloads(I.cycle_latest(rows, min_history))
 
 
 def technical_payloads(raw: DataFrame, as_of: str | None, min_history: int = 252) -> dict[str, dict]:
@@ -85,7 +85,7 @@ def family_bundle(
     family: str, indicators: Mapping[str, Mapping[str, Any]], *, as_of: str, generated_at: str, raw_sha256: str, source_repo: str = "sextant",
     source_version: str = "0.1.0", code_commit: str = "0" * 40, provider: str = "local_csv", provider_timestamp: str | None = None,
     status: str = D.FRESH, policy: str | None = None, max_age_hours: int = 36, license_scope: str = "internal_runtime",
-    generated_by: str = "sextant.local_csv", profiles: Iterable[str] | None = None, bundle_id_prefix: str | None = None,
+    generated_by: str = "sextant.local_csv", profiles: Iterable[str] | None = None, bundle_id_prefix: str | None = None, provider_dataset: str | None = None,
 ) -> dict[str, Any]:
     """A bundle of a catalogued family: ids, transform, policy and profiles come from its record."""
     f = FAMILIES[family]
@@ -99,7 +99,7 @@ def family_bundle(
         freshness={"policy": policy or f["freshness_policy"], "max_age_hours": int(max_age_hours), "provider_timestamp": provider_timestamp or f"{as_of}T00:00:00Z", "status": status},
         provenance={
             "source_repo": source_repo, "source_version": source_version, "code_commit": code_commit, "provider": provider,
-            "provider_dataset": f["provider_dataset"], "raw_artifact_sha256": raw_sha256, "transform": f["transform"],
+            "provider_dataset": provider_dataset or f["provider_dataset"], "raw_artifact_sha256": raw_sha256, "transform": f["transform"],
             "license_scope": license_scope, "generated_by": generated_by,
         },
     )
@@ -281,27 +281,67 @@ def context_availability(spark: SparkSession, path: str, as_of: str | None = Non
     return {"schema_version": D.CONTEXT_REPORT, "input_csv": D.file_record(path), "as_of": as_of} | _report(found)
 
 
+_SOURCE_COUNTERS = (
+    "raw_row_count", "normalized_row_count", "filtered_after_as_of_count", "invalid_date_count", "null_value_count", "non_positive_value_count", "duplicate_date_count",
+)
+_SOURCE_WARNINGS = (
+    ("invalid_date_count", "invalid_dates_dropped"), ("null_value_count", "null_values_dropped"), ("non_positive_value_count", "non_positive_values_dropped"),
+    ("filtered_after_as_of_count", "rows_after_as_of_filtered"), ("duplicate_date_count", "duplicate_dates_collapsed"),
+)
+
+
+def source_report(spark: SparkSession, source: str, path: str, columns: Mapping[str, str], as_of: str | None, max_lag: int | None) -> dict[str, Any]:
+    """Audit of one public source (date and value columns of a CSV); a missing column is a failure of the report."""
+    with open(path, newline="", encoding="utf-8") as f:
+        header = next(csv.reader(f), [])
+    lost = [c for c in columns.values() if c not in header]
+    found = dict.fromkeys(_SOURCE_COUNTERS, 0) | {"first_date": None, "last_date": None}
+    raw = read_csv(spark, path, {c: c for c in header} if lost else dict(columns)).withColumn("series", F.lit(source))
+    if lost:
+        found["raw_row_count"] = raw.count()
+    elif row := Q.source_audit(raw, as_of).first():
+        found = row.asDict()
+    failures = [f"{source}:missing_required_column:{c}" for c in lost]
+    lag = None
+    if not lost and not found["normalized_row_count"]:
+        failures.append(f"{source}:insufficient_positive_history")
+    elif not lost and as_of:
+        lag = max(0, (_date(as_of) - found["last_date"]).days)
+        failures += [f"{source}:latest_observation_stale"] if max_lag is not None and lag > max_lag else []
+    return D.file_record(path, source_id=source) | {k: found[k] for k in _SOURCE_COUNTERS} | {
+        "selected_columns": dict(columns), "source_columns": header, "first_date": str(found["first_date"] or ""), "last_date": str(found["last_date"] or ""),
+        "latest_observation_lag_days": lag, "max_allowed_lag_days": max_lag, "failure_reasons": failures,
+        "warning_reasons": [f"{source}:{text}" for c, text in _SOURCE_WARNINGS if found[c] and not lost],
+    }
+
+
 def public_context_availability(
-    vix: DataFrame, cape: DataFrame, as_of: str | None, paths: Mapping[str, str], max_lags: Mapping[str, int] | None = None, min_history: int = 1, max_gap: int = 7
-) -> dict[str, Any]:
-    """Report on both sources and the merged series; stale or empty sources fail it."""
+    spark: SparkSession, paths: Mapping[str, str], columns: Mapping[str, Mapping[str, str]], as_of: str | None = None, max_lags: Mapping[str, int] | None = None,
+    min_history: int = 1, max_gap: int = 7,
+) -> dict[str, Any]:
+    """Report on the volatility and the valuation source and on what they make together. Sources that
+    lack a column, are empty or stale fail it; the merged series is only built if none does."""
     lags = {"fred.vixcls": 10, "shiller.cape_monthly": 120} | dict(max_lags or {})
-    failures, sources = [], []
-    for source, df in (("fred.vixcls", vix), ("shiller.cape_monthly", cape)):
-        span = df.agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("a"), F.max("date").alias("b")).first()
-        lag = None if span.b is None or as_of is None else max(0, (_date(as_of) - span.b).days)
-        found = ([f"{source}:insufficient_positive_history"] if not span.n else []) + ([f"{source}:latest_observation_stale"] if lag is not None and lag > lags[source] else [])
-        sources.append({"source_id": source, "row_count": span.n, "first_date": str(span.a or ""), "last_date": str(span.b or ""), "lag_days": lag, "max_allowed_lag_days": lags[source], "failure_reasons": found} | D.file_record(paths[source]))
-        failures += found
-    days = Q.gap_stats(I.public_context(vix, cape), ("series",), max_gap).first()
-    n = days.normalized_row_count if days else 0
-    failures += (["no_usable_rows"] if n <= 0 else []) + (["insufficient_history_rows"] if n < min_history else [])
-    warnings = ["date_gaps_above_threshold"] if days and days.gap_count_above_threshold else []
+    sources = [source_report(spark, s, paths[s], columns[s], as_of, lags[s]) for s in lags]
+    failures = [r for s in sources for r in s["failure_reasons"]]
+    warnings = [r for s in sources for r in s["warning_reasons"]]
+    rows, days = 0, None
+    if not failures:
+        read = lambda s: N.metric(read_csv(spark, paths[s], dict(columns[s])).withColumn("series", F.lit("x")), "value", as_of)
+        merged = I.public_context(*(read(s) for s in lags))
+        span = merged.agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("a"), F.max("date").alias("b")).first()
+        days = Q.gap_stats(merged, ("series",), max_gap).first()
+        rows = span.n
+        failures += ["insufficient_public_context_history"] if rows < min_history else []
+        warnings += ["public_context_date_gaps_above_threshold"] if days and days.gap_count_above_threshold else []
+    failures, warnings = list(dict.fromkeys(failures)), list(dict.fromkeys(warnings))
     return {
-        "schema_version": D.PUBLIC_CONTEXT_REPORT, "as_of": as_of, "sources": sources, "normalized_row_count": n,
+        "schema_version": D.PUBLIC_CONTEXT_REPORT, "artifact_type": "us_equity_public_context_availability_report",
+        "quality_status": "fail" if failures else "warn" if warnings else "pass", "failure_reasons": failures, "warning_reasons": warnings,
+        "as_of": None if as_of is None else as_of[:10], "min_history_rows": min_history, "max_allowed_gap_days": max_gap,
+        "max_fred_vix_lag_days": lags["fred.vixcls"], "max_shiller_cape_lag_days": lags["shiller.cape_monthly"], "input_sources": sources,
+        "public_context_row_count": rows, "first_date": str(span.a or "") if rows else "", "last_date": str(span.b or "") if rows else "",
         "max_gap_days": days.max_gap_days if days else 0, "gap_count_above_threshold": days.gap_count_above_threshold if days else 0,
-        "failure_reasons": list(dict.fromkeys(failures)), "warning_reasons": warnings,
-        "quality_status": "fail" if failures else "warn" if warnings else "pass",
     }
 
 

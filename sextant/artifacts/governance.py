@@ -94,6 +94,7 @@ def ownership_matrix(consumers: Iterable[str] | None = None) -> dict[str, Any]:
         have = {f"{s}.{f}" for r in owners for s in r["symbols"] for f in r["derived_indicator_fields"]}
         records.append({
             "consumer": c, "consumer_kind": "research" if c.startswith("research:") else "runtime", "source_families": sorted(r["family"] for r in owners),
+            "publication_lag_policies": list(dict.fromkeys(p["publication_lag_policy"] for r in owners for p in r["source_profiles"])),
             "missing_required_fields": sorted(need - have), "all_required_fields_covered": need <= have,
         })
     runtime = [r for r in records if r["consumer_kind"] == "runtime"]
@@ -123,23 +124,41 @@ def validate_domains(document: Mapping[str, Any]) -> dict[str, int]:
     return {"domain_count": len(document), "implemented_family_count": len(implemented), "planned_family_count": len(planned)}
 
 
+# What a source profile must say.
+_PROFILE_TEXTS = ("source_name", "provider_dataset", "history_frequency", "point_in_time_status", "publication_lag_policy", "research_use_policy")
+
+
+def profile_summary(record: Mapping[str, Any]) -> dict[str, Any]:
+    """Source profiles of a family in short, each checked; an older record has none."""
+    if record.get("source_profiles") is None:
+        return {"source_profile_count": 0, "source_ids": [], "covered_fields": [], "profiles": []}
+    family, profiles = record["family"], record["source_profiles"]
+    D.check(isinstance(profiles, list) and profiles and all(isinstance(p, Mapping) for p in profiles), f"{family} needs a list of source profiles")
+    known, short = {f.lower() for f in record["derived_indicator_fields"]}, []
+    for p in profiles:
+        D.required(p, "source_id", *_PROFILE_TEXTS, owner=f"a source profile of {family}")
+        fields = D.texts(p.get("produced_fields"), f"produced_fields of {p['source_id']}")
+        D.check({f.lower() for f in fields} <= known, f"{p['source_id']} produces fields its family lacks")
+        limit = p.get("max_allowed_lag_days")
+        D.check(limit is None or isinstance(limit, int) and not isinstance(limit, bool) and limit >= 0, f"{p['source_id']} has a bad lag limit")
+        short.append({"source_id": p["source_id"], "produced_fields": fields} | {k: p[k] for k in ("point_in_time_status", "history_frequency", "max_allowed_lag_days") if p.get(k) is not None})
+    ids = D.texts([p["source_id"] for p in profiles], f"source ids of {family}")
+    return {"source_profile_count": len(ids), "source_ids": ids, "covered_fields": sorted({f for p in short for f in p["produced_fields"]}), "profiles": short}
+
+
 def validate_catalog(document: Mapping[str, Any], complete: bool = False) -> dict[str, Any]:
     """Records equal the local ones (an older one may lack source profiles) and satisfy their consumers."""
     D.schema(document, D.CATALOG)
     records = document.get("families")
     D.check(isinstance(records, list) and records, "a catalog needs families")
     names = D.texts([r.get("family") for r in records], "families")
-    profiles = 0
+    profiles = {}
     for r in records:
         local = family_record(r["family"])
         D.check(D.json_safe(r) in (local, {k: v for k, v in local.items() if k != "source_profiles"}), f"the record of {r['family']} has drifted")
         lacks = {c: x for c, x in coverage(r).items() if x}
         D.check(not lacks, f"{r['family']} doesn't cover {lacks}")
-        for p in r.get("source_profiles", ()):
-            profiles += 1
-            D.check(set(p["produced_fields"]) <= set(r["derived_indicator_fields"]), f"{p['source_id']} produces fields its family lacks")
-            limit = p.get("max_allowed_lag_days", 0)
-            D.check(isinstance(limit, int) and not isinstance(limit, bool) and limit >= 0, f"{p['source_id']} has a bad lag limit")
+        profiles[r["family"]] = profile_summary(r)
     missing = sorted(set(FAMILIES) - set(names))
     D.check(not (complete and missing), f"the catalog lacks {', '.join(missing)}")
     D.no_sensitive_keys(document, "catalog")
@@ -147,7 +166,7 @@ def validate_catalog(document: Mapping[str, Any], complete: bool = False) -> dic
     found = validate_domains(domains) if domains else {"domain_count": 0, "implemented_family_count": 0, "planned_family_count": 0}
     return found | {
         "schema_version": D.CATALOG, "family_count": len(names), "families": names, "known_family_count": len(FAMILIES), "missing_known_families": missing,
-        "all_known_families_present": not missing, "domain_coverage_present": bool(domains), "domains": sorted(domains or ()), "source_profile_count": profiles,
+        "all_known_families_present": not missing, "domain_coverage_present": bool(domains), "domains": sorted(domains or ()), "source_profile_count": sum(p["source_profile_count"] for p in profiles.values()), "source_profile_coverage": profiles,
         "all_consumer_contracts_satisfied": True, "all_runtime_consumers_covered": runtime_coverage(records)["all_runtime_consumers_covered"],
     }
 

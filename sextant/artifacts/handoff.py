@@ -325,14 +325,15 @@ def publish(
     gates: Gates = Gates(True, True, True),
 ) -> dict[str, Any]:
     """Registry, catalog, handoff, index, audit, plan and adapter config for one consumer, each read
-    again once written, all inside ``directory``."""
+    again once written, all inside ``directory`` but the index, which by default lies beside it."""
     root = Path(directory).resolve()
     D.inside(root, bundle_manifest)
     registry = G.write_pinned("registry", root, G.registry())
     catalog = G.write_pinned("catalog", root, G.catalog())
     stem = consumer_stem(consumer)
-    handoff_path, index_path = root / f"{stem}.handoff.json", Path(index).resolve() if index else root / "platform_handoff_index.json"
-    D.check(index_path.is_relative_to(root), f"{index_path} must lie inside {root}")
+    handoff_path, index_path = root / f"{stem}.handoff.json", Path(index).resolve() if index else root.parent / "index.json"
+    # Entries are relative to the index, which therefore lies in the publication's folder or above it.
+    D.check(index_path.parent == root or index_path.is_relative_to(root) or root.is_relative_to(index_path.parent), f"{index_path} must lie in {root} or above it")
     handoff = write_handoff(handoff_path, bundle_manifest, catalog["manifest_path"], registry["manifest_path"], consumer, gates)
     indexed = upsert_handoff(index_path, handoff_path, gates=gates)
     as_of = as_of or handoff["as_of"]

@@ -21,6 +21,7 @@ from ..artifacts import handoff as H
 from ..operators import indicators as I
 from ..operators import normalize as N
 from ..sources import files as S
+from ..sources import klines as K
 
 COLUMNS = ("date", "close", "high", "low", "volume")
 
@@ -63,7 +64,7 @@ def _quality(a: argparse.Namespace, path: str, name: str, least: int, gap: int)
 def _provenance(a: argparse.Namespace) -> dict[str, Any]:
     return {
         "as_of": a.as_of, "generated_at": a.generated_at, "source_version": a.source_version, "code_commit": a.code_commit, "provider": a.provider,
-        "status": a.freshness_status, "license_scope": a.license_scope,
+        "status": a.freshness_status, "license_scope": a.license_scope, "provider_dataset": a.provider_dataset,
     }
 
 
@@ -156,15 +157,19 @@ def _metric(path: str, date: str, value: str, as_of: str | None):
 
 
 def export_public_context(a: argparse.Namespace) -> dict[str, Any]:
-    vix = _metric(a.fred_vixcls_csv, a.fred_date_column, a.fred_vix_column, a.as_of)
-    cape = _metric(a.shiller_cape_csv, a.shiller_date_column, a.shiller_cape_column, a.as_of)
     paths = {"fred.vixcls": a.fred_vixcls_csv, "shiller.cape_monthly": a.shiller_cape_csv}
     lags = {"fred.vixcls": a.max_fred_vix_lag_days, "shiller.cape_monthly": a.max_shiller_cape_lag_days}
     if a.quality_report:
-        report = B.public_context_availability(vix, cape, a.as_of, paths, lags, a.min_history, a.max_allowed_gap_days)
+        columns = {
+            "fred.vixcls": {"date": a.fred_date_column, "value": a.fred_vix_column},
+            "shiller.cape_monthly": {"date": a.shiller_date_column, "value": a.shiller_cape_column},
+        }
+        report = B.public_context_availability(_spark(), paths, columns, a.as_of, lags, a.min_history, a.max_allowed_gap_days)
         D.write(a.quality_report, report)
         if report["quality_status"] == "fail":
             raise ValueError(f"the availability report failed: {', '.join(report['failure_reasons'])}")
+    vix = _metric(a.fred_vixcls_csv, a.fred_date_column, a.fred_vix_column, a.as_of)
+    cape = _metric(a.shiller_cape_csv, a.shiller_date_column, a.shiller_cape_column, a.as_of)
     frame = I.public_context(vix, cape, F.lit(a.provider_timestamp) if a.provider_timestamp else None).drop("series")
     sources = [D.file_record(p, source_id=s) for s, p in paths.items()]
     return _exported(a, frame, input_csv=a.fred_vixcls_csv, artifact_type="us_equity_public_context_research_csv", transform="us_equity.nasdaq_sp500.context.v1", sources=sources, parameters={"max_allowed_lag_days": lags}, quality_report=a.quality_report)
@@ -261,6 +266,29 @@ def publish(a: argparse.Namespace) -> dict[str, Any]:
     return H.publish(a.publication_dir, a.signal_bundle_manifest, a.consumer, index=a.index_path, as_of=a.lookup_as_of, strategy=a.strategy, gates=gates)
 
 
+def publish_cycle(a: argparse.Namespace) -> dict[str, Any]:
+    """Prices (given or fetched), the day, the cycle bundle, its publication and, if asked for, the upload."""
+    work = Path(a.work_dir).resolve()
+    source, provider = a.input_csv or str(work / "inputs" / "btc_daily.csv"), "local_csv"
+    if not a.input_csv:
+        _, provider = K.fetch_csv(source)
+    as_of = S.resolve_as_of(source, a.as_of, K.default_as_of())
+    root = work / "platform_handoffs"
+    folder = root / as_of
+    made = main_json([
+        "build-btc-cycle-bundle", "--input-csv", source, "--output-dir", str(folder / "bundle"), "--as-of", as_of, "--generated-at", f"{as_of}T00:15:00Z",
+        "--provider", provider, "--provider-dataset", "btcusdt_daily_klines", "--source-version", a.source_version, "--code-commit", a.code_commit,
+    ])
+    found = main_json([
+        "publish-platform-signal-handoff", "--publication-dir", str(folder), "--signal-bundle-manifest", str(made["manifest"]), "--consumer", a.consumer,
+        "--strategy", a.strategy, "--index-path", str(root / "index.json"), "--lookup-as-of", as_of,
+    ])
+    if a.execute:
+        D.check(a.upload_prefix, "an upload needs --upload-prefix")
+        K.upload(root, a.upload_prefix)
+    return {"as_of": as_of, "provider": provider, "bundle_manifest": made["manifest"], "uploaded": bool(a.execute)} | {k: found[k] for k in ("publication_dir", "platform_handoff_index_path")}
+
+
 def check_bundle(a: argparse.Namespace) -> dict[str, Any]:
     if a.index:
         return B.validate_index(a.path, a.consumer, a.as_of, a.bundle_id)
@@ -343,12 +371,22 @@ def parser() -> argparse.ArgumentParser:
         "publish-platform-signal-handoff", publish, "publication-dir", "signal-bundle-manifest", "consumer", index_path=None, lookup_as_of=None, strategy=None,
         accepted_freshness_status=[], allow_partial_source_catalog=False, allow_partial_consumer_registry=False, allow_partial_runtime_coverage=False,
     )
+    command(
+        "publish-cycle-handoff", publish_cycle, work_dir="data/output", as_of=None, input_csv=None, upload_prefix=None, execute=False, source_version="0.1.0",
+        code_commit="0" * 40, consumer="us_equity:ibit_smart_dca", strategy="ibit_smart_dca",
+    )
     command("validate-quality-report", lambda a: D.with_file(a.path, B.validate_quality(D.read(a.path), not a.allow_fail_status)), allow_fail_status=False).add_argument("path")
     command("validate-research-export", lambda a: B.validate_export(a.path, a.expected_artifact_type, a.expected_transform), expected_artifact_type=None, expected_transform=None).add_argument("path")
     command("validate-signal-bundle", check_bundle, index=False, as_of=None, bundle_id=None, consumer=None).add_argument("path")
     return top
 
 
+def main_json(argv: list[str]) -> dict[str, Any]:
+    """What a command finds, for commands that run others."""
+    a = parser().parse_args(argv)
+    return D.json_safe(a.run(a))
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     try:

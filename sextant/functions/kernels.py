@@ -138,10 +138,35 @@ def _wilder(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def prefix_ranks(x: np.ndarray) -> np.ndarray:
+    """For each value how many of those up to and with it don't exceed it, in n log(n)^2 steps: halves of
+    ever larger blocks are merged, and values of a right half count those of the left one."""
+    n = len(x)
+    _, rank = np.unique(x, return_inverse=True)
+    count, at = np.ones(n, np.int64), np.arange(n)
+    width = 1
+    while width < n:
+        block, right = at // (2 * width), (at // width) & 1
+        order = np.lexsort((right, rank, block))  # left values before equal right ones
+        lefts = np.cumsum(1 - right[order])
+        start = np.concatenate([[0], lefts])[np.searchsorted(block[order], block[order])]
+        count[order] += np.where(right[order] == 1, lefts - start, 0)
+        width *= 2
+    return count
+
+
+def _expanding_percentile(x: np.ndarray, _: int) -> np.ndarray:
+    """Share of the values so far that don't exceed the current one; nulls have none and don't count."""
+    out, known = np.full(len(x), None, object), ~np.isnan(x)
+    found = x[known]
+    out[known] = prefix_ranks(found) / np.arange(1, len(found) + 1)
+    return out
+
+
 @dataclass(frozen=True)
 class Recursive:
     out: str
-    kind: Literal["ema", "wilder_rsi"]
+    kind: Literal["ema", "wilder_rsi", "expanding_percentile"]
     column: str
     n: int
 
@@ -153,7 +178,7 @@ def with_recursive(df: DataFrame, series: Series, wanted: list[Recursive]) -> Da
     are. Windows on the same keys before and after share the one shuffle.
     """
     schema = T.StructType([*df.schema.fields, *(T.StructField(w.out, T.DoubleType()) for w in wanted)])
-    kernels = {"ema": _ema, "wilder_rsi": _wilder}
+    kernels = {"ema": _ema, "wilder_rsi": _wilder, "expanding_percentile": _expanding_percentile}
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(series.order, kind="stable")

@@ -101,6 +101,18 @@ def cycle_frame(rows: DataFrame, min_history: int = 200, series: Series = SYMBOL
     }).select(*series.keys, "date", *CYCLE_FIELDS)
 
 
+def tail(rows: DataFrame, n: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """The last ``n`` days of each series; Spark cuts each partition to them before the exchange."""
+    w = Window.partitionBy(*keys).orderBy(F.col("date").desc())
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
+def cycle_latest(rows: DataFrame, min_history: int = 200, series: Series = SYMBOLS) -> DataFrame:
+    """Last row of ``cycle_frame``, from the days it depends on: the first stage looks back 252 days
+    or the minimum history, the second over 365 rows of the first."""
+    return latest(cycle_frame(tail(rows, max(min_history, 252) + 364, series.keys), min_history, series), series.keys)
+
+
 @dataclass(frozen=True)
 class RotationParams:
     trend_window: int = 140
@@ -149,7 +161,7 @@ def rotation_frame(rows: DataFrame, params: RotationParams = RotationParams(), s
     fixed = {"lookback": p.volatility_quantile_window, "percentile": p.volatility_quantile, "min_periods": least, "floor": p.volatility_floor, "cap": p.volatility_cap}
 
     def dynamic(name: str) -> list[Column]:
-        first = [threshold.alias(f"{name}_dynamic_threshold"), F.col("_vol_n").alias(f"{name}_dynamic_sample_count")]
+        first = [threshold.alias(f"{name}_dynamic_threshold"), F.col("_vol_n").cast("double").alias(f"{name}_dynamic_sample_count")]
         return first + [F.lit(float(v)).alias(f"{name}_dynamic_{k}") for k, v in fixed.items()]
 
     return rows.select(
@@ -178,8 +190,7 @@ def rotation_latest(rows: DataFrame, params: RotationParams = RotationParams(),
 
 def expanding_percentile(rows: DataFrame, value: str = "value", series: Series = METRICS) -> DataFrame:
     """``rows`` with ``percentile``: share of the values so far that don't exceed the current one."""
-    at_most = F.size(F.filter(F.collect_list(value).over(series.so_far), lambda v: v <= F.col(value)))
-    return rows.withColumn("percentile", F.when(F.col(value).isNotNull(), at_most / F.count(value).over(series.so_far)))
+    return with_recursive(rows, series, [Recursive("percentile", "expanding_percentile", value, 0)])
 
 
 def public_context(vix: DataFrame, cape: DataFrame, stamp: Column | None = None, keys: tuple[str, ...] = ("series",)) -> DataFrame:

@@ -157,3 +157,24 @@ def staleness(days: DataFrame, as_of: str, max_lag: int, keys: tuple[str, ...] =
     found = days.groupBy(*keys).agg(F.max("date").alias("last_date"), lag.cast("long").alias("lag_days"))
     stale = F.when(F.col("lag_days") > max_lag, F.array(F.concat_ws(":", *keys, F.lit("latest_observation_stale")))).otherwise(F.array().cast("array<string>"))
     return found.withColumn("failure_reasons", stale)
+
+
+def source_audit(raw: DataFrame, as_of: str | None, keys: tuple[str, ...] = ("series",)) -> DataFrame:
+    """(keys, counters, first_date, last_date) of raw rows (date, value) of public series: what is invalid, null, not
+    positive, after ``as_of`` or repeated, and the span of what stays. One aggregation."""
+    rows = raw.select(*keys, C.day(F.col("date")).alias("date"), C.number(F.col("value")).alias("value"))
+    usable = F.coalesce(F.col("date").isNotNull() & (F.col("value") > 0), F.lit(False))
+    after = F.lit(False) if as_of is None else F.coalesce(F.col("date") > F.lit(as_of).cast("date"), F.lit(False))
+    kept = usable & ~after
+    found = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("raw_row_count"),
+        F.countDistinct(F.when(kept, F.col("date"))).alias("normalized_row_count"),
+        _count(usable & after).alias("filtered_after_as_of_count"),
+        _count(F.col("date").isNull()).alias("invalid_date_count"),
+        _count(F.col("value").isNull()).alias("null_value_count"),
+        _count(F.col("value") <= 0).alias("non_positive_value_count"),
+        _count(kept).alias("_kept"),
+        F.min(F.when(kept, F.col("date"))).alias("first_date"),
+        F.max(F.when(kept, F.col("date"))).alias("last_date"),
+    )
+    return found.withColumn("duplicate_date_count", F.col("_kept") - F.col("normalized_row_count")).drop("_kept")

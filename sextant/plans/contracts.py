@@ -57,15 +57,20 @@ def _family(
     }
 
 
-def _profile(source_id: str, dataset: str, fields: tuple[str, ...], frequency: str, status: str, lag_policy: str, max_lag: int | None = None) -> dict:
+def _profile(
+    source_id: str, name: str, dataset: str, fields: tuple[str, ...], frequency: str, status: str, lag_policy: str, use: str, url: str = "", max_lag: int | None = None
+) -> dict:
     limit = {} if max_lag is None else {"max_allowed_lag_days": max_lag}
     return {
         "source_id": source_id,
+        "source_name": name,
         "provider_dataset": dataset,
         "produced_fields": list(fields),
         "history_frequency": frequency,
         "point_in_time_status": status,
         "publication_lag_policy": lag_policy,
+        "research_use_policy": use,
+        "source_url": url,
     } | limit
 
 
@@ -86,16 +91,33 @@ _ROTATION = (
 )
 _CONTEXT = ("breadth_above_sma200_pct", "cape_percentile", "provider_timestamp", "vix_percentile")
 _T1 = "use at least T+1 before same-day DCA decisions"
-_VIX = _profile("fred.vixcls", "VIXCLS", ("vix_percentile",), "daily", "public_history_with_execution_lag", _T1, 10)
-_CAPE = _profile("shiller.cape_monthly", "ie_data.xls", ("cape_percentile",), "monthly", "public_revised_history_snapshot_required", "month-end or later; never same-day daily timing", 120)
+_HISTORY = "public_history_with_execution_lag"
+_VIX = _profile(
+    "fred.vixcls", "Federal Reserve Economic Data VIXCLS", "VIXCLS", ("vix_percentile",), "daily", _HISTORY, _T1,
+    "accepted for research when the downloaded CSV, as_of, and percentile lookback are hash-pinned", "https://fred.stlouisfed.org/series/VIXCLS", 10,
+)
+_CAPE = _profile(
+    "shiller.cape_monthly", "Robert Shiller online data CAPE", "ie_data.xls", ("cape_percentile",), "monthly", "public_revised_history_snapshot_required",
+    "month-end or later; never same-day daily timing",
+    "accepted for low-frequency valuation research only when the raw download snapshot and revision date are preserved", "https://www.econ.yale.edu/~shiller/data.htm", 120,
+)
 _BREADTH = _profile(
-    "index_breadth.point_in_time_vendor", "spx_ndx_members_above_sma200_daily", ("breadth_above_sma200_pct",), "daily",
+    "index_breadth.point_in_time_vendor", "Point-in-time index breadth history", "spx_ndx_members_above_sma200_daily", ("breadth_above_sma200_pct",), "daily",
     "requires_point_in_time_vendor_or_breadth_index", "vendor timestamp must be no later than DCA evaluation lag",
+    "reject current-constituent backfills; use only point-in-time constituents or an auditable historical breadth index",
+)
+_NASDAQ = _profile(
+    "fred.nasdaq100", "Federal Reserve Economic Data NASDAQ100", "NASDAQ100", ("QQQ",), "daily", _HISTORY, _T1,
+    "accepted as a Nasdaq price proxy only when the downloaded CSV, as_of, and transform version are hash-pinned", "https://fred.stlouisfed.org/series/NASDAQ100", 10,
+)
+_SP500 = _profile(
+    "fred.sp500", "Federal Reserve Economic Data SP500", "SP500", ("SPY",), "daily", _HISTORY, _T1,
+    "accepted as an S&P 500 price proxy only when the downloaded CSV, as_of, and transform version are hash-pinned", "https://fred.stlouisfed.org/series/SP500", 10,
 )
 
 
-def _cache(dataset: str, fields: tuple[str, ...], policy: str) -> tuple[dict, ...]:
-    return (_profile(f"local_csv.{dataset}", dataset, fields, "daily", "cache_snapshot_required", policy),)
+def _cache(dataset: str, name: str, fields: tuple[str, ...], policy: str, use: str) -> tuple[dict, ...]:
+    return (_profile(f"local_csv.{dataset}", name, dataset, fields, "daily", "cache_snapshot_required", policy, use),)
 
 
 _US_POLICY, _CRYPTO_POLICY = "us_equity_daily_close_t_plus_1", "crypto_daily_close_t_plus_1"
@@ -109,16 +131,25 @@ FAMILIES: dict[str, dict] = {
                 "research:ibit_btc_ahr999_precomputed", "research:ibit_btc_ahr999_helper_precomputed_variants",
                 "research:ibit_btc_ahr999_mayer_precomputed", "research:ibit_btc_ahr999_mayer_precomputed_variants",
             ),
-            _cache("btc_usd_daily_ohlcv", _CYCLE, _CRYPTO_POLICY),
+            _cache(
+                "btc_usd_daily_ohlcv", "Local BTC daily OHLCV cache", _CYCLE, _CRYPTO_POLICY,
+                "accepted when raw OHLCV cache hash, provider timestamp, and transform version are pinned",
+            ),
         ),
         _family(
             "us_equity.technical_daily", "us_equity.technical.daily", "technical.daily_ohlcv.v1", "us_equity_daily_ohlcv", _US_POLICY, 252, ("QQQ", "SPY"), _TECHNICAL,
-            ("us_equity:nasdaq_sp500_smart_dca",), (), _cache("us_equity_daily_ohlcv", _TECHNICAL, _US_POLICY),
+            ("us_equity:nasdaq_sp500_smart_dca",), (), _cache(
+                "us_equity_daily_ohlcv", "Local US equity daily OHLCV cache", _TECHNICAL, _US_POLICY,
+                "accepted when raw OHLCV cache hash, provider timestamp, and technical transform version are pinned",
+            ),
         ),
         _family(
             "us_equity.semiconductor_rotation_daily", "us_equity.semiconductor_rotation.daily", "us_equity.semiconductor_rotation.v1",
             "us_equity_semiconductor_daily_ohlcv", _US_POLICY, 420, ("SOXL", "SOXX"), _ROTATION,
-            ("us_equity:soxl_soxx_trend_income",), (), _cache("us_equity_semiconductor_daily_ohlcv", _ROTATION, _US_POLICY),
+            ("us_equity:soxl_soxx_trend_income",), (), _cache(
+                "us_equity_semiconductor_daily_ohlcv", "Local SOXL/SOXX daily OHLCV cache", _ROTATION, _US_POLICY,
+                "accepted when both SOXL and SOXX raw OHLCV cache hashes, provider timestamp, and semiconductor rotation transform version are pinned",
+            ),
         ),
         _family(
             "us_equity.nasdaq_sp500_context_daily", "us_equity.nasdaq_sp500.context", "us_equity.nasdaq_sp500.context.v1", "nasdaq_sp500_external_context_daily",
@@ -131,10 +162,7 @@ FAMILIES: dict[str, dict] = {
         _family(
             "us_equity.nasdaq_sp500_price_proxy_daily", "us_equity.nasdaq_sp500.price_proxy", "us_equity.nasdaq_sp500.price_proxy.v1", "fred_nasdaq100_sp500_daily",
             "us_equity_price_proxy_t_plus_1", 1, ("US-EQUITY-PRICE-PROXY",), ("QQQ", "SPY", "provider_timestamp"), (), ("research:nasdaq_sp500_price_proxy",),
-            (
-                _profile("fred.nasdaq100", "NASDAQ100", ("QQQ",), "daily", "public_history_with_execution_lag", _T1, 10),
-                _profile("fred.sp500", "SP500", ("SPY",), "daily", "public_history_with_execution_lag", _T1, 10),
-            ),
+            (_NASDAQ, _SP500),
             "research_export",
         ),
     )
@@ -263,15 +291,13 @@ def matching_families(families: DataFrame, transform: str, policy: str, consumer
 
 def newest(entries: DataFrame, as_of: str | None, profile: str | None, statuses: tuple[str, ...] = ("fresh",), keys: tuple[str, ...] = ()) -> DataFrame:
     """The entry of greatest as_of (first position on ties) that is fresh enough, not after ``as_of``
-    and compatible with ``profile``; per ``keys`` if given."""
-    from pyspark.sql.window import Window
-
+    and compatible with ``profile``; per ``keys`` if given. One partial aggregation, no window over all entries."""
     ok = F.lower("freshness_status").isin(*statuses)
     ok = ok if as_of is None else ok & (F.col("as_of") <= F.lit(as_of).cast(entries.schema["as_of"].dataType))
     ok = ok if profile is None else ok & F.array_contains("compatible_profiles", profile)
-    parts = keys or (F.lit(0),)
-    w = Window.partitionBy(*parts).orderBy(F.col("as_of").desc(), "position")
-    return entries.where(ok).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    first = F.max_by(F.struct(*entries.columns), F.struct(F.col("as_of"), -F.col("position")))
+    found = entries.where(ok).groupBy(*keys).agg(first.alias("_entry")).where("_entry is not null")
+    return found.select("_entry.*")
 
 
 def upsert(old: DataFrame, new: DataFrame, identity: tuple[str, ...]) -> DataFrame:

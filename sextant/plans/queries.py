@@ -113,13 +113,18 @@ def btc_slope30(spark: SparkSession, d: str) -> DataFrame:
 
 
 def btc_latest(spark: SparkSession, d: str) -> DataFrame:
-    return _dated(_round(I.latest(I.cycle_frame(_cycle(spark, d))), 4))
+    return _dated(_round(I.cycle_latest(_cycle(spark, d)), 4))
 
 
 def _rotation(spark: SparkSession, d: str) -> DataFrame:
     return I.rotation_frame(_bars(spark, d))
 
 
+def _whole_counts(frame: DataFrame) -> DataFrame:
+    """Sample counts as whole numbers, as the twins have them."""
+    return frame.withColumns({c: F.col(c).cast("long") for c in frame.columns if c.endswith("_sample_count")})
+
+
 def rotation_bands(spark: SparkSession, d: str) -> DataFrame:
     return _dated(_round(_rotation(spark, d).select("symbol", "date", "ma_trend", "ma20", "ma20_slope", "bb_upper", "bb_mid", "bb_lower"), 5))
 
@@ -130,11 +135,11 @@ def rotation_dynamic_rsi(spark: SparkSession, d: str) -> DataFrame:
 
 def rotation_dynamic_vol(spark: SparkSession, d: str) -> DataFrame:
     v = "realized_volatility_10"
-    return _dated(_round(_rotation(spark, d).select("symbol", "date", v, f"{v}_dynamic_threshold", f"{v}_dynamic_sample_count")))
+    return _dated(_round(_whole_counts(_rotation(spark, d).select("symbol", "date", v, f"{v}_dynamic_threshold", f"{v}_dynamic_sample_count"))))
 
 
 def rotation_latest(spark: SparkSession, d: str) -> DataFrame:
-    return _dated(_round(I.rotation_latest(_bars(spark, d)), 4))
+    return _dated(_round(_whole_counts(I.rotation_latest(_bars(spark, d))), 4))
 
 
 def expanding_percentile(spark: SparkSession, d: str) -> DataFrame:
