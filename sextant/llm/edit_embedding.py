@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ngram_join import JoinParams, _close, _merged, _open, _tasks
+from .ngram_join import JoinParams, _merged, _tasks, open_rows, star_pairs
 from .shared import discard, hot_keys, join_hot, release_shuffles, spread_keys, table, text_slices, with_members, written
 
 SAMPLES = 256
@@ -517,7 +517,8 @@ def near_links(prints: DataFrame, docs: DataFrame, id_col: str, text_col: str, p
     banded = classes.select("key", "fingerprint").mapInArrow(bands, "bucket long, key long")
     banded = written(banded, "edit-bands")
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
-    buckets = written(banded.join(shared, "bucket").distinct().join(classes.select("key", "n"), "key"), "edit-buckets")
+    sized = classes.select("key", "n", F.xxhash64("key").alias("rank"))
+    buckets = written(banded.join(shared, "bucket").distinct().join(sized, "key"), "edit-buckets")
     discard(banded)
     labels = written(buckets.select("key", F.col("key").alias("label")).distinct(), "edit-labels")
     members = labels.select("key").join(classes.select("key", "same"), "key")
@@ -529,17 +530,15 @@ def near_links(prints: DataFrame, docs: DataFrame, id_col: str, text_col: str, p
     checked: list[DataFrame] = []
     found: list[DataFrame] = []
     for turn in range(PIVOT_ROUNDS):
-        left = _open(buckets, labels, 3 if turn else 2, F.xxhash64("key", F.lit(turn)).alias("rank"), hot)  # a bucket of two is done after one round
-        star = left.where((F.col("label") != F.col("pl")) & _close("n", "pn", params.sizes().percent))
-        pairs = star.groupBy(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).agg(F.min("p").alias("p"))
-        for done in checked:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        checked.append(written(pairs, "edit-pairs"))
+        rows = written(open_rows(buckets, labels, turn, hot), "edit-open")
+        discard(buckets)
+        checked.append(written(star_pairs(rows, checked, params.sizes().percent), "edit-pairs"))
         found.append(written(_near(checked[-1], classes, texts, params), "edit-links"))
         labels = _merged(found[-1], labels)
-        del left, star, pairs
+        buckets = rows.where(F.col("key") != F.col("p")).select("bucket", "key", "n", "rank")
+        buckets.written_path = rows.written_path
         release_shuffles(docs.sparkSession)
-    left = _open(buckets, labels, 3, F.xxhash64("key", F.lit("rest")).alias("rank"), hot)
+    left = open_rows(buckets, labels, 0, hot)
     rest = written(left.select(F.col("p").alias("grp"), "key", "label", "n").distinct(), "edit-rest")
     found.append(written(_near_in_blocks(rest, classes, texts, params), "edit-links"))
     labels = _merged(found[-1], labels)

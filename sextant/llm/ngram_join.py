@@ -17,8 +17,8 @@ subsets say nothing and are left out where the guarantee allows it, and a set th
 shares fewer signatures than guaranteed has no partner and drops out. Both rules lose no link.
 
 Links. The sets of a bucket are compared with a pivot, exactly, and links are closed to
-components; buckets that hold one component are done, the others get new pivots for a few
-rounds. What then still shares a bucket across components is compared in blocks of bounded
+components; pivots leave their buckets, buckets that then hold one component are done, and the others
+get new pivots for some rounds. What then still shares a bucket across components is compared in blocks of bounded
 sets and elements, so that pairs are neither written nor shuffled. Pairs inside a component
 are never needed.
 """
@@ -36,8 +36,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .shared import Bitmap, discard, hot_keys, join_hot, release_shuffles, table, text_slices, written
+from .shared import Bitmap, discard, hot_keys, join_hot, release_shuffles, table, text_slices, with_members, written
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
@@ -53,7 +54,7 @@ class JoinParams:
     slack: float = 0.25  #: partitions beyond the needed ones, as a share
     parts: int | None = None  #: n2, second-level parts of a partition; None: picked by ``levels``
     part_differences: int | None = None  #: k2, differences that a partition may hold; None: picked by ``levels``
-    rounds: int = 2  #: rounds of pivots before blocks are compared
+    rounds: int = 3  #: rounds of pivots before blocks are compared
     block: int = 256  #: sets of a block
     block_elements: int = 1 << 18  #: elements of a block, more only if a single set has more
     passes: int = 4  #: shares of the signatures that are shuffled one after another, to save disk
@@ -114,15 +115,14 @@ def partitions(k: int, k2: int, slack: float) -> tuple[int, int]:
 
 @lru_cache(maxsize=4096)
 def levels(params: JoinParams, largest: int) -> tuple[int, int]:
-    """(n2, k2) of the band whose largest size this is: (3, 1) where, at the band's least size, two
-    parts are so seldom empty that the spare partitions make up for it, otherwise (1, 0)."""
+    """(n2, k2) of the band whose largest size this is: (3, 1) where, at the band's least size, fewer
+    than one partition in a hundred has two empty parts, otherwise (1, 0)."""
     if params.parts is not None and params.part_differences is not None:
         return params.parts, params.part_differences
     k = (100 - params.percent) * 2 * largest // (100 + params.percent)
-    n1, spare = partitions(k, 1, params.slack)
+    n1, _ = partitions(k, 1, params.slack)
     least = largest * params.percent * params.percent / 10_000
-    empty = 3 * n1 * math.exp(-2 * least / (3 * n1))
-    return (3, 1) if empty + 2 * math.sqrt(empty) <= spare else (1, 0)
+    return (3, 1) if 3 * math.exp(-2 * least / (3 * n1)) < 0.01 else (1, 0)
 
 
 def signatures(s: np.ndarray, params: JoinParams) -> list[tuple[int, np.ndarray]]:
@@ -243,16 +243,6 @@ def _close(n: str, m: str, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _compared(pairs: DataFrame, checked: DataFrame | None, labels: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Compare the ``pairs`` (a, b, p) not yet ``checked``; all that is checked now, and the
-    labels after joining the components that the new links connect."""
-    if checked is not None:
-        pairs = pairs.join(checked, ["a", "b"], "left_anti")
-    new = written(_verified(written(pairs, "join-pairs"), sets, percent), "join-checked")
-    done = new.select("a", "b") if checked is None else written(checked.union(new.select("a", "b")), "join-done")
-    return done, _merged(new.where("linked"), labels)
-
-
 def _merged(links: DataFrame, labels: DataFrame) -> DataFrame:
     """``labels`` after joining the components that ``links`` (a, b) connect."""
     of = lambda end: labels.select(F.col("key").alias(end), F.col("label").alias(f"l{end}"))
@@ -264,45 +254,83 @@ def _merged(links: DataFrame, labels: DataFrame) -> DataFrame:
     return merged
 
 
-def _open(buckets: DataFrame, labels: DataFrame, least: int, rank: Column, hot: list[tuple[int, int]] | None = None) -> DataFrame:
-    """(bucket, key, n, central, label, p, pn, pl): the rows of buckets of ``least`` sets or more in
-    several components, with the bucket's pivot, the set of highest ``rank``. ``hot``: see ``join_hot``."""
+def open_rows(buckets: DataFrame, labels: DataFrame, turn: int, hot: list[tuple[int, int]]) -> DataFrame:
+    """(bucket, key, n, rank, label, p, pn, pl): the rows of ``buckets`` (bucket, key, n, rank) that hold several
+    components, with the bucket's pivot p, its size and label.
+
+    The first pivot is the row of highest rank, later ones come from the bucket's smallest component. Once
+    a pivot is compared with its bucket it may leave it: a bucket whose other rows are of one component
+    is done, as any other pair of its has been compared. ``hot``: see ``join_hot``.
+    """
     labelled = buckets.join(labels, "key")
-    state = labelled.groupBy("bucket").agg(
-        F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m"), F.max(F.struct(rank, "key", "n", "label")).alias("p")
-    )
-    state = state.where((F.col("x") != F.col("y")) & (F.col("m") >= least))
+    own = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("rank", "key", "n", "label")).alias("best"))
+    first = F.struct(F.col("best.rank")) if turn == 0 else F.struct(-F.col("m"), F.col("best.rank"))
+    state = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("components"), F.max_by("best", first).alias("p")).where("components > 1")
     pivots = state.select("bucket", F.col("p.key").alias("p"), F.col("p.n").alias("pn"), F.col("p.label").alias("pl"))
     return join_hot(labelled, pivots, "bucket", F.col("key"), hot)
 
 
+def star_pairs(rows: DataFrame, checked: list[DataFrame], percent: int) -> DataFrame:
+    """(a, b, p): pairs of a pivot p and another row of its bucket, in different components and of sizes that can
+    link, that aren't among ``checked``."""
+    star = rows.where((F.col("label") != F.col("pl")) & _close("n", "pn", percent))
+    pairs = star.groupBy(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).agg(F.min("p").alias("p"))
+    for done in checked:
+        pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+    return pairs
+
+
+def _prefixes(rows: DataFrame, hot: list[tuple[int, int]]) -> DataFrame:
+    """Of the open ``rows`` those that are still needed.
+
+    Two sets that link and aren't compared yet share ``need`` open buckets or more. So a set in fewer has no
+    partner, and of the others each can do without its last need - 1 buckets in an order common to
+    all sets, the least crowded first: the first one that two partners share stays with both.
+    """
+    size = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
+    sized = join_hot(rows.select("bucket", "key", "n", "pos", "need", "rank"), size, "bucket", F.col("key"), hot)
+    own = Window.partitionBy("key", "pos")  # a set's own signatures in a band
+    counted = sized.withColumns({"_held": F.count(F.lit(1)).over(own), "_at": F.row_number().over(own.orderBy("m", "bucket"))})
+    return counted.where(F.col("_at") <= F.col("_held") - F.col("need") + 1).drop("m", "_held", "_at")
+
+
 def _link(buckets: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:
-    """(key, label): components of the sets of ``buckets`` (bucket, key, n) under exact links.
+    """(key, label): components of the sets of ``buckets`` (bucket, key, n, pos, need) under exact links.
 
     The first pivot of a bucket is its most central set, the one whose buckets are fullest:
-    in a group of copies, that is one close to the original. Later pivots go by a hash.
+    in a group of copies, that is one close to the original.
     """
     sets = written(sets, "join-sets")
     hot = hot_keys(buckets, "bucket")
     size = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
-    central = join_hot(buckets, size, "bucket", F.col("key"), hot).groupBy("key").agg(F.sum("m").alias("central"))
+    central = join_hot(buckets, size, "bucket", F.col("key"), hot).groupBy("key").agg(F.sum("m").alias("rank"))
     plain, buckets = buckets, written(buckets.join(central, "key"), "join-central")
     discard(plain)
-    release_shuffles(buckets.sparkSession)
-    checked, labels = None, written(buckets.select("key", F.col("key").alias("label")).distinct(), "join-labels")
-    for turn in range(params.rounds):
-        rank = F.xxhash64("key", F.pmod("bucket", F.lit(4)), F.lit(turn)) if turn else F.col("central")
-        rows = _open(buckets, labels, 3 if turn else 2, rank.alias("rank"), hot)  # a bucket of two is done after one round
-        star = rows.where((F.col("label") != F.col("pl")) & _close("n", "pn", params.percent))
-        pairs = star.groupBy(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).agg(F.min("p").alias("p"))
-        checked, labels = _compared(pairs, checked, labels, sets, params.percent)
-        del rows, star, pairs
+    labels = written(buckets.select("key", F.col("key").alias("label")).distinct(), "join-labels")
+    checked: list[DataFrame] = []
+    for turn in range(params.rounds + 1):
         release_shuffles(buckets.sparkSession)
-    rest = _open(buckets, labels, 3, F.col("central").alias("rank"), hot).select(F.col("p").alias("grp"), "key", "label", "n").distinct()
-    rest = written(rest, "join-rest")
+        rows = written(open_rows(buckets, labels, turn, hot), "join-open")
+        discard(buckets)
+        if turn == params.rounds:
+            break
+        pairs = written(star_pairs(rows, checked, params.percent), "join-pairs")
+        found = written(_verified(pairs, sets, params.percent), "join-checked")
+        discard(pairs)
+        checked.append(found)
+        old, labels = labels, _merged(found.where("linked"), labels)
+        discard(old)
+        buckets = rows.where(F.col("key") != F.col("p")).select("bucket", "key", "n", "pos", "need", "rank")
+        buckets.written_path = rows.written_path
+    buckets = written(_prefixes(rows, hot), "join-prefixes")
+    groups = open_rows(buckets, labels, 0, hot).select(F.col("p").alias("grp"), "key", "label", "n").distinct()
+    rest = written(groups, "join-rest")
+    discard(buckets)
+    discard(rows, *checked)
+    release_shuffles(rest.sparkSession)
     found = written(_across(rest, sets, params), "join-across")
     merged = _merged(found, labels)
-    discard(sets, buckets, checked, labels, rest, found)
+    discard(sets, labels, rest, found)
     return merged
 
 
@@ -371,7 +399,8 @@ def _across(rest: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:
     A task compares two blocks, see ``_tasks``: pairs are neither shuffled nor kept, and no task
     holds more than two blocks.
     """
-    rows = _tasks(rest, params).join(sets, "key").select("grp", "li", "bi", "lj", "bj", "first", "key", "label", "elements")
+    wanted = with_members(sets, rest.select("key").distinct(), F.col("key"))
+    rows = _tasks(rest, params).join(wanted, "key").select("grp", "li", "bi", "lj", "bj", "first", "key", "label", "elements")
     percent = params.percent
 
     def compare(part: pa.Table) -> pa.Table:
@@ -450,8 +479,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, params: JoinParams)
         release_shuffles(docs.sparkSession)
     per_set = reduce(DataFrame.union, hot).groupBy("at").agg(F.collect_set("bucket").alias("buckets"))
     info = signed.select("row", "key", F.col("n_shingles").alias("n"), F.posexplode("needs").alias("pos", "need"))
-    info = info.select((F.col("row") * 2 + F.col("pos")).alias("at"), "key", "n", "need")
-    buckets = per_set.join(info, "at").where(F.size("buckets") >= F.col("need")).select(F.explode("buckets").alias("bucket"), "key", "n").distinct()
+    info = info.select((F.col("row") * 2 + F.col("pos")).alias("at"), "key", "n", "pos", "need")
+    buckets = per_set.join(info, "at").where(F.size("buckets") >= F.col("need")).select(F.explode("buckets").alias("bucket"), "key", "n", "pos", "need").distinct()
     buckets = written(buckets, "join-buckets")
     del per_set, info
     discard(signed, *hot)
