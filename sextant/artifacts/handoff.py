@@ -65,6 +65,11 @@ def matching_families(records: Iterable[Mapping[str, Any]], bundle: Mapping[str,
     ]
 
 
+def research_families(records: Iterable[Mapping[str, Any]], transform: str, consumer: str | None) -> list[str]:
+    """Families of the export's transform that are compatible with the consumer."""
+    return [r["family"] for r in records if r["transform"] == transform and (not consumer or consumer in r["compatible_profiles"])]
+
+
 def _platform(root: Path, bundle: str | Path, catalog: str | Path, registry: str | Path, consumer: str | None, gates: Gates) -> dict[str, Any]:
     """The handoff document that these files make."""
     b = B.validate_manifest(bundle, consumer, gates.accepted)
@@ -84,7 +89,7 @@ def _research(root: Path, export: str | Path, catalog: str | Path, registry: str
     e = B.validate_export(export)
     state, records = _governed(catalog, registry, gates)
     D.check(not consumer or consumer in state["consumer_contracts"], f"the registry has no contract of {consumer}")
-    matched = [r["family"] for r in records if r["transform"] == e["transform"] and (not consumer or consumer in r["compatible_profiles"])]
+    matched = research_families(records, e["transform"], consumer)
     D.check(matched, f"no source family matches transform {e['transform']} for {consumer or 'any consumer'}")
     links = D.pins(root, research_export_manifest=export, source_family_catalog_manifest=catalog, consumer_contract_registry_manifest=registry)
     return state | links | {
@@ -246,11 +251,21 @@ def validate_plan(document: Mapping[str, Any]) -> dict[str, Any]:
     return {"consumer": document["consumer"], "target_path": document["target_path"]}
 
 
+def plan_matches(plan: Mapping[str, Any], audited: Mapping[str, Any]) -> None:
+    """Both are valid and agree on all fields of the plan."""
+    validate_plan(plan)
+    validate_audit(audited)
+    D.same(plan, audited, _PLAN, "plan and audit")
+
+
+def audits_agree(saved: Mapping[str, Any], now: Mapping[str, Any]) -> None:
+    """All fields of the current audit but its paths are as saved."""
+    D.same(saved, now, [k for k in now if k not in _AUDIT_PATHS], "saved and current audit")
+
+
 def validate_plan_matches_audit(plan: str | Path, audited: str | Path) -> dict[str, Any]:
     p, a = D.read(plan), D.read(audited)
-    validate_plan(p)
-    validate_audit(a)
-    D.same(p, a, _PLAN, "plan and audit")
+    plan_matches(p, a)
     return {"schema_version": D.PLAN_MATCH, "consumer": p["consumer"], "plan_sha256": sha256_file(plan), "audit_sha256": sha256_file(audited), "matched_field_count": len(_PLAN)}
 
 
@@ -294,7 +309,7 @@ def validate_deployment(path: str | Path) -> dict[str, Any]:
     saved_path, plan_path = (_beside(path, config[k]) for k in ("saved_consumption_audit_json", "saved_runtime_plan_json"))
     saved = D.read(saved_path)
     validate_audit(saved)
-    D.same(saved, now, [k for k in now if k not in _AUDIT_PATHS], "saved and current audit")
+    audits_agree(saved, now)
     for k in _AUDIT_PATHS:
         same = str(Path(str(saved.get(k, ""))).expanduser().resolve()) == str(Path(str(now.get(k, ""))).resolve())
         D.check(same or not now.get(k), f"saved and current audit differ on {k}")
