@@ -276,9 +276,15 @@ SQL: dict[str, str] = {
       gaps AS (SELECT date, date_diff('day', lag(date) OVER (ORDER BY date), date) AS gap FROM days)
       SELECT 'g' AS series, strftime(min(date), '%Y-%m-%d') AS first_date, strftime(max(date), '%Y-%m-%d') AS last_date, count(*) AS normalized_row_count,
         coalesce(max(gap), 0) AS max_gap_days, count(*) FILTER (gap > 1) AS gap_count_above_threshold FROM gaps""",
+    "event_gaps": """WITH days AS (SELECT DISTINCT DATE '2000-01-01' + (event_id * event_id % 9973)::INT AS date FROM events),
+      gaps AS (SELECT date, date_diff('day', lag(date) OVER (ORDER BY date), date) AS gap FROM days)
+      SELECT 'e' AS series, strftime(min(date), '%Y-%m-%d') AS first_date, strftime(max(date), '%Y-%m-%d') AS last_date, count(*) AS normalized_row_count,
+        coalesce(max(gap), 0) AS max_gap_days, count(*) FILTER (gap > 1) AS gap_count_above_threshold FROM gaps""",
     "contract_coverage": f"WITH {NEED}, {HAVE}, {COVERED} SELECT * FROM covered",
     "missing_fields_antijoin": f"""WITH {NEED}, n AS (SELECT *, row_number() OVER (ORDER BY consumer, symbol, ord) AS n FROM need)
       SELECT consumer, symbol, field FROM n WHERE n NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 2 = 1)""",
+    "missing_fields_by_size": f"""WITH {NEED}, n AS (SELECT *, row_number() OVER (ORDER BY consumer, symbol, ord) AS n FROM need)
+      SELECT consumer, symbol, field FROM n WHERE n NOT IN (SELECT p_size * p_size % 53 FROM part)""",
     "ownership_matrix": f"""WITH {NEED}, {HAVE}, {COVERED},
       c AS (SELECT consumer, count(DISTINCT (symbol, field)) AS k, string_agg(DISTINCT family, ',' ORDER BY family) AS families FROM covered GROUP BY consumer)
       SELECT consumer, CASE WHEN consumer LIKE 'research:%' THEN 'research' ELSE 'runtime' END AS kind, count(*) AS required_count,

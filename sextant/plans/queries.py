@@ -191,6 +191,11 @@ def gap_stats(spark: SparkSession, d: str) -> DataFrame:
     return days.withColumns({c: C.iso_day(F.col(c)) for c in ("first_date", "last_date")})
 
 
+def event_gaps(spark: SparkSession, d: str) -> DataFrame:
+    days = Q.gap_stats(N.last_per_day(X.uneven_days(spark, d), ("series",)), ("series",), 1)
+    return days.withColumns({c: C.iso_day(F.col(c)) for c in ("first_date", "last_date")})
+
+
 # ---- contracts
 
 
@@ -207,6 +212,14 @@ def missing_fields_antijoin(spark: SparkSession, d: str) -> DataFrame:
     return K.missing_fields(need, offer, ("consumer", "symbol"))
 
 
+def missing_fields_by_size(spark: SparkSession, d: str) -> DataFrame:
+    """As ``missing_fields_antijoin``, every part offering the requirement that its size picks."""
+    need = K.requirements(spark).withColumn("n", F.row_number().over(_requirement_order()))
+    parts = X.read(spark, d, "part").select((F.col("p_size") * F.col("p_size") % 53).alias("n"))
+    offer = need.join(parts, "n").select("consumer", F.lower(F.col("symbol")).alias("symbol"), F.upper("field").alias("field"))
+    return K.missing_fields(need, offer, ("consumer", "symbol"))
+
+
 def _requirement_order():
     from pyspark.sql.window import Window
 
@@ -295,8 +308,10 @@ QUERIES: dict[str, Query] = {
     "context_availability_report": context_availability_report,
     "source_staleness": source_staleness,
     "gap_stats": gap_stats,
+    "event_gaps": event_gaps,
     "contract_coverage": contract_coverage,
     "missing_fields_antijoin": missing_fields_antijoin,
+    "missing_fields_by_size": missing_fields_by_size,
     "ownership_matrix": ownership_matrix,
     "runtime_coverage": runtime_coverage,
     "index_top1_as_of": index_top1_as_of,

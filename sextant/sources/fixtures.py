@@ -56,6 +56,13 @@ def _spread(e):
     return F.date_add(F.lit("2020-01-01").cast("date"), (e * 3 % 4001).cast("int"))
 
 
+def uneven_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events on days that squares of their ids spread unevenly."""
+    e = F.col("event_id")
+    day = F.date_add(F.lit("2000-01-01").cast("date"), (e * e % 9973).cast("int"))
+    return read(spark, sf_dir, "events").select(F.lit("e").alias("series"), day.alias("date"), F.col("value").alias("close"), e.alias("_ord"))
+
+
 def sparse_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     return read(spark, sf_dir, "events").where(e % 7 < 3).select(F.lit("g").alias("series"), _spread(e).alias("date"), F.col("value").alias("close"), e.alias("_ord"))
