@@ -27,14 +27,39 @@ def sha256_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
 
 
+def csv_header(spark: SparkSession, path: str) -> list[str]:
+    """Column names of a CSV at any path that Spark reads."""
+    if "://" not in str(path):
+        with open(path, newline="", encoding="utf-8") as f:
+            return next(csv.reader(f), [])
+    return next(csv.reader([r.value for r in spark.read.text(str(path)).limit(1).collect()]), [])
+
+
+def read_many(spark: SparkSession, path: str, columns: dict[str, str], format: str = "csv", order: str | None = None) -> DataFrame:
+    """Rows of many series in any number of files (CSV with headers, Parquet, or a table's name with format ``table``), as
+    text plus the row's position, under the names of ``columns`` (name: source column).
+
+    Files are split over tasks. The position is the column ``order`` if given, otherwise path, block and line, so
+    that of equal days the later line still wins.
+    """
+    raw = spark.read.table(path) if format == "table" else spark.read.option("header", True).format(format).load(path)
+    if missing := [c for c in columns.values() if c not in raw.columns]:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    if order is None and format == "table":
+        raise ValueError("a table has no lines; give its order column")
+    kept = [F.col(f"`{source}`").cast("string").alias(name) for name, source in columns.items()]
+    line = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # counts on within a task, blocks of a file in turn
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", line.alias("line")) if order is None else F.col(f"`{order}`")
+    return raw.select(*kept, at.alias(ORDER))
+
+
 def read_csv(spark: SparkSession, path: str, columns: dict[str, str] | None = None, required: tuple[str, ...] = ()) -> DataFrame:
     """All columns as text plus the row's position, under the names of ``columns`` (name: source column).
 
     A small file, one series: the position is the order of the lines of a single partition.
     A required column that is missing is an error before anything runs.
     """
-    with open(path, newline="", encoding="utf-8") as f:
-        header = next(csv.reader(f), [])
+    header = csv_header(spark, path)
     columns = columns or {c: c for c in header}
     if missing := [columns[c] for c in required if columns[c] not in header]:
         raise ValueError(f"{path} has no column {', '.join(missing)}")

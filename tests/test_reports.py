@@ -129,3 +129,18 @@ def test_newest_takes_the_first_of_equal_entries(spark):
     entries = spark.createDataFrame(rows, "as_of string, freshness_status string, compatible_profiles array<string>, position long")
     assert [r.position for r in K.newest(entries, None, "a").collect()] == [1]
     assert K.newest(entries, "2020-01-01", None).count() == 0 and K.newest(entries.where(F.lit(False)), None, None).count() == 0
+
+
+def test_many_series_in_many_files(spark, tmp_path):
+    from sextant.sources import files
+
+    (tmp_path / "a.csv").write_text("day,sym,px\n2025-01-01,A,1\n2025-01-01,A,2\n2025-01-02,B,5\n")
+    (tmp_path / "b.csv").write_text("day,sym,px\n2025-01-02,A,3\nbad,A,4\n")
+    names = {"date": "day", "symbol": "sym", "close": "px"}
+    rows = N.cycle(files.read_many(spark, str(tmp_path / "*.csv"), names)).orderBy("symbol", "date").collect()
+    assert [(r.symbol, str(r.date), r.close) for r in rows] == [("A", "2025-01-01", 2.0), ("A", "2025-01-02", 3.0), ("B", "2025-01-02", 5.0)]
+    with pytest.raises(ValueError, match="no column"):
+        files.read_many(spark, str(tmp_path / "*.csv"), {"date": "when"})
+    assert files.csv_header(spark, (tmp_path / "a.csv").as_uri()) == ["day", "sym", "px"]
+    uri = files.read_csv(spark, (tmp_path / "a.csv").as_uri(), {"date": "day", "close": "px"}, ("date",))
+    assert uri.count() == 3
