@@ -56,7 +56,7 @@ class JoinParams:
     part_differences: int | None = None  #: k2, differences that a partition may hold; None: picked by ``levels``
     rounds: int = 3  #: rounds of pivots before blocks are compared
     block: int = 256  #: sets of a block
-    block_elements: int = 1 << 18  #: elements of a block, more only if a single set has more
+    block_elements: int = 1 << 20  #: elements of a block, more only if a single set has more
     passes: int = 4  #: shares of the signatures that are shuffled one after another, to save disk
 
 
