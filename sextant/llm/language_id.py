@@ -9,7 +9,7 @@ one temperature fitted on sampled rows that training doesn't see.
 
 Training rows are a sample of a documented size: about
 ``LanguageParams.sample_per_language`` documents of each language, chosen by a hash
-of the id. They fit one task. All other steps cover every document.
+of id and text, rows that agree in both counting once. They fit one task. All other steps cover every document.
 """
 
 from __future__ import annotations
@@ -174,12 +174,14 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, params
     idf = np.log((1 + docs) / (1 + df)) + 1.0
     if not languages:
         return LanguageModel((), idf, np.zeros((params.buckets + 1, 0)), 1.0)
-    unit = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("sample")), F.lit(1 << 30))
+    rows = labelled.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    unit = F.pmod(F.xxhash64("id", "h", F.lit("sample")), F.lit(1 << 30))
     chosen = F.lit(False)
     for name, n in counted:
         limit = min(1 << 30, int((1 << 30) * params.sample_per_language / n))
-        chosen = chosen | ((F.col(lang_col) == name) & (unit < limit))
-    sample = labelled.where(chosen).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+        chosen = chosen | ((F.col("lang") == name) & (unit < limit))
+    # Repeated rows meet before the shuffle, so that the sample stays bounded however often a row comes.
+    sample = rows.where(chosen).groupBy("id", "h", "lang").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
@@ -189,8 +191,8 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, params
         for batch in batches:
             for r in batch.to_pylist():
                 if (found := features.counts(r["text"])) is not None:
-                    order = zlib.crc32(f"{r['id']}/order".encode())
-                    rows.append((order, r["id"] or "", found[0], tf_idf(found[1], idf[found[0]]), languages.index(r["lang"])))
+                    order = zlib.crc32(f"{r['id']}/{r['h']}/order".encode())
+                    rows.append((order, f"{r['id']}/{r['h']}/{r['lang']}", found[0], tf_idf(found[1], idf[found[0]]), languages.index(r["lang"])))
         rows.sort(key=lambda r: r[:2])  # the order of arrival isn't fixed
         held = int(len(rows) * params.calibration_share)
         w = fit_ftrl([r[2:] for r in rows[held:]], len(languages), params)
