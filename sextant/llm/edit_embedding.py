@@ -19,7 +19,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache, reduce
 
@@ -454,40 +454,65 @@ def _near(pairs: DataFrame, classes: DataFrame, texts: DataFrame, params: NearPa
     return whole.select("a", "b", "tp", "to").mapInArrow(verify, "a long, b long, distance long")
 
 
+def _spanning(part: pa.Table, params: NearParams, accept: Callable[[int, int], int | None]) -> list[tuple[int, int, int]]:
+    """(a, b, result) of pairs of alike fingerprints across labels that ``accept`` takes, enough to connect
+    what all of them connect: pairs that others connect already are skipped."""
+    keys, labels, first = (part.column(c).to_numpy() for c in ("key", "label", "first"))
+    prints = [from_text(t) for t in part.column("fingerprint").to_pylist()]
+    found = _alike(np.array([level for level, _ in prints]), [x for _, x in prints], Embedder.shared(), params.alike)
+    found &= labels[:, None] != labels[None, :]
+    if not first.all():
+        found &= first[:, None] != first[None, :]
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while parent.setdefault(v, v) != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+
+    out: list[tuple[int, int, int]] = []
+    for i, j in np.argwhere(np.triu(found, 1)):
+        la, lb = root(int(labels[i])), root(int(labels[j]))
+        if la != lb and (d := accept(int(i), int(j))) is not None:
+            parent[la] = lb
+            out.append((min(int(keys[i]), int(keys[j])), max(int(keys[i]), int(keys[j])), d))
+    return out
+
+
+def _table(rows: list[tuple[int, ...]], *names: str) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, columns, strict=True)})
+
+
+_BLOCKS = ("grp", "li", "bi", "lj", "bj")
+
+
+def _alike_in_blocks(rest: DataFrame, classes: DataFrame, params: NearParams) -> DataFrame:
+    """(a, b): pairs of alike fingerprints across labels within each group of ``rest`` (grp, key, label, n), enough to connect
+    what all of them connect. A task compares the fingerprints of two blocks; texts stay where they are."""
+    rows = _tasks(rest, params.sizes()).join(classes.select("key", "fingerprint"), "key")
+
+    def compare(part: pa.Table) -> pa.Table:
+        return _table([(a, b) for a, b, _ in _spanning(part, params, lambda i, j: 0)], "a", "b")
+
+    return rows.groupBy(*_BLOCKS).applyInArrow(compare, "a long, b long").distinct()
+
+
 def _near_in_blocks(rest: DataFrame, classes: DataFrame, texts: DataFrame, params: NearParams) -> DataFrame:
     """(a, b, distance): links across labels within each group of ``rest`` (grp, key, label, n), enough
-    of them to connect what they connect. A task compares two blocks of bounded texts and characters, and skips pairs
-    that its own links connect already."""
+    of them to connect what they connect. A task compares two blocks of bounded texts and characters."""
     rows = _tasks(rest, params.sizes()).join(classes.select("key", "fingerprint"), "key").join(texts, "key")
 
     def compare(part: pa.Table) -> pa.Table:
-        keys, labels, first = (part.column(c).to_numpy() for c in ("key", "label", "first"))
-        prints = [from_text(t) for t in part.column("fingerprint").to_pylist()]
-        found = _alike(np.array([level for level, _ in prints]), [x for _, x in prints], Embedder.shared(), params.alike)
-        found &= labels[:, None] != labels[None, :]
-        if not first.all():
-            found &= first[:, None] != first[None, :]
-        parent: dict[int, int] = {}
-
-        def root(v: int) -> int:
-            while parent.setdefault(v, v) != v:
-                parent[v] = v = parent[parent[v]]
-            return v
-
-        out: list[tuple[int, int, int]] = []
         texts = part.column("text")
-        for i, j in np.argwhere(np.triu(found, 1)):
-            la, lb = root(int(labels[i])), root(int(labels[j]))
-            if la != lb:
-                x, y = texts[int(i)].as_py(), texts[int(j)].as_py()
-                d = edit_distance_within(x, y, int(params.distance * max(len(x), len(y), 1)))
-                if d is not None:
-                    parent[la] = lb
-                    out.append((min(int(keys[i]), int(keys[j])), max(int(keys[i]), int(keys[j])), d))
-        columns = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("a", "b", "distance"), columns, strict=True)})
 
-    return rows.select("grp", "li", "bi", "lj", "bj", "first", "key", "label", "fingerprint", "text").groupBy("grp", "li", "bi", "lj", "bj").applyInArrow(compare, "a long, b long, distance long")
+        def within(i: int, j: int) -> int | None:
+            x, y = texts[i].as_py(), texts[j].as_py()
+            return edit_distance_within(x, y, int(params.distance * max(len(x), len(y), 1)))
+
+        return _table(_spanning(part, params, within), "a", "b", "distance")
+
+    return rows.select(*_BLOCKS, "first", "key", "label", "fingerprint", "text").groupBy(*_BLOCKS).applyInArrow(compare, "a long, b long, distance long")
 
 
 def near_links(prints: DataFrame, docs: DataFrame, id_col: str, text_col: str, params: NearParams) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -517,16 +542,20 @@ def near_links(prints: DataFrame, docs: DataFrame, id_col: str, text_col: str, p
     banded = classes.select("key", "fingerprint").mapInArrow(bands, "bucket long, key long")
     banded = written(banded, "edit-bands")
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
-    sized = classes.select("key", "n", F.xxhash64("key").alias("rank"))
-    buckets = written(banded.join(shared, "bucket").distinct().join(sized, "key"), "edit-buckets")
-    discard(banded)
+    members = banded.join(shared, "bucket").distinct().join(classes.select("key", "n"), "key")
+    plain = written(members, "edit-shared")
+    hot = hot_keys(plain, "bucket")
+    # The most central text comes first as pivot: of a group of copies, one close to the original.
+    size = plain.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
+    central = join_hot(plain, size, "bucket", F.col("key"), hot).groupBy("key").agg(F.sum("m").alias("rank"))
+    buckets = written(plain.join(central, "key"), "edit-buckets")
+    discard(banded, plain)
     labels = written(buckets.select("key", F.col("key").alias("label")).distinct(), "edit-labels")
     members = labels.select("key").join(classes.select("key", "same"), "key")
     own = docs.select(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("same"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     whole = with_members(own, members.select(F.xxhash64("same").alias("h")), F.xxhash64("same"))
     texts = whole.groupBy("same").agg(F.first("text").alias("text")).join(members, "same").select("key", "text")
     texts = written(texts, "edit-texts")
-    hot = hot_keys(buckets, "bucket")
     checked: list[DataFrame] = []
     found: list[DataFrame] = []
     for turn in range(PIVOT_ROUNDS):
@@ -540,9 +569,14 @@ def near_links(prints: DataFrame, docs: DataFrame, id_col: str, text_col: str, p
         release_shuffles(docs.sparkSession)
     left = open_rows(buckets, labels, 0, hot)
     rest = written(left.select(F.col("p").alias("grp"), "key", "label", "n").distinct(), "edit-rest")
-    found.append(written(_near_in_blocks(rest, classes, texts, params), "edit-links"))
+    spanning = written(_alike_in_blocks(rest, classes, params), "edit-spanning")
+    found.append(written(_near(spanning.withColumn("p", F.col("a")), classes, texts, params), "edit-links"))
     labels = _merged(found[-1], labels)
-    discard(buckets, rest, texts, *checked)
+    if found[-1].count() < spanning.count():  # alike but not near: other pairs may connect what these were to
+        left = rest.drop("label").join(labels, "key").select("grp", "key", "label", "n")
+        found.append(written(_near_in_blocks(left, classes, texts, params), "edit-links"))
+        labels = _merged(found[-1], labels)
+    discard(buckets, rest, texts, spanning, *checked)
     return classes, reduce(DataFrame.union, found), labels
 
 
@@ -593,5 +627,10 @@ def fingerprint_and_link(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return join_hot(prints, by_text, "same", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).drop("same")
 
 
+#: The query asks for fingerprints that agree in 0.8: such texts are nearly always within the distance, so in
+#: crowded groups a comparison seldom needs a second look at texts.
+QUERY_PARAMS = NearParams(alike=0.8, distance=0.1, block=1024)
+
+
 def op6_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_and_link(table(spark, sf_dir, "documents"))
+    return fingerprint_and_link(table(spark, sf_dir, "documents"), params=QUERY_PARAMS)
