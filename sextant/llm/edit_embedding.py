@@ -528,6 +528,7 @@ def near_links(prints: DataFrame, docs: DataFrame, id_col: str, text_col: str, p
     """
     grouped = prints.groupBy("same").agg(F.min(id_col).alias("id"), F.first("fingerprint").alias("fingerprint"), F.first("n_chars").alias("n"))
     classes = written(grouped.select(F.monotonically_increasing_id().alias("key"), "id", "same", "n", "fingerprint"), "edit-classes")
+    release_shuffles(docs.sparkSession)
     rows = params.rows
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -556,6 +557,8 @@ def near_links(prints: DataFrame, docs: DataFrame, id_col: str, text_col: str, p
     whole = with_members(own, members.select(F.xxhash64("same").alias("h")), F.xxhash64("same"))
     texts = whole.groupBy("same").agg(F.first("text").alias("text")).join(members, "same").select("key", "text")
     texts = written(texts, "edit-texts")
+    del grouped, members, plain, size, central, whole
+    release_shuffles(docs.sparkSession)
     checked: list[DataFrame] = []
     found: list[DataFrame] = []
     for turn in range(PIVOT_ROUNDS):
@@ -563,12 +566,15 @@ def near_links(prints: DataFrame, docs: DataFrame, id_col: str, text_col: str, p
         discard(buckets)
         checked.append(written(star_pairs(rows, checked, params.sizes().percent), "edit-pairs"))
         found.append(written(_near(checked[-1], classes, texts, params), "edit-links"))
-        labels = _merged(found[-1], labels)
+        old, labels = labels, _merged(found[-1], labels)
+        discard(old)
         buckets = rows.where(F.col("key") != F.col("p")).select("bucket", "key", "n", "rank")
         buckets.written_path = rows.written_path
         release_shuffles(docs.sparkSession)
     left = open_rows(buckets, labels, 0, hot)
     rest = written(left.select(F.col("p").alias("grp"), "key", "label", "n").distinct(), "edit-rest")
+    discard(buckets)
+    release_shuffles(docs.sparkSession)
     spanning = written(_alike_in_blocks(rest, classes, params), "edit-spanning")
     found.append(written(_near(spanning.withColumn("p", F.col("a")), classes, texts, params), "edit-links"))
     labels = _merged(found[-1], labels)
@@ -576,7 +582,7 @@ def near_links(prints: DataFrame, docs: DataFrame, id_col: str, text_col: str, p
         left = rest.drop("label").join(labels, "key").select("grp", "key", "label", "n")
         found.append(written(_near_in_blocks(left, classes, texts, params), "edit-links"))
         labels = _merged(found[-1], labels)
-    discard(buckets, rest, texts, spanning, *checked)
+    discard(rest, texts, spanning, *checked)
     return classes, reduce(DataFrame.union, found), labels
 
 
