@@ -53,10 +53,10 @@ def _splitmix(x: np.ndarray) -> np.ndarray:
 class Bits:
     """The random bits: one 64-bit hash of (step // 64, class) holds those of 64 steps."""
 
-    KEPT = 1 << 10  #: hashes of the first steps are kept, as every text begins there
+    KEPT = 1 << 9  #: blocks of 64 steps whose bits are kept once made, as every text begins there
 
     def __init__(self) -> None:
-        self.first = self._hashed(0, self.KEPT)
+        self.made: dict[int, np.ndarray] = {}
 
     @staticmethod
     def _hashed(low: int, high: int) -> np.ndarray:
@@ -66,8 +66,13 @@ class Bits:
 
     def of_steps(self, block: int) -> np.ndarray:
         """(64, 256) bits of the steps from 64 * block on."""
-        word = self.first[block] if block < self.KEPT else self._hashed(block, block + 1)[0]
-        return (word[None, :] >> np.arange(64, dtype=np.uint64)[:, None]).astype(np.uint8) & 1
+        if block in self.made:
+            return self.made[block]
+        word = self._hashed(block, block + 1)[0]
+        bits = (word[None, :] >> np.arange(64, dtype=np.uint64)[:, None]).astype(np.uint8) & 1
+        if block < self.KEPT:
+            self.made[block] = bits
+        return bits
 
     def __getitem__(self, at: tuple[int, int]) -> int:
         return int(self.of_steps(at[0] >> 6)[at[0] & 63, at[1]])
@@ -129,13 +134,14 @@ class Embedder:
         for c, end in zip(codes, ends, strict=True):
             flat[end - len(c) : end] = (c * np.uint32(0x9E3779B1) >> np.uint32(24)) % END
         at = (ends - lengths).astype(np.int64)
-        steps = self.sampled(level)
+        bounds = np.searchsorted(self.sampled(level), np.arange(0, (1 << level) + 64, 64)).tolist()
+        steps = self.sampled(level).tolist()
         emitted = np.full((len(steps), len(codes)), END, np.uint8)
         under, moved, live = np.empty(len(codes), np.uint8), np.empty(len(codes), np.uint8), len(codes)
         for block in range((1 << level) // 64):
             bits = self.bits.of_steps(block)
-            first, last = np.searchsorted(steps, [64 * block, 64 * block + 64])
-            due = dict(zip((steps[first:last] - 64 * block).tolist(), range(first, last), strict=True))
+            first, last = bounds[block], bounds[block + 1]
+            due = {steps[k] - 64 * block: k for k in range(first, last)}
             p, u, m = at[:live], under[:live], moved[:live]
             for row in range(64):
                 np.take(flat, p, out=u, mode="clip")
