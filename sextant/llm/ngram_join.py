@@ -59,6 +59,10 @@ class JoinParams:
     block_elements: int = 1 << 20  #: elements of a block, more only if a single set has more
     passes: int = 4  #: shares of the signatures that are shuffled one after another, to save disk
 
+    def signatures(self, s: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """For each band of the set: (signatures that a partner must share at least, signatures)."""
+        return signatures(s, self)
+
 
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> _S)) * _M1
@@ -168,7 +172,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, params: JoinParams) ->
             keys = [set_key(s) for s in sets]
             found = []
             for s, key in zip(sets, keys, strict=True):
-                found.append([] if key in seen else signatures(s, params))
+                found.append([] if key in seen else params.signatures(s))
                 seen.add(key)
             if len(seen) > MOST_SEEN:
                 seen.clear()
