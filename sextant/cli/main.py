@@ -271,7 +271,7 @@ def publish_cycle(a: argparse.Namespace) -> dict[str, Any]:
     work = Path(a.work_dir).resolve()
     source, provider = a.input_csv or str(work / "inputs" / "btc_daily.csv"), "local_csv"
     if not a.input_csv:
-        _, provider = K.fetch_csv(source)
+        _, provider = K.fetch_csv(_spark(), source)
     as_of = S.resolve_as_of(source, a.as_of, K.default_as_of())
     root = work / "platform_handoffs"
     folder = root / as_of

@@ -93,12 +93,9 @@ def cycle_base(rows: DataFrame, min_history: int = 200, series: Series = SYMBOLS
 
 def cycle_frame(rows: DataFrame, min_history: int = 200, series: Series = SYMBOLS) -> DataFrame:
     """(keys, date, CYCLE_FIELDS): percentiles and slope run over the emitted rows of the first stage."""
-    base = cycle_base(rows, min_history, series)
-    return base.withColumns({
-        "ahr999_365d_percentile": series.trailing_percentile(F.col("ahr999"), 365),
-        "mayer_multiple_365d_percentile": series.trailing_percentile(F.col("mayer_multiple"), 365),
-        "ahr999_30d_slope": series.slope(F.col("ahr999"), 30),
-    }).select(*series.keys, "date", *CYCLE_FIELDS)
+    base = cycle_base(rows, min_history, series).withColumn("ahr999_30d_slope", series.slope(F.col("ahr999"), 30))
+    percentiles = [Recursive(f"{x}_365d_percentile", "trailing_percentile", x, 365) for x in ("ahr999", "mayer_multiple")]
+    return with_recursive(base, series, percentiles).select(*series.keys, "date", *CYCLE_FIELDS)
 
 
 def tail(rows: DataFrame, n: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -145,18 +142,22 @@ def rotation_frame(rows: DataFrame, params: RotationParams = RotationParams(), s
     """All rotation fields at every date of every symbol; the volatility columns carry their window."""
     p, close = params, F.col("close")
     vol = f"realized_volatility_{p.volatility_window}"
-    rows = with_recursive(rows.select(*series.keys, "date", "close"), series, [Recursive("rsi14", "wilder_rsi", "close", 14)])
-    rows = with_simple_volatility(rows, series, "close", p.volatility_window, vol)
+    rows = with_simple_volatility(rows.select(*series.keys, "date", "close"), series, "close", p.volatility_window, vol)
     rows = with_simple_volatility(rows, series, "close", 20, "_vol20")
     least = max(1, min(p.volatility_quantile_window, p.volatility_min_periods))
     rows = rows.withColumns({
         "ma_trend": series.mean(close, p.trend_window),
         "ma20": series.mean(close, 20),
         "std20": series.std_pop(close, 20),
-        "_rsi_q": series.quantile(F.col("rsi14"), p.rsi_window, p.rsi_quantile),
-        "_vol_q": series.quantile(F.col(vol), p.volatility_quantile_window, p.volatility_quantile, least),
         "_vol_n": F.count(vol).over(series.last(p.volatility_quantile_window)),
     })
+    rows = rows.withColumn("ma20_slope", F.col("ma20") - series.lag(F.col("ma20")))
+    # After the windows, as in the technical family.
+    rows = with_recursive(rows, series, [
+        Recursive("rsi14", "wilder_rsi", "close", 14),
+        Recursive("_rsi_q", "rolling_quantile", "rsi14", p.rsi_window, p.rsi_quantile, lag=1),
+        Recursive("_vol_q", "rolling_quantile", vol, p.volatility_quantile_window, p.volatility_quantile, least),
+    ])
     threshold = C.clamp(F.col("_vol_q"), p.volatility_floor, p.volatility_cap)
     fixed = {"lookback": p.volatility_quantile_window, "percentile": p.volatility_quantile, "min_periods": least, "floor": p.volatility_floor, "cap": p.volatility_cap}
 
@@ -170,9 +171,9 @@ def rotation_frame(rows: DataFrame, params: RotationParams = RotationParams(), s
         close.alias("price"),
         "ma_trend",
         "ma20",
-        (F.col("ma20") - series.lag(F.col("ma20"))).alias("ma20_slope"),
+        "ma20_slope",
         "rsi14",
-        F.greatest(F.lit(p.rsi_floor), F.coalesce(series.lag(F.col("_rsi_q")), F.lit(p.rsi_floor))).alias("rsi14_dynamic_threshold"),
+        F.greatest(F.lit(p.rsi_floor), F.coalesce("_rsi_q", F.lit(p.rsi_floor))).alias("rsi14_dynamic_threshold"),
         (F.col("ma20") + 2 * F.col("std20")).alias("bb_upper"),
         F.col("ma20").alias("bb_mid"),
         (F.col("ma20") - 2 * F.col("std20")).alias("bb_lower"),
@@ -193,16 +194,16 @@ def expanding_percentile(rows: DataFrame, value: str = "value", series: Series =
     return with_recursive(rows, series, [Recursive("percentile", "expanding_percentile", value, 0)])
 
 
-def public_context(vix: DataFrame, cape: DataFrame, stamp: Column | None = None, keys: tuple[str, ...] = ("series",)) -> DataFrame:
+def public_context(vix: DataFrame, cape: DataFrame, stamp: Column | None = None, keys: tuple[str, ...] = ("series",), long: bool = False) -> DataFrame:
     """(keys, date, cape_percentile, vix_percentile, provider_timestamp) on the dates of ``vix``.
 
     Both are normalised metrics; percentiles are taken at each source's own frequency, then the
-    last one of ``cape`` is carried to each date of ``vix``.
+    last one of ``cape`` is carried to each date of ``vix``. ``long``: see ``Series``.
     """
-    series = Series(keys)
+    series = Series(keys, long=long)
     left = expanding_percentile(vix, series=series).select(*keys, "date", F.col("percentile").alias("vix_percentile"))
     right = expanding_percentile(cape, series=series).select(*keys, "date", F.col("percentile").alias("cape_percentile"))
-    joined = as_of_join(left, right, keys, "vix_percentile", "cape_percentile").dropna(subset=["vix_percentile", "cape_percentile"])
+    joined = as_of_join(left, right, keys, "vix_percentile", "cape_percentile", long=long).dropna(subset=["vix_percentile", "cape_percentile"])
     inside = F.col("vix_percentile").between(0.0, 1.0) & F.col("cape_percentile").between(0.0, 1.0)
     at = C.midnight(F.col("date")) if stamp is None else stamp
     return joined.where(inside).select(*keys, "date", "cape_percentile", "vix_percentile", at.alias("provider_timestamp"))

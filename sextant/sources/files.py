@@ -100,12 +100,13 @@ def csv_provenance(path: str, as_of: str, provider: str = "local_csv", dataset:
 
 def resolve_as_of(path: str, requested: str | None, yesterday: str) -> str:
     """The requested day (or yesterday) if the file has it, otherwise its last date."""
-    with open(path, newline="", encoding="utf-8") as f:
-        dates = [r["date"] for r in csv.DictReader(f) if r.get("date")]
-    if not dates:
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    days = read_csv(spark, path, {"date": "date"}, ("date",)).where("date <> ''")
+    day = requested or yesterday
+    found = days.agg(F.max_by("date", ORDER).alias("last"), F.bool_or(F.col("date") == day).alias("has")).first()
+    if found.last is None:
         raise ValueError(f"{path} has no dates")
-    wanted = requested or yesterday
-    return wanted if wanted in dates else dates[-1]
+    return day if found.has else found.last
 
 
 def write_csv(frame: DataFrame, path: str) -> tuple[int, list[str]]:

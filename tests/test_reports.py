@@ -2,7 +2,6 @@
 
 import json
 import subprocess
-from datetime import date
 
 import numpy as np
 import pytest
@@ -88,24 +87,6 @@ def test_sample_counts_are_floats(spark):
     assert all(t == "double" for c, t in frame.dtypes if c.endswith("_sample_count"))
 
 
-def test_prices_come_from_the_first_endpoint_that_answers(tmp_path):
-    lines = [[1735689600000, "1", "3", "0.5", "2", "10", 0], [1735776000000, "2", "4", "1", "3", "20", 0]]
-    asked = []
-
-    def read(url):
-        asked.append(url)
-        if "vision" in url:
-            raise OSError("down")
-        return json.dumps([] if "binance.us" in url else lines).encode()
-
-    assert klines.fetch_csv(tmp_path / "in" / "p.csv", read=read) == (2, "binance_public") and asked == list(klines.URLS)
-    assert (tmp_path / "in" / "p.csv").read_text().split() == ["date,open,high,low,close,volume", "2025-01-01,1.0,3.0,0.5,2.0,10.0", "2025-01-02,2.0,4.0,1.0,3.0,20.0"]
-    assert [klines.provider_name(u) for u in klines.URLS] == ["binance_vision_public", "binance_us_public", "binance_public"]
-    assert klines.default_as_of(date(2026, 6, 27)) == "2026-06-26"
-    with pytest.raises(OSError, match="nothing"):
-        klines.download(read=lambda url: b"[]")
-
-
 def test_uploads_report_failures(tmp_path):
     done = []
     klines.upload(tmp_path, "gs://bucket/prefix/", run=lambda c, **_: done.append(c) or subprocess.CompletedProcess(c, 0))
