@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..artifacts import bundles as B
+from ..artifacts import columns as R
 from ..artifacts import documents as D
 from ..artifacts import governance as G
+from ..artifacts import graph as L
 from ..artifacts import handoff as H
 from ..artifacts.batch import judged, mapped
 from ..sources import fixtures as X
@@ -66,7 +68,8 @@ def _bundles(spark: SparkSession, d: str) -> DataFrame:
 
 def bundle_validation(spark: SparkSession, d: str) -> DataFrame:
     """Which bundles hold together."""
-    return judged(_bundles(spark, d), "document", B.validate_bundle).select("o_orderkey", F.col("problem").isNull().alias("accepted"))
+    v = R.parsed(F.col("document"))
+    return _bundles(spark, d).select("o_orderkey", R.problem(v, R.bundle_rules(v)).isNull().alias("accepted"))
 
 
 def bundle_for_consumer(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +82,73 @@ def bundle_for_consumer(spark: SparkSession, d: str) -> DataFrame:
     profiles = F.when(F.col("o_orderstatus") == "P", F.array(F.lit("other"))).otherwise(F.array(F.lit(CONSUMER)))
     document = F.to_json(F.struct(F.struct(profiles.alias("compatible_profiles")).alias("consumer_contract"), F.create_map(symbol, payload).alias(D.DERIVED)))
     rows = X.read(spark, d, "orders").select("o_orderkey", document.alias("document"))
-    return judged(rows, "document", lambda x: B.validate_for_consumer(x, CONSUMER)).select("o_orderkey", F.col("problem").isNull().alias("accepted"))
+    v = R.parsed(F.col("document"))
+    return rows.select("o_orderkey", R.problem(v, R.consumer_rules(v, CONSUMER)).isNull().alias("accepted"))
+
+
+def _reports(spark: SparkSession, d: str) -> DataFrame:
+    """(o_orderkey, document): quality reports of which many break a rule, as the order's columns say."""
+    month, count = _month(), F.col("o_custkey")
+    struct = lambda **f: F.struct(*(c.alias(k) for k, c in f.items()))
+    status = F.when(F.col("o_orderstatus") == "P", "fail").when(F.col("o_orderstatus") == "F", "warn").otherwise("pass")
+    document = F.to_json(struct(
+        schema_version=F.lit(D.QUALITY), artifact_type=F.lit("local_ohlcv_quality_report"), quality_status=F.when(month == 1, "ok").otherwise(status),
+        input_csv=struct(sha256=F.when(month == 2, F.upper(F.sha2(F.lit("ab"), 256))).otherwise(F.sha2(count.cast("string"), 256))),
+        selected_columns=struct(date=F.lit("d")), source_columns=F.when(month != 3, F.array(F.lit("d"))),
+        raw_row_count=F.when(month == 4, -1 - count).otherwise(count), normalized_row_count=count, dropped_row_count=F.when(month != 5, count),
+        duplicate_date_count=F.lit(-1), max_gap_days=F.when(month == 6, 1.5).otherwise(F.lit(2.0)).cast("decimal(3,1)"),
+        failure_reasons=F.when(month == 7, F.array(F.lit("a"), F.lit(" a "))).otherwise(F.array().cast("array<string>")),
+        warning_reasons=F.when(month == 8, F.array(F.lit(" \t"))).otherwise(F.array(F.lit("a"))), more=F.array(struct(deep=F.create_map(F.when(_priority() == "5", "X_Signed_URL").otherwise("plain"), F.lit("token")))),
+    ))
+    # Whole numbers of days are written as such.
+    return X.read(spark, d, "orders").select("o_orderkey", F.regexp_replace(document, r"2\.0\b", "2").alias("document"))
+
+
+def quality_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Which quality reports, one per order, keep their contract."""
+    v = R.parsed(F.col("document"))
+    return _reports(spark, d).select("o_orderkey", R.problem(v, R.quality_rules(v)).isNull().alias("accepted"))
+
+
+def _chains(spark: SparkSession, d: str) -> DataFrame:
+    """(path, text): for each order a handoff that pins a manifest that pins a bundle and a quality report; the order's columns say
+    which is broken, gone, changed since or of other content."""
+    month, key = _month(), F.col("o_orderkey").cast("string")
+    good = lambda c: F.regexp_replace(c, "market_signal_bundle.v0", D.BUNDLE)
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    struct = lambda **f: F.struct(*(c.alias(k) for k, c in f.items()))
+    bundle = F.to_json(struct(
+        schema_version=F.when(F.col("o_orderstatus") == "P", "market_signal_bundle.v0").otherwise(D.BUNDLE), bundle_id=key, domain=F.lit("crypto"), as_of=day, generated_at=day,
+        consumer_contract=struct(canonical_input=F.lit(D.DERIVED), compatible_profiles=F.array(F.lit(CONSUMER))), symbols=F.array(F.lit("BTC-USD")),
+        derived_indicators=F.create_map(F.lit("BTC-USD"), F.create_map(F.when(month == 8, "password").otherwise("close"), F.col("o_totalprice"))),
+        freshness=struct(provider_timestamp=day, status=F.lit("fresh")), provenance=struct(**{f: F.lit("x") for f in D.PROVENANCE}),
+    ))
+    report = F.to_json(struct(
+        schema_version=F.lit(D.QUALITY), artifact_type=F.lit("r"), quality_status=F.when(month == 9, "fail").otherwise("pass"), input_csv=struct(sha256=F.sha2(key, 256)),
+        selected_columns=struct(date=F.lit("d")), source_columns=F.array(F.lit("d")), raw_row_count=F.lit(3), normalized_row_count=F.lit(3), dropped_row_count=F.lit(0),
+        failure_reasons=F.array().cast("array<string>"), warning_reasons=F.array().cast("array<string>"),
+    ))
+    rows = X.read(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", bundle.alias("bundle"), report.alias("report"))
+    manifest = F.to_json(struct(
+        schema_version=F.lit(D.MANIFEST), bundle_path=F.when(month == 7, F.concat(F.lit("../"), key, F.lit("/bundle.json"))).otherwise("bundle.json"),
+        bundle_sha256=F.sha2(F.when(month == 10, F.concat("bundle", F.lit(" "))).otherwise(F.col("bundle")), 256), bundle_id=F.when(month == 12, "other").otherwise(key), as_of=day,
+        canonical_input=F.lit(D.DERIVED), freshness_status=F.lit("fresh"), bundle_schema_version=F.get_json_object("bundle", "$.schema_version"),
+        quality_report_path=F.when(month == 11, "gone.json").otherwise("quality.json"), quality_report_sha256=F.sha2("report", 256),
+    ))
+    rows = rows.withColumn("manifest", manifest)
+    folder = F.concat(F.lit("p/"), key, F.lit("/"))
+    handoff = F.to_json(struct(
+        schema_version=F.lit(D.HANDOFF), bundle_id=F.when(month == 12, "other").otherwise(key), as_of=day, canonical_input=F.lit(D.DERIVED),
+        bundle_manifest_path=F.concat(key, F.lit("/manifest.json")), bundle_manifest_sha256=F.sha2("manifest", 256),
+    ))
+    at = lambda name, text: F.struct(F.concat(folder, F.lit(name)).alias("path"), text.alias("text"))
+    four = F.array(at("bundle.json", F.col("bundle")), at("quality.json", F.col("report")), at("manifest.json", F.col("manifest")), F.struct(F.concat(F.lit("p/"), key, F.lit(".handoff.json")).alias("path"), handoff.alias("text")))
+    return rows.select(F.explode(four).alias("d")).select("d.path", "d.text")
+
+
+def publication_chains(spark: SparkSession, d: str) -> DataFrame:
+    """(path, problem, chain) of every order's handoff: the first thing wrong in its chain, and the links that lead there."""
+    return L.judged(_chains(spark, d)).where("path like '%.handoff.json'")
 
 
 # ---- families of bundles and exports
@@ -276,6 +345,8 @@ KINDS = ("registry_validation", "catalog_validation", "quality_report_validation
 QUERIES: dict[str, Query] = {
     "bundle_validation": bundle_validation,
     "bundle_for_consumer": bundle_for_consumer,
+    "quality_documents": quality_documents,
+    "publication_chains": publication_chains,
     "family_matching": family_matching,
     "research_matching": research_matching,
     "governance_coverage": governance_coverage,
@@ -302,6 +373,21 @@ SQL: dict[str, str] = {
     "bundle_validation": """SELECT o_orderkey, o_orderstatus <> 'P' AND o_totalprice >= 20000 AND o_orderpriority[1] NOT IN ('3', '4')
       AND month(o_orderdate) NOT IN (2, 3, 4, 5, 7, 8) AS accepted FROM orders""",
     "bundle_for_consumer": f"""SELECT o_orderkey, o_orderstatus <> 'P' AND o_orderpriority[1] <> '3' AND month(o_orderdate) >= {len(_REQUIRED)} AS accepted FROM orders""",
+    "quality_documents": """SELECT o_orderkey, o_orderstatus <> 'P' AND o_orderpriority[1] <> '5' AND month(o_orderdate) > 8 AS accepted FROM orders""",
+    "publication_chains": """
+      WITH o AS (SELECT o_orderkey, o_orderstatus, month(o_orderdate) AS m FROM orders),
+      found AS (SELECT o_orderkey, CASE
+          WHEN m = 7 THEN 'b:the link must be relative and stay below its document'
+          WHEN m = 10 THEN 'b:the linked document doesn''t have the pinned hash'
+          WHEN m = 12 THEN 'b:it differs from the linked document on bundle_id'
+          WHEN o_orderstatus = 'P' AND m <> 8 THEN ''
+          WHEN m = 8 AND o_orderstatus <> 'P' THEN 'b:bundle has a sensitive field'
+          WHEN m = 9 THEN 'q:the quality report failed'
+          WHEN m = 11 THEN 'q:the linked document doesn''t exist' END AS f, m, o_orderstatus FROM o),
+      -- A bundle of another schema version has no rules of its own, so only what else is wrong counts.
+      known AS (SELECT o_orderkey, CASE WHEN f <> '' OR f IS NULL THEN f WHEN m = 9 THEN 'q:the quality report failed' WHEN m = 11 THEN 'q:the linked document doesn''t exist' END AS f FROM found)
+      SELECT 'p/' || o_orderkey || '.handoff.json' AS path, substr(f, 3) AS problem,
+        CASE f[1] WHEN 'b' THEN 'bundle_manifest/bundle' WHEN 'q' THEN 'bundle_manifest/quality_report' END AS chain FROM known""",
     "family_matching": f"""WITH {RECORDS},
       b AS (SELECT {_at(_TRANSFORMS, 'l_partkey')} AS t, {_at(_POLICIES, 'l_suppkey')} AS p, replace(upper({_at(_SYMBOLS, 'l_orderkey')}), '.US', '') AS s,
         lower({_at(_FIELDS, 'l_linenumber')}) AS f, row_number() OVER () AS k FROM lineitem),
