@@ -41,6 +41,7 @@ BUFFER_ROWS = 8192  #: rows walked at once
 BLOCK_BYTES = 8 << 20  #: of texts in a block of neighbours, on average
 BLOCK_ROWS = 1 << 16  #: documents of a block, on average and at most
 MOST_BLOCKS = 20_000  #: beyond, blocks grow; they are walked as streams
+FEW_ROWS = 8  #: rows left of a walk that are walked one by one
 PIVOT_ROUNDS = 2  #: rounds of pivots before the texts of a bucket are compared in blocks
 
 
@@ -96,6 +97,7 @@ class Embedder:
     def __init__(self) -> None:
         self.bits = Bits()
         self.steps: dict[int, np.ndarray] = {}
+        self.shared_steps: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
     @staticmethod
     @cache
@@ -111,58 +113,84 @@ class Embedder:
     def fingerprints(self, texts: list[str]) -> list[tuple[int, np.ndarray]]:
         """(level, samples) of each text: 0 past its end, otherwise 1 to 15 by character."""
         codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-        groups: dict[int, list[int]] = {}
-        for i, c in enumerate(codes):
-            groups.setdefault(level_of(len(c)), []).append(i)
         out: list[tuple[int, np.ndarray]] = [(0, np.zeros(0, np.uint8))] * len(texts)
-        while groups:
-            level = min(groups)
-            members = sorted(groups.pop(level), key=lambda i: -len(codes[i]))
-            samples, ended = self._walk([codes[i] for i in members], level)
-            for i, x, whole in zip(members, samples, ended, strict=True):
-                if whole:
-                    out[i] = (level, x)
-                else:
-                    groups.setdefault(level + 1, []).append(i)
+        rest = [(level_of(len(c)), i) for i, c in enumerate(codes)]
+        while rest:
+            rest.sort(key=lambda r: (-r[0], -len(codes[r[1]])))
+            samples, ended = self._walk([codes[i] for _, i in rest], [level for level, _ in rest])
+            for (level, i), found in zip(rest, samples, strict=True):
+                out[i] = (level, found)
+            rest = [(level + 1, i) for (level, i), whole in zip(rest, ended, strict=True) if not whole]
         return out
 
-    def _walk(self, codes: list[np.ndarray], level: int) -> tuple[np.ndarray, np.ndarray]:
-        """Samples of texts of one level, longest first, and whether their walks reached the end."""
+    def _walk(self, codes: list[np.ndarray], levels: list[int] | int) -> tuple[list[np.ndarray], np.ndarray]:
+        """Samples of texts by falling level (or of one level) and length, and whether their walks reached the end. All
+        levels walk together, as they share the bits: a step is kept for the levels that sample it."""
+        levels = [levels] * len(codes) if isinstance(levels, int) else levels
         lengths = np.array([len(c) for c in codes])
         ends = np.cumsum(lengths + 1) - 1
         flat = np.full(int(ends[-1]) + 1, END, np.uint8)
         for c, end in zip(codes, ends, strict=True):
             flat[end - len(c) : end] = (c * np.uint32(0x9E3779B1) >> np.uint32(24)) % END
         at = (ends - lengths).astype(np.int64)
-        bounds = np.searchsorted(self.sampled(level), np.arange(0, (1 << level) + 64, 64)).tolist()
-        steps = self.sampled(level).tolist()
-        emitted = np.full((len(steps), len(codes)), END, np.uint8)
+        bounds: dict[int, tuple[int, int]] = {}
+        for i, level in enumerate(levels):
+            bounds[level] = (bounds.get(level, (i, i))[0], i + 1)
+        emitted = {level: np.full((len(self.sampled(level)), high - low), END, np.uint8) for level, (low, high) in bounds.items()}
+        due: dict[int, list[tuple[int, int]]] = {}
+        for level in bounds:
+            for k, step in enumerate(self.sampled(level).tolist()):
+                due.setdefault(step, []).append((level, k))
         under, moved, live = np.empty(len(codes), np.uint8), np.empty(len(codes), np.uint8), len(codes)
-        for block in range((1 << level) // 64):
+        plain = b""
+        for block in range((1 << levels[0]) // 64):
+            first = block * 64
+            if first & (first - 1) == 0 and (done := first.bit_length() - 1) in bounds:
+                live = min(live, bounds[done][0])  # the last rows: their level has no more steps
+            going = np.flatnonzero(at[:live] < ends[:live])
+            live = int(going[-1]) + 1 if len(going) else 0
+            if not live:
+                break
             bits = self.bits.of_steps(block)
-            first, last = bounds[block], bounds[block + 1]
-            due = {steps[k] - 64 * block: k for k in range(first, last)}
+            if live <= FEW_ROWS:
+                plain = plain or flat.tobytes()
+                jumps = bits.tobytes()
+                for i in range(live):
+                    p = int(at[i])
+                    for row in range(64):
+                        c = plain[p]
+                        for level, k in due.get(first + row, ()):
+                            if level == levels[i]:
+                                emitted[level][k, i - bounds[level][0]] = c
+                        p += jumps[row << 8 | c]
+                    at[i] = p
+                continue
             p, u, m = at[:live], under[:live], moved[:live]
             for row in range(64):
                 np.take(flat, p, out=u, mode="clip")
-                if row in due:
-                    emitted[due[row], :live] = u
+                for level, k in due.get(first + row, ()):
+                    low, high = bounds[level]
+                    if low < live:
+                        emitted[level][k, : min(high, live) - low] = u[low:high]
                 np.take(bits[row], u, out=m, mode="clip")
                 np.add(p, m, out=p)
-            going = np.flatnonzero(p < ends[:live])
-            live = int(going[-1]) + 1 if len(going) else 0
-            if not live:
-                break
-        samples = np.where(emitted == END, 0, 1 + emitted % 15).astype(np.uint8)
-        return samples.T, at >= ends
+        samples = [x for level in bounds for x in np.where(emitted[level] == END, 0, 1 + emitted[level] % 15).astype(np.uint8).T]
+        return samples, at >= ends
+
+    def common(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """For samples of two levels: which of the lower one's steps the higher one has too, and which of the
+        higher one's lie within the lower one's range."""
+        if (low, high) not in self.shared_steps:
+            inside = self.sampled(high) < (1 << low)
+            self.shared_steps[low, high] = np.isin(self.sampled(low), self.sampled(high)[inside]), inside
+        return self.shared_steps[low, high]
 
     def likeness(self, a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
         """Share of agreeing samples among the common steps at which either text goes on; 1
         for two empty texts."""
         (la, sa), (lb, sb) = (a, b) if a[0] <= b[0] else (b, a)
         if la != lb:  # the higher level's steps within the lower level's range
-            inside = self.sampled(lb) < (1 << la)
-            shared = np.isin(self.sampled(la), self.sampled(lb)[inside])
+            shared, inside = self.common(la, lb)
             past = sb[~inside]
             sa, sb = sa[shared], sb[inside]
             beyond = int((past != 0).sum())
@@ -334,14 +362,12 @@ def band_keys(fingerprint: tuple[int, np.ndarray], embed: Embedder, rows: int) -
     """Keys of the bands of ``rows`` samples, at the text's level and, as seen from the next
     one, at that too; bands past the text's end have none."""
     level, samples = fingerprint
-    higher = embed.sampled(level + 1)
-    seen = samples[np.isin(embed.sampled(level), higher[higher < (1 << level)])]
+    seen = samples[embed.common(level, level + 1)[0]]
     keys = []
     for at_level, s in ((level, samples), (level + 1, seen)):
-        for i in range(0, len(s) - rows + 1, rows):
-            part = s[i : i + rows]
-            if part.all():
-                keys.append(f"{at_level}:{i}:{part.tobytes().hex()[1::2]}")
+        bands = s[: len(s) // rows * rows].reshape(-1, rows)
+        digits = bands.tobytes().hex()[1::2]
+        keys += [f"{at_level}:{i * rows}:{digits[i * rows : (i + 1) * rows]}" for i in np.flatnonzero(bands.all(axis=1)).tolist()]
     return keys
 
 
@@ -404,9 +430,9 @@ def _alike(levels: np.ndarray, prints: list[np.ndarray], embed: Embedder, least:
             a, b = np.stack([prints[i] for i in of_a]), np.stack([prints[i] for i in of_b])
             beyond = np.zeros(len(of_b), np.int64)
             if la != lb:  # as in Embedder.likeness
-                inside = embed.sampled(lb) < (1 << la)
+                shared, inside = embed.common(la, lb)
                 beyond = (b[:, ~inside] != 0).sum(axis=1)
-                a, b = a[:, np.isin(embed.sampled(la), embed.sampled(lb)[inside])], b[:, inside]
+                a, b = a[:, shared], b[:, inside]
             for i, x in zip(of_a, a, strict=True):
                 going = (b != 0) | (x != 0)
                 total = going.sum(axis=1) + beyond
@@ -418,9 +444,9 @@ def _alike(levels: np.ndarray, prints: list[np.ndarray], embed: Embedder, least:
 @dataclass(frozen=True)
 class NearParams:
     rows: int = 6  #: samples of a band
-    alike: float = 0.4  #: least likeness of fingerprints to compare texts
-    distance: float = 0.05  #: most edits per character of the longer text
-    block: int = 256  #: texts of a block
+    alike: float = 0.25  #: least likeness of fingerprints to compare texts; 99 of 100 unrelated pairs have less
+    distance: float = 0.02  #: most edits per character of the longer text
+    block: int = 1024  #: texts of a block
     block_chars: int = 1 << 21  #: characters of a block's texts, more only if a single text has more
 
     def sizes(self) -> JoinParams:
@@ -639,10 +665,5 @@ def fingerprint_and_link(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return join_hot(prints, by_text, "same", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).drop("same")
 
 
-#: The query asks for fingerprints that agree in 0.8: such texts are nearly always within the distance, so in
-#: crowded groups a comparison seldom needs a second look at texts.
-QUERY_PARAMS = NearParams(alike=0.8, distance=0.1, block=1024)
-
-
 def op6_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_and_link(table(spark, sf_dir, "documents"), params=QUERY_PARAMS)
+    return fingerprint_and_link(table(spark, sf_dir, "documents"))

@@ -107,6 +107,23 @@ def test_near_links_recall(spark, documents):
     assert all(parent[i] == parent[j] for i, j in got.items())  # nothing joins what no chain of near pairs does
 
 
+def test_near_links_recall_at_each_edit_rate(spark, documents):
+    """The query's parameters find 0.9 of the pairs, with edits of all kinds spread over its whole distance."""
+    rng, texts, rates = random.Random(21), [], [0.002, 0.005, 0.01, 0.015, 0.0195]
+    for i in range(150):
+        base = " ".join("".join(rng.choices("aaabcdeeefghiijklmnoop", k=rng.randint(2, 9))) for _ in range(rng.choice([40, 120, 400])))
+        copy = list(base)
+        for _ in range(max(1, int(len(base) * rates[i % len(rates)]))):
+            at, kind = rng.randrange(len(copy)), rng.randrange(3)
+            copy[at : at + (kind != 1)] = [] if kind == 2 else [rng.choice("abcdefghijklmnop ")]
+        texts += [base, "".join(copy)]
+    got = {r.doc_id: r.near_id for r in E.fingerprint_and_link(documents(texts)).collect()}
+    far = [E.edit_distance_within(texts[i], texts[i + 1], int(E.NearParams().distance * max(len(texts[i]), len(texts[i + 1])))) is None for i in range(0, 300, 2)]
+    assert not any(far)
+    assert sum(got[i] == got[i + 1] for i in range(0, 300, 2)) >= 0.9 * 150
+    assert len(set(got.values())) >= 150
+
+
 def test_fingerprints_of_other_ids(spark):
     docs = spark.createDataFrame([("b", "second text"), ("a", "first text"), (None, "zeroth"), (None, "zeroth"), ("b", None)], "doc_id string, text string")
     found = E.fingerprint_with_next(docs).collect()
