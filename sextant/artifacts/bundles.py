@@ -16,6 +16,7 @@ from ..operators import quality as Q
 from ..plans.contracts import FAMILIES, required_fields
 from ..sources.files import read_csv, sha256_file
 from . import documents as D
+from .commits import commit
 
 MIN_CONTRACT = "derived_indicators+portfolio_snapshot"
 
@@ -182,21 +183,32 @@ def _entry(index_root: Path, manifest_path: str | Path) -> dict[str, Any]:
 def write_index(path: str | Path, manifests: Iterable[str | Path], generated_at: str | None = None, accepted: Iterable[str] = (D.FRESH,), keep: Iterable[dict] = ()) -> dict[str, Any]:
     """Index of manifests below its folder, sorted; every entry is validated once written."""
     path = Path(path)
-    entries = sorted([*keep, *(_entry(path.parent, m) for m in manifests)], key=lambda e: (e["as_of"], e["bundle_id"], e["manifest_path"]))
-    D.check(entries, "an index needs an entry")
-    index = {"schema_version": D.INDEX, "generated_at": generated_at or f"{max(e['as_of'] for e in entries)}T00:15:00Z", "bundles": entries}
-    D.write(path, index)
-    for e in entries:
+    index = _index([*keep, *(_entry(path.parent, m) for m in manifests)], generated_at)
+    commit(path, lambda _: index)
+    for e in index["bundles"]:
         _validated_entry(path, e, accepted)
     return index
 
 
+def _index(entries: list[dict[str, Any]], generated_at: str | None) -> dict[str, Any]:
+    D.check(entries, "an index needs an entry")
+    entries = sorted(entries, key=lambda e: (e["as_of"], e["bundle_id"], e["manifest_path"]))
+    return {"schema_version": D.INDEX, "generated_at": generated_at or f"{max(e['as_of'] for e in entries)}T00:15:00Z", "bundles": entries}
+
+
 def upsert_index(path: str | Path, manifest: str | Path, generated_at: str | None = None, accepted: Iterable[str] = (D.FRESH,)) -> dict[str, Any]:
-    """Put a manifest's entry in place of the one of the same bundle, date and input."""
+    """Put a manifest's entry in place of the one of the same bundle, date and input. Writers may do so at
+    once (``commits``); the entry is validated before it is seen."""
     identity = lambda e: (e["bundle_id"], e["as_of"], e["canonical_input"])
-    new = _entry(Path(path).parent, manifest)
-    old = D.read(path)["bundles"] if Path(path).exists() else []
-    return write_index(path, [manifest], generated_at, accepted, [e for e in old if identity(e) != identity(new)])
+    path = Path(path)
+    new = _entry(path.parent, manifest)
+    _validated_entry(path, new, accepted)
+
+    def put(index: dict[str, Any] | None) -> dict[str, Any]:
+        kept = [e for e in (index or {}).get("bundles", []) if identity(e) != identity(new)]
+        return _index([*kept, new], generated_at)
+
+    return commit(path, put)[1]
 
 
 def validate_manifest(path: str | Path, consumer: str | None = None, accepted: Iterable[str] = (D.FRESH,)) -> dict[str, Any]:

@@ -17,6 +17,7 @@ from ..plans.contracts import known_consumers
 from ..sources.files import sha256_file
 from . import bundles as B
 from . import documents as D
+from .commits import commit
 from . import governance as G
 
 _STATE = (
@@ -140,22 +141,34 @@ def _index_entry(root: Path, handoff: str | Path, gates: Gates) -> dict[str, Any
 
 def write_handoff_index(path: str | Path, handoffs: Iterable[str | Path], generated_at: str | None = None, gates: Gates = Gates(), keep: Iterable[dict] = ()) -> dict[str, Any]:
     path = Path(path)
-    entries = [*keep, *(_index_entry(path.parent, h, gates) for h in handoffs)]
+    index = _handoffs([*keep, *(_index_entry(path.parent, h, gates) for h in handoffs)], generated_at)
+    commit(path, lambda _: index)
+    return _indexed(path, index)
+
+
+def _handoffs(entries: list[dict[str, Any]], generated_at: str | None) -> dict[str, Any]:
     D.check(entries, "an index needs a handoff")
-    entries.sort(key=lambda e: (e["as_of"], e["bundle_id"], e["consumer"], e["handoff_manifest_path"]))
-    index = {"schema_version": D.HANDOFF_INDEX, "artifact_type": "market_signal_platform_handoff_index", "generated_at": generated_at or f"{max(e['as_of'] for e in entries)}T00:15:00Z", "handoffs": entries}
-    D.write(path, index)
-    return D.with_file(path, {"handoff_count": len(entries), "generated_at": index["generated_at"]})
+    entries = sorted(entries, key=lambda e: (e["as_of"], e["bundle_id"], e["consumer"], e["handoff_manifest_path"]))
+    latest = max(e["as_of"] for e in entries)
+    return {"schema_version": D.HANDOFF_INDEX, "artifact_type": "market_signal_platform_handoff_index", "generated_at": generated_at or f"{latest}T00:15:00Z", "handoffs": entries}
+
+
+def _indexed(path: Path, index: dict[str, Any]) -> dict[str, Any]:
+    return D.with_file(path, {"handoff_count": len(index["handoffs"]), "generated_at": index["generated_at"]})
 
 
 def upsert_handoff(path: str | Path, handoff: str | Path, generated_at: str | None = None, gates: Gates = Gates(), per_consumer: bool = False) -> dict[str, Any]:
     """Put a handoff in place of the one of the same bundle, date and input. Consumers share that
-    identity unless ``per_consumer``."""
+    identity unless ``per_consumer``. Writers may do so at once (``commits``)."""
     fields = ("bundle_id", "as_of", "canonical_input", *(["consumer"] if per_consumer else []))
     identity = lambda e: [e[f] for f in fields]
-    new = _index_entry(Path(path).parent, handoff, gates)
-    old = D.read(path)["handoffs"] if Path(path).exists() else []
-    return write_handoff_index(path, [handoff], generated_at, gates, [e for e in old if identity(e) != identity(new)])
+    path = Path(path)
+    new = _index_entry(path.parent, handoff, gates)
+
+    def put(index: dict[str, Any] | None) -> dict[str, Any]:
+        return _handoffs([*(e for e in (index or {}).get("handoffs", []) if identity(e) != identity(new)), new], generated_at)
+
+    return _indexed(path, commit(path, put)[1])
 
 
 def validate_handoff_index(path: str | Path, consumer: str | None = None, as_of: str | None = None, gates: Gates = Gates(), canonical: str = D.DERIVED) -> dict[str, Any]:
