@@ -14,7 +14,7 @@ from ..operators import indicators as I
 from ..operators import normalize as N
 from ..operators import quality as Q
 from ..plans.contracts import FAMILIES, required_fields
-from ..sources.files import read_csv, sha256_file
+from ..sources.files import csv_shape, read_csv, sha256_file
 from . import documents as D
 from .commits import commit
 
@@ -288,6 +288,20 @@ def quality_report(
     return base | _report(Q.ohlcv_report(raw, as_of, min_history, max_gap))
 
 
+def quality_reports(raw: DataFrame, source: Mapping[str, Any], columns: Mapping[str, str], as_of: str | None = None, min_history: int = 200, max_gap: int = 1) -> dict[str, dict[str, Any]]:
+    """A report for each symbol of rows of many, all from one aggregation; ``source`` records their files."""
+    base = {
+        "schema_version": D.QUALITY, "artifact_type": "local_ohlcv_quality_report", "input_csv": dict(source), "selected_columns": dict(columns),
+        "source_columns": sorted(set(columns.values())), "as_of": as_of, "min_history_rows": int(min_history), "max_allowed_gap_days": int(max_gap),
+    }
+    found = Q.ohlcv_report(raw.withColumnRenamed("symbol", "series"), as_of, min_history, max_gap)
+    reports = {}
+    for row in found.collect():  # a row a symbol
+        facts = D.json_safe({k: v for k, v in row.asDict().items() if k != "series"})
+        reports[row["series"]] = base | {k: "" if v is None and k.endswith("_date") else v for k, v in facts.items()}
+    return reports
+
+
 def context_availability(spark: SparkSession, path: str, as_of: str | None = None, strict: bool = False, min_history: int = 1, max_gap: int = 7) -> dict[str, Any]:
     found = Q.context_report(read_csv(spark, path).withColumn("series", F.lit("x")), as_of, strict, min_history, max_gap)
     return {"schema_version": D.CONTEXT_REPORT, "input_csv": D.file_record(path), "as_of": as_of} | _report(found)
@@ -388,7 +402,7 @@ def write_export(
     min_history: int, sources: Iterable[Mapping[str, Any]] | None = None, parameters: Mapping[str, Any] | None = None, quality_report: str | Path | None = None,
 ) -> dict[str, Any]:
     """Manifest of a written research CSV, with its shape and hashes."""
-    columns, rows, first, last = csv_shape(frame_csv)
+    columns, rows, first, last = csv_shape(str(frame_csv))
     manifest = {
         "schema_version": D.RESEARCH_EXPORT, "artifact_type": artifact_type, "transform": transform, "source_version": source_version, "as_of": as_of,
         "min_history": int(min_history), "row_count": rows, "first_date": first, "last_date": last, "columns": columns,
@@ -401,19 +415,6 @@ def write_export(
     return manifest
 
 
-def csv_shape(path: str | Path) -> tuple[list[str], int, str, str]:
-    """(columns, rows, first date, last date) of a CSV, in file order."""
-    with open(path, newline="", encoding="utf-8") as f:
-        reader = csv.reader(f)
-        columns = next(reader, [])
-        at = columns.index("date") if "date" in columns else 0
-        rows, first, last = 0, "", ""
-        for r in reader:
-            rows, last = rows + 1, r[at]
-            first = first or last
-    return columns, rows, first, last
-
-
 def validate_export(path: str | Path, artifact_type: str | None = None, transform: str | None = None) -> dict[str, Any]:
     m = D.read(path)
     D.schema(m, D.RESEARCH_EXPORT)
@@ -428,7 +429,7 @@ def validate_export(path: str | Path, artifact_type: str | None = None, transfor
         D.check(file is not None, f"{record['path']} doesn't exist")
         D.check(sha256_file(file) == record["sha256"] and file.stat().st_size == record["size_bytes"], f"{name} has changed")
         found[name] = file
-    shape = dict(zip(("columns", "row_count", "first_date", "last_date"), csv_shape(found["output_csv"]), strict=True))
+    shape = dict(zip(("columns", "row_count", "first_date", "last_date"), csv_shape(str(found["output_csv"])), strict=True))
     D.same(m, shape, shape, "manifest and CSV")
     D.no_sensitive_keys(m, "research_export")
     return D.with_file(path, {k: m[k] for k in ("artifact_type", "transform", "as_of", "row_count")} | {

@@ -18,6 +18,7 @@ from ..artifacts import bundles as B
 from ..artifacts import documents as D
 from ..artifacts import governance as G
 from ..artifacts import handoff as H
+from ..functions import columns as C
 from ..operators import indicators as I
 from ..operators import normalize as N
 from ..sources import files as S
@@ -76,10 +77,19 @@ def build_cycle(a: argparse.Namespace) -> dict[str, Any]:
 
 
 def build_technical(a: argparse.Namespace) -> dict[str, Any]:
-    found = B.technical_payloads(_raw(a, a.input_csv, a.symbol), a.as_of, a.min_history)
-    quality, _ = _quality(a, a.input_csv, "quality_report.json", a.min_history, a.max_allowed_gap_days)
+    """A bundle of one symbol's CSV; or with --symbol-column of all symbols, or those listed in --symbol, in the CSVs that
+    --input-csv names (a file, folder or pattern at any path that Spark reads)."""
+    if a.symbol_column:
+        raw, sha = _many(a)
+        quality = None  # a bundle pins one report, so each symbol's lies beside it
+        for symbol, report in B.quality_reports(raw, {"path": a.input_csv, "sha256": sha}, _columns(a), a.as_of, a.min_history, a.max_allowed_gap_days).items():
+            D.write(Path(a.output_dir) / f"{symbol.lower()}_quality_report.json", report)
+    else:
+        raw, sha = _raw(a, a.input_csv, a.symbol), S.sha256_file(a.input_csv)
+        quality, _ = _quality(a, a.input_csv, "quality_report.json", a.min_history, a.max_allowed_gap_days)
+    found = B.technical_payloads(raw, a.as_of, a.min_history)
     document = B.family_bundle(
-        "us_equity.technical_daily", found, raw_sha256=S.sha256_file(a.input_csv), policy=a.freshness_policy, profiles=a.compatible_profile or None,
+        "us_equity.technical_daily", found, raw_sha256=sha, policy=a.freshness_policy, profiles=a.compatible_profile or None,
         bundle_id_prefix=a.bundle_id_prefix, **_provenance(a),
     )
     document["provenance"]["transform"] = a.transform
@@ -87,6 +97,17 @@ def build_technical(a: argparse.Namespace) -> dict[str, Any]:
     return _published(a, document, quality)
 
 
+def _many(a: argparse.Namespace):
+    """(rows, combined hash of the files) of many symbols."""
+    spark = _spark()
+    raw = S.read_many(spark, a.input_csv, {**_columns(a), "symbol": a.symbol_column})
+    wanted = [s.upper() for s in _split(a.symbol)]
+    raw = raw.withColumn("symbol", F.upper(F.trim("symbol"))).where(F.col("symbol").isNotNull() & (F.col("symbol") != ""))
+    raw = raw if wanted in ([], ["*"]) else raw.where(F.col("symbol").isin(wanted))
+    files = S.sha256_files(spark, a.input_csv)
+    return raw, files.agg(C.combined_hash(F.element_at(F.split("path", "/"), -1), F.col("sha256"))).first()[0]
+
+
 def build_rotation(a: argparse.Namespace) -> dict[str, Any]:
     raw = _raw(a, a.soxl_csv, "SOXL").unionByName(_raw(a, a.soxx_csv, "SOXX"), allowMissingColumns=True)
     params = I.RotationParams(
@@ -324,7 +345,7 @@ def parser() -> argparse.ArgumentParser:
 
     command("build-btc-cycle-bundle", build_cycle, "input-csv", *out, symbol="BTC-USD", provider_dataset="btc_usd_daily_ohlcv", **made, **csv_columns)
     command(
-        "build-daily-technical-bundle", build_technical, "input-csv", "symbol", *out, domain="us_equity", bundle_id_prefix="us_equity.technical.daily",
+        "build-daily-technical-bundle", build_technical, "input-csv", "symbol", *out, symbol_column=None, domain="us_equity", bundle_id_prefix="us_equity.technical.daily",
         transform="technical.daily_ohlcv.v1", provider_dataset="daily_ohlcv", freshness_policy="daily_close_t_plus_1", min_history=252, max_allowed_gap_days=5,
         compatible_profile=[], **made, **csv_columns,
     )

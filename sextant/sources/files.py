@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import csv
 import hashlib
+import io
+import os
+import uuid
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.normalize import ORDER, ohlcv
+from ..storage import shared_dir
 
 CHUNK = 1 << 20
 
@@ -110,9 +114,52 @@ def resolve_as_of(path: str, requested: str | None, yesterday: str) -> str:
 
 
 def write_csv(frame: DataFrame, path: str) -> tuple[int, list[str]]:
-    """One CSV file with header, sorted by date: a research export of one family is small.
-    Returns rows and columns."""
-    rows = frame.orderBy("date").toPandas()
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    rows.to_csv(path, index=False)
-    return len(rows), list(rows.columns)
+    """One CSV file with header, sorted by date, at a local or any Hadoop path. Returns rows and columns.
+
+    Tasks write parts of ranges of dates to the shared folder; the parts are then joined in order as streams, so the
+    driver never holds rows. The file appears whole: it is renamed once it is written.
+    """
+    spark = frame.sparkSession
+    seen = Observation()
+    parts = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    frame.orderBy("date").observe(seen, F.count(F.lit(1)).alias("n")).write.csv(parts, header=False, nullValue="", emptyValue='""')
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop, remote = jvm.org.apache.hadoop.fs.Path, "://" in str(path)
+    source = hadoop(parts).getFileSystem(conf)
+    names = sorted(str(f.getPath()) for f in source.listStatus(hadoop(parts)) if f.getPath().getName().startswith("part-"))
+    header = io.StringIO()
+    csv.writer(header, lineterminator="\n").writerow(frame.columns)
+    half = f"{path}.{uuid.uuid4().hex}"
+    if remote:
+        target = hadoop(str(path)).getFileSystem(conf)
+        out = target.create(hadoop(half), True)
+    else:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        out = jvm.java.io.FileOutputStream(half)
+    try:
+        out.write(header.getvalue().encode())
+        for name in names:
+            part = source.open(hadoop(name))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+            part.close()
+    finally:
+        out.close()
+    if remote:
+        target.delete(hadoop(str(path)), False)
+        target.rename(hadoop(half), hadoop(str(path)))
+    else:
+        os.replace(half, path)
+    source.delete(hadoop(parts), True)
+    return int(seen.get["n"]), list(frame.columns)
+
+
+def csv_shape(path: str) -> tuple[list[str], int, str, str]:
+    """(columns, rows, first date, last date) of a CSV in file order, read by many tasks."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    columns = csv_header(spark, path)
+    if not columns:
+        return [], 0, "", ""
+    day = "date" if "date" in columns else columns[0]
+    at = F.col(ORDER)
+    rows = read_many(spark, str(path), {"day": day}).agg(F.count(F.lit(1)).alias("n"), F.min_by("day", at).alias("a"), F.max_by("day", at).alias("b")).first()
+    return columns, rows.n, rows.a or "", rows.b or ""
