@@ -73,8 +73,9 @@ def _total(terms: list[str]) -> str:
 
 
 def _centred(n: int, sums: tuple[int, ...]) -> list[str]:
-    """SQL of x - sum / n for each entry: the whole part is taken off exactly, before the cast."""
-    return [f"(CAST(_x[{i}] - {s // n}L AS DOUBLE) - {(s % n) / n!r}D)" for i, s in enumerate(sums)]
+    """SQL of x - sum / n for each entry: the whole part is taken off exactly, before the cast. ``get`` gives NULL beyond
+    the end, as Spark may evaluate this for rows that a filter is about to drop."""
+    return [f"(CAST(get(_x, {i}) - {s // n}L AS DOUBLE) - {(s % n) / n!r}D)" for i, s in enumerate(sums)]
 
 
 def _covariance(fit: DataFrame, n: int, sums: tuple[int, ...]) -> np.ndarray:
@@ -99,12 +100,12 @@ def fit_whitening(rows: DataFrame, components: int) -> Whitening | None:
         discard(fit)
         return None
     d = len(first[0])
-    columns = [f"{f}(_x[{i}]) AS {f}_{i}" for f in ("try_sum", "min", "max") for i in range(d)]
+    columns = [f"{f}(get(_x, {i})) AS {f}_{i}" for f in ("try_sum", "min", "max") for i in range(d)]
     found = fit.selectExpr("count(*) AS n", *columns).collect()[0]
     n = found.n
     sums = tuple(found[f"try_sum_{i}"] for i in range(d))
     if None in sums:  # beyond 64 bits
-        exact = fit.selectExpr(*(f"sum(CAST(_x[{i}] AS DECIMAL(20, 0))) AS s{i}" for i in range(d))).collect()[0]
+        exact = fit.selectExpr(*(f"sum(CAST(get(_x, {i}) AS DECIMAL(20, 0))) AS s{i}" for i in range(d))).collect()[0]
         sums = tuple(int(s) for s in exact)
     farthest = tuple(max(n * found[f"max_{i}"] - sums[i], sums[i] - n * found[f"min_{i}"]) for i in range(d))
     values, vectors = np.linalg.eigh(_covariance(fit, n, sums))
@@ -134,7 +135,7 @@ def _deviation(model: Whitening) -> Column:
         return F.lit(None).cast("decimal(38,0)")
     whole = (lambda t: t) if most < 1 << 63 else (lambda t: f"CAST({t} AS DECIMAL(38,0))")
     number = (lambda v: f"{v}L") if most < 1 << 63 else (lambda v: f"CAST('{v}' AS DECIMAL(38,0))")
-    parts = [f"({whole(f'_x[{i}]')} * {number(model.n)} - {number(s)})" for i, s in enumerate(model.sums)]
+    parts = [f"({whole(f'get(_x, {i})')} * {number(model.n)} - {number(s)})" for i, s in enumerate(model.sums)]
     return F.expr(_total([f"CAST({p} * {p} AS {'BIGINT' if most < 1 << 63 else 'DECIMAL(38,0)'})" for p in parts]))
 
 
