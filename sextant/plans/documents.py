@@ -151,6 +151,65 @@ def publication_chains(spark: SparkSession, d: str) -> DataFrame:
     return L.judged(_chains(spark, d)).where("path like '%.handoff.json'")
 
 
+def _filled(document: Mapping[str, Any], changes: list[tuple[Column, str, Column]]) -> Column:
+    """The document as JSON in which each change replaces the value of a field of its own where its condition holds."""
+    made = F.lit(json.dumps(document))
+    for when, field, value in changes:
+        old = f'"{field}": {json.dumps(document[field])}'
+        made = F.when(when, F.replace(made, F.lit(old), F.concat(F.lit(f'"{field}": '), value))).otherwise(made)
+    return made
+
+
+def _quoted(c: Column) -> Column:
+    return F.concat(F.lit('"'), c, F.lit('"'))
+
+
+def audit_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Which audits, one per order, keep their contract; status picks the mode, month and priority what is wrong."""
+    month, always = _month(), F.lit(True)
+    research = F.col("o_orderstatus") == "F"
+    document = _filled({**_audit(), "research_transform": "t", "research_as_of": "2025-01-01"}, [
+        (research, "consumption_mode", F.lit('"offline_research"')), (research | (month == 1), "runtime_injection_allowed", F.lit("false")),
+        (always, "bundle_id", _quoted(F.when(month == 2, F.lit(" ")).otherwise(F.col("o_custkey").cast("string")))),
+        (month == 3, "research_as_of", F.lit("null")), (month == 4, "local_registry_payload_sha256", _quoted(F.upper(F.sha2(F.lit("ab"), 256)))),
+        (_priority() == "1", "ready_for_consumption", F.lit("1")), (_priority() == "2", "source_families", F.lit('[{"a": {"Cookie": "x"}}]')),
+    ])
+    v = R.parsed(F.col("document"))
+    return X.read(spark, d, "orders").select("o_orderkey", document.alias("document")).select("o_orderkey", R.problem(v, R.audit_rules(v)).isNull().alias("accepted"))
+
+
+def plan_audit_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Which plans agree with their audits: both carry the order's numbers, the audit its day where the plan has its month."""
+    audited = _audit()
+    plan = _filled(H.injection_plan(audited), [(F.lit(True), "as_of", _quoted(_month().cast("string"))), (F.lit(True), "bundle_id", _quoted(F.col("o_custkey").cast("string")))])
+    audit = _filled(audited, [
+        (F.lit(True), "as_of", _quoted(F.dayofmonth("o_orderdate").cast("string"))), (F.lit(True), "bundle_id", _quoted(F.col("o_custkey").cast("string"))),
+        (_priority() == "5", "matched_source_families", F.lit("[]")),
+    ])
+    p, a = R.parsed(F.col("plan")), R.parsed(F.col("audit"))
+    fields = [(f, f) if isinstance(f, str) else f for f in H._PLAN]
+    rules = R.plan_rules(p, [x for x, _ in fields])
+    found = F.coalesce(R.problem(p, rules), R.problem(a, R.audit_rules(a)), R.problem(p, [R.same(p, a, fields, "plan and audit")]))
+    return X.read(spark, d, "orders").select("o_orderkey", plan.alias("plan"), audit.alias("audit")).select("o_orderkey", found.isNull().alias("accepted"))
+
+
+def adapter_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Which adapter configs, one per order, keep their contract."""
+    month, base = _month(), {
+        "schema_version": D.ADAPTER, "strategy": "s", "signal_consumer": CONSUMER, "signal_handoff_index": "", "signal_handoff_manifest": "", "signal_as_of": "",
+        "saved_runtime_plan_json": None, "saved_consumption_audit_json": None, "accepted_freshness_statuses": ["fresh"], "require_all_known_families": False,
+    }
+    status = F.col("o_orderstatus")
+    document = _filled(base, [
+        (status != "F", "signal_handoff_index", F.lit('"i.json"')), (status != "O", "signal_handoff_manifest", F.lit('"m.json"')),
+        (month > 2, "signal_as_of", _quoted(F.date_format("o_orderdate", "yyyy-MM-dd"))), (month == 5, "saved_runtime_plan_json", F.lit('"p.json"')),
+        (_priority() == "1", "saved_consumption_audit_json", F.lit('"a.json"')), (month == 6, "require_all_known_families", F.lit('"yes"')),
+        (month == 7, "accepted_freshness_statuses", F.lit("[]")), (_priority() == "2", "signal_consumer", F.lit('"research:x"')),
+    ])
+    v = R.parsed(F.col("document"))
+    return X.read(spark, d, "orders").select("o_orderkey", document.alias("document")).select("o_orderkey", R.problem(v, R.adapter_rules(v)).isNull().alias("accepted"))
+
+
 # ---- families of bundles and exports
 
 _TRANSFORMS = sorted({f["transform"] for f in FAMILIES.values()})
@@ -347,6 +406,9 @@ QUERIES: dict[str, Query] = {
     "bundle_for_consumer": bundle_for_consumer,
     "quality_documents": quality_documents,
     "publication_chains": publication_chains,
+    "audit_documents": audit_documents,
+    "plan_audit_documents": plan_audit_documents,
+    "adapter_documents": adapter_documents,
     "family_matching": family_matching,
     "research_matching": research_matching,
     "governance_coverage": governance_coverage,
@@ -374,6 +436,11 @@ SQL: dict[str, str] = {
       AND month(o_orderdate) NOT IN (2, 3, 4, 5, 7, 8) AS accepted FROM orders""",
     "bundle_for_consumer": f"""SELECT o_orderkey, o_orderstatus <> 'P' AND o_orderpriority[1] <> '3' AND month(o_orderdate) >= {len(_REQUIRED)} AS accepted FROM orders""",
     "quality_documents": """SELECT o_orderkey, o_orderstatus <> 'P' AND o_orderpriority[1] <> '5' AND month(o_orderdate) > 8 AS accepted FROM orders""",
+    "audit_documents": """SELECT o_orderkey, o_orderpriority[1] NOT IN ('1', '2') AND month(o_orderdate) <> 4
+      AND CASE WHEN o_orderstatus = 'F' THEN month(o_orderdate) <> 3 ELSE month(o_orderdate) NOT IN (1, 2) END AS accepted FROM orders""",
+    "plan_audit_documents": "SELECT o_orderkey, month(o_orderdate) = day(o_orderdate) AND o_orderpriority[1] <> '5' AS accepted FROM orders",
+    "adapter_documents": """SELECT o_orderkey, o_orderstatus <> 'P' AND (o_orderstatus = 'F' OR month(o_orderdate) > 2) AND (month(o_orderdate) <> 5 OR o_orderpriority[1] = '1')
+      AND month(o_orderdate) NOT IN (6, 7) AND o_orderpriority[1] <> '2' AS accepted FROM orders""",
     "publication_chains": """
       WITH o AS (SELECT o_orderkey, o_orderstatus, month(o_orderdate) AS m FROM orders),
       found AS (SELECT o_orderkey, CASE

@@ -12,6 +12,7 @@ from sextant.artifacts import bundles as B
 from sextant.artifacts import columns as R
 from sextant.artifacts import documents as D
 from sextant.artifacts import graph as L
+from sextant.artifacts import handoff as H
 from sextant.plans import documents as P
 
 SF = "/root/testdata/sf0.001"
@@ -51,7 +52,19 @@ def _variants(document):
         yield _changed(document, ("more",), [[{k: "secret: \"token\": 1"}]])
 
 
-@pytest.mark.parametrize("document, one, many", [(GOOD, B.validate_bundle, R.bundle_rules), (REPORT, B.validate_quality, R.quality_rules)])
+AUDIT = P._audit()
+RESEARCH = {**AUDIT, "consumption_mode": "offline_research", "runtime_injection_allowed": False, "research_transform": "t", "research_as_of": "x"}
+ADAPTER = {"schema_version": D.ADAPTER, "strategy": "s", "signal_consumer": "c", "signal_handoff_index": "i", "signal_handoff_manifest": "", "signal_as_of": "x", "saved_runtime_plan_json": "", "saved_consumption_audit_json": "", "accepted_freshness_statuses": ["fresh"], "require_all_known_families": False}
+PLAN_FIELDS = [f if isinstance(f, str) else f[0] for f in H._PLAN]
+
+
+@pytest.mark.parametrize(
+    "document, one, many",
+    [
+        (GOOD, B.validate_bundle, R.bundle_rules), (REPORT, B.validate_quality, R.quality_rules), (AUDIT, H.validate_audit, R.audit_rules), (RESEARCH, H.validate_audit, R.audit_rules),
+        (H.injection_plan(AUDIT), H.validate_plan, lambda v: R.plan_rules(v, PLAN_FIELDS)), (ADAPTER, H.validate_adapter, R.adapter_rules),
+    ],
+)
 def test_column_rules_equal_the_rules_for_one_document(spark, document, one, many):
     texts = [json.dumps(x) for x in _variants(document)] + ["[]", "", "{", "null", "3", '"x"']
 
@@ -72,11 +85,11 @@ def test_column_rules_equal_the_rules_for_one_document(spark, document, one, man
 
 
 def test_rules_run_without_python(spark):
-    for query in (P.bundle_validation, P.bundle_for_consumer, P.quality_documents):
+    for query in (P.bundle_validation, P.bundle_for_consumer, P.quality_documents, P.audit_documents, P.plan_audit_documents, P.adapter_documents):
         assert "Python" not in query(spark, SF)._jdf.queryExecution().executedPlan().toString() and "InArrow" not in query(spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["bundle_validation", "bundle_for_consumer", "quality_documents", "publication_chains"])
+@pytest.mark.parametrize("name", ["bundle_validation", "bundle_for_consumer", "quality_documents", "publication_chains", "audit_documents", "plan_audit_documents", "adapter_documents"])
 def test_query_equals_twin(spark, name):
     names, got = rows_of(P.QUERIES[name](spark, SF).toPandas())
     wanted_names, wanted = rows_of(connect(SF).sql(P.SQL[name]).df())
