@@ -15,8 +15,10 @@ from ..functions import columns as C
 from ..functions.kernels import Recursive, Series, with_recursive
 from ..operators import indicators as I
 from ..operators import normalize as N
+from ..operators import quality as Q
 from ..operators.joins import as_of_join
 from ..sources.fixtures import read
+from .oracle import BASE_COLUMNS, BTC, CYCLE
 
 WHOLE = Series((), "event_id", long=True)
 USERS = Series(("user_id",), "event_id", long=True)
@@ -93,11 +95,43 @@ def asof_context_suppliers(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("date", C.iso_day(F.col("date")))
 
 
+def _nations(spark: SparkSession, d: str) -> DataFrame:
+    """(symbol, date, close, high): a series of orders for every nation, moved 20 years on."""
+    nation = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), F.col("n_name").alias("symbol"))
+    rows = read(spark, d, "orders").join(nation, "o_custkey").groupBy("symbol", F.date_add(F.to_date("o_orderdate"), 7305).alias("date"))
+    return N.cycle(rows.agg(F.max_by("o_totalprice", "o_orderkey").alias("close"), F.max("o_totalprice").alias("high"), F.lit(0).alias("_ord")))
+
+
+def _digits(column: str) -> int:
+    """Means of prices in cents over 200 days end at the fifth digit; other values end nowhere."""
+    return 6 if column == "sma200" else 4
+
+
+def cycle_nations(spark: SparkSession, d: str) -> DataFrame:
+    """Cycle indicators of every nation's series."""
+    frame = I.cycle_frame(_nations(spark, d)).drop("cycle_indicator_source")
+    return frame.select("symbol", C.iso_day(F.col("date")).alias("date"), *(F.round(c, _digits(c)).alias(c) for c in frame.columns[2:]))
+
+
+def cycle_nations_latest(spark: SparkSession, d: str) -> DataFrame:
+    frame = I.cycle_latest(_nations(spark, d)).drop("cycle_indicator_source")
+    return frame.select("symbol", C.iso_day(F.col("date")).alias("date"), *(F.round(c, _digits(c)).alias(c) for c in frame.columns[2:]))
+
+
+def gap_users(spark: SparkSession, d: str) -> DataFrame:
+    """Gaps between the days of every user, which squares of event ids spread unevenly."""
+    e = F.col("event_id")
+    day = F.date_add(F.lit("2000-01-01").cast("date"), (e * e % 9973).cast("int"))
+    rows = read(spark, d, "events").select("user_id", day.alias("date"), e.alias("_ord"))
+    days = Q.gap_stats(N.last_per_day(rows, ("user_id",)), ("user_id",), 30)
+    return days.withColumns({c: C.iso_day(F.col(c)) for c in ("first_date", "last_date")})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         ema_events, ema_users, rsi_wilder_events, rsi_wilder_users, asof_events, asof_users, expanding_percentile_events,
-        expanding_percentile_users, rolling_order_events, rolling_order_users, asof_context_suppliers,
+        expanding_percentile_users, rolling_order_events, rolling_order_users, asof_context_suppliers, cycle_nations, cycle_nations_latest, gap_users,
     )
 }
 
@@ -173,7 +207,20 @@ SELECT {keys} event_id, CASE WHEN n >= {least} THEN round(q, 6) END AS q90, len(
 """
 
 
+_NATION_BARS = """
+bars AS (
+  SELECT n_name AS symbol, (o_orderdate::DATE + 7305)::DATE AS date, arg_max(o_totalprice, o_orderkey) AS close, max(o_totalprice) AS high
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)"""
+_NATIONS = BTC.replace(CYCLE, _NATION_BARS)
+_NATION_COLUMNS = ", ".join(f"round({c}, {_digits(c)}) AS {c}" for c in f"{BASE_COLUMNS} ahr999_365d_percentile mayer_multiple_365d_percentile ahr999_30d_slope".split())
+
 SQL = {
+    "cycle_nations": f"WITH {_NATIONS} SELECT symbol, strftime(date, '%Y-%m-%d') AS date, {_NATION_COLUMNS} FROM frame",
+    "cycle_nations_latest": f"WITH {_NATIONS} SELECT symbol, strftime(date, '%Y-%m-%d') AS date, {_NATION_COLUMNS} FROM frame QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1",
+    "gap_users": """WITH days AS (SELECT DISTINCT user_id, DATE '2000-01-01' + (event_id * event_id % 9973)::INT AS date FROM events),
+      gaps AS (SELECT user_id, date, date_diff('day', lag(date) OVER (PARTITION BY user_id ORDER BY date), date) AS gap FROM days)
+      SELECT user_id, strftime(min(date), '%Y-%m-%d') AS first_date, strftime(max(date), '%Y-%m-%d') AS last_date, count(*) AS normalized_row_count,
+        coalesce(max(gap), 0) AS max_gap_days, count(*) FILTER (gap > 30) AS gap_count_above_threshold FROM gaps GROUP BY user_id""",
     "ema_events": _EMA_EVENTS,
     "ema_users": _EMA_USERS,
     "rsi_wilder_events": _RSI_EVENTS,
