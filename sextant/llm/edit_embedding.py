@@ -212,6 +212,13 @@ def from_text(text: str) -> tuple[int, np.ndarray]:
     return int(level), np.array([int(d, 16) for d in digits], np.uint8)
 
 
+def bag(text: str) -> list[int]:
+    """How many of a text's characters fall into each of 15 classes. An edit moves two of the counts by one at
+    most, so texts within d edits have bags that differ by 2 * d in sum at most."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.bincount((codes * np.uint32(0x9E3779B1) >> np.uint32(24)) % END % 15, minlength=15).tolist()
+
+
 def edited(text: str, following: str) -> str:
     """``text`` with its last half replaced by the start of ``following``."""
     half = len(text) // 2
@@ -255,13 +262,13 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> list[tuple]:
 
 
 FINGERPRINT_SCHEMA = (
-    "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same string"
+    "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same string, bag array<int>"
 )
 
 
 def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_chars, fingerprints of the text and of the text edited with the next row's (by
-    ascending id; after the last the first), their likenesses, and the text's md5 (``same``).
+    ascending id; after the last the first), their likenesses, the text's md5 (``same``) and its ``bag``.
 
     A null text is empty. Rows of equal ids go by a hash of the text, null ids come first. A single
     row is its own next; an empty table gives an empty result. Rows are dealt into blocks of
@@ -302,7 +309,7 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
         unpack, embed = zstandard.ZstdDecompressor(), Embedder()
         id_arrow = pa.int64()
         names = [id_col, *(f.split()[0] for f in FINGERPRINT_SCHEMA.split(", "))]
-        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
+        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.list_(pa.int32())]
 
         def pairs() -> Iterator[tuple[object, str, str, int]]:
             """(id, text, next text, copies) of the rows that aren't copies of an edge; all copies but the
@@ -333,6 +340,7 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 [embed.likeness(x, y) for x, y in zip(a, b, strict=True)],
                 [embed.likeness(x, y) for x, y in zip(a, c, strict=True)],
                 [_md5(t) for t in own],
+                [bag(t) for t in own],
             ]
             arrays = [pa.array([k for k, _, _, _ in held], id_arrow), *(pa.array(v, t) for v, t in zip(columns, types, strict=True))]
             return pa.RecordBatch.from_arrays([*arrays, pa.array([n for _, _, _, n in held], pa.int64())], [*names, "_copies"])
@@ -457,12 +465,17 @@ class NearParams:
 def _near(pairs: DataFrame, classes: DataFrame, texts: DataFrame, params: NearParams) -> DataFrame:
     """(a, b, distance) of the ``pairs`` (a, b, p), p the pivot of the two, whose fingerprints are alike
     and whose texts are within the distance. Only alike pairs meet their texts."""
-    prints = classes.select("key", "fingerprint")
+    prints = classes.select("key", F.struct("fingerprint", "bag").alias("print"))
     pairs = pairs.withColumn("o", F.when(F.col("p") == F.col("a"), F.col("b")).otherwise(F.col("a")))
     hot = hot_keys(pairs, "p")
     side = lambda rows, key, name: rows.select(F.col("key").alias(key), F.col(name).alias(f"{name[0]}{key}"))
-    joined = join_hot(pairs, side(prints, "p", "fingerprint"), "p", F.col("o"), hot).join(side(prints, "o", "fingerprint"), "o")
+    joined = join_hot(pairs, side(prints, "p", "print"), "p", F.col("o"), hot).join(side(prints, "o", "print"), "o")
     least, most = params.alike, params.distance
+    # Bags that differ too much rule a pair out for certain, and do so for nearly all unlike texts.
+    apart = F.aggregate(F.zip_with("pp.bag", "po.bag", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
+    size = lambda c: F.aggregate(c, F.lit(0), lambda x, y: x + y)
+    edits = F.floor(F.greatest(size("pp.bag"), size("po.bag"), F.lit(1)) * most)
+    joined = joined.where(apart <= 2 * edits).select("a", "b", "p", "o", F.col("pp.fingerprint").alias("fp"), F.col("po.fingerprint").alias("fo"))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embed = Embedder.shared()
@@ -493,6 +506,11 @@ def _spanning(part: pa.Table, params: NearParams, accept: Callable[[int, int], i
     prints = [from_text(t) for t in part.column("fingerprint").to_pylist()]
     found = _alike(np.array([level for level, _ in prints]), [x for _, x in prints], Embedder.shared(), params.alike)
     found &= labels[:, None] != labels[None, :]
+    bags = np.array(part.column("bag").to_pylist(), np.int64).reshape(-1, 15)
+    chars = bags.sum(axis=1)
+    for i in np.flatnonzero(found.any(axis=1)):
+        edits = (params.distance * np.maximum(np.maximum(chars, chars[i]), 1)).astype(np.int64)
+        found[i] &= np.abs(bags - bags[i]).sum(axis=1) <= 2 * edits
     if not first.all():
         found &= first[:, None] != first[None, :]
     parent: dict[int, int] = {}
@@ -522,7 +540,7 @@ _BLOCKS = ("grp", "li", "bi", "lj", "bj")
 def _alike_in_blocks(rest: DataFrame, classes: DataFrame, params: NearParams) -> DataFrame:
     """(a, b): pairs of alike fingerprints across labels within each group of ``rest`` (grp, key, label, n), enough to connect
     what all of them connect. A task compares the fingerprints of two blocks; texts stay where they are."""
-    rows = _tasks(rest, params.sizes()).join(classes.select("key", "fingerprint"), "key")
+    rows = _tasks(rest, params.sizes()).join(classes.select("key", "fingerprint", "bag"), "key")
 
     def compare(part: pa.Table) -> pa.Table:
         return _table([(a, b) for a, b, _ in _spanning(part, params, lambda i, j: 0)], "a", "b")
@@ -533,7 +551,7 @@ def _alike_in_blocks(rest: DataFrame, classes: DataFrame, params: NearParams) ->
 def _near_in_blocks(rest: DataFrame, classes: DataFrame, texts: DataFrame, params: NearParams) -> DataFrame:
     """(a, b, distance): links across labels within each group of ``rest`` (grp, key, label, n), enough
     of them to connect what they connect. A task compares two blocks of bounded texts and characters."""
-    rows = _tasks(rest, params.sizes()).join(classes.select("key", "fingerprint"), "key").join(texts, "key")
+    rows = _tasks(rest, params.sizes()).join(classes.select("key", "fingerprint", "bag"), "key").join(texts, "key")
 
     def compare(part: pa.Table) -> pa.Table:
         texts = part.column("text")
@@ -544,11 +562,11 @@ def _near_in_blocks(rest: DataFrame, classes: DataFrame, texts: DataFrame, param
 
         return _table(_spanning(part, params, within), "a", "b", "distance")
 
-    return rows.select(*_BLOCKS, "first", "key", "label", "fingerprint", "text").groupBy(*_BLOCKS).applyInArrow(compare, "a long, b long, distance long")
+    return rows.select(*_BLOCKS, "first", "key", "label", "fingerprint", "bag", "text").groupBy(*_BLOCKS).applyInArrow(compare, "a long, b long, distance long")
 
 
 def near_links(prints: DataFrame, docs: DataFrame, id_col: str, text_col: str, params: NearParams) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Classes, links and labels of near duplicates among rows of ``prints`` (id, same, n_chars, fingerprint),
+    """Classes, links and labels of near duplicates among rows of ``prints`` (id, same, n_chars, fingerprint, bag),
     same being the text's md5.
 
     Classes (key, id, same, n, fingerprint) are distinct texts with their least id; links (a, b, distance) join keys of
@@ -558,8 +576,8 @@ def near_links(prints: DataFrame, docs: DataFrame, id_col: str, text_col: str, p
     square of a bucket's unlinked texts: nothing less proves that none of them links. Only texts that share a
     bucket are shuffled.
     """
-    grouped = prints.groupBy("same").agg(F.min(id_col).alias("id"), F.first("fingerprint").alias("fingerprint"), F.first("n_chars").alias("n"))
-    classes = written(grouped.select(F.monotonically_increasing_id().alias("key"), "id", "same", "n", "fingerprint"), "edit-classes")
+    grouped = prints.groupBy("same").agg(F.min(id_col).alias("id"), F.first("fingerprint").alias("fingerprint"), F.first("n_chars").alias("n"), F.first("bag").alias("bag"))
+    classes = written(grouped.select(F.monotonically_increasing_id().alias("key"), "id", "same", "n", "fingerprint", "bag"), "edit-classes")
     release_shuffles(docs.sparkSession)
     rows = params.rows
 
@@ -634,19 +652,19 @@ def near_duplicates(
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, same, n_chars, fingerprint) of every row: the text's md5, code points and fingerprint. A null
-    text is empty."""
+    """(id, same, n_chars, fingerprint, bag) of every row: the text's md5, code points, fingerprint and bag. A
+    null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embed = Embedder()
         for batch in text_slices(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             prints = embed.fingerprints(texts)
-            columns = [pa.array([_md5(t) for t in texts]), pa.array([len(t) for t in texts], pa.int64()), pa.array([as_text(p) for p in prints], pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, "same", "n_chars", "fingerprint"])
+            columns = [pa.array([_md5(t) for t in texts]), pa.array([len(t) for t in texts], pa.int64()), pa.array([as_text(p) for p in prints], pa.string()), pa.array([bag(t) for t in texts], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, "same", "n_chars", "fingerprint", "bag"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {id_type}, same string, n_chars long, fingerprint string")
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {id_type}, same string, n_chars long, fingerprint string, bag array<int>")
 
 
 def _md5(text: str) -> str:
@@ -662,7 +680,7 @@ def fingerprint_and_link(docs: DataFrame, id_col: str = "doc_id", text_col: str
     named = written(named, "edit-named")
     least = named.groupBy("label").agg(F.min("id").alias("near_id"))
     by_text = named.join(least, "label").select("same", "near_id")
-    return join_hot(prints, by_text, "same", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).drop("same")
+    return join_hot(prints, by_text, "same", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).drop("same", "bag")
 
 
 def op6_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
