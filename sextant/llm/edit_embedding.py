@@ -627,9 +627,14 @@ def near_links(prints: DataFrame, docs: DataFrame, id_col: str, text_col: str, p
     release_shuffles(docs.sparkSession)
     spanning = written(_alike_in_blocks(rest, classes, params), "edit-spanning")
     found.append(written(_near(spanning.withColumn("p", F.col("a")), classes, texts, params), "edit-links"))
-    labels = _merged(found[-1], labels)
+    before, labels = labels, _merged(found[-1], labels)
     if found[-1].count() < spanning.count():  # alike but not near: other pairs may connect what these were to
-        left = rest.drop("label").join(labels, "key").select("grp", "key", "label", "n")
+        # They lie in components that such a pair was to hold together; in all others every candidate is settled.
+        assumed = _merged(spanning, before).withColumnRenamed("label", "assumed")
+        failed = spanning.join(found[-1].select("a", "b"), ["a", "b"], "left_anti").select(F.col("a").alias("key"))
+        doubtful = failed.join(assumed, "key").select("assumed").distinct()
+        kept = assumed.join(doubtful, "assumed").select("key")
+        left = rest.drop("label").join(kept, "key").join(labels, "key").select("grp", "key", "label", "n")
         found.append(written(_near_in_blocks(left, classes, texts, params), "edit-links"))
         labels = _merged(found[-1], labels)
     discard(rest, texts, spanning, *checked)
