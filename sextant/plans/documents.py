@@ -156,11 +156,19 @@ def publication_chains(spark: SparkSession, d: str) -> DataFrame:
 
 def _filled(document: Mapping[str, Any], changes: list[tuple[Column, str, Column]]) -> Column:
     """The document as JSON in which each change replaces the value of a field of its own where its condition holds."""
-    made = F.lit(json.dumps(document))
+    text, by_field = json.dumps(document), {}
     for when, field, value in changes:
-        old = f'"{field}": {json.dumps(document[field])}'
-        made = F.when(when, F.replace(made, F.lit(old), F.concat(F.lit(f'"{field}": '), value))).otherwise(made)
-    return made
+        by_field.setdefault(field, []).append((when, value))
+    pieces: list[Column] = []
+    # What is between the changed fields stays as it is, so the document is written once, however many changes there are.
+    for field in sorted(by_field, key=lambda f: text.index(f'"{f}": ')):
+        old = json.dumps(document[field])
+        before, text = text.split(f'"{field}": {old}', 1)
+        made = F.lit(old)
+        for when, value in by_field[field]:
+            made = F.when(when, value).otherwise(made)
+        pieces += [F.lit(f'{before}"{field}": '), made]
+    return F.concat(*pieces, F.lit(text))
 
 
 def _quoted(c: Column) -> Column:
@@ -177,8 +185,7 @@ def audit_documents(spark: SparkSession, d: str) -> DataFrame:
         (month == 3, "research_as_of", F.lit("null")), (month == 4, "local_registry_payload_sha256", _quoted(F.upper(F.sha2(F.lit("ab"), 256)))),
         (_priority() == "1", "ready_for_consumption", F.lit("1")), (_priority() == "2", "source_families", F.lit('[{"a": {"Cookie": "x"}}]')),
     ])
-    v = R.parsed(F.col("document"))
-    return X.read(spark, d, "orders").select("o_orderkey", document.alias("document")).select("o_orderkey", R.problem(v, R.audit_rules(v)).isNull().alias("accepted"))
+    return _accepted(X.read(spark, d, "orders").select("o_orderkey", document.alias("document")), R.audit_rules)
 
 
 def plan_audit_documents(spark: SparkSession, d: str) -> DataFrame:
