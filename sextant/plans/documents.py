@@ -197,9 +197,11 @@ def plan_audit_documents(spark: SparkSession, d: str) -> DataFrame:
         (_priority() == "5", "matched_source_families", F.lit("[]")),
     ])
     fields = [(f, f) if isinstance(f, str) else f for f in H._PLAN]
-    rules = R.plan_rules(p, [x for x, _ in fields])
-    found = F.coalesce(R.problem(p, rules), R.problem(a, R.audit_rules(a)), R.problem(p, [R.same(p, a, fields, "plan and audit")]))
-    return X.read(spark, d, "orders").select("o_orderkey", plan.alias("plan"), audit.alias("audit")).select("o_orderkey", found.isNull().alias("accepted"))
+    rows = X.read(spark, d, "orders").select("o_orderkey", plan.alias("plan"), audit.alias("audit"))
+    rows = rows.withColumns({"p": R.parsed(F.col("plan")), "a": R.parsed(F.col("audit"))})
+    p, a = F.col("p"), F.col("a")
+    own = F.coalesce(R.problem(p, R.plan_rules(p, [x for x, _ in fields], F.col("plan"))), R.problem(a, R.audit_rules(a, F.col("audit"))))
+    return rows.select("o_orderkey", F.coalesce(own, R.problem(p, [R.same(p, a, fields, "plan and audit")])).isNull().alias("accepted"))
 
 
 def adapter_documents(spark: SparkSession, d: str) -> DataFrame:
