@@ -109,8 +109,7 @@ def _reports(spark: SparkSession, d: str) -> DataFrame:
 
 def quality_documents(spark: SparkSession, d: str) -> DataFrame:
     """Which quality reports, one per order, keep their contract."""
-    v = R.parsed(F.col("document"))
-    return _reports(spark, d).select("o_orderkey", R.problem(v, R.quality_rules(v)).isNull().alias("accepted"))
+    return _accepted(_reports(spark, d), R.quality_rules)
 
 
 def _chains(spark: SparkSession, d: str) -> DataFrame:
