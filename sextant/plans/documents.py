@@ -216,8 +216,7 @@ def adapter_documents(spark: SparkSession, d: str) -> DataFrame:
         (_priority() == "1", "saved_consumption_audit_json", F.lit('"a.json"')), (month == 6, "require_all_known_families", F.lit('"yes"')),
         (month == 7, "accepted_freshness_statuses", F.lit("[]")), (_priority() == "2", "signal_consumer", F.lit('"research:x"')),
     ])
-    v = R.parsed(F.col("document"))
-    return X.read(spark, d, "orders").select("o_orderkey", document.alias("document")).select("o_orderkey", R.problem(v, R.adapter_rules(v)).isNull().alias("accepted"))
+    return _accepted(X.read(spark, d, "orders").select("o_orderkey", document.alias("document")), R.adapter_rules)
 
 
 # ---- families of bundles and exports
