@@ -130,3 +130,18 @@ def test_empty_and_cyclic_tables(spark):
     assert _judged(spark, []) == {}
     a, b = ({"n_path": f"{x}.json", "n_sha256": "1"} for x in "ba")
     assert all(p == "the linked document doesn't have the pinned hash" for p, _ in _judged(spark, [("a.json", json.dumps(a)), ("b.json", json.dumps(b))]).values())
+
+
+def test_the_least_text_of_a_path_counts(spark):
+    good, bad = json.dumps({"a": 1}), json.dumps({"b_path": "gone.json", "b_sha256": "0"})
+    top = json.dumps({"x_path": "x.json", "x_sha256": _sha(min(good, bad))})
+    found = _judged(spark, [("x.json", bad), ("x.json", good), ("x.json", good), ("top.json", top), ("y.json", bad), ("y.json", bad)])
+    assert good < bad and found == {"x.json": (None, None), "top.json": (None, None), "y.json": ("the linked document doesn't exist", "b")}
+
+
+def test_a_document_of_a_chain_is_parsed_once(spark):
+    from sextant.artifacts.graph import _nodes
+
+    plan = _nodes(spark.createDataFrame([("a", "{}")], "path string, text string"), None)
+    made = [p for p in plan.inputFiles()]
+    assert all("/facts-" in p for p in made)  # what follows reads facts, not texts
