@@ -19,6 +19,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import itertools
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache, reduce
@@ -38,10 +39,15 @@ SEED = 0x5EED
 END = 255  #: class of the end of a text, on which a walk rests
 BUFFER_CHARS = 16_000_000  #: characters walked at once
 BUFFER_ROWS = 8192  #: rows walked at once
+PAIRS = 1 << 18  #: pairs of bags tested at once
+VERIFIED = 512  #: pairs of texts compared at once
+BAND_CELLS, BAND_CHARS = 1 << 15, 1 << 22  #: diagonals and characters of pairs that are compared together
+RUN = 128  #: characters of long equal runs compared at once
 BLOCK_BYTES = 8 << 20  #: of texts in a block of neighbours, on average
 BLOCK_ROWS = 1 << 16  #: documents of a block, on average and at most
 MOST_BLOCKS = 20_000  #: beyond, blocks grow; they are walked as streams
 FEW_ROWS = 8  #: rows left of a walk that are walked one by one
+LEAST_BAG_BITS, MOST_BAG_BITS = 5, 12  #: of the number of classes of neighbours in a bag
 PIVOT_ROUNDS = 2  #: rounds of pivots before the texts of a bucket are compared in blocks
 
 
@@ -212,11 +218,47 @@ def from_text(text: str) -> tuple[int, np.ndarray]:
     return int(level), np.array([int(d, 16) for d in digits], np.uint8)
 
 
-def bag(text: str) -> list[int]:
-    """How many of a text's characters fall into each of 15 classes. An edit moves two of the counts by one at
-    most, so texts within d edits have bags that differ by 2 * d in sum at most."""
+def bag(text: str) -> bytes:
+    """How many of a text's characters fall into each of 15 classes, as 32-bit numbers, then how many of its pairs of
+    neighbours into each of 2^k others, as bytes (255: or more), k growing with the length.
+
+    An edit moves two of the first counts by one and four of the second at most, so the bags of texts within d edits differ
+    by 2 * d and 4 * d in sum at most. What is no near copy almost always differs by more.
+    """
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.bincount((codes * np.uint32(0x9E3779B1) >> np.uint32(24)) % END % 15, minlength=15).tolist()
+    classes = (codes * np.uint32(0x9E3779B1) >> np.uint32(24)) % END
+    bins = 1 << min(MOST_BAG_BITS, max(LEAST_BAG_BITS, (len(codes) // 32).bit_length()))
+    pairs = ((classes[:-1] << np.uint32(8) | classes[1:]) * np.uint32(0x85EBCA6B) >> np.uint32(16)) & np.uint32(bins - 1)
+    counts = np.minimum(np.bincount(pairs, minlength=bins), 255)
+    return np.bincount(classes % 15, minlength=15).astype("<i4").tobytes() + counts.astype(np.uint8).tobytes()
+
+
+class Bags:
+    """Bags of many texts, for tests of pairs."""
+
+    def __init__(self, bags: list[bytes]) -> None:
+        self.bags = bags
+        self.single = np.frombuffer(b"".join(b[:60] for b in bags), "<i4").reshape(-1, 15)
+        self.chars = self.single.sum(axis=1).astype(np.int64)
+        self.bins = np.array([len(b) - 60 for b in bags], np.int64)
+
+    def may_be_near(self, i: np.ndarray, j: np.ndarray, distance: float) -> np.ndarray:
+        """Which of the pairs (i, j) can be within ``distance`` edits per character of the longer; no pair that is gets lost."""
+        edits = (distance * np.maximum(np.maximum(self.chars[i], self.chars[j]), 1)).astype(np.int64)
+        on = np.flatnonzero(np.abs(self.chars[i] - self.chars[j]) <= edits)
+        on = on[np.abs(self.single[i[on]] - self.single[j[on]]).sum(axis=1) <= 2 * edits[on]]
+        bins = np.minimum(self.bins[i[on]], self.bins[j[on]])
+        out = np.zeros(len(i), bool)
+        for b in np.unique(bins).tolist():
+            of = on[bins == b]
+            ends, at = np.unique(np.concatenate([i[of], j[of]]), return_inverse=True)
+            # Counts of more bins add up to those of fewer.
+            folded = np.stack([np.frombuffer(self.bags[v], np.uint8, offset=60).reshape(-1, b).sum(axis=0, dtype=np.int32) for v in ends.tolist()])
+            for low in range(0, len(of), step := max(1, (1 << 21) // b)):
+                part = slice(low, low + step)
+                apart = np.abs(folded[at[: len(of)][part]] - folded[at[len(of) :][part]]).sum(axis=1)
+                out[of[part]] = apart <= 4 * edits[of[part]]
+        return out
 
 
 def edited(text: str, following: str) -> str:
@@ -262,7 +304,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> list[tuple]:
 
 
 FINGERPRINT_SCHEMA = (
-    "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same string, bag array<int>"
+    "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same string, bag binary"
 )
 
 
@@ -309,7 +351,7 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
         unpack, embed = zstandard.ZstdDecompressor(), Embedder()
         id_arrow = pa.int64()
         names = [id_col, *(f.split()[0] for f in FINGERPRINT_SCHEMA.split(", "))]
-        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.list_(pa.int32())]
+        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.binary()]
 
         def pairs() -> Iterator[tuple[object, str, str, int]]:
             """(id, text, next text, copies) of the rows that aren't copies of an edge; all copies but the
@@ -379,73 +421,106 @@ def band_keys(fingerprint: tuple[int, np.ndarray], embed: Embedder, rows: int) -
     return keys
 
 
+def _longest_partner(n: int, distance: float) -> int:
+    """The most characters of a text that can be near one of ``n``."""
+    return int(n / (1 - distance) + 1e-9) if distance < 1 else CYCLE
+
+
+def _length_classes(n: int, distance: float) -> list[int]:
+    """The classes of length that a text is filed under, twice as wide as lengths of near texts are apart: its own and, near
+    the upper end, the next. Two texts that can be near share one."""
+    if distance >= 1:
+        return [0]
+    width = -2 * math.log(1 - distance) * 1.0001 + 1e-9
+    at = math.log(max(n, 1)) / width
+    return list(dict.fromkeys([math.floor(at), math.floor(at + 0.5)]))
+
+
+def bucket_keys(fingerprint: tuple[int, np.ndarray], n: int, embed: Embedder, params: NearParams) -> list[int]:
+    """64-bit keys of the buckets of a text of ``n`` characters: a band's, with a class of length. Near texts that share
+    a band share a bucket. A text too short for a single edit to be near has no partner and no keys."""
+    import xxhash
+
+    if params.distance * _longest_partner(n, params.distance) + 1e-9 < 1:
+        return []
+    bands = band_keys(fingerprint, embed, params.rows)
+    return [xxhash.xxh3_64_intdigest(f"{c}:{k}") - (1 << 63) for c in _length_classes(n, params.distance) for k in bands]
+
+
 def edit_distance_within(a: str, b: str, most: int) -> int | None:
-    """Edit distance of two texts if it is ``most`` or less, by diagonals: for each number of edits
-    all diagonals advance at once, in O(most) rounds beside the comparison of equal runs."""
-    x = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
-    y = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
-    n, m = len(x), len(y)
-    if abs(n - m) > most:
-        return None
-
-    def run(i: int, j: int) -> int:
-        length, step = min(n - i, m - j), 64
-        at = 0
-        while at < length:
-            end = min(length, at + step)
-            differs = np.flatnonzero(x[i + at : i + end] != y[j + at : j + end])
-            if len(differs):
-                return at + int(differs[0])
-            at, step = end, step * 2
-        return max(length, 0)
-
-    def slide(i: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """The ends of the equal runs from (i, i + k) on; -1 stays."""
-        i = i.copy()
-        on = np.flatnonzero((i >= 0) & (i + k >= 0))
-        for _ in range(8):  # most runs are short
-            on = on[(i[on] < n) & (i[on] + k[on] < m)]
-            on = on[x[i[on]] == y[i[on] + k[on]]]
-            if not len(on):
-                return i
-            i[on] += 1
-        for v in on:
-            i[v] += run(int(i[v]), int(i[v] + k[v]))
-        return i
-
-    reach = slide(np.zeros(1, np.int64), np.zeros(1, np.int64))
-    for d in range(most + 1):
-        if -d <= m - n <= d and reach[m - n + d] >= n:
-            return d
-        k = np.arange(-d - 1, d + 2)
-        gap = np.full(1, -2, np.int64)
-        same = np.concatenate([gap, reach, gap])
-        insert = np.concatenate([gap, gap, reach])
-        delete = np.concatenate([reach, gap, gap])
-        i = np.minimum(np.maximum(np.maximum(same + 1, insert), delete + 1), np.minimum(n, m - k))
-        reach = slide(np.where((i >= 0) & (i + k >= 0), i, -2), k)
-    return None
-
-
-def _alike(levels: np.ndarray, prints: list[np.ndarray], embed: Embedder, least: float) -> np.ndarray:
-    """Whether each two of the fingerprints have a likeness of ``least`` or more."""
-    out = np.zeros((len(prints), len(prints)), bool)
-    members = {int(v): np.flatnonzero(levels == v) for v in np.unique(levels)}
-    for la, of_a in members.items():
-        for lb, of_b in members.items():
-            if la > lb:
-                continue
-            a, b = np.stack([prints[i] for i in of_a]), np.stack([prints[i] for i in of_b])
-            beyond = np.zeros(len(of_b), np.int64)
-            if la != lb:  # as in Embedder.likeness
-                shared, inside = embed.common(la, lb)
-                beyond = (b[:, ~inside] != 0).sum(axis=1)
-                a, b = a[:, shared], b[:, inside]
-            for i, x in zip(of_a, a, strict=True):
-                going = (b != 0) | (x != 0)
-                total = going.sum(axis=1) + beyond
-                share = np.where(total > 0, ((b == x) & going).sum(axis=1) / np.maximum(total, 1), float(la == lb))
-                out[i, of_b] = out[of_b, i] = share >= least
+    """Edit distance of two texts if it is ``most`` or less."""
+    found = int(edit_distances([(a, b)], np.array([most]))[0])
+    return None if found < 0 else found
+
+
+def edit_distances(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
+    """Edit distances of pairs of texts, each if it is at its ``most`` or less, else -1. Pairs of like bounds are
+    compared together, BAND_CELLS diagonals and BAND_CHARS characters at once or a single pair."""
+    out = np.full(len(pairs), -1, np.int64)
+    apart = np.array([abs(len(a) - len(b)) for a, b in pairs], np.int64)
+    held: list[int] = []
+    chars = 0
+    for i in sorted(np.flatnonzero(apart <= most).tolist(), key=lambda i: int(most[i])):
+        size = len(pairs[i][0]) + len(pairs[i][1])
+        if held and ((len(held) + 1) * (2 * int(most[i]) + 3) > BAND_CELLS or chars + size > BAND_CHARS):
+            out[held] = _by_diagonals([pairs[v] for v in held], most[held])
+            held, chars = [], 0
+        held.append(i)
+        chars += size
+    if held:
+        out[held] = _by_diagonals([pairs[v] for v in held], most[held])
+    return out
+
+
+def _runs(flat: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many characters from each x on equal those from each y on; ends of texts equal nothing."""
+    run, on = np.zeros(len(x), np.int64), np.arange(len(x))
+    for width, times in ((1, 4), (16, 4), (RUN, -1)):  # most runs are short
+        ahead = np.arange(width)
+        while len(on) and times:
+            at = run[on]
+            same = flat[(x[on] + at)[:, None] + ahead] == flat[(y[on] + at)[:, None] + ahead]
+            whole = same.all(axis=1)
+            run[on] = at + np.where(whole, width, same.argmin(axis=1))
+            on, times = on[whole], times - 1
+    return run
+
+
+def _by_diagonals(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
+    """See ``edit_distances``: for each number of edits all diagonals of all pairs advance at once, beside the comparison
+    of equal runs; diagonals from which a pair's end is out of reach stop."""
+    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for pair in pairs for t in pair]
+    sizes = np.array([len(c) for c in codes], np.int64)
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    flat = np.full(int((sizes + 1).sum()) + RUN, 0xFFFFFFFF, np.uint32)
+    for k, (c, start) in enumerate(zip(codes, starts.tolist(), strict=True)):
+        flat[start : start + len(c)] = c
+        flat[start + len(c)] = 0xFFFFFFF0 + k % 2  # the two ends of a pair differ, and from any character
+    x, y, n, m = starts[::2], starts[1::2], sizes[::2], sizes[1::2]
+    out, live = np.full(len(pairs), -1, np.int64), np.arange(len(pairs))
+    wide = int(most.max())
+    mid = wide + 1
+    reach = np.full((len(pairs), 2 * wide + 3), -2, np.int64)
+    reach[:, mid] = _runs(flat, x, y)
+    for d in range(wide + 1):
+        done = reach[np.arange(len(live)), mid + m[live] - n[live]] >= n[live]
+        out[live[done]] = d
+        stay = ~done & (most[live] > d)
+        live, reach = live[stay], reach[stay]
+        if not len(live):
+            break
+        low, high = mid - d - 1, mid + d + 2
+        k = np.arange(low, high) - mid
+        before = reach[:, low - 1 : high - 1] if low else np.concatenate([np.full((len(live), 1), -2), reach[:, : high - 1]], axis=1)
+        after = reach[:, low + 1 : high + 1]
+        if after.shape[1] < high - low:
+            after = np.concatenate([after, np.full((len(live), 1), -2)], axis=1)
+        nl, ml = n[live][:, None], m[live][:, None]
+        i = np.minimum(np.maximum(np.maximum(reach[:, low:high] + 1, before), after + 1), np.minimum(nl, ml - k))
+        row, column = np.nonzero((i >= 0) & (i + k >= 0) & (np.abs(k - (ml - nl)) < most[live][:, None] - d))
+        at = i[row, column]
+        reach[:, low:high] = -2
+        reach[row, low + column] = at + _runs(flat, x[live[row]] + at, y[live[row]] + at + k[column])
     return out
 
 
@@ -462,57 +537,75 @@ class NearParams:
         return JoinParams(percent=max(1, int((1 - self.distance) * 100)), block=self.block, block_elements=self.block_chars)
 
 
-def _near(pairs: DataFrame, classes: DataFrame, texts: DataFrame, params: NearParams) -> DataFrame:
+def _texts(keys: DataFrame, classes: DataFrame, own: DataFrame) -> DataFrame:
+    """(key, text) of the ``keys`` (one column) alone, out of the rows ``own`` (same, text)."""
+    members = written(keys.distinct().join(classes.select("key", "same"), "key"), "edit-members")
+    whole = with_members(own, members.select(F.xxhash64("same").alias("h")), F.xxhash64("same"))
+    texts = written(whole.groupBy("same").agg(F.first("text").alias("text")).join(members, "same").select("key", "text"), "edit-texts")
+    discard(members)
+    return texts
+
+
+def _near(pairs: DataFrame, classes: DataFrame, own: DataFrame, params: NearParams) -> DataFrame:
     """(a, b, distance) of the ``pairs`` (a, b, p), p the pivot of the two, whose fingerprints are alike
-    and whose texts are within the distance. Only alike pairs meet their texts."""
+    and whose texts are within the distance. Bags rule out for certain nearly all pairs that aren't, and only the texts
+    of the others are fetched."""
+    spark = pairs.sparkSession
     prints = classes.select("key", F.struct("fingerprint", "bag").alias("print"))
     pairs = pairs.withColumn("o", F.when(F.col("p") == F.col("a"), F.col("b")).otherwise(F.col("a")))
     hot = hot_keys(pairs, "p")
     side = lambda rows, key, name: rows.select(F.col("key").alias(key), F.col(name).alias(f"{name[0]}{key}"))
     joined = join_hot(pairs, side(prints, "p", "print"), "p", F.col("o"), hot).join(side(prints, "o", "print"), "o")
     least, most = params.alike, params.distance
-    # Bags that differ too much rule a pair out for certain, and do so for nearly all unlike texts.
-    apart = F.aggregate(F.zip_with("pp.bag", "po.bag", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
-    size = lambda c: F.aggregate(c, F.lit(0), lambda x, y: x + y)
-    edits = F.floor(F.greatest(size("pp.bag"), size("po.bag"), F.lit(1)) * most)
-    joined = joined.where(apart <= 2 * edits).select("a", "b", "p", "o", F.col("pp.fingerprint").alias("fp"), F.col("po.fingerprint").alias("fo"))
+    joined = joined.select("a", "b", "p", "o", *(F.col(f"p{e}.{c}").alias(f"{c[0]}{e}") for e in "po" for c in ("fingerprint", "bag")))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embed = Embedder.shared()
         for batch in batches:
-            rows = zip(batch.column("fp").to_pylist(), batch.column("fo").to_pylist(), strict=True)
-            keep = [embed.likeness(from_text(x), from_text(y)) >= least for x, y in rows]
+            n = batch.num_rows
+            bags = Bags(batch.column("bp").to_pylist() + batch.column("bo").to_pylist())
+            keep = bags.may_be_near(np.arange(n), np.arange(n, 2 * n), most) if n else np.zeros(0, bool)
+            of_p, of_o = batch.column("fp"), batch.column("fo")
+            for i in np.flatnonzero(keep).tolist():
+                keep[i] = embed.likeness(from_text(of_p[i].as_py()), from_text(of_o[i].as_py())) >= least
             yield batch.select(["a", "b", "p", "o"]).filter(pa.array(keep, pa.bool_()))
 
     close = written(joined.mapInArrow(alike, "a long, b long, p long, o long"), "edit-alike")
+    schema = "a long, b long, distance long"
+    if not close.count():
+        return spark.createDataFrame([], schema)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices([batch], batch.schema.get_field_index("to")):
                 columns = part.to_pydict()
-                found = [edit_distance_within(x, y, int(most * max(len(x), len(y), 1))) for x, y in zip(columns["tp"], columns["to"], strict=True)]
-                kept = [i for i, d in enumerate(found) if d is not None]
-                arrays = [pa.array([columns[c][i] for i in kept], pa.int64()) for c in ("a", "b")]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array([found[i] for i in kept], pa.int64())], ["a", "b", "distance"])
+                found = _within(list(zip(columns["tp"], columns["to"], strict=True)), most)
+                kept = np.flatnonzero(found >= 0)
+                arrays = [part.column(c).take(pa.array(kept)) for c in ("a", "b")]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(found[kept], pa.int64())], ["a", "b", "distance"])
 
+    texts = _texts(close.select(F.explode(F.array("a", "b")).alias("key")), classes, own)
     whole = join_hot(close, side(texts, "p", "text"), "p", F.col("o"), hot).join(side(texts, "o", "text"), "o")
-    return whole.select("a", "b", "tp", "to").mapInArrow(verify, "a long, b long, distance long")
+    found = written(whole.select("a", "b", "tp", "to").mapInArrow(verify, schema), "edit-links")
+    discard(close, texts)
+    return found
 
 
-def _spanning(part: pa.Table, params: NearParams, accept: Callable[[int, int], int | None]) -> list[tuple[int, int, int]]:
-    """(a, b, result) of pairs of alike fingerprints across labels that ``accept`` takes, enough to connect
-    what all of them connect: pairs that others connect already are skipped."""
+def _within(pairs: list[tuple[str, str]], distance: float) -> np.ndarray:
+    return edit_distances(pairs, np.array([int(distance * max(len(a), len(b), 1)) for a, b in pairs], np.int64))
+
+
+def _spanning(part: pa.Table, params: NearParams, accept: Callable[[list[int], list[int]], np.ndarray]) -> list[tuple[int, int, int]]:
+    """(a, b, result) of pairs of alike fingerprints across labels that ``accept`` takes (it gives -1 to others), enough to
+    connect what all of them connect: pairs that others connect already are skipped."""
     keys, labels, first = (part.column(c).to_numpy() for c in ("key", "label", "first"))
+    bags, embed = Bags(part.column("bag").to_pylist()), Embedder.shared()
     prints = [from_text(t) for t in part.column("fingerprint").to_pylist()]
-    found = _alike(np.array([level for level, _ in prints]), [x for _, x in prints], Embedder.shared(), params.alike)
-    found &= labels[:, None] != labels[None, :]
-    bags = np.array(part.column("bag").to_pylist(), np.int64).reshape(-1, 15)
-    chars = bags.sum(axis=1)
-    for i in np.flatnonzero(found.any(axis=1)):
-        edits = (params.distance * np.maximum(np.maximum(chars, chars[i]), 1)).astype(np.int64)
-        found[i] &= np.abs(bags - bags[i]).sum(axis=1) <= 2 * edits
-    if not first.all():
-        found &= first[:, None] != first[None, :]
+    # By length, the partners of a text that aren't shorter are those that follow it, up to an end.
+    order = np.argsort(bags.chars, kind="stable")
+    chars = bags.chars[order]
+    ends = np.searchsorted(chars, chars / (1 - params.distance) + 1e-6, "right") if params.distance < 1 else np.full(len(chars), len(chars))
+    counts = ends - np.arange(1, len(chars) + 1)
     parent: dict[int, int] = {}
 
     def root(v: int) -> int:
@@ -521,11 +614,32 @@ def _spanning(part: pa.Table, params: NearParams, accept: Callable[[int, int], i
         return v
 
     out: list[tuple[int, int, int]] = []
-    for i, j in np.argwhere(np.triu(found, 1)):
-        la, lb = root(int(labels[i])), root(int(labels[j]))
-        if la != lb and (d := accept(int(i), int(j))) is not None:
-            parent[la] = lb
-            out.append((min(int(keys[i]), int(keys[j])), max(int(keys[i]), int(keys[j])), d))
+    upto = np.cumsum(counts)
+    low = 0
+    while low < len(chars):  # a slice of PAIRS pairs or of a single text
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + PAIRS, "right")))
+        of = counts[low:high]
+        x = np.repeat(np.arange(low, high), of)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(of) - of, of)
+        i, j = order[x], order[y]
+        across = labels[i] != labels[j]
+        if not first.all():
+            across &= first[i] != first[j]
+        i, j = i[across], j[across]
+        near = bags.may_be_near(i, j, params.distance)
+        i, j = i[near], j[near]
+        for some in range(0, len(i), VERIFIED):
+            pairs = zip(i[some : some + VERIFIED].tolist(), j[some : some + VERIFIED].tolist(), strict=True)
+            open_ = [(u, v) for u, v in pairs if root(int(labels[u])) != root(int(labels[v])) and embed.likeness(prints[u], prints[v]) >= params.alike]
+            if not open_:
+                continue
+            us, vs = (list(ends) for ends in zip(*open_, strict=True))
+            for u, v, d in zip(us, vs, accept(us, vs).tolist(), strict=True):
+                la, lb = root(int(labels[u])), root(int(labels[v]))
+                if d >= 0 and la != lb:
+                    parent[la] = lb
+                    out.append((min(int(keys[u]), int(keys[v])), max(int(keys[u]), int(keys[v])), d))
+        low = high
     return out
 
 
@@ -543,26 +657,29 @@ def _alike_in_blocks(rest: DataFrame, classes: DataFrame, params: NearParams) ->
     rows = _tasks(rest, params.sizes()).join(classes.select("key", "fingerprint", "bag"), "key")
 
     def compare(part: pa.Table) -> pa.Table:
-        return _table([(a, b) for a, b, _ in _spanning(part, params, lambda i, j: 0)], "a", "b")
+        return _table([(a, b) for a, b, _ in _spanning(part, params, lambda us, vs: np.zeros(len(us), np.int64))], "a", "b")
 
     return rows.groupBy(*_BLOCKS).applyInArrow(compare, "a long, b long").distinct()
 
 
-def _near_in_blocks(rest: DataFrame, classes: DataFrame, texts: DataFrame, params: NearParams) -> DataFrame:
+def _near_in_blocks(rest: DataFrame, classes: DataFrame, own: DataFrame, params: NearParams) -> DataFrame:
     """(a, b, distance): links across labels within each group of ``rest`` (grp, key, label, n), enough
     of them to connect what they connect. A task compares two blocks of bounded texts and characters."""
+    texts = _texts(rest.select("key"), classes, own)
     rows = _tasks(rest, params.sizes()).join(classes.select("key", "fingerprint", "bag"), "key").join(texts, "key")
 
     def compare(part: pa.Table) -> pa.Table:
-        texts = part.column("text")
+        texts = part.column("text").to_pylist()
 
-        def within(i: int, j: int) -> int | None:
-            x, y = texts[i].as_py(), texts[j].as_py()
-            return edit_distance_within(x, y, int(params.distance * max(len(x), len(y), 1)))
+        def within(us: list[int], vs: list[int]) -> np.ndarray:
+            return _within([(texts[u], texts[v]) for u, v in zip(us, vs, strict=True)], params.distance)
 
         return _table(_spanning(part, params, within), "a", "b", "distance")
 
-    return rows.select(*_BLOCKS, "first", "key", "label", "fingerprint", "bag", "text").groupBy(*_BLOCKS).applyInArrow(compare, "a long, b long, distance long")
+    rows = rows.select(*_BLOCKS, "first", "key", "label", "fingerprint", "bag", "text")
+    found = written(rows.groupBy(*_BLOCKS).applyInArrow(compare, "a long, b long, distance long"), "edit-links")
+    discard(texts)
+    return found
 
 
 def near_links(prints: DataFrame, docs: DataFrame, id_col: str, text_col: str, params: NearParams) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -573,24 +690,21 @@ def near_links(prints: DataFrame, docs: DataFrame, id_col: str, text_col: str, p
     texts within the distance, enough to connect all that pairs sharing a bucket connect; labels (key, label) are the
     components of texts that share a bucket. Texts of a bucket meet a pivot for PIVOT_ROUNDS rounds; what then still shares a
     bucket across components is compared in blocks, all with all of near length. That grows with the
-    square of a bucket's unlinked texts: nothing less proves that none of them links. Only texts that share a
-    bucket are shuffled.
+    square of a bucket's unlinked texts: nothing less proves that none of them links. Buckets hold texts of near length
+    alone, and only texts whose bags and fingerprints let a pair through are shuffled.
     """
     grouped = prints.groupBy("same").agg(F.min(id_col).alias("id"), F.first("fingerprint").alias("fingerprint"), F.first("n_chars").alias("n"), F.first("bag").alias("bag"))
     classes = written(grouped.select(F.monotonically_increasing_id().alias("key"), "id", "same", "n", "fingerprint", "bag"), "edit-classes")
     release_shuffles(docs.sparkSession)
-    rows = params.rows
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         embed = Embedder.shared()
         for batch in batches:
-            found = [[xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in band_keys(from_text(t), embed, rows)] for t in batch.column(1).to_pylist()]
+            found = [bucket_keys(from_text(t), n, embed, params) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             keys = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
             yield pa.RecordBatch.from_arrays([pa.array([b for f in found for b in f], pa.int64()), pa.array(keys, pa.int64())], ["bucket", "key"])
 
-    banded = classes.select("key", "fingerprint").mapInArrow(bands, "bucket long, key long")
+    banded = classes.select("key", "fingerprint", "n").mapInArrow(bands, "bucket long, key long")
     banded = written(banded, "edit-bands")
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
     members = banded.join(shared, "bucket").distinct().join(classes.select("key", "n"), "key")
@@ -602,12 +716,8 @@ def near_links(prints: DataFrame, docs: DataFrame, id_col: str, text_col: str, p
     buckets = written(plain.join(central, "key"), "edit-buckets")
     discard(banded, plain)
     labels = written(buckets.select("key", F.col("key").alias("label")).distinct(), "edit-labels")
-    members = labels.select("key").join(classes.select("key", "same"), "key")
     own = docs.select(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("same"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    whole = with_members(own, members.select(F.xxhash64("same").alias("h")), F.xxhash64("same"))
-    texts = whole.groupBy("same").agg(F.first("text").alias("text")).join(members, "same").select("key", "text")
-    texts = written(texts, "edit-texts")
-    del grouped, members, plain, size, central, whole
+    del grouped, members, plain, size, central
     release_shuffles(docs.sparkSession)
     checked: list[DataFrame] = []
     found: list[DataFrame] = []
@@ -615,7 +725,7 @@ def near_links(prints: DataFrame, docs: DataFrame, id_col: str, text_col: str, p
         rows = written(open_rows(buckets, labels, turn, hot), "edit-open")
         discard(buckets)
         checked.append(written(star_pairs(rows, checked, params.sizes().percent), "edit-pairs"))
-        found.append(written(_near(checked[-1], classes, texts, params), "edit-links"))
+        found.append(_near(checked[-1], classes, own, params))
         old, labels = labels, _merged(found[-1], labels)
         discard(old)
         buckets = rows.where(F.col("key") != F.col("p")).select("bucket", "key", "n", "rank")
@@ -626,7 +736,7 @@ def near_links(prints: DataFrame, docs: DataFrame, id_col: str, text_col: str, p
     discard(buckets)
     release_shuffles(docs.sparkSession)
     spanning = written(_alike_in_blocks(rest, classes, params), "edit-spanning")
-    found.append(written(_near(spanning.withColumn("p", F.col("a")), classes, texts, params), "edit-links"))
+    found.append(_near(spanning.withColumn("p", F.col("a")), classes, own, params))
     before, labels = labels, _merged(found[-1], labels)
     if found[-1].count() < spanning.count():  # alike but not near: other pairs may connect what these were to
         # They lie in components that such a pair was to hold together; in all others every candidate is settled.
@@ -635,9 +745,9 @@ def near_links(prints: DataFrame, docs: DataFrame, id_col: str, text_col: str, p
         doubtful = failed.join(assumed, "key").select("assumed").distinct()
         kept = assumed.join(doubtful, "assumed").select("key")
         left = rest.drop("label").join(kept, "key").join(labels, "key").select("grp", "key", "label", "n")
-        found.append(written(_near_in_blocks(left, classes, texts, params), "edit-links"))
+        found.append(_near_in_blocks(left, classes, own, params))
         labels = _merged(found[-1], labels)
-    discard(rest, texts, spanning, *checked)
+    discard(rest, spanning, *checked)
     return classes, reduce(DataFrame.union, found), labels
 
 
@@ -665,11 +775,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in text_slices(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             prints = embed.fingerprints(texts)
-            columns = [pa.array([_md5(t) for t in texts]), pa.array([len(t) for t in texts], pa.int64()), pa.array([as_text(p) for p in prints], pa.string()), pa.array([bag(t) for t in texts], pa.list_(pa.int32()))]
+            columns = [pa.array([_md5(t) for t in texts]), pa.array([len(t) for t in texts], pa.int64()), pa.array([as_text(p) for p in prints], pa.string()), pa.array([bag(t) for t in texts], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, "same", "n_chars", "fingerprint", "bag"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {id_type}, same string, n_chars long, fingerprint string, bag array<int>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {id_type}, same string, n_chars long, fingerprint string, bag binary")
 
 
 def _md5(text: str) -> str:

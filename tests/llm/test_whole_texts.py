@@ -124,6 +124,46 @@ def test_near_links_recall_at_each_edit_rate(spark, documents):
     assert len(set(got.values())) >= 150
 
 
+def test_bags_and_buckets_lose_no_near_pair():
+    """Texts within the distance pass the test of bags and share a class of length; texts of one alphabet don't pass."""
+    rng, near, far = random.Random(33), [], []
+    for i in range(300):
+        base = "".join(rng.choices("abcdefghij \u20ac\U0001f600", k=rng.choice([49, 50, 60, 200, 1023, 1024, 1100, 5000, 200_000 if i < 4 else 340])))
+        copy = list(base)
+        for _ in range(int(0.02 * len(base))):
+            at, kind = rng.randrange(len(copy)), rng.randrange(3)
+            copy[at : at + (kind != 1)] = [] if kind == 2 else [rng.choice("abcxyz")]
+        near.append((base, "".join(copy)))
+        far.append((base, "".join(rng.sample(base, len(base)))))
+    within = lambda pairs: E.edit_distances(pairs, np.array([int(0.02 * max(len(a), len(b))) for a, b in pairs])) >= 0
+    passed = lambda pairs: E.Bags([E.bag(t) for p in pairs for t in p]).may_be_near(np.arange(0, 2 * len(pairs), 2), np.arange(1, 2 * len(pairs), 2), 0.02)
+    assert within(near).all() and passed(near).all()
+    assert not within(far).any() and passed(far).sum() <= 0.05 * len(far)
+    for a, b in near:
+        assert set(E._length_classes(len(a), 0.02)) & set(E._length_classes(len(b), 0.02))
+    embed = E.Embedder()
+    short, longer = ("".join(rng.choices("abcdefgh", k=n)) for n in (48, 49))
+    assert [bool(E.bucket_keys(f, len(t), embed, E.NearParams())) for t, f in zip((short, longer), embed.fingerprints([short, longer]), strict=True)] == [False, True]
+
+
+def test_edit_distances_of_many_pairs_equal_a_plain_table():
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng, pairs = random.Random(34), []
+    for _ in range(400):
+        a = "".join(rng.choices("ab\u20ac", k=rng.randrange(40)))
+        pairs.append((a, "".join(c for c in a if rng.random() < 0.9) + "b" * rng.randrange(3)))
+    most = np.array([rng.randrange(9) for _ in pairs])
+    expected = [d if (d := plain(a, b)) <= m else -1 for (a, b), m in zip(pairs, most.tolist(), strict=True)]
+    assert E.edit_distances(pairs, most).tolist() == expected and 0 < expected.count(-1) < 300
+
+
 def test_fingerprints_of_other_ids(spark):
     docs = spark.createDataFrame([("b", "second text"), ("a", "first text"), (None, "zeroth"), (None, "zeroth"), ("b", None)], "doc_id string, text string")
     found = E.fingerprint_with_next(docs).collect()
