@@ -181,14 +181,71 @@ def earlier_smaller(x: np.ndarray) -> np.ndarray:
 
 
 def with_expanding_percentile(df: DataFrame, keys: tuple[str, ...], order: str, column: str, out: str) -> DataFrame:
-    """``df`` with the share of a series' values so far that don't exceed the current one.
+    """``df`` with the share of a series' values so far that don't exceed the current one; nulls have no share and don't count.
+
+    Rows are placed by (keys, order). A series that lies in one block of places is counted there. Only the others, one at each
+    edge of a block, are placed by value too and counted over blocks of both places.
+    """
+    rows, count = placed(df.withColumn("_known", F.col(column).isNotNull()), [*keys, order], "_place")
+    size = block_size(count)
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+    names = [f.name for f in schema.fields]
+    if not keys and count > size:
+        return _over_blocks(rows.select(*df.columns), keys, order, column, out)
+    crossed, series = _crossing(rows, keys, size)
+    edges = df.sparkSession.sparkContext.broadcast(crossed)  # MOST_BLOCKS entries at most
+
+    def whole(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_place", kind="stable")
+        block, number = int(part["_block"].iloc[0]), series_of(part, keys)
+        inside = np.ones(len(part), bool)
+        if block in edges.value:
+            inside &= number != number[0]
+        if block + 1 in edges.value:
+            inside &= number != number[-1]
+        part, number = part[inside], number[inside]
+        known = part["_known"].to_numpy(bool)
+        share = np.full(len(part), np.nan)
+        share[known] = _shares(part[column].to_numpy(float)[known], number[known])
+        return part.assign(**{out: share})[names]
+
+    found = in_blocks(rows, "_place", size, count).groupBy("_block").applyInPandas(whole, schema)
+    if not series:
+        return found
+    table = F.broadcast(df.sparkSession.createDataFrame(series, T.StructType([df.schema[k] for k in keys])))  # MOST_BLOCKS rows at most
+    same = [rows[k].eqNullSafe(table[k]) for k in keys]
+    return found.unionByName(_over_blocks(rows.join(table, same, "left_semi").select(*df.columns), keys, order, column, out))
+
+
+def _crossing(rows: DataFrame, keys: tuple[str, ...], size: int) -> tuple[set[int], list[tuple]]:
+    """The blocks whose first row is of the series of the row before, and those series."""
+    at = F.expr(f"_place % {size}L")
+    ends = {r._place: tuple(r[k] for k in keys) for r in rows.where((at == 0) | (at == size - 1)).select("_place", *keys).collect()}  # two rows a block
+    crossed = {place // size for place, key in ends.items() if place and place % size == 0 and ends[place - 1] == key}
+    return crossed, list({ends[b * size] for b in crossed})
+
+
+def _shares(x: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """For each value the share of those so far in its run of equal ``number`` that don't exceed it."""
+    if not len(x):
+        return np.zeros(0)
+    rank = np.empty(len(x), np.int64)
+    rank[np.lexsort((x, number))] = np.arange(len(x))  # stable: of equal values the later one ranks higher
+    start = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+    start = np.repeat(start, np.diff(np.append(start, len(x))))
+    # Rows of earlier runs come before in both orders, so they are all among those counted.
+    return (earlier_smaller(rank) + 1 - start) / (np.arange(len(x)) + 1 - start)
+
+
+def _over_blocks(rows: DataFrame, keys: tuple[str, ...], order: str, column: str, out: str) -> DataFrame:
+    """``rows`` with shares of series of any length.
 
     Every row has a place by (keys, order) and one by (keys, value, order). The values up to a row that don't exceed its own
     are the rows before it in both places. Blocks of the two places form cells: whole cells before the
     row's in both come from a table of counts, MOST_BLOCKS^2 at most; rows of its block of values in earlier blocks of
-    time, and rows of its own block of time, are counted exactly in two passes over equal blocks. Nulls have no share and don't count.
+    time, and rows of its own block of time, are counted exactly in two passes over equal blocks.
     """
-    known, count = placed(df.where(F.col(column).isNotNull()), [*keys, order], "_place")
+    known, count = placed(rows.where(F.col(column).isNotNull()), [*keys, order], "_place")
     ranked, _ = placed(known, [*keys, column, "_place"], "_rank")
     size = block_size(count)
     ranked = ranked.withColumns({"_time": F.expr(f"_place div {size}L"), "_band": F.expr(f"_rank div {size}L")})
@@ -196,7 +253,7 @@ def with_expanding_percentile(df: DataFrame, keys: tuple[str, ...], order: str,
     cells = np.zeros((blocks + 1, blocks + 1), np.int64)
     for r in ranked.groupBy("_time", "_band").agg(F.count(F.lit(1)).alias("m")).collect():  # MOST_BLOCKS^2 at most
         cells[r._time + 1, r._band + 1] = r.m
-    shared = df.sparkSession.sparkContext.broadcast(cells.cumsum(0).cumsum(1))
+    shared = rows.sparkSession.sparkContext.broadcast(cells.cumsum(0).cumsum(1))
     counted = T.StructType([*ranked.schema.fields, T.StructField("_less", T.LongType())])
 
     def across(part: pd.DataFrame) -> pd.DataFrame:
@@ -208,9 +265,9 @@ def with_expanding_percentile(df: DataFrame, keys: tuple[str, ...], order: str,
 
     less = ranked.groupBy("_band").applyInPandas(across, counted)
     starts = _series_starts(ranked, keys)
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.DoubleType())])
     names = [f.name for f in schema.fields]
-    begun = df.sparkSession.sparkContext.broadcast(starts)  # MOST_BLOCKS entries at most
+    begun = rows.sparkSession.sparkContext.broadcast(starts)  # MOST_BLOCKS entries at most
 
     def within(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("_place", kind="stable")
@@ -224,7 +281,7 @@ def with_expanding_percentile(df: DataFrame, keys: tuple[str, ...], order: str,
         return part.assign(**{out: upto / (place - start + 1)})[names]
 
     found = less.groupBy("_time").applyInPandas(within, schema)
-    return found.unionByName(df.where(F.col(column).isNull()).withColumn(out, F.lit(None).cast("double")))
+    return found.unionByName(rows.where(F.col(column).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
 def _series_starts(rows: DataFrame, keys: tuple[str, ...]) -> dict[int, int]:

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import columns as C
 from ..functions.kernels import Recursive, Series, with_atr, with_log_volatility, with_recursive, with_rsi, with_simple_volatility
+from ..storage import stored
 from .joins import as_of_join, same_day_join
 
 SYMBOLS = Series(("symbol",))
@@ -203,6 +204,8 @@ def public_context(vix: DataFrame, cape: DataFrame, stamp: Column | None = None,
     series = Series(keys, long=long)
     left = expanding_percentile(vix, series=series).select(*keys, "date", F.col("percentile").alias("vix_percentile"))
     right = expanding_percentile(cape, series=series).select(*keys, "date", F.col("percentile").alias("cape_percentile"))
+    if long:  # ordering by range reads its rows twice
+        left, right = stored(left, "percentiles"), stored(right, "percentiles")
     joined = as_of_join(left, right, keys, "vix_percentile", "cape_percentile", long=long).dropna(subset=["vix_percentile", "cape_percentile"])
     inside = F.col("vix_percentile").between(0.0, 1.0) & F.col("cape_percentile").between(0.0, 1.0)
     at = C.midnight(F.col("date")) if stamp is None else stamp

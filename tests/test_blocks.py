@@ -107,3 +107,23 @@ def test_blocks_spread_one_series(spark, monkeypatch):
     for i, x in enumerate(found["x"]):
         y = y + (x - y) * alpha
         assert i % 5000 or i < 20 or math.isclose(y, found["ema"].iloc[i], rel_tol=1e-12)
+
+
+def test_series_of_one_block_are_counted_there(spark, monkeypatch):
+    """Only series that lie in several blocks are placed by value; every series has the shares of a plain count."""
+    counted, over = [], B._over_blocks
+
+    def recorded(rows, *rest):
+        counted.append(rows.count())
+        return over(rows, *rest)
+
+    monkeypatch.setattr(B, "_over_blocks", recorded)
+    rng = np.random.default_rng(7)
+    lengths = [5] * 30 + [100] + [3] * 20
+    rows = [(None if k == 4 else k, t, None if rng.random() < 0.1 else float(rng.integers(0, 6))) for k, n in enumerate(lengths) for t in range(n)]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "k long, t long, x double")
+    got = {(r.k, r.t): (r.x, r.p) for r in B.with_expanding_percentile(df, ("k",), "t", "x", "p").collect()}
+    assert len(got) == len(rows) and 100 <= sum(counted) <= 100 + 5 * (len(rows) // 16 + 1) < len(rows)
+    for k, t, x in rows:
+        before = [y for j, u, y in rows if j == k and u <= t and y is not None]
+        assert got[k, t] == (x, None if x is None else sum(y <= x for y in before) / len(before))
