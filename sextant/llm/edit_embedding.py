@@ -9,9 +9,9 @@ character or more, and further in the rare case that the walk hasn't reached the
 are nested: those of a higher level are among those of a lower one, so any two fingerprints
 compare on the steps they share.
 
-Near duplicates: bands of sampled steps are the keys of buckets. The texts of a bucket are compared
-with pivots by fingerprint, those that stay unlinked with each other in blocks, and pairs that are
-alike are verified by edit distance.
+Near duplicates: what a walk meets at some steps, or bands of a fingerprint's samples, are the keys of
+buckets. The texts of a bucket are compared with pivots by fingerprint, those that stay unlinked with each
+other in blocks, and pairs that are alike are verified by edit distance.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .ngram_join import JoinParams, _merged, _tasks, open_rows, star_pairs
 from .shared import discard, hot_keys, join_hot, release_shuffles, spread_keys, table, text_slices, with_members, written
@@ -48,6 +49,10 @@ BLOCK_ROWS = 1 << 16  #: documents of a block, on average and at most
 MOST_BLOCKS = 20_000  #: beyond, blocks grow; they are walked as streams
 FEW_ROWS = 8  #: rows left of a walk that are walked one by one
 LEAST_BAG_BITS, MOST_BAG_BITS = 5, 12  #: of the number of classes of neighbours in a bag
+LEAST_LENGTH = 600  #: of the texts of a class that is filed by passages; of shorter ones an edit may cost most of the walk
+SITES = 20  #: steps of a walk at which the passage under the pointer is a key
+PASSAGE = 24  #: characters of a passage, a multiple of 8
+PASSES = 4  #: shares of the buckets that are shuffled one after another, to save disk
 PIVOT_ROUNDS = 2  #: rounds of pivots before the texts of a bucket are compared in blocks
 
 
@@ -97,6 +102,35 @@ def sampled_steps(level: int) -> np.ndarray:
     return np.flatnonzero(_splitmix(steps ^ np.uint64(0xF1A6)) <= np.uint64(limit))
 
 
+@dataclass
+class Stops:
+    """Steps at which the walks of the rows from ``low`` to ``high``, those of a class of length, are looked at."""
+
+    steps: list[int]
+    low: int
+    high: int
+    at: np.ndarray | None = None  #: (steps, rows) places of the pointer
+    keys: np.ndarray | None = None  #: (steps, rows) of the passages from there on
+    whole: np.ndarray | None = None  #: whether the passage lies within the text
+
+    def read(self, flat: np.ndarray) -> None:
+        chars = np.take(flat, self.at[..., None] + np.arange(PASSAGE), mode="clip")
+        self.whole = (chars != END).all(axis=-1)
+        self.keys = np.arange(len(self.steps), dtype=np.uint64)[:, None] + np.zeros(self.at.shape, np.uint64)
+        words = chars.view("<u8")
+        for w in range(words.shape[-1]):
+            self.keys = _splitmix(self.keys ^ words[..., w])
+        self.at = None
+
+
+def _take(keys: list[list[np.ndarray]], rows: list[int], stops: dict[int, Stops]) -> None:
+    """Add the keys that ``stops`` of classes have found to those of the texts, row r being of text ``rows[r]``."""
+    for c, stop in stops.items():
+        found = _splitmix(stop.keys ^ np.array(c).astype(np.uint64)).view(np.int64)
+        for column, i in enumerate(rows[stop.low : stop.high]):
+            keys[i].append(found[stop.whole[:, column], column])
+
+
 class Embedder:
     """Fingerprints of many texts; random bits and sampled steps are made once a task."""
 
@@ -118,20 +152,50 @@ class Embedder:
 
     def fingerprints(self, texts: list[str]) -> list[tuple[int, np.ndarray]]:
         """(level, samples) of each text: 0 past its end, otherwise 1 to 15 by character."""
+        return self._embedded(texts, None)[0]
+
+    def with_passages(self, texts: list[str], distance: float) -> tuple[list[tuple[int, np.ndarray]], list[np.ndarray]]:
+        """``fingerprints`` and, of each text, the 64-bit keys of the passages that its walk meets at SITES steps of each of
+        its classes of length, if that is of LEAST_LENGTH or more."""
+        return self._embedded(texts, distance)
+
+    def passages_back(self, texts: list[str], distance: float) -> list[np.ndarray]:
+        """Keys of the passages that walks from the ends of texts meet in their last quarter, at half as many steps: where an edit
+        near the start puts the other walks out of step for long, these still meet."""
+        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+        keys: list[list[np.ndarray]] = [[] for _ in texts]
+        stops = _stops([len(texts[i]) for i in order], distance, SITES // 2, 0.45)
+        rows = order[: max((s.high for s in stops.values()), default=0)]
+        if rows:
+            # Walks take two steps a character, give or take few, so no stop is as far from the end as what is left out.
+            ends = [texts[i][-(len(texts[i]) * 3 // 10 + 100) :] for i in rows]
+            codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)[::-1] for t in ends]
+            self._walk(codes, [level_of(len(c)) for c in codes], list(stops.values()), max(max(s.steps) for s in stops.values()) + 1)
+            _take(keys, rows, {~c: stop for c, stop in stops.items()})
+        return [np.concatenate([np.zeros(0, np.int64), *k]) for k in keys]
+
+    def _embedded(self, texts: list[str], distance: float | None) -> tuple[list[tuple[int, np.ndarray]], list[np.ndarray]]:
         codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
         out: list[tuple[int, np.ndarray]] = [(0, np.zeros(0, np.uint8))] * len(texts)
+        keys: list[list[np.ndarray]] = [[] for _ in texts]
         rest = [(level_of(len(c)), i) for i, c in enumerate(codes)]
+        stops: dict[int, Stops] = {}
         while rest:
             rest.sort(key=lambda r: (-r[0], -len(codes[r[1]])))
-            samples, ended = self._walk([codes[i] for _, i in rest], [level for level, _ in rest])
+            if distance is not None:  # all texts, by falling length; later walks are the same and go further
+                stops = _stops([len(codes[i]) for _, i in rest], distance, SITES, 1.8)
+            samples, ended = self._walk([codes[i] for _, i in rest], [level for level, _ in rest], list(stops.values()))
+            _take(keys, [i for _, i in rest], stops)
+            distance, stops = None, {}
             for (level, i), found in zip(rest, samples, strict=True):
                 out[i] = (level, found)
             rest = [(level + 1, i) for (level, i), whole in zip(rest, ended, strict=True) if not whole]
-        return out
+        return out, [np.concatenate([np.zeros(0, np.int64), *k]) for k in keys]
 
-    def _walk(self, codes: list[np.ndarray], levels: list[int] | int) -> tuple[list[np.ndarray], np.ndarray]:
+    def _walk(self, codes: list[np.ndarray], levels: list[int] | int, stops: list[Stops] | None = None, most: int = CYCLE) -> tuple[list[np.ndarray], np.ndarray]:
         """Samples of texts by falling level (or of one level) and length, and whether their walks reached the end. All
-        levels walk together, as they share the bits: a step is kept for the levels that sample it."""
+        levels walk together, as they share the bits: a step is kept for the levels that sample it. ``stops`` get the
+        passages at their steps. After ``most`` steps all walks end."""
         levels = [levels] * len(codes) if isinstance(levels, int) else levels
         lengths = np.array([len(c) for c in codes])
         ends = np.cumsum(lengths + 1) - 1
@@ -147,9 +211,15 @@ class Embedder:
         for level in bounds:
             for k, step in enumerate(self.sampled(level).tolist()):
                 due.setdefault(step, []).append((level, k))
+        halts: list[tuple[np.ndarray, int, int]] = []
+        for stop in stops or ():
+            stop.at = np.tile(ends[stop.low : stop.high], (len(stop.steps), 1)).astype(np.int64)
+            for row, step in zip(stop.at, stop.steps, strict=True):
+                due.setdefault(step, []).append((-1, len(halts)))
+                halts.append((row, stop.low, stop.high))
         under, moved, live = np.empty(len(codes), np.uint8), np.empty(len(codes), np.uint8), len(codes)
         plain = b""
-        for block in range((1 << levels[0]) // 64):
+        for block in range(min(1 << levels[0], most + 63) // 64):
             first = block * 64
             if first & (first - 1) == 0 and (done := first.bit_length() - 1) in bounds:
                 live = min(live, bounds[done][0])  # the last rows: their level has no more steps
@@ -168,6 +238,8 @@ class Embedder:
                         for level, k in due.get(first + row, ()):
                             if level == levels[i]:
                                 emitted[level][k, i - bounds[level][0]] = c
+                            elif level < 0 and halts[k][1] <= i < halts[k][2]:
+                                halts[k][0][i - halts[k][1]] = p
                         p += jumps[row << 8 | c]
                     at[i] = p
                 continue
@@ -175,11 +247,17 @@ class Embedder:
             for row in range(64):
                 np.take(flat, p, out=u, mode="clip")
                 for level, k in due.get(first + row, ()):
+                    if level < 0:
+                        halted, low, high = halts[k]
+                        halted[:] = at[low:high]
+                        continue
                     low, high = bounds[level]
                     if low < live:
                         emitted[level][k, : min(high, live) - low] = u[low:high]
                 np.take(bits[row], u, out=m, mode="clip")
                 np.add(p, m, out=p)
+        for stop in stops or ():
+            stop.read(flat)
         samples = [x for level in bounds for x in np.where(emitted[level] == END, 0, 1 + emitted[level] % 15).astype(np.uint8).T]
         return samples, at >= ends
 
@@ -308,9 +386,9 @@ FINGERPRINT_SCHEMA = (
 )
 
 
-def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: NearParams | None = None) -> DataFrame:
     """Per row: id, n_chars, fingerprints of the text and of the text edited with the next row's (by
-    ascending id; after the last the first), their likenesses, the text's md5 (``same``) and its ``bag``.
+    ascending id; after the last the first), their likenesses, the text's md5 (``same``) and its ``bag``; for ``near``, also the keys of its ``buckets``.
 
     A null text is empty. Rows of equal ids go by a hash of the text, null ids come first. A single
     row is its own next; an empty table gives an empty result. Rows are dealt into blocks of
@@ -321,7 +399,7 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     firsts = _blocks(docs, id_col, text_col)
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {id_type}, {FINGERPRINT_SCHEMA}"
+    schema = f"{id_col} {id_type}, {FINGERPRINT_SCHEMA}" + (", buckets array<long>" if near else "")
     if not len(firsts):
         return docs.sparkSession.createDataFrame([], schema)
     numbers = spread_keys(docs.sparkSession, len(firsts))
@@ -372,7 +450,8 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
             own = [t for _, t, _, _ in held]
             changed = [edited(t, n) for _, t, n, _ in held]
             wanted = {t: i for i, t in enumerate(dict.fromkeys([*own, *changed, *(n for _, _, n, _ in held)]))}
-            prints = embed.fingerprints(list(wanted))
+            prints, passages = embed.with_passages(list(wanted), near.distance) if near else (embed.fingerprints(list(wanted)), [])
+            back = embed.passages_back(own, near.distance) if near else []
             a, b, c = ([prints[wanted[t]] for t in ts] for ts in (own, changed, [n for _, _, n, _ in held]))
             columns = [
                 [len(t) for t in own],
@@ -385,7 +464,9 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 [bag(t) for t in own],
             ]
             arrays = [pa.array([k for k, _, _, _ in held], id_arrow), *(pa.array(v, t) for v, t in zip(columns, types, strict=True))]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array([n for _, _, _, n in held], pa.int64())], [*names, "_copies"])
+            if near:
+                arrays.append(_lists([filed(len(t), f, np.concatenate([passages[wanted[t]], b]), embed, near) for t, f, b in zip(own, a, back, strict=True)]))
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([n for _, _, _, n in held], pa.int64())], [*names, *(["buckets"] if near else []), "_copies"])
 
         held, chars = [], 0
         for row in pairs():
@@ -399,12 +480,17 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     rows = docs.select(id_col, text_col, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tie"))
     dealt = rows.mapInArrow(deal, f"block long, late boolean, id {id_type}, tie long, copies long, packed binary")
-    near = dealt.repartition(len(firsts), "block").sortWithinPartitions("block", "late", F.col("id").asc_nulls_first(), "tie")
-    found = near.mapInArrow(walk, f"{schema}, _copies long")
+    sorted_rows = dealt.repartition(len(firsts), "block").sortWithinPartitions("block", "late", F.col("id").asc_nulls_first(), "tie")
+    found = sorted_rows.mapInArrow(walk, f"{schema}, _copies long")
     every = found.select("*", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
     return every.drop("_copies", "_copy")
 
 
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
+
+
 # ---- near duplicates: bands, likeness, edit distance
 
 
@@ -426,14 +512,37 @@ def _longest_partner(n: int, distance: float) -> int:
     return int(n / (1 - distance) + 1e-9) if distance < 1 else CYCLE
 
 
-def _length_classes(n: int, distance: float) -> list[int]:
-    """The classes of length that a text is filed under, twice as wide as lengths of near texts are apart: its own and, near
-    the upper end, the next. Two texts that can be near share one."""
+def _class_width(distance: float, times: int) -> float:
+    return -times * math.log(1 - distance) * 1.0001 + 1e-9
+
+
+def _length_classes(n: int, distance: float, times: int = 2) -> list[int]:
+    """The classes of length that a text is filed under, so many times as wide as lengths of near texts are apart: its own
+    and, near the upper end, the next. Two texts that can be near share one."""
     if distance >= 1:
         return [0]
-    width = -2 * math.log(1 - distance) * 1.0001 + 1e-9
-    at = math.log(max(n, 1)) / width
-    return list(dict.fromkeys([math.floor(at), math.floor(at + 0.5)]))
+    at = math.log(max(n, 1)) / _class_width(distance, times)
+    return list(dict.fromkeys([math.floor(at), math.floor(at + 1 / times)]))
+
+
+def _passage_classes(n: int, distance: float) -> list[tuple[int, float]]:
+    """The classes of length in which a text's passages are compared, and their least lengths. They span about a sixth in
+    length, or twice what near texts are apart."""
+    if distance >= 1:
+        return [(0, 0)]
+    times = max(2, round(0.16 / _class_width(distance, 1)))
+    return [(c, math.exp(c * _class_width(distance, times))) for c in _length_classes(n, distance, times)]
+
+
+def _stops(lengths: list[int], distance: float, sites: int, upto: float) -> dict[int, Stops]:
+    """The stops of each class of LEAST_LENGTH or more among texts by falling length: as many as ``sites``, spread over ``upto``
+    steps for each character of its shortest texts. A walk takes about two."""
+    out: dict[int, Stops] = {}
+    for i, n in enumerate(lengths):
+        for c, least in _passage_classes(n, distance):
+            if least >= LEAST_LENGTH:
+                out.setdefault(c, Stops([int((s + 0.5) / sites * upto * least) for s in range(sites)], i, i)).high = i + 1
+    return out
 
 
 def bucket_keys(fingerprint: tuple[int, np.ndarray], n: int, embed: Embedder, params: NearParams) -> list[int]:
@@ -447,6 +556,14 @@ def bucket_keys(fingerprint: tuple[int, np.ndarray], n: int, embed: Embedder, pa
     return [xxhash.xxh3_64_intdigest(f"{c}:{k}") - (1 << 63) for c in _length_classes(n, params.distance) for k in bands]
 
 
+def filed(n: int, fingerprint: tuple[int, np.ndarray], passages: np.ndarray, embed: Embedder, params: NearParams) -> np.ndarray:
+    """Keys of the buckets that a text of ``n`` characters is filed under: its passages in classes of LEAST_LENGTH or more,
+    its bands if it has a shorter class. Near texts share a class, and both are filed the same way there."""
+    if all(least >= LEAST_LENGTH for _, least in _passage_classes(n, params.distance)):
+        return np.unique(passages)
+    return np.unique(np.concatenate([passages, np.array(bucket_keys(fingerprint, n, embed, params), np.int64)]))
+
+
 def edit_distance_within(a: str, b: str, most: int) -> int | None:
     """Edit distance of two texts if it is ``most`` or less."""
     found = int(edit_distances([(a, b)], np.array([most]))[0])
@@ -546,12 +663,12 @@ def _texts(keys: DataFrame, classes: DataFrame, own: DataFrame) -> DataFrame:
     return texts
 
 
-def _near(pairs: DataFrame, classes: DataFrame, own: DataFrame, params: NearParams) -> DataFrame:
-    """(a, b, distance) of the ``pairs`` (a, b, p), p the pivot of the two, whose fingerprints are alike
+def _near(pairs: DataFrame, facts: DataFrame, own: DataFrame, params: NearParams) -> DataFrame:
+    """(a, b, p, distance) of the ``pairs`` (a, b, p), p the pivot of the two, whose fingerprints are alike
     and whose texts are within the distance. Bags rule out for certain nearly all pairs that aren't, and only the texts
     of the others are fetched."""
     spark = pairs.sparkSession
-    prints = classes.select("key", F.struct("fingerprint", "bag").alias("print"))
+    prints = facts.select("key", F.struct("fingerprint", "bag").alias("print"))
     pairs = pairs.withColumn("o", F.when(F.col("p") == F.col("a"), F.col("b")).otherwise(F.col("a")))
     hot = hot_keys(pairs, "p")
     side = lambda rows, key, name: rows.select(F.col("key").alias(key), F.col(name).alias(f"{name[0]}{key}"))
@@ -571,7 +688,7 @@ def _near(pairs: DataFrame, classes: DataFrame, own: DataFrame, params: NearPara
             yield batch.select(["a", "b", "p", "o"]).filter(pa.array(keep, pa.bool_()))
 
     close = written(joined.mapInArrow(alike, "a long, b long, p long, o long"), "edit-alike")
-    schema = "a long, b long, distance long"
+    schema = "a long, b long, p long, distance long"
     if not close.count():
         return spark.createDataFrame([], schema)
 
@@ -581,16 +698,25 @@ def _near(pairs: DataFrame, classes: DataFrame, own: DataFrame, params: NearPara
                 columns = part.to_pydict()
                 found = _within(list(zip(columns["tp"], columns["to"], strict=True)), most)
                 kept = np.flatnonzero(found >= 0)
-                arrays = [part.column(c).take(pa.array(kept)) for c in ("a", "b")]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(found[kept], pa.int64())], ["a", "b", "distance"])
+                arrays = [part.column(c).take(pa.array(kept)) for c in ("a", "b", "p")]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(found[kept], pa.int64())], ["a", "b", "p", "distance"])
 
-    texts = _texts(close.select(F.explode(F.array("a", "b")).alias("key")), classes, own)
+    texts = _texts(close.select(F.explode(F.array("a", "b")).alias("key")), facts, own)
     whole = join_hot(close, side(texts, "p", "text"), "p", F.col("o"), hot).join(side(texts, "o", "text"), "o")
-    found = written(whole.select("a", "b", "tp", "to").mapInArrow(verify, schema), "edit-links")
+    found = written(whole.select("a", "b", "p", "tp", "to").mapInArrow(verify, schema), "edit-links")
     discard(close, texts)
     return found
 
 
+def _thinned(links: DataFrame) -> DataFrame:
+    """(a, b): what connects the ends that ``links`` (a, b, p) of pivots p connect. Each text keeps the link to its least pivot,
+    and that pivot is linked with the text's others once for all such texts."""
+    star = links.select("p", F.when(F.col("p") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("o"))
+    least = star.withColumn("m", F.min("p").over(Window.partitionBy("o")))  # a text has as many pivots as buckets at most
+    edges = least.select(F.when(F.col("p") == F.col("m"), F.col("o")).otherwise(F.col("p")).alias("a"), F.col("m").alias("b"))
+    return edges.distinct()
+
+
 def _within(pairs: list[tuple[str, str]], distance: float) -> np.ndarray:
     return edit_distances(pairs, np.array([int(distance * max(len(a), len(b), 1)) for a, b in pairs], np.int64))
 
@@ -651,10 +777,10 @@ def _table(rows: list[tuple[int, ...]], *names: str) -> pa.Table:
 _BLOCKS = ("grp", "li", "bi", "lj", "bj")
 
 
-def _alike_in_blocks(rest: DataFrame, classes: DataFrame, params: NearParams) -> DataFrame:
+def _alike_in_blocks(rest: DataFrame, facts: DataFrame, params: NearParams) -> DataFrame:
     """(a, b): pairs of alike fingerprints across labels within each group of ``rest`` (grp, key, label, n), enough to connect
     what all of them connect. A task compares the fingerprints of two blocks; texts stay where they are."""
-    rows = _tasks(rest, params.sizes()).join(classes.select("key", "fingerprint", "bag"), "key")
+    rows = _tasks(rest, params.sizes()).join(facts.select("key", "fingerprint", "bag"), "key")
 
     def compare(part: pa.Table) -> pa.Table:
         return _table([(a, b) for a, b, _ in _spanning(part, params, lambda us, vs: np.zeros(len(us), np.int64))], "a", "b")
@@ -662,11 +788,11 @@ def _alike_in_blocks(rest: DataFrame, classes: DataFrame, params: NearParams) ->
     return rows.groupBy(*_BLOCKS).applyInArrow(compare, "a long, b long").distinct()
 
 
-def _near_in_blocks(rest: DataFrame, classes: DataFrame, own: DataFrame, params: NearParams) -> DataFrame:
+def _near_in_blocks(rest: DataFrame, facts: DataFrame, own: DataFrame, params: NearParams) -> DataFrame:
     """(a, b, distance): links across labels within each group of ``rest`` (grp, key, label, n), enough
     of them to connect what they connect. A task compares two blocks of bounded texts and characters."""
-    texts = _texts(rest.select("key"), classes, own)
-    rows = _tasks(rest, params.sizes()).join(classes.select("key", "fingerprint", "bag"), "key").join(texts, "key")
+    texts = _texts(rest.select("key"), facts, own)
+    rows = _tasks(rest, params.sizes()).join(facts.select("key", "fingerprint", "bag"), "key").join(texts, "key")
 
     def compare(part: pa.Table) -> pa.Table:
         texts = part.column("text").to_pylist()
@@ -683,41 +809,44 @@ def _near_in_blocks(rest: DataFrame, classes: DataFrame, own: DataFrame, params:
 
 
 def near_links(prints: DataFrame, docs: DataFrame, id_col: str, text_col: str, params: NearParams) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Classes, links and labels of near duplicates among rows of ``prints`` (id, same, n_chars, fingerprint, bag),
-    same being the text's md5.
+    """Classes, links and labels of near duplicates among rows of ``prints`` (id, same, n_chars, fingerprint, bag,
+    buckets), same being the text's md5.
 
-    Classes (key, id, same, n, fingerprint) are distinct texts with their least id; links (a, b, distance) join keys of
+    Classes (key, id, same, n) are distinct texts with their least id; links (a, b, distance) join keys of
     texts within the distance, enough to connect all that pairs sharing a bucket connect; labels (key, label) are the
     components of texts that share a bucket. Texts of a bucket meet a pivot for PIVOT_ROUNDS rounds; what then still shares a
     bucket across components is compared in blocks, all with all of near length. That grows with the
     square of a bucket's unlinked texts: nothing less proves that none of them links. Buckets hold texts of near length
     alone, and only texts whose bags and fingerprints let a pair through are shuffled.
     """
-    grouped = prints.groupBy("same").agg(F.min(id_col).alias("id"), F.first("fingerprint").alias("fingerprint"), F.first("n_chars").alias("n"), F.first("bag").alias("bag"))
-    classes = written(grouped.select(F.monotonically_increasing_id().alias("key"), "id", "same", "n", "fingerprint", "bag"), "edit-classes")
+    grouped = prints.groupBy("same").agg(F.min(id_col).alias("id"), F.first("n_chars").alias("n"), F.first("buckets").alias("buckets"))
+    keyed = written(grouped.select(F.monotonically_increasing_id().alias("key"), "id", "same", "n", "buckets"), "edit-keyed")
     release_shuffles(docs.sparkSession)
-
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        embed = Embedder.shared()
-        for batch in batches:
-            found = [bucket_keys(from_text(t), n, embed, params) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            keys = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array([b for f in found for b in f], pa.int64()), pa.array(keys, pa.int64())], ["bucket", "key"])
-
-    banded = classes.select("key", "fingerprint", "n").mapInArrow(bands, "bucket long, key long")
-    banded = written(banded, "edit-bands")
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
-    members = banded.join(shared, "bucket").distinct().join(classes.select("key", "n"), "key")
-    plain = written(members, "edit-shared")
+    # Nearly all buckets have a single text: they are shuffled in shares, and only the others are kept.
+    kept = []
+    for share in range(PASSES):
+        rows = keyed.select(F.explode("buckets").alias("bucket"), "key", "n").where(F.pmod("bucket", F.lit(PASSES)) == share)
+        shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
+        kept.append(written(rows.join(shared, "bucket"), "edit-shared"))
+        del rows, shared
+        release_shuffles(docs.sparkSession)
+    classes = written(keyed.drop("buckets"), "edit-classes")
+    discard(keyed)
+    plain = reduce(DataFrame.union, kept)
     hot = hot_keys(plain, "bucket")
     # The most central text comes first as pivot: of a group of copies, one close to the original.
     size = plain.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
     central = join_hot(plain, size, "bucket", F.col("key"), hot).groupBy("key").agg(F.sum("m").alias("rank"))
     buckets = written(plain.join(central, "key"), "edit-buckets")
-    discard(banded, plain)
+    discard(*kept)
     labels = written(buckets.select("key", F.col("key").alias("label")).distinct(), "edit-labels")
+    members = written(classes.join(labels, "key").select("key", "same"), "edit-members")
+    looks = with_members(prints.select("same", "fingerprint", "bag"), members.select(F.xxhash64("same").alias("h")), F.xxhash64("same"))
+    looks = looks.groupBy("same").agg(F.first("fingerprint").alias("fingerprint"), F.first("bag").alias("bag"))
+    facts = written(members.join(looks, "same"), "edit-facts")
+    discard(members)
     own = docs.select(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("same"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    del grouped, members, plain, size, central
+    del grouped, members, looks, plain, size, central
     release_shuffles(docs.sparkSession)
     checked: list[DataFrame] = []
     found: list[DataFrame] = []
@@ -725,8 +854,8 @@ def near_links(prints: DataFrame, docs: DataFrame, id_col: str, text_col: str, p
         rows = written(open_rows(buckets, labels, turn, hot), "edit-open")
         discard(buckets)
         checked.append(written(star_pairs(rows, checked, params.sizes().percent), "edit-pairs"))
-        found.append(_near(checked[-1], classes, own, params))
-        old, labels = labels, _merged(found[-1], labels)
+        found.append(_near(checked[-1], facts, own, params))
+        old, labels = labels, _merged(_thinned(found[-1]), labels)
         discard(old)
         buckets = rows.where(F.col("key") != F.col("p")).select("bucket", "key", "n", "rank")
         buckets.written_path = rows.written_path
@@ -735,20 +864,22 @@ def near_links(prints: DataFrame, docs: DataFrame, id_col: str, text_col: str, p
     rest = written(left.select(F.col("p").alias("grp"), "key", "label", "n").distinct(), "edit-rest")
     discard(buckets)
     release_shuffles(docs.sparkSession)
-    spanning = written(_alike_in_blocks(rest, classes, params), "edit-spanning")
-    found.append(_near(spanning.withColumn("p", F.col("a")), classes, own, params))
+    spanning = written(_alike_in_blocks(rest, facts, params), "edit-spanning")
+    found.append(_near(spanning.withColumn("p", F.col("a")), facts, own, params))
     before, labels = labels, _merged(found[-1], labels)
     if found[-1].count() < spanning.count():  # alike but not near: other pairs may connect what these were to
         # They lie in components that such a pair was to hold together; in all others every candidate is settled.
         assumed = _merged(spanning, before).withColumnRenamed("label", "assumed")
         failed = spanning.join(found[-1].select("a", "b"), ["a", "b"], "left_anti").select(F.col("a").alias("key"))
         doubtful = failed.join(assumed, "key").select("assumed").distinct()
-        kept = assumed.join(doubtful, "assumed").select("key")
-        left = rest.drop("label").join(kept, "key").join(labels, "key").select("grp", "key", "label", "n")
-        found.append(_near_in_blocks(left, classes, own, params))
+        # All pairs of alike texts lie within such a component: as a group of its own each is compared once, whatever buckets it shares.
+        left = assumed.join(doubtful, "assumed").join(labels, "key").join(classes.select("key", "n"), "key")
+        left = written(left.select(F.col("assumed").alias("grp"), "key", "label", "n"), "edit-left")
+        found.append(_near_in_blocks(left, facts, own, params))
+        discard(left)
         labels = _merged(found[-1], labels)
-    discard(rest, spanning, *checked)
-    return classes, reduce(DataFrame.union, found), labels
+    discard(rest, spanning, facts, *checked)
+    return classes, reduce(DataFrame.union, [f.select("a", "b", "distance") for f in found]), labels
 
 
 def near_duplicates(
@@ -761,14 +892,15 @@ def near_duplicates(
     and empty texts link with nothing, an empty table gives an empty result, other columns are left out.
     """
     docs = docs.where(F.col(text_col).isNotNull())
-    classes, links, _ = near_links(fingerprints(docs, id_col, text_col), docs, id_col, text_col, NearParams(rows, alike, distance, block))
+    params = NearParams(rows, alike, distance, block)
+    classes, links, _ = near_links(fingerprints(docs, id_col, text_col, params), docs, id_col, text_col, params)
     of = lambda end, name: classes.select(F.col("key").alias(end), F.col("id").alias(name))
     return links.join(of("a", id_col), "a").join(of("b", "near"), "b").select(id_col, "near", "distance")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, same, n_chars, fingerprint, bag) of every row: the text's md5, code points, fingerprint and bag. A
-    null text is empty."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, params: NearParams) -> DataFrame:
+    """(id, same, n_chars, fingerprint, bag, buckets) of every row: the text's md5, code points, fingerprint, bag and the keys of
+    its buckets, those of its bands alone. A null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embed = Embedder()
@@ -776,10 +908,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = [t or "" for t in batch.column(1).to_pylist()]
             prints = embed.fingerprints(texts)
             columns = [pa.array([_md5(t) for t in texts]), pa.array([len(t) for t in texts], pa.int64()), pa.array([as_text(p) for p in prints], pa.string()), pa.array([bag(t) for t in texts], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, "same", "n_chars", "fingerprint", "bag"])
+            buckets = _lists([np.unique(np.array(bucket_keys(p, len(t), embed, params), np.int64)) for t, p in zip(texts, prints, strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, buckets], [id_col, "same", "n_chars", "fingerprint", "bag", "buckets"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {id_type}, same string, n_chars long, fingerprint string, bag binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {id_type}, same string, n_chars long, fingerprint string, bag binary, buckets array<long>")
 
 
 def _md5(text: str) -> str:
@@ -789,13 +922,13 @@ def _md5(text: str) -> str:
 def fingerprint_and_link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: NearParams = NearParams()) -> DataFrame:
     """The columns of ``fingerprint_with_next`` and ``near_id``: the least id of the row's component of
     near duplicates, links being those of ``near_links`` and equal texts always together."""
-    prints = written(fingerprint_with_next(docs, id_col, text_col), "edit-prints")
+    prints = written(fingerprint_with_next(docs, id_col, text_col, params), "edit-prints")
     classes, _, labels = near_links(prints, docs, id_col, text_col, params)
     named = classes.join(labels, "key", "left").select("same", "id", F.coalesce("label", "key").alias("label"))
     named = written(named, "edit-named")
     least = named.groupBy("label").agg(F.min("id").alias("near_id"))
     by_text = named.join(least, "label").select("same", "near_id")
-    return join_hot(prints, by_text, "same", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).drop("same", "bag")
+    return join_hot(prints, by_text, "same", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).drop("same", "bag", "buckets")
 
 
 def op6_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
