@@ -22,7 +22,7 @@ import itertools
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache, reduce
+from functools import cache, lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +43,16 @@ BUFFER_ROWS = 8192  #: rows walked at once
 PAIRS = 1 << 18  #: pairs of bags tested at once
 VERIFIED = 512  #: pairs of texts compared at once
 BAND_CELLS, BAND_CHARS = 1 << 15, 1 << 22  #: diagonals and characters of pairs that are compared together
+STAGES = 16  #: lengths, or up to twice as many, of ends of a pair that are compared by their neighbouring characters
+KIND_BITS = 9  #: of the number of kinds of neighbouring characters there
 RUN = 128  #: characters of long equal runs compared at once
 BLOCK_BYTES = 8 << 20  #: of texts in a block of neighbours, on average
 BLOCK_ROWS = 1 << 16  #: documents of a block, on average and at most
 MOST_BLOCKS = 20_000  #: beyond, blocks grow; they are walked as streams
-FEW_ROWS = 8  #: rows left of a walk that are walked one by one
+CELL = 64  #: characters of a text that are walked before the window of steps is looked at
+LEAP_STEPS = 4096  #: steps by which a window goes on
+NEVER = (1 << 31) - 1  #: a step that no walk takes
+WALK_CHARS = 1 << 23  #: characters of texts that walk together, more only if a single text has more
 LEAST_BAG_BITS, MOST_BAG_BITS = 5, 12  #: of the number of classes of neighbours in a bag
 LEAST_LENGTH = 600  #: of the texts of a class that is filed by passages; of shorter ones an edit may cost most of the walk
 SITES = 20  #: steps of a walk at which the passage under the pointer is a key
@@ -65,29 +70,47 @@ def _splitmix(x: np.ndarray) -> np.ndarray:
 class Bits:
     """The random bits: one 64-bit hash of (step // 64, class) holds those of 64 steps."""
 
-    KEPT = 1 << 9  #: blocks of 64 steps whose bits are kept once made, as every text begins there
+    @staticmethod
+    def words(low: int, high: int, classes: np.ndarray) -> np.ndarray:
+        """(high - low, classes) words of the steps from 64 * low to 64 * high."""
+        cells = np.arange(low, high, dtype=np.uint64)[:, None] * np.uint64(256) + classes.astype(np.uint64)
+        return _splitmix(cells ^ np.uint64(SEED << 40))
+
+    def __getitem__(self, at: tuple[int, int]) -> int:
+        word = int(self.words(at[0] >> 6, (at[0] >> 6) + 1, np.array([at[1]]))[0, 0])
+        return 0 if at[1] == END else word >> (at[0] & 63) & 1
+
+
+class Leaps:
+    """For each class and step, how many steps on a pointer that is on such a character arrives at the next one: past the next set bit."""
+
+    KEPT = 1 << 17  #: steps that are kept once made, as every text begins there
 
     def __init__(self) -> None:
-        self.made: dict[int, np.ndarray] = {}
+        self.kept = np.zeros((END + 1, self.KEPT), np.uint8)
+        self.made = 0
 
     @staticmethod
-    def _hashed(low: int, high: int) -> np.ndarray:
-        cells = _splitmix(np.arange(low * 256, high * 256, dtype=np.uint64) ^ np.uint64(SEED << 40)).reshape(-1, 256)
-        cells[:, END] = 0
-        return cells
-
-    def of_steps(self, block: int) -> np.ndarray:
-        """(64, 256) bits of the steps from 64 * block on."""
-        if block in self.made:
-            return self.made[block]
-        word = self._hashed(block, block + 1)[0]
-        bits = (word[None, :] >> np.arange(64, dtype=np.uint64)[:, None]).astype(np.uint8) & 1
-        if block < self.KEPT:
-            self.made[block] = bits
-        return bits
-
-    def __getitem__(self, at: tuple[int, int]) -> int:
-        return int(self.of_steps(at[0] >> 6)[at[0] & 63, at[1]])
+    def of(low: int, high: int) -> np.ndarray:
+        """(classes, steps) of the steps from 64 * low to 64 * high. Two words without a bit in a row don't occur."""
+        words = Bits.words(low, high + 2, np.arange(END + 1)).T
+        ahead = (np.bitwise_count((words & (~words + np.uint64(1))) - np.uint64(1)) + 1).astype(np.uint8)  # from a block's first step on
+        ahead[:, :-1] = np.where(words[:, :-1], ahead[:, :-1], 64 + ahead[:, 1:])
+        words, after = words[:, :-2], ahead[:, 1:-1]
+        out = np.empty((*words.shape, 64), np.uint8)
+        for i in range(63, -1, -1):
+            after = after * (~(words >> np.uint64(i)) & np.uint64(1)).astype(np.uint8) + np.uint8(1)
+            out[:, :, i] = after
+        return out.reshape(len(words), -1)
+
+    def window(self, low: int, high: int) -> tuple[np.ndarray, int]:
+        """The steps from ``low`` to ``high`` and some more, and the step that they begin at."""
+        if high > self.KEPT:
+            return self.of(low >> 6, (high + LEAP_STEPS >> 6) + 1), low & ~63
+        while self.made < high:
+            self.kept[:, self.made : self.made + LEAP_STEPS] = self.of(self.made >> 6, self.made + LEAP_STEPS >> 6)
+            self.made += LEAP_STEPS
+        return self.kept, 0
 
 
 def level_of(n_chars: int) -> int:
@@ -109,18 +132,21 @@ class Stops:
     steps: list[int]
     low: int
     high: int
-    at: np.ndarray | None = None  #: (steps, rows) places of the pointer
     keys: np.ndarray | None = None  #: (steps, rows) of the passages from there on
     whole: np.ndarray | None = None  #: whether the passage lies within the text
 
-    def read(self, flat: np.ndarray) -> None:
-        chars = np.take(flat, self.at[..., None] + np.arange(PASSAGE), mode="clip")
-        self.whole = (chars != END).all(axis=-1)
-        self.keys = np.arange(len(self.steps), dtype=np.uint64)[:, None] + np.zeros(self.at.shape, np.uint64)
+    def read(self, flat: np.ndarray, at: np.ndarray, rows: slice) -> None:
+        """Take the passages at the places ``at`` (rows, steps) of the pointers of ``rows`` of the class."""
+        if self.keys is None:
+            shape = (len(self.steps), self.high - self.low)
+            self.keys, self.whole = np.zeros(shape, np.uint64), np.zeros(shape, bool)
+        chars = np.take(flat, at.T[..., None] + np.arange(PASSAGE), mode="clip")
+        self.whole[:, rows] = (chars != END).all(axis=-1)
+        keys = np.arange(len(self.steps), dtype=np.uint64)[:, None] + np.zeros(chars.shape[:2], np.uint64)
         words = chars.view("<u8")
         for w in range(words.shape[-1]):
-            self.keys = _splitmix(self.keys ^ words[..., w])
-        self.at = None
+            keys = _splitmix(keys ^ words[..., w])
+        self.keys[:, rows] = keys
 
 
 def _take(keys: list[list[np.ndarray]], rows: list[int], stops: dict[int, Stops]) -> None:
@@ -132,17 +158,17 @@ def _take(keys: list[list[np.ndarray]], rows: list[int], stops: dict[int, Stops]
 
 
 class Embedder:
-    """Fingerprints of many texts; random bits and sampled steps are made once a task."""
+    """Fingerprints of many texts; what all walks share is made once a worker."""
 
     def __init__(self) -> None:
-        self.bits = Bits()
+        self.bits, self.leaps = Bits(), Leaps()
         self.steps: dict[int, np.ndarray] = {}
         self.shared_steps: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
     @staticmethod
     @cache
     def shared() -> Embedder:
-        """One for all groups that a worker compares."""
+        """One for all that a worker walks or compares."""
         return Embedder()
 
     def sampled(self, level: int) -> np.ndarray:
@@ -193,73 +219,76 @@ class Embedder:
         return out, [np.concatenate([np.zeros(0, np.int64), *k]) for k in keys]
 
     def _walk(self, codes: list[np.ndarray], levels: list[int] | int, stops: list[Stops] | None = None, most: int = CYCLE) -> tuple[list[np.ndarray], np.ndarray]:
-        """Samples of texts by falling level (or of one level) and length, and whether their walks reached the end. All
-        levels walk together, as they share the bits: a step is kept for the levels that sample it. ``stops`` get the
-        passages at their steps. After ``most`` steps all walks end."""
+        """Samples of texts by falling level (or of one level) and length, and whether their walks reached the end. ``stops`` get the
+        passages at their steps. Walks end at their level's last step, or soon after ``most`` steps."""
         levels = [levels] * len(codes) if isinstance(levels, int) else levels
-        lengths = np.array([len(c) for c in codes])
-        ends = np.cumsum(lengths + 1) - 1
-        flat = np.full(int(ends[-1]) + 1, END, np.uint8)
-        for c, end in zip(codes, ends, strict=True):
-            flat[end - len(c) : end] = (c * np.uint32(0x9E3779B1) >> np.uint32(24)) % END
-        at = (ends - lengths).astype(np.int64)
-        bounds: dict[int, tuple[int, int]] = {}
-        for i, level in enumerate(levels):
-            bounds[level] = (bounds.get(level, (i, i))[0], i + 1)
-        emitted = {level: np.full((len(self.sampled(level)), high - low), END, np.uint8) for level, (low, high) in bounds.items()}
-        due: dict[int, list[tuple[int, int]]] = {}
-        for level in bounds:
-            for k, step in enumerate(self.sampled(level).tolist()):
-                due.setdefault(step, []).append((level, k))
-        halts: list[tuple[np.ndarray, int, int]] = []
-        for stop in stops or ():
-            stop.at = np.tile(ends[stop.low : stop.high], (len(stop.steps), 1)).astype(np.int64)
-            for row, step in zip(stop.at, stop.steps, strict=True):
-                due.setdefault(step, []).append((-1, len(halts)))
-                halts.append((row, stop.low, stop.high))
-        under, moved, live = np.empty(len(codes), np.uint8), np.empty(len(codes), np.uint8), len(codes)
-        plain = b""
-        for block in range(min(1 << levels[0], most + 63) // 64):
-            first = block * 64
-            if first & (first - 1) == 0 and (done := first.bit_length() - 1) in bounds:
-                live = min(live, bounds[done][0])  # the last rows: their level has no more steps
-            going = np.flatnonzero(at[:live] < ends[:live])
-            live = int(going[-1]) + 1 if len(going) else 0
-            if not live:
+        chars = np.cumsum([len(c) for c in codes])
+        samples: list[np.ndarray] = []
+        ended = np.zeros(len(codes), bool)
+        low = 0
+        while low < len(codes):
+            high = max(low + 1, int(np.searchsorted(chars, (chars[low - 1] if low else 0) + WALK_CHARS, "right")))
+            lengths = np.array([len(c) for c in codes[low:high]], np.int64)
+            cells = lengths // CELL + 1  # each text has an end
+            first = np.cumsum(cells) - cells
+            flat = np.full((int(cells.sum()), CELL), END, np.uint8)
+            plain = flat.reshape(-1)
+            for c, cell in zip(codes[low:high], first.tolist(), strict=True):
+                plain[cell * CELL : cell * CELL + len(c)] = (c * np.uint32(0x9E3779B1) >> np.uint32(24)) % END
+            arrivals = self._arrivals(flat, first, lengths, min(1 << levels[low], most)).reshape(-1)
+            starts = first * CELL
+            own = [arrivals[at : at + n] for at, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+            # The pointer is past as many characters as it has arrived after.
+            places = lambda rows, steps: np.stack([np.searchsorted(own[r], steps, "right") for r in rows])
+            for level, some in itertools.groupby(range(high - low), key=lambda r: levels[low + r]):
+                rows = list(some)
+                at = places(rows, self.sampled(level).astype(arrivals.dtype))
+                under = plain[starts[rows][:, None] + at]
+                samples += list(np.where(under == END, 0, 1 + under % 15).astype(np.uint8))
+                ended[low + rows[0] : low + rows[-1] + 1] = [not len(own[r]) or own[r][-1] <= 1 << level for r in rows]
+            for stop in stops or ():
+                rows = range(max(stop.low, low) - low, min(stop.high, high) - low)
+                if rows:
+                    at = places(rows, np.array(stop.steps, arrivals.dtype))
+                    stop.read(plain, starts[list(rows)][:, None] + at, slice(rows[0] + low - stop.low, rows[-1] + 1 + low - stop.low))
+            low = high
+        return samples, ended
+
+    def _arrivals(self, flat: np.ndarray, first: np.ndarray, lengths: np.ndarray, most: int) -> np.ndarray:
+        """The step at which each character's successor is arrived at, in the cells of ``flat`` (its texts, by falling length, begin at the
+        cells ``first``). All walks advance a character at a time, from step to step by ``Leaps``; after ``most`` steps they may end."""
+        kind = np.int32 if most < NEVER else np.int64
+        out = np.full(flat.shape, np.iinfo(kind).max, kind)
+        at = np.zeros(len(first), np.int64)
+        held = np.empty((2 * CELL + 2) * len(first), np.int64)
+        gaps = np.empty(len(first), np.uint8)
+        table, base, end = np.zeros((END + 1, 0), np.uint8), 0, 0
+        for cell in range(int(lengths[0]) // CELL + 1 if len(lengths) else 0):
+            live = int(np.searchsorted(-lengths, -cell * CELL))  # those that have characters here
+            if not live or (least := int(at[:live].min())) >= most:
                 break
-            bits = self.bits.of_steps(block)
-            if live <= FEW_ROWS:
-                plain = plain or flat.tobytes()
-                jumps = bits.tobytes()
-                for i in range(live):
-                    p = int(at[i])
-                    for row in range(64):
-                        c = plain[p]
-                        for level, k in due.get(first + row, ()):
-                            if level == levels[i]:
-                                emitted[level][k, i - bounds[level][0]] = c
-                            elif level < 0 and halts[k][1] <= i < halts[k][2]:
-                                halts[k][0][i - halts[k][1]] = p
-                        p += jumps[row << 8 | c]
-                    at[i] = p
-                continue
-            p, u, m = at[:live], under[:live], moved[:live]
-            for row in range(64):
-                np.take(flat, p, out=u, mode="clip")
-                for level, k in due.get(first + row, ()):
-                    if level < 0:
-                        halted, low, high = halts[k]
-                        halted[:] = at[low:high]
-                        continue
-                    low, high = bounds[level]
-                    if low < live:
-                        emitted[level][k, : min(high, live) - low] = u[low:high]
-                np.take(bits[row], u, out=m, mode="clip")
-                np.add(p, m, out=p)
-        for stop in stops or ():
-            stop.read(flat)
-        samples = [x for level in bounds for x in np.where(emitted[level] == END, 0, 1 + emitted[level] % 15).astype(np.uint8).T]
-        return samples, at >= ends
+            index, steps, chars = np.split(held[: (2 * CELL + 2) * live].reshape(-1, live), [1, CELL + 2])
+            index, gap = index[0], gaps[:live]
+            need = int(at[:live].max()) + 8 * CELL
+            while True:
+                if least < base or need > end:
+                    table, base = self.leaps.window(least, need)
+                    end = self.leaps.made if table is self.leaps.kept else base + table.shape[1]
+                ahead = table.reshape(-1)
+                chars[:] = flat[first[:live] + cell].T
+                chars *= table.shape[1]
+                np.subtract(at[:live], base, out=steps[0])
+                for i in range(CELL):
+                    np.add(steps[i], chars[i], out=index)
+                    ahead.take(index, out=gap, mode="clip")
+                    np.add(steps[i], gap, out=steps[i + 1])
+                if steps[-2].max() < end - base:  # else a walk ran out of the window
+                    break
+                need += LEAP_STEPS
+            steps += base
+            out[first[:live] + cell] = steps[1:].T
+            at[:live] = steps[-1]
+        return out
 
     def common(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
         """For samples of two levels: which of the lower one's steps the higher one has too, and which of the
@@ -426,7 +455,7 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        unpack, embed = zstandard.ZstdDecompressor(), Embedder()
+        unpack, embed = zstandard.ZstdDecompressor(), Embedder.shared()
         id_arrow = pa.int64()
         names = [id_col, *(f.split()[0] for f in FINGERPRINT_SCHEMA.split(", "))]
         types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.binary()]
@@ -603,9 +632,43 @@ def _runs(flat: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return run
 
 
+@lru_cache(maxsize=256)
+def _ends(text: str, w: int, stages: int) -> np.ndarray:
+    """(stages + 1, kinds): how many pairs of neighbours of each kind the last 0, w, 2w ... characters hold."""
+    end = np.frombuffer(text[-stages * w :].encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = (np.arange(stages * w - 1, 0, -1, dtype=np.uint32) + np.uint32(w)) // np.uint32(w)  # the first stage that has both characters
+    kinds = (end[:-1] * np.uint32(0x9E3779B1) + end[1:]) * np.uint32(0x85EBCA6B) >> np.uint32(32 - KIND_BITS)
+    counts = np.bincount(at << np.uint32(KIND_BITS) | kinds, minlength=(stages + 1) << KIND_BITS).astype(np.int32).reshape(stages + 1, -1)
+    for before, count in itertools.pairwise(counts):
+        count += before
+    return counts
+
+
+def _least_edits(pairs: list[tuple[str, str]], which: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(w, least) of the pairs ``which``, of others (1, 0): if a pair's last c * w characters are all still to be aligned, that takes
+    ``least[c]`` / 4 edits or more.
+
+    An exchanged character changes four of the counts of neighbouring pairs at most, one that is put in or left out three. Where the
+    pointers are s characters out of step with the ends, s edits at least are of the latter kind, and s pairs more or fewer are counted.
+    """
+    widths, least = np.ones(len(pairs), np.int64), np.zeros((len(pairs), 2 * STAGES), np.int64)
+    for i in which:
+        n = min(map(len, pairs[i]))
+        if n < 2 * STAGES:
+            continue
+        w = 1 << (n // STAGES).bit_length() - 1
+        a, b = (_ends(text, w, n // w) for text in pairs[i])
+        # A longer end holds the shorter ones.
+        found = np.maximum.accumulate(np.abs(a - b).sum(axis=1))
+        widths[i], least[i] = w, found[-1]
+        least[i, : len(found)] = found[: 2 * STAGES]
+    return widths, least
+
+
 def _by_diagonals(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
     """See ``edit_distances``: for each number of edits all diagonals of all pairs advance at once, beside the comparison
-    of equal runs; diagonals from which a pair's end is out of reach stop."""
+    of equal runs; diagonals from which a pair's end is out of reach stop, and so do pairs of which what no diagonal has reached takes
+    more edits than are left."""
     codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for pair in pairs for t in pair]
     sizes = np.array([len(c) for c in codes], np.int64)
     starts = np.cumsum(sizes + 1) - sizes - 1
@@ -614,18 +677,30 @@ def _by_diagonals(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
         flat[start : start + len(c)] = c
         flat[start + len(c)] = 0xFFFFFFF0 + k % 2  # the two ends of a pair differ, and from any character
     x, y, n, m = starts[::2], starts[1::2], sizes[::2], sizes[1::2]
-    out, live = np.full(len(pairs), -1, np.int64), np.arange(len(pairs))
+    out = np.full(len(pairs), -1, np.int64)
+    widths, least = _least_edits(pairs, np.flatnonzero(most >= STAGES // 2).tolist())
+    live = np.flatnonzero(least[:, -1] <= 4 * most)
+    if not len(live):
+        return out
     wide = int(most.max())
     mid = wide + 1
-    reach = np.full((len(pairs), 2 * wide + 3), -2, np.int64)
-    reach[:, mid] = _runs(flat, x, y)
+    reach = np.full((len(live), 2 * wide + 3), -2, np.int64)
+    reach[:, mid] = _runs(flat, x[live], y[live])
+    furthest = reach[:, mid]
     for d in range(wide + 1):
         done = reach[np.arange(len(live)), mid + m[live] - n[live]] >= n[live]
         out[live[done]] = d
-        stay = ~done & (most[live] > d)
-        live, reach = live[stay], reach[stay]
-        if not len(live):
-            break
+        # Whatever passes the furthest place takes an edit more than have been made.
+        furthest = np.maximum(furthest, reach[:, mid - d : mid + d + 1].max(axis=1))
+        stage = np.clip((n[live] - furthest - 1) // widths[live], 0, 2 * STAGES - 1)
+        stay = ~done & (most[live] > d) & (least[live, stage] <= 4 * (most[live] - d - 1))
+        if not stay.all():
+            live, furthest = live[stay], furthest[stay]
+            if not len(live):
+                break
+            inner = reach[stay, mid - d : mid + d + 1]
+            reach = reach[: len(live)]
+            reach[:, mid - d : mid + d + 1] = inner  # beyond, all are alike
         low, high = mid - d - 1, mid + d + 2
         k = np.arange(low, high) - mid
         before = reach[:, low - 1 : high - 1] if low else np.concatenate([np.full((len(live), 1), -2), reach[:, : high - 1]], axis=1)
@@ -903,7 +978,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, params: NearParams
     its buckets, those of its bands alone. A null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        embed = Embedder()
+        embed = Embedder.shared()
         for batch in text_slices(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             prints = embed.fingerprints(texts)

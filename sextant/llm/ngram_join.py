@@ -449,23 +449,35 @@ def _across(rest: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(key, label) for every end of ``links`` (a, b): the least key of its component.
 
-    Labels spread to neighbours and then jump along labels, which halves distances, until
-    nothing changes. State is written to the shared folder each round.
+    Each key goes up to its least neighbour if that is less, and on along such steps, which jumping halves, to a key without one; then
+    links join what their ends went up to, and those within one are gone, until none is left. State is written to the shared folder each round.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = written(both.distinct(), "join-edges")
-    labels = written(edges.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "join-labels")
-    while True:
-        from_near = edges.join(labels.select(F.col("key").alias("b"), "label"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("near"))
-        nearer = labels.join(from_near, "key").select("key", F.least("label", "near").alias("hop"), "label")
-        jump = labels.select(F.col("key").alias("hop"), F.col("label").alias("far"))
-        new = nearer.join(jump, "hop").select("key", F.least("hop", "far").alias("label"), (F.least("hop", "far") != F.col("label")).alias("changed"))
-        new = written(new, "join-labels")
-        discard(labels)
-        labels = new
-        if not new.where("changed").limit(1).count():
-            discard(edges)
-            return labels
+    ends = links.select(F.col("a").alias("key")).union(links.select(F.col("b").alias("key"))).distinct()
+    labels = written(ends.select("key", F.col("key").alias("label")), "join-labels")
+    edges = written(_between(links, F.col("a"), F.col("b")), "join-edges")
+    while edges.limit(1).count():
+        up = written(edges.groupBy(F.col("b").alias("key")).agg(F.min("a").alias("up")), "join-up")
+        while True:
+            over = up.select(F.col("key").alias("up"), F.col("up").alias("far"))
+            new = up.join(over, "up", "left").select("key", F.coalesce("far", "up").alias("up"), F.col("far").isNotNull().alias("changed"))
+            new = written(new, "join-up")
+            discard(up)
+            up = new
+            if not new.where("changed").limit(1).count():
+                break
+        of = lambda end: up.select(F.col("key").alias(end), F.col("up").alias(f"u{end}"))
+        moved = edges.join(of("b"), "b").join(of("a"), "a", "left")  # b has a less neighbour
+        fewer = written(_between(moved, F.coalesce("ua", "a"), F.col("ub")), "join-edges")
+        merged = written(labels.join(of("label"), "label", "left").select("key", F.coalesce("ulabel", "label").alias("label")), "join-labels")
+        discard(edges, labels, up)
+        edges, labels = fewer, merged
+    discard(edges)
+    return labels
+
+
+def _between(links: DataFrame, a: Column, b: Column) -> DataFrame:
+    """(a, b), a < b: what ``links`` link, once."""
+    return links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, params: JoinParams) -> DataFrame:

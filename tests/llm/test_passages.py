@@ -87,3 +87,50 @@ def test_thinned_links_connect_the_same(spark):
 
     assert parts([(r.a, r.b) for r in found]) == parts([(a, b) for a, b, _ in links])
     assert len(found) <= 300 + len(pivots) ** 2 < len(links)
+
+
+def test_pairs_far_beyond_the_distance_are_given_up_early(monkeypatch):
+    """Words exchanged all over a text: the bags let such pairs through, and all edits allowed were tried on them."""
+    rng, looks = random.Random(5), []
+    runs = E._runs
+    monkeypatch.setattr(E, "_runs", lambda flat, x, y: looks.append(len(x)) or runs(flat, x, y))
+    base = prose(rng, 4000)
+    words = base.split(" ")
+    for i in rng.sample(range(len(words)), len(words) // 12):
+        words[i] = prose(rng, len(words[i]))
+    most = int(0.02 * 4000)
+    far = " ".join(words)
+    assert E.edit_distance_within(base, far, most) is None and sum(looks) < most * most // 2
+    exact = E.edit_distance_within(base, far, 2000)
+    assert E.edit_distance_within(base, far, exact) == exact and E.edit_distance_within(base, far, exact - 1) is None
+
+
+def test_walks_go_on_where_a_window_ends(monkeypatch):
+    """Texts whose walks differ in their steps, with windows and cells that end within them."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choices(letters, k=n)) for letters in ("ab", "xyz ", "é😀 k") for n in (1, 63, 64, 65, 700, 5000)] + [""]
+    plain, keys = E.Embedder().with_passages(texts, PARAMS.distance)
+    monkeypatch.setattr(E, "LEAP_STEPS", 64)
+    monkeypatch.setattr(E, "WALK_CHARS", 3000)
+    monkeypatch.setattr(E.Leaps, "KEPT", 640)
+    again, others = E.Embedder().with_passages(texts, PARAMS.distance)
+    assert all(a[0] == b[0] and (a[1] == b[1]).all() for a, b in zip(plain, again, strict=True))
+    assert all(np.array_equal(a, b) for a, b in zip(keys, others, strict=True))
+
+
+def test_components_look_at_links_once(spark, monkeypatch):
+    """A family whose links are many: each round shuffled all of them, though one joins them."""
+    from sextant.llm import ngram_join as N
+
+    rows, written = [], N.written
+
+    def counted(df, name):
+        out = written(df, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "written", counted)
+    pairs = [(1 + i % 5, 100 + i) for i in range(400)] + [(1 + i, 2 + i) for i in range(4)] + [(900, 901), (901, 902), (777, 777)]
+    found = {r.key: r.label for r in N.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert found == {k: 1 for k in [*range(1, 6), *range(100, 500)]} | {900: 900, 901: 900, 902: 900, 777: 777}
+    assert rows.count(0) == 1 and max(rows) < 2 * len(pairs)
