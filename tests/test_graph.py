@@ -145,3 +145,20 @@ def test_a_document_of_a_chain_is_parsed_once(spark):
     plan = _nodes(spark.createDataFrame([("a", "{}")], "path string, text string"), None)
     made = [p for p in plan.inputFiles()]
     assert all("/facts-" in p for p in made)  # what follows reads facts, not texts
+
+
+def test_facts_of_paths_that_come_once_are_not_shuffled(spark, monkeypatch):
+    """All facts went through an aggregate by path, though hardly any path comes twice."""
+    made, stored = {}, L.stored
+
+    def kept(df, name):
+        made[name] = df
+        return stored(df, name)
+
+    monkeypatch.setattr(L, "stored", kept)
+    rows = [("a", json.dumps(GOOD)), ("b", json.dumps(REPORT)), ("c", "no object")]
+    single = {r.path: r.problem for r in L.judged(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert single == {"a": None, "b": None, "c": "not an object"} and "nodes" not in made
+    more = [*rows, rows[0], ("c", json.dumps(REPORT)), ("d", "{}"), ("d", "{} ")]
+    found = {r.path: r.problem for r in L.judged(spark.createDataFrame(more, "path string, text string")).collect()}
+    assert len(more) > len(found) == 4 and found["a"] is None and found["c"] == ("not an object" if "no object" < json.dumps(REPORT) else None)
